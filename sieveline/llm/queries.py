@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_hist
+from . import exact_dedup, lang_id, lm_score, packing, token_hist
 from .common import table
 
 #: A parameter: the folder of public tokenizer files. They stay where they are.
@@ -12,6 +13,19 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), _fold(7) == 2)
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), _fold(5) == 0
+    return lang_id.identify(docs, held_out).withColumn("held_out", held_out)
+
+
 def op4_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.histogram(table(spark, sf_dir, "documents"), BYTE_BPE))
 
@@ -25,7 +39,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_histogram, op5_exact_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
