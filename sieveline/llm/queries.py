@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, lm_score, packing, token_hist
+from . import decontam, exact_dedup, lang_id, lm_score, packing, token_hist
 from .common import table
 
 #: A parameter: the folder of public tokenizer files. They stay where they are.
@@ -34,16 +34,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op6_decontamination, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_DEDUP}
+    return {"op5_exact_dedup": EXACT_DEDUP, "op6_decontamination": DECONTAMINATION}
 
 
 EXACT_DEDUP = r"""
@@ -52,3 +56,19 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """
+
+# Words joined by one space, so that a shingle is a string.
+DECONTAMINATION = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL
+  SELECT 'b', item_id, coalesce(text, '') FROM benchmark
+), w AS (
+  SELECT kind, id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words FROM t
+), s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k : k + 4], ' ')) END) AS shingle
+  FROM w WHERE len(words) > 0
+), n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM s d JOIN s b ON d.shingle = b.shingle AND d.kind = 'd' AND b.kind = 'b' JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.75 * any_value(n_item)
+"""
