@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, lang_id, lm_score, packing, token_hist
+from . import decontam, exact_dedup, lang_id, lm_score, near_dedup, packing, token_hist
 from .common import table
 
 #: A parameter: the folder of public tokenizer files. They stay where they are.
@@ -38,12 +38,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op6_decontamination, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op6_decontamination, op7_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
