@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, lang_id, lm_score, near_dedup, packing, token_hist, toxicity
+from . import decontam, exact_dedup, lang_id, lm_score, near_dedup, packing, pii, token_hist, toxicity
 from .common import table
 
 #: A parameter: the folder of public tokenizer files. They stay where they are.
@@ -52,8 +52,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="sieveline")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op6_decontamination, op7_near_dedup, op8_toxicity, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op6_decontamination, op7_near_dedup, op8_toxicity, op9_best_fit_packing, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
