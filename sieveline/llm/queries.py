@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, lang_id, lm_score, near_dedup, packing, pii, token_hist, toxicity
+from . import chat_format, decontam, exact_dedup, lang_id, lm_score, near_dedup, packing, pii, token_hist, toxicity
 from .common import table
 
 #: A parameter: the folder of public tokenizer files. They stay where they are.
@@ -17,6 +17,11 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat_format.from_turns(table(spark, sf_dir, "conversations"))
+    return chat_format.link(messages, chat_format.REPLY).withColumnsRenamed({"conv": "conv_id", "pos": "turn"})
+
+
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), _fold(7) == 2)
 
@@ -57,11 +62,11 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op6_decontamination, op7_near_dedup, op8_toxicity, op9_best_fit_packing, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_chat_format, op2_ppm_score, op3_language_mixture, op4_token_histogram, op5_exact_dedup, op6_decontamination, op7_near_dedup, op8_toxicity, op9_best_fit_packing, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_DEDUP, "op6_decontamination": DECONTAMINATION}
+    return {"op1_chat_format": CHAT_FORMAT, "op5_exact_dedup": EXACT_DEDUP, "op6_decontamination": DECONTAMINATION}
 
 
 EXACT_DEDUP = r"""
@@ -86,3 +91,24 @@ SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n_item)
 FROM s d JOIN s b ON d.shingle = b.shingle AND d.kind = 'd' AND b.kind = 'b' JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING count(*) >= 0.75 * any_value(n_item)
 """
+
+# Arguments are a JSON object inside the record, so they are JSON text within JSON text.
+CHAT_FORMAT = """
+WITH c AS (
+  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, text,
+         CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS id
+  FROM conversations
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS order_no,
+         CASE kind WHEN 'message' THEN 'message'
+              WHEN 'call' THEN CASE WHEN bool_or(kind = 'result') OVER same THEN 'linked' ELSE 'call_without_result' END
+              ELSE CASE WHEN bool_or(kind = 'call') OVER same THEN 'linked' ELSE 'result_without_call' END END AS status
+  FROM c WINDOW same AS (PARTITION BY conv_id, id)
+)
+SELECT conv_id, turn, order_no, kind, id, CASE kind WHEN 'call' THEN 'reply' END AS tool, status,
+       CASE WHEN kind = 'call' AND text IS NULL THEN 'missing chars; missing text' ELSE '' END AS errors,
+       CASE kind WHEN 'call' THEN to_json({arguments: CAST(to_json({chars: length(text), text: text}) AS VARCHAR), id: id, kind: kind, status: status, tool: 'reply'})
+                 WHEN 'result' THEN to_json({content: text, id: id, kind: kind, status: status})
+                 ELSE to_json({content: text, kind: kind, status: status}) END::VARCHAR AS record
+FROM s
+"""
