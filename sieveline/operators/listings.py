@@ -1,0 +1,105 @@
+"""Directory, search, container and package listings: typed rows, groups with caps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from .ranking import count_by, top_k
+
+_LS = r"^([bcdlps-][rwxsStT-]{9})[.+@]?\s+\d+\s+\S+\s+\S+\s+(\d+)\s+(\S+\s+\S+\s+\S+)\s+(.+)$"
+
+
+def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.posexplode(T.lines(text_col)).alias("at", "raw"))
+
+
+def ls_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Entries of a long listing without the two dot folders: name, kind, size, mode, extension."""
+    g = lambda k: F.regexp_extract("raw", _LS, k)
+    name = F.regexp_replace(g(4), r" -> .*$", "")
+    kind = F.when(g(1).startswith("d"), "dir").when(g(1).startswith("l"), "link").otherwise("file")
+    rows = _lines(df, id_col, text_col).where(F.col("raw").rlike(_LS)).select("id", "at", name.alias("name"), kind.alias("kind"), g(2).cast("long").alias("size"), T.perms_to_octal(g(1)).alias("mode"))
+    return rows.where("name NOT IN ('.', '..')").withColumn("ext", F.when(F.col("kind") == "file", T.extension("name")))
+
+
+def top_extensions(rows: DataFrame, k: int = 5) -> DataFrame:
+    return top_k(count_by(rows.where("ext IS NOT NULL"), "id", "ext"), k, [F.desc("n"), F.col("ext")], ["id"])
+
+
+def path_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """One path a line: folder (``.`` for bare names), name, extension, depth."""
+    p = _lines(df, id_col, text_col).where("raw <> ''").withColumn("path", F.regexp_replace("raw", r"^\./", ""))
+    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(".")
+    return p.select("id", "at", "path", folder.alias("dir"), T.basename("path").alias("name"), T.extension("path").alias("ext"), (F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"))) + 1).alias("depth"))
+
+
+def grouped_paths(rows: DataFrame, dirs: int = 20, files: int = 10) -> DataFrame:
+    """Folders by name, of each the first files; both capped, with totals before the caps."""
+    per = top_k(rows, files, [F.col("name")], ["id", "dir"])
+    g = per.groupBy("id", "dir").agg(F.array_sort(F.collect_list("name")).alias("names")).join(count_by(rows, "id", "dir"), ["id", "dir"])
+    return top_k(g, dirs, [F.col("dir")], ["id"])
+
+
+def grep_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """file:line:content matches; lines with fewer parts or no line number are dropped."""
+    pattern = r"^([^:]+):(\d+):(.*)$"
+    g = lambda k: F.regexp_extract("raw", pattern, k)
+    return _lines(df, id_col, text_col).where(F.col("raw").rlike(pattern)).select("id", "at", g(1).alias("file"), g(2).cast("int").alias("line"), g(3).alias("content"))
+
+
+def docker_rows(df: DataFrame, columns: list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Tab-separated rows by the given column names."""
+    parts = F.split("raw", "\t", -1)
+    return _lines(df, id_col, text_col).where("raw <> ''").select("id", "at", *[F.try_element_at(parts, F.lit(i + 1)).alias(c) for i, c in enumerate(columns)])
+
+
+def size_mb(x) -> object:
+    """Sizes like 1.5GB, 20MB, 300kB in megabytes."""
+    n, unit = F.regexp_extract(x, r"([0-9.]+)", 1).try_cast("double"), F.upper(F.regexp_extract(x, r"([a-zA-Z]+)$", 1))
+    return n * F.when(unit == "GB", 1024.0).when(unit == "MB", 1.0).when(unit == "KB", 1 / 1024).otherwise(1 / 1048576)
+
+
+POD = "struct<items:array<struct<metadata:struct<namespace:string,name:string>,status:struct<phase:string,containerStatuses:array<struct<restartCount:bigint,state:struct<waiting:struct<reason:string>>>>>>>>"
+
+
+def pods(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """namespace, name, phase, restarts and the reason for waiting of each pod."""
+    p = df.select(F.col(id_col).alias("id"), F.explode(F.from_json(F.col(text_col), POD)["items"]).alias("p"))
+    status = F.coalesce("p.status.containerStatuses", F.array().cast("array<struct<restartCount:bigint,state:struct<waiting:struct<reason:string>>>>"))
+    restarts = F.aggregate(F.transform(status, lambda s: F.coalesce(s["restartCount"], F.lit(0))), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    reason = F.try_element_at(F.filter(F.transform(status, lambda s: s["state"]["waiting"]["reason"]), lambda r: r.isNotNull()), F.lit(1))
+    return p.select("id", F.col("p.metadata.namespace").alias("namespace"), F.col("p.metadata.name").alias("name"), F.col("p.status.phase").alias("phase"), restarts.alias("restarts"), reason.alias("reason"))
+
+
+def pod_report(rows: DataFrame) -> DataFrame:
+    n = lambda *ph: F.sum(F.col("phase").isin(*ph).cast("long"))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("pods"), n("Running").alias("running"), n("Pending").alias("pending"), n("Failed").alias("failed"), n("Succeeded").alias("succeeded"), F.sum("restarts").alias("restarts"), F.sum(F.col("reason").isNotNull().cast("long")).alias("waiting"))
+
+
+def packages(df: DataFrame, id_col: str = "id", text_col: str = "text", cap: int = 50) -> DataFrame:
+    """A package list as JSON, grouped by its first letter, capped per letter."""
+    p = df.select(F.col(id_col).alias("id"), F.explode(F.from_json(F.col(text_col), "array<struct<name:string,version:string,latest_version:string>>")).alias("p")).select("id", "p.*")
+    return top_k(p.withColumn("letter", F.lower(F.left("name", F.lit(1)))), cap, [F.lower("name")], ["id", "letter"])
+
+
+#: Which variables go into which group, the first that fits.
+ENV_GROUPS = (
+    ("path", r"PATH"), ("language", r"^(?:RUST|CARGO|PYTHON|PIP|NODE|NPM|YARN|GO|JAVA|MAVEN|GRADLE|RUBY|GEM|BUNDLE)"),
+    ("cloud", r"^(?:AWS|AZURE|GCP|GOOGLE_CLOUD|DOCKER|KUBERNETES|K8S|KUBE|HELM|TERRAFORM)"), ("tool", r"^(?:EDITOR|VISUAL|SHELL|TERM|GIT|SSH|GPG|HOMEBREW|XDG)"),
+)
+
+
+def env_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """NAME=value lines by group; sensitive values masked, long ones cut."""
+    name, value = F.regexp_extract("raw", r"^([^=]+)=", 1), F.regexp_extract("raw", r"^[^=]+=(.*)$", 1)
+    group = F.coalesce(*[F.when(name.rlike(p), F.lit(g)) for g, p in ENV_GROUPS], F.lit("other"))
+    shown = F.when(T.is_sensitive(name), T.mask_value(value)).otherwise(T.ellipsis(value, 50))
+    return _lines(df, id_col, text_col).where(F.col("raw").contains("=")).select("id", "at", name.alias("name"), group.alias("group"), shown.alias("shown"))
+
+
+def psql_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Cells of an ASCII table, trimmed, without rules and the row count."""
+    rows = _lines(df, id_col, text_col).where(~F.col("raw").rlike(r"^[\s|+-]*$|^\(\d+ rows?\)"))
+    return rows.select("id", "at", F.transform(F.split("raw", r"\|"), lambda x: F.trim(x)).alias("cells"))
