@@ -61,29 +61,65 @@ def _grams(sym: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, codes
 
 
+#: Text that is worked on at a time: temporary arrays take some 25 bytes for each of its bytes.
+CHUNK = 2_000_000
+
+
+def _rows(block: pa.Table, *names: str):
+    """Rows of some columns as Python values, a slice at a time."""
+    for at in range(0, block.num_rows, 500):
+        part = block.slice(at, 500)
+        yield from zip(*[part.column(n).to_pylist() for n in names], strict=True)
+
+
+class _Counted:
+    """Distinct n-grams of texts added one by one, with counts over those to learn from."""
+
+    def __init__(self, order: int):
+        self.order, self.parts, self.pending, self.held = order, [], {True: [], False: []}, {True: 0, False: 0}
+
+    def add(self, text: bytes, learn: bool) -> None:
+        self.pending[learn].append(text)
+        self.held[learn] += len(text) + self.order + 1
+        if self.held[learn] > CHUNK:
+            self._flush(learn)
+
+    def _flush(self, learn: bool) -> None:
+        if self.pending[learn]:
+            sym, _ = _symbols(self.pending[learn], self.order)
+            ids, codes = _grams(sym, self.order)
+            n = np.bincount(ids, minlength=len(codes))
+            real = (codes & ((1 << BITS) - 1)) != 0  # a pad is never predicted
+            self.parts.append((codes[real], n[real] if learn else np.zeros(int(real.sum()), np.int64)))
+            if len(self.parts) > 6:
+                self._merge()
+        self.pending[learn], self.held[learn] = [], 0
+
+    def _merge(self) -> None:
+        codes, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        self.parts = [(codes, np.bincount(at, np.concatenate([p[1] for p in self.parts]), len(codes)).astype(np.int64))]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self._flush(True)
+        self._flush(False)
+        self._merge()
+        return self.parts[0]
+
+
 def _counts(order: int):
     def run(block: pa.Table) -> pa.Table:
         words: Counter = Counter()
         other: set = set()
-        counts = None
-        texts = [[], []]
-        for held, text in zip(block.column("held_out").to_pylist(), block.column("text").to_pylist(), strict=True):
+        grams, n_train = _Counted(order), 0
+        for held, text in _rows(block, "held_out", "text"):
             ws = words_of(text)
             if held:
                 other.update(ws)
             else:
                 words.update(ws)
-            texts[bool(held)].append(b" ".join(ws))
-        n_train = len(texts[0])
-        sym, _ = _symbols(texts[0] + texts[1], order)
-        cut_at = sum(len(t) + order + 1 for t in texts[0])
-        del texts
-        ids, codes = _grams(sym, order)
-        last = sym[order:] != 0  # a pad is never predicted
-        train = np.arange(order, len(sym)) < cut_at
-        counts = np.bincount(ids[train & last], minlength=len(codes))
-        asked = np.bincount(ids[last], minlength=len(codes)) > 0
-        codes, counts = codes[asked], counts[asked]
+                n_train += 1
+            grams.add(b" ".join(ws), not held)
+        codes, counts = grams.result()
         other -= words.keys()
         names = [*words, *other]
         n = [*words.values(), *([0] * len(other))]
@@ -91,9 +127,9 @@ def _counts(order: int):
         total = len(names) + len(codes) + 1
         return pa.table({
             "block": pa.array(np.full(total, key), pa.int32()),
-            "word": pa.array([*names, *([None] * (len(codes) + 1))], pa.binary()),
+            "word": pa.concat_arrays([pa.array(names, pa.binary()), pa.nulls(len(codes) + 1, pa.binary())]),
             "gram": pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(codes, pa.int64()), pa.nulls(1, pa.int64())]),
-            "n": pa.array([*n, *counts.tolist(), n_train], pa.int64()),
+            "n": pa.concat_arrays([pa.array(n, pa.int64()), pa.array(counts, pa.int64()), pa.array([n_train], pa.int64())]),
         })
 
     return run
@@ -167,7 +203,7 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
             scores.extend(np.add.reduceat(own[ids], starts).tolist())
             pending.clear()
 
-        for text in docs.column("text").to_pylist():
+        for (text,) in _rows(docs, "text"):
             ws = words_of(text)
             vals = list(map(word_value.__getitem__, ws))
             tokens.append(len(ws) + 1)
@@ -175,7 +211,7 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
             base.append(math.fsum(vals) + log_end - (len(ws) + 1) * log_total)
             pending.append(b" ".join(ws))
             held += len(pending[-1])
-            if held > 6_000_000:
+            if held > CHUNK:
                 flush()
                 held = 0
         flush()
