@@ -49,9 +49,22 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text): an own number for each row, since ids may be null or repeated. Other columns go."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _repeats(plan) -> bool:
+    """Whether a plan gives the same rows in the same partitions each time it runs, whichever columns are read: scans, projections, filters."""
+    if plan.nodeName() not in ("Project", "Filter", "LogicalRelation", "LocalRelation") and not plan.nodeName().startswith("Relation"):
+        return False
+    kids = plan.children()
+    return all(_repeats(kids.apply(k)) for k in range(kids.size()))
+
+
+def with_row(docs: DataFrame, id_col: str, text_col: str, twice: bool = False) -> DataFrame:
+    """(row, id, text): an own number for each row, since ids may be null or repeated. Other columns go.
+
+    Row numbers hold within one run of the plan. With ``twice`` they hold over several: inputs other than plain
+    scans are then written to the shared folder first.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return cut(rows) if twice and not _repeats(docs._jdf.queryExecution().optimizedPlan()) else rows
 
 
 def words_of(text: str | None) -> list[bytes]:

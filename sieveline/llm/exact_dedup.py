@@ -107,7 +107,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     Of equal texts the row with the smallest id stays (a null id counts as the largest; of rows with
     the same id the first read stays). Null and empty texts are equal. An empty table gives no rows.
     """
-    rows = with_row(docs, id_col, text_col)
+    rows = with_row(docs, id_col, text_col, twice=True)
     kind = rows.schema["id"].dataType.simpleString()
     known = cut(identities(rows, block).join(rows.mapInArrow(_hashed, f"row long, id {kind}, text_sha256 string"), "row"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
