@@ -49,6 +49,11 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_side(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcasting if it has at most ``rows`` rows (16 MB), else as it is."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
 def _repeats(plan) -> bool:
     """Whether a plan gives the same rows in the same partitions each time it runs, whichever columns are read: scans, projections, filters."""
     if plan.nodeName() not in ("Project", "Filter", "LogicalRelation", "LocalRelation") and not plan.nodeName().startswith("Relation"):

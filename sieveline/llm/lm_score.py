@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, tasks, words_of
+from .common import cut, tasks, words_of
 
 BITS = 9  # symbols: 0 pads the start, 1 to 256 are bytes, END closes
 END = 257
