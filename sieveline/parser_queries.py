@@ -26,12 +26,13 @@ def _s(*parts) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-K = F.col("p_partkey")
+def _k() -> Column:
+    return F.col("p_partkey")
 
 
 def _mypy(spark, sf_dir) -> DataFrame:
-    line = _s("src/m", K % 7, ".py:", K, F.when(K % 3 == 0, ": warning: ").otherwise(": error: "), "bad part", F.when(K % 4 == 0, "").otherwise(_s("  [code-", K % 5, "]")))
-    noise = F.when(K % 11 == 0, "Found errors").otherwise(line)
+    line = _s("src/m", _k() % 7, ".py:", _k(), F.when(_k() % 3 == 0, ": warning: ").otherwise(": error: "), "bad part", F.when(_k() % 4 == 0, "").otherwise(_s("  [code-", _k() % 5, "]")))
+    noise = F.when(_k() % 11 == 0, "Found errors").otherwise(line)
     return diagnostics.from_text(blob(table(spark, sf_dir, "part"), F.col("p_size"), "p_partkey", noise), "mypy")
 
 
@@ -53,14 +54,14 @@ def mypy_top_codes(spark, sf_dir):
 
 @query("""SELECT id, code, n, rank FROM (SELECT p_size AS id, 'TS' || (2000 + p_partkey % 9) AS code, count(*) AS n, row_number() OVER (PARTITION BY p_size ORDER BY count(*) DESC, min(p_partkey)) AS rank FROM part GROUP BY p_size, p_partkey % 9) WHERE rank <= 5""")
 def tsc_first_seen_codes(spark, sf_dir):
-    line = _s("app/", K % 5, ".ts(", K, ",1): error TS", 2000 + K % 9, ": no")
+    line = _s("app/", _k() % 5, ".ts(", _k(), ",1): error TS", 2000 + _k() % 9, ": no")
     d = diagnostics.from_text(blob(table(spark, sf_dir, "part"), F.col("p_size"), "p_partkey", line), "tsc")
     return diagnostics.first_seen_codes(d).drop("first_at")
 
 
 @query("SELECT p_size AS id, count(*) AS issues, count(DISTINCT p_partkey % 6) AS files, count(*) AS errors, 0::BIGINT AS warnings FROM part GROUP BY 1")
 def ruff_json_summary(spark, sf_dir):
-    v = F.struct(_s("E", K % 9).alias("code"), F.lit("long line").alias("message"), F.struct(K.alias("row"), F.lit(1).alias("column")).alias("location"), _s("a/b", K % 6, ".py").alias("filename"))
+    v = F.struct(_s("E", _k() % 9).alias("code"), F.lit("long line").alias("message"), F.struct(_k().alias("row"), F.lit(1).alias("column")).alias("location"), _s("a/b", _k() % 6, ".py").alias("filename"))
     text = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("id")).agg(F.to_json(F.collect_list(v)).alias("text"))
     return diagnostics.summary(diagnostics.from_json(text, "ruff"))
 
@@ -113,14 +114,14 @@ def cloud_rows(spark, sf_dir):
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS n_segments, CASE p_partkey % 3 WHEN 2 THEN 'git' ELSE 'make' END AS first_program FROM part""")
 def split_chain(spark, sf_dir):
-    cmd = F.when(K % 3 == 0, "FOO=1 /usr/bin/make all && echo 'a && b' | wc -l").when(K % 3 == 1, "sudo make; ls & pwd").otherwise("git log --format=\"%h; %s\"")
+    cmd = F.when(_k() % 3 == 0, "FOO=1 /usr/bin/make all && echo 'a && b' | wc -l").when(_k() % 3 == 1, "sudo make; ls & pwd").otherwise("git log --format=\"%h; %s\"")
     seg = table(spark, sf_dir, "part").select("p_partkey", S.split_chain(cmd).alias("s"))
     return seg.select("p_partkey", F.size("s").cast("long").alias("n_segments"), S.command_name(F.element_at("s", 1)).alias("first_program"))
 
 
 @query("SELECT 'git' AS command, count(*) AS n, sum(p_partkey)::BIGINT AS raw_tokens, sum(CAST(floor(p_partkey * 0.7::DOUBLE) AS BIGINT))::BIGINT AS saved_tokens, 'command' AS via, 'git log' AS display FROM part")
 def discover_supported(spark, sf_dir):
-    c = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), K.alias("seq"), F.lit("cd x && git log -3").alias("command"), (K * 4).cast("int").alias("output_len"))
+    c = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), _k().alias("seq"), F.lit("cd x && git log -3").alias("command"), (_k() * 4).cast("int").alias("output_len"))
     return transcripts.discover(transcripts.segments(c, ["git"], []))[0]
 
 
