@@ -82,9 +82,9 @@ def apply(d: FilterDef, raw: Column | str) -> Column:
     text = T.c(raw)
     if d.strip_ansi:
         text = T.strip_ansi(text)
-    if d.replace:
-        text = T.unlines(F.transform(T.lines(text), lambda s: reduce(lambda x, r: F.regexp_replace(x, "(?d)" + r[0], r[1]), d.replace, s)))
     a = T.lines(text)
+    if d.replace:
+        a = F.transform(a, lambda s: reduce(lambda x, r: F.regexp_replace(x, "(?d)" + r[0], r[1]), d.replace, s))
     blob = T.unlines(a)
     if d.strip_lines_matching:
         a = F.filter(a, lambda s: ~T.any_of(s, list(d.strip_lines_matching)))

@@ -23,7 +23,7 @@ def tracker(spark: SparkSession, path: str) -> DataFrame:
 
 def tracker_until_malformed(spark: SparkSession, path: str) -> DataFrame:
     """Tracker rows of each file up to its first malformed line. Files are read whole, since line order decides."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(T.lines("value")).alias("at", "raw"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(T.lines("value")).alias("at", "raw"))
     row = F.from_json("raw", TRACKER)
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     good = files.where("trim(raw) <> ''").withColumn("bad", F.max(F.try_parse_json("raw").isNull().cast("int")).over(w)).where("bad = 0")
@@ -36,10 +36,10 @@ def write_tracker(rows: DataFrame, path: str) -> None:
 
 def transcripts(spark: SparkSession, path: str, modified_after: datetime | None = None, project: str | None = None) -> DataFrame:
     """Entries of all ``*.jsonl`` files below a folder, with their file and line number."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").option("wholetext", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     if project:
         files = files.where(F.col("file").contains(project))
     lines = files.select("file", F.posexplode(T.lines("value")).alias("at", "raw"))
@@ -73,7 +73,7 @@ def usage(entries: DataFrame) -> DataFrame:
 
 def captures(spark: SparkSession, path: str, cap: int = STDIN_CAP) -> DataFrame:
     """Whole text files with newlines made uniform; files over the cap are flagged, not cut."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), T.normalize_newlines("value").alias("text"), (F.octet_length("value") > cap).alias("over_cap"))
 
 
