@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import cut
 
 
 def lengths(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
@@ -37,7 +38,7 @@ def suffix_sums(hist: DataFrame, chunk: int = 4096) -> DataFrame:
     truncated_tokens: tokens left if every document is cut to L; cut_tokens: tokens lost by that;
     quantile: the share of documents of at most L tokens.
     """
-    h = hist.withColumn("chunk", F.floor(F.col("length") / chunk)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    h = cut(hist).withColumn("chunk", F.floor(F.col("length") / chunk)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
     later = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     chunks = (
