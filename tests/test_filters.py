@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.plans import catalog
 from sieveline.plans import filters as P
 
 
@@ -68,3 +69,16 @@ def test_definitions(tmp_path, spark):
     (tmp_path / "b.toml").write_text("[filters.z]\nmax_line = 1\n")
     with pytest.raises(ValueError, match="unknown"):
         P.load(tmp_path)
+
+
+@pytest.mark.parametrize(
+    ("command", "raw", "name", "want"),
+    [
+        ("make -j", "make[1]: Entering\n\nmake[1]: Leaving\n", "make", "make: ok"), ("ping h", "PING h\n64 bytes from h\n\n--- h\n1 sent\n", "ping", "--- h\n1 sent"),
+        ("rsync a b", "sent 1\ntotal size is 3\n", "rsync", "ok (synced)"), ("rsync a b", "error x\ntotal size is 3", "rsync", "error x\ntotal size is 3"),
+        ("df -h", "x" * 100, "df", "x" * 80), ("terraform plan", "\nRefreshing state...\n", "terraform-plan", "terraform plan: no changes detected"), ("nothing", "\n\n", None, "\n\n"),
+    ],
+)
+def test_catalog(spark, command, raw, name, want):
+    got = P.apply_routed(spark.createDataFrame([(command, raw)], "command string, raw string"), "command", "raw", catalog.DEFS).first()
+    assert (got.filter, got.filtered) == (name, want)
