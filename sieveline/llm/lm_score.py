@@ -16,6 +16,8 @@ n-grams that share the last two context bytes (a closed part of the trie) are wo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections import Counter
 
@@ -72,6 +74,13 @@ def _rows(block: pa.Table, *names: str):
         yield from zip(*[part.column(n).to_pylist() for n in names], strict=True)
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the system: workers live on between blocks, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class _Counted:
     """Distinct n-grams of texts added one by one, with counts over those to learn from."""
 
@@ -123,6 +132,8 @@ def _counts(order: int):
         other -= words.keys()
         names = [*words, *other]
         n = [*words.values(), *([0] * len(other))]
+        del words, other, grams
+        _give_back()
         key = block.column("block")[0].as_py()
         total = len(names) + len(codes) + 1
         return pa.table({
@@ -215,6 +226,8 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
                 flush()
                 held = 0
         flush()
+        del word_value, grams, logp
+        _give_back()
         return pa.table({
             "id": docs.column("id").cast(kind), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array(np.full(len(tokens), n_total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()),
@@ -223,7 +236,7 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
     return run
 
 
-def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     held_out: a Column over ``docs``; rows where it is true (or null) are scored but not learned from.
