@@ -7,7 +7,9 @@ picks a few of the places, by a hash of the node, and sends each of its classes
 named by the class's token there: a path that similar sets choose together. Nodes of at most
 ``leaf`` classes stop and are compared exhaustively; larger ones go on branching until the last level.
 Nodes of many very similar classes never get small: at the last level they are dealt into
-sub-nodes of at most ``leaf`` in two orders, and all are compared to a few leaders of the whole node besides.
+sub-nodes of at most ``leaf`` in two orders, and all are compared to a few leaders of the whole node besides, which
+connects most of them. Then large nodes that overlap are joined to a crowd, and a crowd is compared whole, in tasks of
+two blocks of about ``block`` classes each; only classes that are connected already aren't compared.
 
 Comparison is by one byte of each token; what is above a margin below the threshold is a candidate, and candidates
 are decided on the full shingle sets of the two texts. So that a group of thousands of near copies isn't
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +158,73 @@ def _compare(least: float, every: bool):
     return run
 
 
-def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """Small nodes (node, cls), and (cls, leader) of those that stayed large; ``classes``: (cls, tokens)."""
+def _cross(least: float, every: bool):
+    """Candidate pairs (a, b, s) of different labels between the two sides of a task, or within its only side: all, or for each class its best."""
+
+    def run(part: pa.Table) -> pa.Table:
+        cls, label, side = (part.column(c).to_numpy() for c in ("cls", "label", "side"))
+        tok = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH)
+        x = np.flatnonzero(side == 0)
+        y = np.flatnonzero(side == 1)
+        alone = not len(x) or not len(y)
+        if alone:
+            x = y = np.arange(len(cls))
+        own, labels = tok[y], label[y]
+        out = []
+        best, at = np.zeros(len(y)), np.zeros(len(y), np.int64)
+        for k, i in enumerate(x):
+            # sums of eight bytes at a time, at most 16 in each
+            same = (((own == tok[i]).view(np.uint64).sum(1) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(float)
+            s = (same / WIDTH - 1 / 256) * (256 / 255)
+            s[(s < least) | (labels == label[i])] = 0
+            if every:
+                j = np.flatnonzero(s[k + 1 :]) + k + 1 if alone else np.flatnonzero(s)
+                out.append((np.full(len(j), cls[i]), cls[y[j]], s[j]))
+                continue
+            if s.any():
+                j = s.argmax()
+                out.append((cls[i : i + 1], cls[y[j : j + 1]], s[j : j + 1]))
+            if not alone:
+                more = s > best
+                best[more], at[more] = s[more], i
+        if not every and not alone:
+            j = np.flatnonzero(best)
+            out.append((cls[y[j]], cls[at[j]], best[j]))
+        a, b, s = (np.concatenate([o[k] for o in out]) if out else np.empty(0) for k in range(3))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
+
+    return run
+
+
+def crowds(large: DataFrame) -> DataFrame:
+    """(node, cls): large nodes (node, cls) that overlap, directly or over others, as one."""
+    first = cut(large.groupBy("node").agg(F.min("cls").alias("a")))
+    links = cut(large.join(first, "node").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    return components(links).select(F.col("label").alias("node"), "cls")
+
+
+def _blocks(crowd: DataFrame, known: DataFrame, block: int) -> DataFrame | None:
+    """Tasks (task, cls, label, bytes, side) that bring together all classes of a crowd with different labels, or None if there are none.
+
+    The classes of the crowd's most frequent label meet all others, but not each other.
+    """
+    of = crowd.join(known, "cls")
+    sizes = cut(of.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")))
+    main = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("total")).where("n < total")
+    main = cut(main.select("node", "main", F.ceil((F.col("total") - F.col("n")) / block).alias("others"), F.ceil(F.col("n") / block).alias("mains")))
+    if not main.limit(1).count():
+        return None
+    most, salt = F.col("label") == F.col("main"), F.xxhash64("cls", F.lit(9))
+    rows = of.join(main, "node").withColumn("own", F.when(most, F.col("others") + F.pmod(salt, "mains")).otherwise(F.pmod(salt, "others")))
+    rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.when(most, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
+    return rows.select(F.xxhash64("node", F.least("own", "met"), F.greatest("own", "met")).alias("task"), "cls", "label", "bytes", (F.col("own") > F.col("met")).cast("int").alias("side"))
+
+
+def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float, leaders: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
+    """Small nodes (node, cls), and of those that stayed large, if any: what they are dealt into (node, cls), (cls, leader), and their crowds (node, cls).
+
+    ``classes``: (cls, tokens).
+    """
     nodes = classes.mapInArrow(_roots(trees), "node long, cls long")
     done = None
     for level in range(levels):
@@ -165,17 +233,19 @@ def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float,
         small = nodes.where(F.col("size") <= leaf).select("node", "cls")
         done = small if done is None else done.unionByName(small)
         large = nodes.where(F.col("size") > leaf).select("node", "cls")
-        if level == levels - 1 or not large.limit(1).count():
+        if not large.limit(1).count():
+            return done, None, None, None
+        if level == levels - 1:
             break
         nodes = large.join(classes, "cls").select("node", "cls", "tokens").mapInArrow(_branch(picks), "node long, cls long")
     salt = lambda k: F.xxhash64("node", "cls", F.lit(k))
     large = nodes.where(F.col("size") > leaf)
     parts = F.ceil(F.col("size") / (leaf // 2))
-    for k in range(2):
-        done = done.unionByName(large.select(F.xxhash64("node", F.lit(k), F.pmod(salt(k), parts)).alias("node"), "cls"))
+    dealt = [large.select(F.xxhash64("node", F.lit(k), F.pmod(salt(k), parts)).alias("node"), "cls") for k in range(2)]
     lead = large.groupBy("node").agg(*[F.min_by("cls", salt(2 + k)).alias(f"l{k}") for k in range(leaders)])
     lead = cut(lead.select("node", F.explode(F.array(*[f"l{k}" for k in range(leaders)])).alias("leader")).distinct())
-    return done, cut(large.join(lead, "node").where("cls <> leader").select("cls", "leader").distinct())
+    led = cut(large.join(lead, "node").where("cls <> leader").select("cls", "leader").distinct())
+    return done, dealt[0].unionByName(dealt[1]), led, cut(crowds(large.select("node", "cls")))
 
 
 def _close(least: float):
@@ -189,23 +259,30 @@ def _close(least: float):
     return run
 
 
-def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf: int, levels: int, picks: float, leaders: int, rounds: int = 1) -> DataFrame:
+def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf: int, levels: int, picks: float, leaders: int, rounds: int = 1, block: int = 2048) -> DataFrame:
     """(cls, label): components of the confirmed links, for classes that have any. texts: from (cls) to (cls, text)."""
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / WIDTH)
-    nodes, led = groups(classes, trees, leaf, levels, picks, leaders)
+    small, dealt, led, crowd = groups(classes, trees, leaf, levels, picks, leaders)
     short = cut(classes.select("cls", _low_bytes(F.col("tokens")).alias("bytes")))
-    led = cut(led.join(short, "cls").join(short.select(F.col("cls").alias("leader"), F.col("bytes").alias("other")), "leader").mapInArrow(_close(least), "a long, b long, s double"))
+    if crowd is not None:
+        led = cut(led.join(short, "cls").join(short.select(F.col("cls").alias("leader"), F.col("bytes").alias("other")), "leader").mapInArrow(_close(least), "a long, b long, s double"))
+    pair = "a long, b long, s double"
     decided = label = text = None
-    for every in [*[False] * rounds, True]:
-        if label is None:
-            known, far = short.withColumn("label", F.col("cls")), led
-        else:
-            known = cut(short.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-            of = lambda c: known.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}"))
-            far = led.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select("a", "b", "s")
-        found = nodes.join(known, "cls").groupBy("node").applyInArrow(_compare(least, every), "a long, b long, s double").unionByName(far)
+    # first within nodes and what large ones are dealt into, then within crowds, then all that is left
+    for whole, every in [*[(False, False)] * rounds, *[(True, False)] * (crowd is not None), (True, True)]:
+        known = short.withColumn("label", F.col("cls")) if label is None else cut(short.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+        parts = []
+        if every or not whole:
+            nodes = small if whole or dealt is None else small.unionByName(dealt)
+            parts.append(nodes.join(known, "cls").groupBy("node").applyInArrow(_compare(least, every), pair))
+        if not whole and led is not None:
+            parts += [led, led.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")]
+        if whole and crowd is not None and (tasks := _blocks(crowd, known, block)) is not None:
+            parts.append(tasks.groupBy("task").applyInArrow(_cross(least, every), pair))
+        if not parts:
+            continue
+        found = reduce(DataFrame.unionByName, parts)
         if not every:
-            found = found.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
             found = found.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b"))
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if decided is not None:
@@ -215,8 +292,9 @@ def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf
             if every:
                 break
             continue
-        if text is None:  # the first round names every class that has any candidate
-            text = cut(texts(cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls"))))
+        if text is None:  # the first round names every class that has any candidate outside of crowds
+            wanted = pairs.select("a").union(pairs.select("b"))
+            text = cut(texts(cut((wanted if crowd is None else wanted.union(crowd.select("cls"))).distinct().withColumnRenamed("a", "cls"))))
         full = pairs.join(text.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
         new = cut(full.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(n, threshold), "a long, b long, linked boolean"))
         decided = new if decided is None else decided.unionByName(new)

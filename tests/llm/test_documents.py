@@ -221,3 +221,20 @@ def test_empty_tables(spark, empty):
 def test_shingle_hashes_follow_words():
     a, b = words_of("A b c d e f g"), words_of("x a b c d e f g")
     assert len(shingle_hashes(a)) == 3 and set(shingle_hashes(a)) < set(shingle_hashes(b)) and len(shingle_hashes([])) == 0 and len(shingle_hashes([b"a"])) == 1
+
+
+def test_near_dedup_hub(spark):
+    """One base and copies that link to it alone: each copy was edited on its own."""
+    rng = np.random.default_rng(3)
+    base = [f"base{k}" for k in range(800)]
+    texts = [base]
+    for k in range(1500):
+        words = list(base)
+        for j in rng.choice(np.arange(5, 795, 10), 18, replace=False):
+            words[j] = f"own{k}x{j}"
+        texts.append(words)
+    sets = [shingles([w.encode() for w in t], 5) for t in texts]
+    assert all(len(sets[0] & x) >= 0.75 * len(sets[0] | x) for x in sets[1:])
+    assert sum(len(a & b) >= 0.75 * len(a | b) for a, b in zip(sets[1:], sets[2:])) == 0
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert Counter(r["component_id"] for r in rows(near_dedup.near_dedup(d))) == {0: len(texts)}
