@@ -34,6 +34,8 @@ from .common import cut, shingle_hashes, small_side, with_row, words_of
 from .decontam import shingles
 
 WIDTH = 128
+#: Standard deviations of the estimate below the threshold from which a pair isn't a candidate: 7.5e-5 of pairs at 0.75.
+MARGIN = 4
 SEED = 77_003
 
 
@@ -128,6 +130,38 @@ def _roots(trees: int):
     return run
 
 
+def _least(threshold: float) -> float:
+    return threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / WIDTH)
+
+
+def _apart(s: float, levels: int, picks: float) -> float:
+    """Probability that two classes that agree in a share ``s`` of the places share no node of a tree's last level."""
+    below = 0.0
+    for k in range(levels):
+        lost = 1 - s * (1 - below)
+        below = lost**2 if k == levels - 1 else (2 - picks) * lost + (picks - 1) * lost**2
+    return below
+
+
+def missed(trees: int, threshold: float, levels: int, picks: float) -> float:
+    """Share of the pairs at the threshold that ``trees`` trees never bring together, of those that the margin lets pass.
+
+    Nodes that stop earlier only add pairs, and all nodes are compared whole.
+    """
+    ks = [k for k in range(WIDTH + 1) if k / WIDTH >= _least(threshold)]
+    return sum(math.comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) * _apart(k / WIDTH, levels, picks) ** trees for k in ks)
+
+
+def trees_for(recall: float, threshold: float, levels: int, picks: float) -> int:
+    """The least number of trees that miss at most ``1 - recall`` of the pairs at the threshold."""
+    if recall >= 1:
+        raise ValueError("recall must be below 1")
+    trees = 1
+    while missed(trees, threshold, levels, picks) > 1 - recall:
+        trees += 1
+    return trees
+
+
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of rows of one-byte tokens, corrected for bytes that agree by chance."""
     return ((a == b).mean(-1) - 1 / 256) * (256 / 255)
@@ -261,7 +295,7 @@ def _close(least: float):
 
 def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf: int, levels: int, picks: float, leaders: int, rounds: int = 1, block: int = 2048) -> DataFrame:
     """(cls, label): components of the confirmed links, for classes that have any. texts: from (cls) to (cls, text)."""
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / WIDTH)
+    least = _least(threshold)
     small, dealt, led, crowd = groups(classes, trees, leaf, levels, picks, leaders)
     short = cut(classes.select("cls", _low_bytes(F.col("tokens")).alias("bytes")))
     if crowd is not None:
@@ -345,9 +379,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.75,
-               trees: int = 10, leaf: int = 64, levels: int = 4, picks: float = 1.5, leaders: int = 2) -> DataFrame:
+               recall: float = 0.999998, leaf: int = 64, levels: int = 5, picks: float = 1.5, leaders: int = 2) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links), kept.
 
+    ``recall`` is that of the trees for a pair at the threshold, and sets their number; the margin of the estimate loses
+    7.5e-5 of such pairs besides. More similar pairs are missed less often.
+
     Null and empty texts have no shingles, are linked with nothing and are kept. Of rows with the same
     smallest id one stays; a null id counts as the largest. An empty table gives no rows.
     """
@@ -358,7 +395,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a class is a distinct set; its first row stands for it
     reps = cut(some.groupBy("set_key").agg(F.min("row").alias("cls"), F.min_by("tokens", "row").alias("tokens")))
     texts = lambda wanted: rows.join(small_side(wanted.withColumnRenamed("cls", "row")), "row", "left_semi").select(F.col("row").alias("cls"), "text")
-    label = linked(reps.select("cls", "tokens"), texts, n, threshold, trees, leaf, levels, picks, leaders)
+    label = linked(reps.select("cls", "tokens"), texts, n, threshold, trees_for(recall, threshold, levels, picks), leaf, levels, picks, leaders)
     named = cut(reps.select("set_key", "cls").join(label, "cls", "left").select("set_key", F.coalesce("label", "cls").alias("label")))
     known = cut(sets.drop("tokens").join(named, "set_key", "left").withColumn("label", F.coalesce(F.col("label"), -1 - F.col("row"))))
     first = cut(known.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")))
