@@ -23,29 +23,49 @@ TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Se
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
 _ANY_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t: (-len(t), t)))
 #: Patterns by type; the first type that matches a mention whole gives its type.
-_SECRET_LEAD = r"(?<=(?i:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)"
+#: A secret's mention begins with its key word; ``_body`` takes that off again.
+_SECRET_KEY = r"(?i:password|passwd|token|secret|api_key|apikey)"
+_SECRET_LEAD = _SECRET_KEY + r"(?:\\?[\"'])?\s*+[=:]\s*+"
+#: To the closing quote; else a bare JSON value; else to white space, without the punctuation of a sentence or bracket.
+_SECRET_BODY = (
+    r"(?:\\\"[^\"\r\n]{8,}?(?=\\\")|\"(?=(?:[^\"\r\n]|(?<=\\)\"){8})[^\"\r\n]*+(?:(?<=\\)\"[^\"\r\n]*+)*+(?=\")"
+    r"|'(?=(?:[^'\r\n]|(?<=\\)'){8})[^'\r\n]*+(?:(?<=\\)'[^'\r\n]*+)*+(?=')"
+    r"|(?<=[\"']\s{0,9}[=:]\s{0,9})(?![\"'\\])[^\s,}\]\"']{8,}(?=\s*[,}\]])"
+    r"|(?!\\?\"[^\"\r\n]*\"|\\?'[^'\r\n]*')(?:\\?[\"'])?\S{7,}[^\s.,;:)\]}>\"'])"
+)
 TYPES = {
     "email": r"(?<![\p{L}\d._%+-])[\p{L}\d_%+-](?:[\p{L}\d._%+-]{0,62}[\p{L}\d_%+-])?@(?:[\p{L}\d](?:[\p{L}\d-]{0,61}[\p{L}\d])?\.)+\p{L}{2,24}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": _SECRET_LEAD + r"[A-Za-z0-9_+/-]{8,128}",
+    "secret": _SECRET_LEAD + _SECRET_BODY,
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\p{L}\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?![\p{L}\d])|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\d])",
-    "name": rf"(?<![\p{{L}}])(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}])(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME})*+",
 }
+#: A key word before an entity of another type that ends where the value ends leaves it to that type.
+TYPES["secret"] = _SECRET_LEAD + r"(?!(?:\\?[\"'])?(?:" + "|".join(f"(?:{TYPES[k]})" for k in ("email", "access_key", "ssn", "card", "ip", "phone", "iban")) + r")(?:[\s\"'.,;:)\]}>\\]|$))" + _SECRET_BODY
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A cheap test that every match passes.
 HINT = rf"[@\d]|\b(?:{_ANY_TITLE})\b|(?i:password|passwd|token|secret|api_?key)"
 
 
 def _kind(mention: Column) -> Column:
-    shapes = {k: f"^(?:{p.removeprefix(_SECRET_LEAD)})$" for k, p in TYPES.items()}
-    order = ("email", "access_key", "ssn", "card", "ip", "phone", "name", "iban", "secret")
+    shapes = {k: f"^(?:{p})$" for k, p in TYPES.items() if k != "secret"}
+    order = ("email", "access_key", "ssn", "card", "ip", "phone", "name", "iban")
     return reduce(lambda acc, k: acc.when(mention.rlike(shapes[k]), F.lit(k)), order[1:], F.when(mention.rlike(shapes[order[0]]), F.lit(order[0]))).otherwise("secret")
 
 
+def _lead(kind: Column, mention: Column) -> Column:
+    """What of a mention stays as it is: a secret's key word, sign and opening quote."""
+    return F.when(kind == "secret", F.regexp_extract(mention, rf"^{_SECRET_LEAD}(?:\\?[\"'])?", 0)).otherwise("")
+
+
+def _body(kind: Column, mention: Column) -> Column:
+    return mention.substr(F.length(_lead(kind, mention)) + 1, F.length(mention))
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
@@ -102,15 +122,15 @@ _ENDINGS = {"f": ("la", "na", "ra", "sia", "lia", "tia", "via", "da"), "m": ("ro
 def _name(value: Column, noise: Column) -> Column:
     """Title, then invented names of as many words: gender by the title, script by the letters."""
     title = F.regexp_extract(value, rf"^(?:{_ANY_TITLE})", 0)
-    words = F.slice(F.split(value, " "), 2, 9)
+    words = F.slice(F.split(value, " "), F.lit(2), F.size(F.split(value, " ")))
     gender = reduce(lambda acc, g: acc.when(title.isin(*TITLES[g]), F.lit(g)), ("m",), F.when(title.isin(*TITLES["f"]), F.lit("f"))).otherwise("n")
     syllables = F.array(*[F.lit(s) for s in _SYLLABLES])
     ends = reduce(lambda acc, g: acc.when(gender == g, F.array(*[F.lit(e) for e in _ENDINGS[g]])), ("m",), F.when(gender == "f", F.array(*[F.lit(e) for e in _ENDINGS["f"]]))).otherwise(F.array(*[F.lit(e) for e in _ENDINGS["n"]]))
 
     def made(word: Column, i: Column) -> Column:
-        at = lambda k: F.element_at(noise, (i * 8 + k).cast("int"))
+        at = lambda k: F.element_at(noise, ((i * 8 + k - 1) % 128 + 1).cast("int"))
         latin = F.initcap(F.concat(F.element_at(syllables, at(1) % 60 + 1), F.element_at(syllables, at(2) % 60 + 1), F.element_at(ends, at(3) % 8 + 1)))
-        return F.when(word.rlike(r"^[\p{IsLatin}\p{M}'’-]+$"), latin).otherwise(_like(word, F.slice(noise, (i * 8 + 4).cast("int"), F.lit(64))))
+        return F.when(word.rlike(r"^[\p{IsLatin}\p{M}'’-]+$"), latin).otherwise(_like(word, F.slice(F.concat(noise, noise), (i * 8 % 128 + 4).cast("int"), F.lit(128))))
 
     return F.concat(title, F.lit(" "), F.array_join(F.transform(words, made), " "))
 
@@ -184,9 +204,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     text = F.col("text")
     hit = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
     found = cut(rows.where(hit).withColumn("mentions", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).withColumn("gaps", F.split(text, PATTERN, -1)).drop("text"))
-    mentions = found.select("row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", _kind(F.col("mention"))).withColumn("value", canonical(F.col("kind"), F.col("mention")))
+    mentions = found.select("row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", _kind(F.col("mention"))).withColumn("lead", _lead(F.col("kind"), F.col("mention"))).withColumn("mention", _body(F.col("kind"), F.col("mention"))).withColumn("value", canonical(F.col("kind"), F.col("mention")))
     known = cut(entities(mentions, key))
-    placed = mentions.join(known, ["kind", "value"]).select("row", "at", "kind", rendered(F.col("kind"), F.col("mention"), F.col("form")).alias("new"))
+    placed = mentions.join(known, ["kind", "value"]).select("row", "at", "kind", F.concat("lead", rendered(F.col("kind"), F.col("mention"), F.col("form"))).alias("new"))
     listed = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "new", "kind"))).alias("news"))
     gaps, news = F.col("gaps"), F.col("news")
     joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(news)), news, lambda g, n: F.concat(g, n["new"])), ""), F.element_at(gaps, -1))

@@ -198,3 +198,25 @@ def test_pipeline(spark, tmp_path):
     assert left[3] == (want := sorted(x for x in want if x != "23"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in got if r.piece == 0) == want
+
+
+def test_secrets_and_names_are_replaced_whole(spark):
+    long, jwt = "sk-proj-" + "aB3_xY9-" * 19 + "Zq7w", "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM=="
+    cases = [
+        (f"token={long} end", [long[:60], long[128:]], "token=", " end"),
+        (f"token: {jwt}", ["eyJzdWIi", "SflKxw"], "token: ", ""),
+        ("password = ab!cdefgh?ij9 end", ["ab!", "cdefgh"], "password = ", " end"),
+        ('{"password": "hunter2.secret=word", "n": 1}', ["hunter2", "secret="], '{"password": "', '", "n": 1}'),
+        (r'{"password": "ab\"cdefghij", "n": 1}', ["cdefg"], '{"password": "', '", "n": 1}'),
+        ("Dr" + " Abcdefgh" * 9000 + " end", ["Abcdefgh"], "Dr ", " end"),
+        ('token="' + "x y" * 9000 + '" end', ["x yx y"], 'token="', '" end'),
+        ('{"token":12345678,"n":"x"}', ["12345678"], '{"token":', ',"n":"x"}'),
+        ("token            =     abcdefgh1234 end", ["abcdefgh"], "token            =     ", " end"),
+        ("secret='with some blanks' end", ["some", "blanks"], "secret='", "' end"),
+        ("See Frau Anna Maria Schmidt today", ["Anna", "Maria", "Schmidt"], "See Frau ", " today"),
+        ("token: 0123456789abcdef0123456789abcdef01234567. Then", ["0123456789abcdef"], "token: ", ". Then"),
+    ]
+    d = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(d, "k").collect()}
+    for k, (text, gone, start, end) in enumerate(cases):
+        assert got[k].startswith(start) and got[k].endswith(end) and not any(g in got[k] for g in gone), (text, got[k])
