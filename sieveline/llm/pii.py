@@ -48,7 +48,7 @@ TYPES = {
 TYPES["secret"] = _SECRET_LEAD + r"(?!(?:\\?[\"'])?(?:" + "|".join(f"(?:{TYPES[k]})" for k in ("email", "access_key", "ssn", "card", "ip", "phone", "iban")) + r")(?:[\s\"'.,;:)\]}>\\]|$))" + _SECRET_BODY
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A cheap test that every match passes.
-HINT = rf"[@\d]|\b(?:{_ANY_TITLE})\b|(?i:password|passwd|token|secret|api_?key)"
+HINT = rf"[@\d]|AKIA|ASIA|(?<![\p{{L}}])(?:{_ANY_TITLE})\b|(?i:password|passwd|token|secret|api_?key)"
 
 
 def _kind(mention: Column) -> Column:
