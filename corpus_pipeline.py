@@ -22,9 +22,14 @@ def _join(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return _keyed(docs).withColumn("_row", F.col("_key.row")).join(keys.select(F.col("_key.row").alias("_row")).distinct(), "_row", how).select(*docs.columns)
 
 
+#: Mail addresses and runs of letters that touch digits (tokens, keys): no words of any language, so they don't count as noise.
+MACHINE = r"[^\s@]++@[^\s@]++|[\p{L}_]*+\d[\p{L}\d_]*+"
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no letters or is mostly noise rather than any learned language."""
-    found = lang_id.identify(_keyed(docs), F.lit(False), id_col="_key")
+    words = F.regexp_replace("text", MACHINE, " ")
+    found = lang_id.identify(_keyed(docs.withColumn("text", F.when(words.rlike(r"\p{L}"), words).otherwise(F.col("text")))), F.lit(False), id_col="_key")
     return _join(docs, found.where("lang_pred <> 'und' AND noise_share <= 0.5"), "left_semi")
 
 
