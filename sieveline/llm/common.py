@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,20 +21,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session on one machine gets a folder of its own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of the tables that the open ``scratch`` blocks have written, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that any executor can read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut`` that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        if (path := getattr(t, "_written", None)) and any(path in o for o in _OPEN):
+            _delete(t.sparkSession, path)
+            for o in _OPEN:
+                if path in o:
+                    o.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what ``cut`` wrote inside, but for tables handed to the function that it yields: a result is read from those."""
+    _OPEN.append([])
+    kept: set[str] = set()
+
+    def keep(t: DataFrame) -> DataFrame:
+        if path := getattr(t, "_written", None):
+            kept.add(path)
+        return t
+
+    try:
+        yield keep
+    finally:
+        own = _OPEN.pop()
+        for path in own:
+            if path not in kept:
+                _delete(spark, path)
+        if _OPEN:
+            _OPEN[-1].extend(p for p in own if p in kept)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -92,3 +141,29 @@ def shingle_hashes(words: list[bytes], n: int = 5) -> np.ndarray:
         out += (h[k : k + m] ^ (h[k : k + m] >> np.uint64(31))) * _MUL[k % 5] + np.uint64(k // 5)
         out = (out << np.uint64(7)) | (out >> np.uint64(57))
     return mix(out)
+
+
+def exact_shingles(texts: list[list[bytes]], n: int = 5) -> list[np.ndarray]:
+    """For word lists: the sorted distinct numbers of their n-word shingles. Within one call equal shingles, and only those, have equal numbers.
+
+    Words are numbered, then neighbouring runs are numbered pair by pair, so no hash decides. Fewer words than n make
+    one shingle of their own length, no word none.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    seen: dict[bytes, int] = {}
+    word = np.fromiter((seen.setdefault(w, len(seen)) for t in texts for w in t), np.int64, int(size.sum()))
+    starts = np.cumsum(size) - size
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
+    run, have = word, 1
+    while have < n and len(run):
+        step = min(have, n - have)
+        # the run of ``have`` words from each place, with the run that ends ``step`` words later; runs over the end of a text aren't used
+        _, run = np.unique(run[:-step] * np.int64(len(word) + 1) + run[step:], return_inverse=True)
+        have += step
+    short: dict[tuple, int] = {}
+    for k, (a, m) in enumerate(zip(starts.tolist(), size.tolist(), strict=True)):
+        if m >= n:
+            out[k] = np.unique(run[a : a + m - n + 1])
+        elif m:
+            out[k] = np.array([-1 - short.setdefault(tuple(texts[k]), len(short))], np.int64)
+    return out

@@ -1,22 +1,23 @@
 """Near duplicates by a chosen-path set similarity join.
 
 Each document is the set of its word shingles; documents with the same set are one class with one
-representative. A class gets ``WIDTH`` minwise tokens (the shingle of smallest hash under each of that many
+representative, once the full sets are seen to be equal. A class gets ``WIDTH`` minwise tokens (the shingle of smallest hash under each of that many
 hash functions), so similar sets agree in most places. In each of several independent trees every node
 picks a few of the places, by a hash of the node, and sends each of its classes to one child for each picked place,
 named by the class's token there: a path that similar sets choose together. Nodes of at most
 ``leaf`` classes stop and are compared exhaustively; larger ones go on branching until the last level.
-Nodes of many very similar classes never get small: at the last level they are dealt into
-sub-nodes of at most ``leaf`` in two orders, and all are compared to a few leaders of the whole node besides, which
-connects most of them. Then large nodes that overlap are joined to a crowd, and a crowd is compared whole, in tasks of
-two blocks of about ``block`` classes each; only classes that are connected already aren't compared.
-
-Comparison is by one byte of each token; what is above a margin below the threshold is a candidate, and candidates
-are decided on the full shingle sets of the two texts. So that a group of thousands of near copies isn't
-paired out, candidates are decided in rounds: in the first ones each class names only its most similar partner
-that it isn't connected to yet, and in the last one all remaining candidates between different components are decided.
+Nodes of many very similar classes never get small: large nodes that overlap are joined to a crowd, and a crowd is
+compared whole, in tasks of two blocks of about ``block`` classes each.
+
+Comparison is by four bits of each token; what is above a margin below the threshold is a candidate, and candidates
+are decided on the full shingle sets. No list of pairs grows with the square of a group:
+
+1. each class names its most similar partner in small nodes and, in a crowd, among a few leaders and sub-nodes the crowd is dealt into;
+2. each class names its most similar partner of another component, now in whole crowds too (classes of one component aren't compared);
+3. classes that still have candidates in another component are sent, with their texts, to the tasks in which they
+   meet, where every candidate is decided; a task gives back at most one link less than it has classes.
+
 A pair is passed over only if its two ends are connected already, which its link wouldn't change.
-Components of the confirmed links are found by label propagation over tables.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shingle_hashes, small_side, with_row, words_of
-from .decontam import shingles
+from .common import cut, exact_shingles, scratch, shingle_hashes, small_side, with_row, words_of
 
 WIDTH = 128
 #: Standard deviations of the estimate below the threshold from which a pair isn't a candidate: 7.5e-5 of pairs at 0.75.
@@ -59,11 +59,17 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(tokens: np.ndarray) -> np.ndarray:
+    """The low four bits of each token (rows x WIDTH), two to a byte."""
+    low = (tokens & np.uint32(15)).astype(np.uint8)
+    return low[:, 0::2] | low[:, 1::2] << np.uint8(4)
+
+
 def _sketch(n: int):
     def run(batches):
         for b in batches:
             texts = b.column(2).to_pylist()
-            sizes, keys, tokens = [], [], []
+            sizes, keys, tokens, low = [], [], [], []
             at = 0
             while at < len(texts):
                 sets, slots, held = [], [], 0
@@ -73,15 +79,17 @@ def _sketch(n: int):
                     sizes.append(len(h))
                     keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                     tokens.append(None)
+                    low.append(None)
                     if len(h):
                         slots.append(at)
                         sets.append(h)
                     held += len(h)
                     at += 1
                 if sets:
-                    for slot, m in zip(slots, minima(sets), strict=True):
-                        tokens[slot] = m.tobytes()
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["row", "id", "n_shingles", "set_key", "tokens"])
+                    found = minima(sets)
+                    for slot, m, x in zip(slots, found, packed(found), strict=True):
+                        tokens[slot], low[slot] = m.tobytes(), x.tobytes()
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(low, pa.binary())], ["row", "id", "n_shingles", "set_key", "tokens", "low"])
 
     return run
 
@@ -131,7 +139,9 @@ def _roots(trees: int):
 
 
 def _least(threshold: float) -> float:
-    return threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / WIDTH)
+    """Estimates below this aren't candidates. Four bits agree by chance in one of sixteen places, which widens the estimate a little."""
+    p = threshold + (1 - threshold) / 16
+    return threshold - MARGIN * math.sqrt(p * (1 - p) / WIDTH) * 16 / 15
 
 
 def _apart(s: float, levels: int, picks: float) -> float:
@@ -162,241 +172,441 @@ def trees_for(recall: float, threshold: float, levels: int, picks: float) -> int
     return trees
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of rows of one-byte tokens, corrected for bytes that agree by chance."""
-    return ((a == b).mean(-1) - 1 / 256) * (256 / 255)
+_NIBBLES = np.uint64(0x1111111111111111)
 
 
-def _compare(least: float, every: bool):
-    """Candidate pairs (a, b, s) of one node between different labels: all, or for each class its best."""
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of rows of packed tokens (as 64-bit numbers), corrected for those that agree by chance."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    same = WIDTH - np.bitwise_count(x & _NIBBLES).sum(-1, dtype=np.int64)
+    return (same / WIDTH - 1 / 16) * (16 / 15)
+
+
+def _low(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDTH // 16)
+
+
+class Members:
+    """Classes of some tasks: (cls, label, low, no1, no2). A class's ``no`` are partners that were found not to link with it."""
+
+    def __init__(self, part: pa.Table):
+        self.cls, self.label = (part.column(c).to_numpy() for c in ("cls", "label"))
+        self.no = [part.column(c).fill_null(-1).to_numpy() for c in ("no1", "no2")]
+        self.low = _low(part.column("low"))
+
+    def similar(self, i, j, least: float) -> np.ndarray:
+        """Estimates for pairs of indices; 0 where they are below ``least``, of one label or decided."""
+        s = _agree(self.low[i], self.low[j])
+        out = (s < least) | (self.label[i] == self.label[j])
+        for no in self.no:
+            out |= (no[i] == self.cls[j]) | (no[j] == self.cls[i])
+        s[out] = 0
+        return s
+
+
+def _best(cls: np.ndarray, other: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """(a, b, s): the most similar of the partners of each class, the smallest of equals."""
+    order = np.lexsort((other, -s, cls))
+    cls, other, s = cls[order], other[order], s[order]
+    first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else np.empty(0, np.int64)
+    return pa.record_batch([pa.array(cls[first], pa.int64()), pa.array(other[first], pa.int64()), pa.array(s[first], pa.float64())], ["a", "b", "s"])
+
+
+def _open(task: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    """(task, cls) of classes that still have candidates in a task."""
+    pair = np.unique(np.stack([task, cls]), axis=1) if len(cls) else np.empty((2, 0), np.int64)
+    return pa.record_batch([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], ["task", "cls"])
+
+
+def _in_nodes(least: float, name: bool):
+    """Over rows sorted by node, all nodes of at most ``leaf`` classes: the best partner of each class, or the classes that have any."""
+
+    def pairs(part: pa.Table):
+        node, of = part.column("node").to_numpy(), Members(part)
+        out: list[list] = [[], [], [], []]
+        i, d = np.arange(len(node)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(node)]
+            i = i[node[i] == node[i + d]]
+            for at in range(0, len(i), 200_000):
+                x = i[at : at + 200_000]
+                s = of.similar(x, x + d, least)
+                hit = np.flatnonzero(s)
+                for c, v in zip(out, (node[x[hit]], of.cls[x[hit]], of.cls[x[hit] + d], s[hit]), strict=True):
+                    c.append(v)
+        node, a, b, s = (np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
+        if name:
+            return _best(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s]))
+        return _open(np.concatenate([node, node]), np.concatenate([a, b]))
 
-    def run(part: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
-        label = part.column("label").to_numpy()
-        if (label == label[0]).all():
-            return empty
-        cls, at = np.unique(part.column("cls").to_numpy(), return_index=True)
-        tok = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH)[at]
-        label = label[at]
-        s = np.empty((len(cls), len(cls)))
-        for i in range(len(cls)):
-            s[i] = _agree(tok, tok[i])
-        s[(s < least) | (label[:, None] == label)] = 0
-        if every:
-            i, k = np.nonzero(np.triu(s))
-        else:
-            i = np.flatnonzero(s.max(1) > 0)
-            k = s[i].argmax(1)
-        return pa.table({"a": pa.array(cls[i], pa.int64()), "b": pa.array(cls[k], pa.int64()), "s": pa.array(s[i, k], pa.float64())}) if len(i) else empty
+    def run(batches):
+        rest = None
+        for b in batches:
+            part = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            node = part.column("node").to_numpy()
+            # the last node may go on in the next batch
+            cut_at = int(np.searchsorted(node, node[-1], "left")) if len(node) else 0
+            rest = part.slice(cut_at)
+            if cut_at:
+                yield pairs(part.slice(0, cut_at))
+        if rest is not None and rest.num_rows:
+            yield pairs(rest)
 
     return run
 
 
-def _cross(least: float, every: bool):
-    """Candidate pairs (a, b, s) of different labels between the two sides of a task, or within its only side: all, or for each class its best."""
+def _in_blocks(least: float, name: bool):
+    """The same over a task of two blocks of a crowd: pairs between its sides, or within its only side."""
 
     def run(part: pa.Table) -> pa.Table:
-        cls, label, side = (part.column(c).to_numpy() for c in ("cls", "label", "side"))
-        tok = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH)
-        x = np.flatnonzero(side == 0)
-        y = np.flatnonzero(side == 1)
+        of, side, task = Members(part), part.column("side").to_numpy(), part.column("task").to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = not len(x) or not len(y)
         if alone:
-            x = y = np.arange(len(cls))
-        own, labels = tok[y], label[y]
-        out = []
-        best, at = np.zeros(len(y)), np.zeros(len(y), np.int64)
+            x = y = np.arange(len(side))
+        out: list[list] = [[], [], []]
         for k, i in enumerate(x):
-            # sums of eight bytes at a time, at most 16 in each
-            same = (((own == tok[i]).view(np.uint64).sum(1) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(float)
-            s = (same / WIDTH - 1 / 256) * (256 / 255)
-            s[(s < least) | (labels == label[i])] = 0
-            if every:
-                j = np.flatnonzero(s[k + 1 :]) + k + 1 if alone else np.flatnonzero(s)
-                out.append((np.full(len(j), cls[i]), cls[y[j]], s[j]))
-                continue
-            if s.any():
-                j = s.argmax()
-                out.append((cls[i : i + 1], cls[y[j : j + 1]], s[j : j + 1]))
-            if not alone:
-                more = s > best
-                best[more], at[more] = s[more], i
-        if not every and not alone:
-            j = np.flatnonzero(best)
-            out.append((cls[y[j]], cls[at[j]], best[j]))
-        a, b, s = (np.concatenate([o[k] for o in out]) if out else np.empty(0) for k in range(3))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
+            own = y[k + 1 :] if alone else y
+            s = of.similar(i, own, least)
+            hit = np.flatnonzero(s)
+            if name and len(hit):  # the best of i, and each other's own
+                for c, v in zip(out, (np.full(len(hit), i), own[hit], s[hit]), strict=True):
+                    c.append(v)
+                if sum(map(len, out[0])) > 1_000_000:
+                    a, b, s = (np.concatenate(c) for c in out)
+                    out = _reduced(of.cls, a, b, s)
+            elif len(hit):
+                out[0].append(np.append(own[hit], i))
+        if name:
+            a, b, s = (np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
+            found = _best(of.cls[np.concatenate([a, b])], of.cls[np.concatenate([b, a])], np.concatenate([s, s]))
+        else:
+            some = np.unique(np.concatenate(out[0])) if out[0] else np.empty(0, np.int64)
+            found = _open(task[some], of.cls[some])
+        return pa.Table.from_batches([found])
 
     return run
 
 
+def _reduced(cls: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> list[list]:
+    """Of pairs of indices those that are the best of either end."""
+    keep = np.zeros(len(a), bool)
+    for x, y in ((a, b), (b, a)):
+        order = np.lexsort((cls[y], -s, x))
+        keep[order[np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))]] = True
+    return [[a[keep]], [b[keep]], [s[keep]]]
+
+
 def crowds(large: DataFrame) -> DataFrame:
-    """(node, cls): large nodes (node, cls) that overlap, directly or over others, as one."""
+    """(crowd, cls): large nodes (node, cls) that overlap, directly or over others, as one."""
     first = cut(large.groupBy("node").agg(F.min("cls").alias("a")))
     links = cut(large.join(first, "node").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
-    return components(links).select(F.col("label").alias("node"), "cls")
+    return components(links).select(F.col("label").alias("crowd"), "cls")
 
 
 def _blocks(crowd: DataFrame, known: DataFrame, block: int) -> DataFrame | None:
-    """Tasks (task, cls, label, bytes, side) that bring together all classes of a crowd with different labels, or None if there are none.
+    """Tasks (task, side, and the columns of ``known``) that bring together all classes of a crowd with different labels, or None if there are none.
 
     The classes of the crowd's most frequent label meet all others, but not each other.
     """
     of = crowd.join(known, "cls")
-    sizes = cut(of.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")))
-    main = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("total")).where("n < total")
-    main = cut(main.select("node", "main", F.ceil((F.col("total") - F.col("n")) / block).alias("others"), F.ceil(F.col("n") / block).alias("mains")))
+    sizes = cut(of.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n")))
+    main = sizes.groupBy("crowd").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("total")).where("n < total")
+    main = cut(main.select("crowd", "main", F.ceil((F.col("total") - F.col("n")) / block).alias("others"), F.ceil(F.col("n") / block).alias("mains")))
     if not main.limit(1).count():
         return None
     most, salt = F.col("label") == F.col("main"), F.xxhash64("cls", F.lit(9))
-    rows = of.join(main, "node").withColumn("own", F.when(most, F.col("others") + F.pmod(salt, "mains")).otherwise(F.pmod(salt, "others")))
+    rows = of.join(main, "crowd").withColumn("own", F.when(most, F.col("others") + F.pmod(salt, "mains")).otherwise(F.pmod(salt, "others")))
     rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.when(most, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
-    return rows.select(F.xxhash64("node", F.least("own", "met"), F.greatest("own", "met")).alias("task"), "cls", "label", "bytes", (F.col("own") > F.col("met")).cast("int").alias("side"))
-
+    return rows.select(F.xxhash64("crowd", F.least("own", "met"), F.greatest("own", "met")).alias("task"), *known.columns, (F.col("own") > F.col("met")).cast("int").alias("side"))
 
-def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float, leaders: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
-    """Small nodes (node, cls), and of those that stayed large, if any: what they are dealt into (node, cls), (cls, leader), and their crowds (node, cls).
 
-    ``classes``: (cls, tokens).
-    """
+def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float) -> tuple[DataFrame, DataFrame | None]:
+    """Small nodes (node, cls), and the crowds (crowd, cls) of those that stayed large, if any. ``classes``: (cls, tokens)."""
     nodes = classes.mapInArrow(_roots(trees), "node long, cls long")
     done = None
     for level in range(levels):
         size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        nodes = cut(nodes.join(cut(size), "node"))
+        nodes = cut(nodes.join(size, "node"))
         small = nodes.where(F.col("size") <= leaf).select("node", "cls")
         done = small if done is None else done.unionByName(small)
         large = nodes.where(F.col("size") > leaf).select("node", "cls")
         if not large.limit(1).count():
-            return done, None, None, None
-        if level == levels - 1:
-            break
-        nodes = large.join(classes, "cls").select("node", "cls", "tokens").mapInArrow(_branch(picks), "node long, cls long")
-    salt = lambda k: F.xxhash64("node", "cls", F.lit(k))
-    large = nodes.where(F.col("size") > leaf)
-    parts = F.ceil(F.col("size") / (leaf // 2))
-    dealt = [large.select(F.xxhash64("node", F.lit(k), F.pmod(salt(k), parts)).alias("node"), "cls") for k in range(2)]
-    lead = large.groupBy("node").agg(*[F.min_by("cls", salt(2 + k)).alias(f"l{k}") for k in range(leaders)])
-    lead = cut(lead.select("node", F.explode(F.array(*[f"l{k}" for k in range(leaders)])).alias("leader")).distinct())
-    led = cut(large.join(lead, "node").where("cls <> leader").select("cls", "leader").distinct())
-    return done, dealt[0].unionByName(dealt[1]), led, cut(crowds(large.select("node", "cls")))
-
-
-def _close(least: float):
-    def run(batches):
+            return done, None
+        if level < levels - 1:
+            nodes = large.join(classes, "cls").select("node", "cls", "tokens").mapInArrow(_branch(picks), "node long, cls long")
+    return done, cut(crowds(large))
+
+
+def _dealt(crowd: DataFrame, leaf: int) -> DataFrame:
+    """(node, cls): each crowd dealt into sub-nodes of about half of ``leaf`` classes, in two orders."""
+    size = cut(crowd.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / (leaf // 2)).alias("parts")))
+    of = crowd.join(size, "crowd")
+    return reduce(DataFrame.unionByName, [of.select(F.xxhash64("crowd", F.lit(k), F.pmod(F.xxhash64("crowd", "cls", F.lit(k)), "parts")).alias("node"), "cls") for k in range(2)])
+
+
+def _led(crowd: DataFrame, known: DataFrame, leaders: int, least: float) -> DataFrame:
+    """Candidates (a, b, s) between each class of a crowd and a few leaders of it."""
+
+    def close(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDTH) for c in ("bytes", "other"))
-            s = _agree(x, y)
+            s = _agree(_low(b.column("low")), _low(b.column("other")))
             keep = pa.array(s >= least)
             yield pa.record_batch([b.column("cls").filter(keep), b.column("leader").filter(keep), pa.array(s[s >= least], pa.float64())], ["a", "b", "s"])
 
-    return run
+    lead = crowd.groupBy("crowd").agg(*[F.min_by("cls", F.xxhash64("crowd", "cls", F.lit(2 + k))).alias(f"l{k}") for k in range(leaders)])
+    lead = lead.select("crowd", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)]))).alias("leader"))
+    lead = cut(lead.join(known.select(F.col("cls").alias("leader"), F.col("low").alias("other")), "leader"))
+    return crowd.join(lead, "crowd").where("cls <> leader").join(known.select("cls", "low"), "cls").select("cls", "leader", "low", "other").mapInArrow(close, "a long, b long, s double")
+
+
+PAIR = "a long, b long, s double"
 
 
-def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf: int, levels: int, picks: float, leaders: int, rounds: int = 1, block: int = 2048) -> DataFrame:
-    """(cls, label): components of the confirmed links, for classes that have any. texts: from (cls) to (cls, text)."""
+def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf: int, levels: int, picks: float, leaders: int, block: int = 1024) -> DataFrame:
+    """(cls, label): components of the confirmed links. classes: (cls, tokens, low); texts: from (cls) to (cls, text)."""
     least = _least(threshold)
-    small, dealt, led, crowd = groups(classes, trees, leaf, levels, picks, leaders)
-    short = cut(classes.select("cls", _low_bytes(F.col("tokens")).alias("bytes")))
-    if crowd is not None:
-        led = cut(led.join(short, "cls").join(short.select(F.col("cls").alias("leader"), F.col("bytes").alias("other")), "leader").mapInArrow(_close(least), "a long, b long, s double"))
-    pair = "a long, b long, s double"
-    decided = label = text = None
-    # first within nodes and what large ones are dealt into, then within crowds, then all that is left
-    for whole, every in [*[(False, False)] * rounds, *[(True, False)] * (crowd is not None), (True, True)]:
-        known = short.withColumn("label", F.col("cls")) if label is None else cut(short.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-        parts = []
-        if every or not whole:
-            nodes = small if whole or dealt is None else small.unionByName(dealt)
-            parts.append(nodes.join(known, "cls").groupBy("node").applyInArrow(_compare(least, every), pair))
-        if not whole and led is not None:
-            parts += [led, led.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")]
-        if whole and crowd is not None and (tasks := _blocks(crowd, known, block)) is not None:
-            parts.append(tasks.groupBy("task").applyInArrow(_cross(least, every), pair))
-        if not parts:
-            continue
-        found = reduce(DataFrame.unionByName, parts)
-        if not every:
-            found = found.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b"))
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if decided is not None:
-            pairs = pairs.join(decided.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.limit(1).count():
-            if every:
-                break
-            continue
-        if text is None:  # the first round names every class that has any candidate outside of crowds
-            wanted = pairs.select("a").union(pairs.select("b"))
-            text = cut(texts(cut((wanted if crowd is None else wanted.union(crowd.select("cls"))).distinct().withColumnRenamed("a", "cls"))))
+    small, crowd = groups(classes.select("cls", "tokens"), trees, leaf, levels, picks)
+    none = F.lit(None).cast("long")
+    known = classes.select("cls", "low", F.col("cls").alias("label"), none.alias("no1"), none.alias("no2"))
+    text = None
+
+    def seen(nodes: DataFrame, crowd: DataFrame | None, name: bool) -> DataFrame:
+        schema = PAIR if name else "task long, cls long"
+        parts = [nodes.join(known, "cls").repartition("node").sortWithinPartitions("node").mapInArrow(_in_nodes(least, name), schema)]
+        if crowd is not None and (tasks := _blocks(crowd, known, block)) is not None:
+            parts.append(tasks.groupBy("task").applyInArrow(_in_blocks(least, name), schema))
+        return reduce(DataFrame.unionByName, parts)
+
+    def settle(named: DataFrame, turn: int) -> None:
+        """Decides pairs (a, b), a naming b, on the full sets; joins the labels of those that link, and notes the others."""
+        nonlocal known
+        pairs = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         full = pairs.join(text.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        new = cut(full.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(n, threshold), "a long, b long, linked boolean"))
-        decided = new if decided is None else decided.unionByName(new)
-        label = components(decided.where("linked"))
-    return classes.select("cls", F.col("cls").alias("label")).limit(0) if label is None else label
-
+        decided = cut(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, threshold), "a long, b long, linked boolean"))
+        known = _joined(known, decided.where("linked").select("a", "b"))
+        no = named.join(decided.where("NOT linked").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select(F.col("a").alias("cls"), F.col("b").alias("no"))
+        known = cut(known.join(no, "cls", "left").withColumn(f"no{turn}", F.col("no")).select("cls", "low", "label", "no1", "no2"))
 
-def _low_bytes(tokens):
-    """The low byte of each token: little-endian, so every fourth byte from the first."""
-    return F.unhex(F.regexp_replace(F.hex(tokens), "(..)......", "$1"))
+    # each class names its most similar partner: in small nodes, and in large ones among what they are dealt into and a few leaders
+    first = seen(small if crowd is None else small.unionByName(_dealt(crowd, leaf)), None, True)
+    if crowd is not None:
+        first = first.unionByName(_led(crowd, known, leaders, least))
+    per_class = lambda found: cut(found.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b")))
+    named = per_class(first)
+    some = named.select(F.col("a").alias("cls")).union(named.select("b")).distinct()
+    if crowd is not None:
+        some = some.union(crowd.select("cls")).distinct()
+    some = cut(some)
+    if not some.limit(1).count():
+        return known.select("cls", "label")
+    text = cut(texts(some))
+    settle(named, 1)
+    # of classes that named nobody nothing can come in small nodes
+    small = cut(small.join(named.select(F.col("a").alias("cls")), "cls", "left_semi"))
+    named = per_class(seen(small, crowd, True))
+    settle(named, 2)
+    # what still has candidates of other labels is decided where it meets, on the full sets, so that no pairs are listed
+    rest = cut(seen(small, crowd, False))
+    if rest.limit(1).count():
+        met = rest.join(known, "cls").join(text, "cls").select("task", *known.columns, "text")
+        known = _joined(known, cut(met.groupBy("task").applyInArrow(_decide(n, threshold, least), "a long, b long")))
+    return known.select("cls", "label")
+
+
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with the labels of linked classes (a, b) made one."""
+    named = known.select("cls", "label")
+    ends = links.join(named.select(F.col("cls").alias("a"), F.col("label").alias("x")), "a").join(named.select(F.col("cls").alias("b"), F.col("label").alias("y")), "b")
+    edges = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
+    new = components(edges).select(F.col("cls").alias("label"), F.col("label").alias("to"))
+    return known.join(new, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to").select(known.columns)
+
+
+def _links(share: int, x: np.ndarray, y: np.ndarray) -> bool:
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * inter >= share * (len(x) + len(y) - inter)
 
 
 def _verify(n: int, threshold: float):
     share = round(threshold * 100)
 
     def run(batches):
-        last, own = None, set()
         for b in batches:
-            keep = []
-            for a, x, y in zip(b.column("a").to_pylist(), b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
-                if a != last:
-                    last, own = a, shingles(words_of(x), n)
-                other = shingles(words_of(y), n)
-                inter = len(own & other)
-                keep.append(100 * inter >= share * (len(own) + len(other) - inter))
+            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
+            keep: list[bool] = []
+            while len(keep) < len(a):
+                slots: dict[int, int] = {}
+                words: list[list[bytes]] = []
+                at, held = len(keep), 0
+                end = at
+                while end < len(a) and (held == 0 or held < 400_000):
+                    for key, column in ((a[end], "text_a"), (c[end], "text_b")):
+                        if key not in slots:
+                            slots[key] = len(words)
+                            words.append(words_of(b.column(column)[end].as_py()))
+                            held += len(words[-1]) + 1
+                    end += 1
+                sets = exact_shingles(words, n)
+                keep += [_links(share, sets[slots[a[k]]], sets[slots[c[k]]]) for k in range(at, end)]
             yield pa.record_batch([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
+def _shared(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``rows`` with all sets, by products of their incidence matrices, some columns at a time."""
+    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, slot, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = count > 1
+    where = np.cumsum(common) - 1
+    keep = common[slot]
+    slot, who = where[slot[keep]], who[keep]
+    order = np.argsort(slot, kind="stable")
+    slot, who = slot[order], who[order]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    wide = 4096
+    for at in range(0, int(common.sum()), wide):
+        lo, hi = np.searchsorted(slot, (at, at + wide))
+        m = np.zeros((len(sets), wide), np.float32)
+        m[who[lo:hi], slot[lo:hi] - at] = 1
+        out += m[rows] @ m.T
+    return out
+
+
+def _decide(n: int, threshold: float, least: float):
+    """Links (a, b) among the classes of a task, decided on the full sets: enough of them to connect what links connect, at most one less than classes."""
+    share = round(threshold * 100)
+
+    def run(part: pa.Table) -> pa.Table:
+        of = Members(part)
+        sets = exact_shingles([words_of(t) for t in part.column("text").to_pylist()], n)
+        size = np.array([len(x) for x in sets], np.int64)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        a, b = [], []
+        for at in range(0, len(sets), 256):
+            rows = np.arange(at, min(at + 256, len(sets)))
+            inter = _shared(sets, rows).astype(np.int64) if len(sets) > 64 else None
+            for k, i in enumerate(rows.tolist()):
+                js = np.arange(i + 1, len(sets))
+                js = js[of.similar(i, js, least) > 0]
+                if inter is not None:
+                    js = js[100 * inter[k, js] >= share * (size[i] + size[js] - inter[k, js])]
+                for j in js.tolist():
+                    x, y = root(int(of.label[i])), root(int(of.label[j]))
+                    if x != y and (inter is not None or _links(share, sets[i], sets[j])):
+                        parent[max(x, y)] = min(x, y)
+                        a.append(int(of.cls[i]))
+                        b.append(int(of.cls[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+#: Links that one task follows to their ends.
+FEW = 10_000
+
+
+def _ends(batches):
+    """(cls, to) for links (a, b): one class for each component."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    yield pa.record_batch([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], ["cls", "to"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(cls, label): the smallest class reachable, for every class in a link. Links go both ways.
+    """(cls, label): the smallest class reachable, for every class in a link (a, b). Links go both ways.
 
-    Each round every class takes the smallest label among its neighbours' labels and then that label's own
-    label (pointer jumping), so long chains shorten geometrically.
+    The graph is contracted: each class moves to the neighbour (or itself) of smallest hash, links between what has
+    moved to one place go, and the smaller graph is treated alike. Its size falls by a constant factor a round, so the rows of all
+    rounds together are in proportion to the links, also for long chains and for hubs. The last ``FEW`` links are followed in one task.
     """
-    both = cut(links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other"))))
-    labels = cut(both.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("label")))
+    edges, moves, salt = links.select("a", "b").where("a <> b"), [], 0
     while True:
-        near = both.join(labels.select(F.col("cls").alias("other"), "label"), "other").groupBy("cls").agg(F.min("label").alias("near"))
-        best = labels.join(near, "cls").select("cls", "label", F.least("label", "near").alias("best"))
-        jump = labels.select(F.col("cls").alias("best"), F.col("label").alias("further"))
-        new = cut(best.join(jump, "best", "left").select("cls", F.col("label").alias("was"), F.least("best", F.coalesce("further", "best")).alias("label")))
-        changed = new.where("was <> label").limit(1).count()
-        labels = new.select("cls", "label")
-        if not changed:
-            return labels
+        edges = cut(edges)
+        if (left := edges.limit(FEW + 1).count()) <= FEW:
+            if left:
+                moves.append(cut(edges.coalesce(1).mapInArrow(_ends, "cls long, to long")))
+            break
+        rank = lambda c, k=salt: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("to"))
+        ends = edges.select(F.col("a").alias("cls"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("cls"), F.col("a").alias("to")))
+        move = cut(ends.groupBy("cls").agg(F.min(rank("to")).alias("m")).select("cls", F.least(F.col("m"), rank("cls"))["to"].alias("to")))
+        near = move.select(F.col("cls").alias("a"), F.col("to").alias("x")), move.select(F.col("cls").alias("b"), F.col("to").alias("y"))
+        moves.append(move)
+        edges = edges.join(near[0], "a").join(near[1], "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        salt += 1
+    if not moves:
+        return links.select(F.col("a").alias("cls"), F.col("b").alias("label")).limit(0)
+    at = None
+    for move in reversed(moves):
+        # where a place of this round ends up: places of later rounds are named in ``at``, others are ends
+        at = move.withColumnRenamed("to", "end") if at is None else move.join(at.select(F.col("cls").alias("to"), "end"), "to", "left").select("cls", F.coalesce("end", "to").alias("end"))
+    at = cut(at)
+    return cut(at.join(at.groupBy("end").agg(F.min("cls").alias("label")), "end").select("cls", "label"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.75,
-               recall: float = 0.999998, leaf: int = 64, levels: int = 5, picks: float = 1.5, leaders: int = 2) -> DataFrame:
+               recall: float = 0.999998, leaf: int = 64, levels: int = 5, picks: float = 1.5, leaders: int = 6) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links), kept.
 
     ``recall`` is that of the trees for a pair at the threshold, and sets their number; the margin of the estimate loses
     7.5e-5 of such pairs besides. More similar pairs are missed less often.
 
     Null and empty texts have no shingles, are linked with nothing and are kept. Of rows with the same
-    smallest id one stays; a null id counts as the largest. An empty table gives no rows.
+    smallest id one stays; a null id counts as the largest. Repeated rows are rows of their own. An empty table gives no rows.
     """
-    rows = with_row(docs, id_col, text_col, twice=True)
-    kind = rows.schema["id"].dataType.simpleString()
-    sets = cut(rows.mapInArrow(_sketch(n), f"row long, id {kind}, n_shingles long, set_key binary, tokens binary"))
-    some = sets.where("set_key IS NOT NULL")
-    # a class is a distinct set; its first row stands for it
-    reps = cut(some.groupBy("set_key").agg(F.min("row").alias("cls"), F.min_by("tokens", "row").alias("tokens")))
-    texts = lambda wanted: rows.join(small_side(wanted.withColumnRenamed("cls", "row")), "row", "left_semi").select(F.col("row").alias("cls"), "text")
-    label = linked(reps.select("cls", "tokens"), texts, n, threshold, trees_for(recall, threshold, levels, picks), leaf, levels, picks, leaders)
-    named = cut(reps.select("set_key", "cls").join(label, "cls", "left").select("set_key", F.coalesce("label", "cls").alias("label")))
-    known = cut(sets.drop("tokens").join(named, "set_key", "left").withColumn("label", F.coalesce(F.col("label"), -1 - F.col("row"))))
-    first = cut(known.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")))
-    return known.join(first, "label").select(F.col("id").alias(id_col), "n_shingles", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        rows = with_row(docs, id_col, text_col, twice=True)
+        keep(rows)
+        kind = rows.schema["id"].dataType.simpleString()
+        sets = cut(rows.mapInArrow(_sketch(n), f"row long, id {kind}, n_shingles long, set_key binary, tokens binary, low binary"))
+        # rows with the same digest of their set belong to the first of them once their full sets are seen to be equal
+        first = cut(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("cls"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+        alike = cut(sets.join(first, "set_key").where("row <> cls").select("row", "cls"))
+        text_of = lambda name, wanted: rows.join(small_side(wanted.withColumnRenamed(name, "row")), "row", "left_semi").select(F.col("row").alias(name), "text")
+        firsts, copies = text_of("cls", first.select("cls")), text_of("row", alike.select("row"))
+        both = copies.join(alike, "row").select("row", "cls", F.col("text").alias("text_b")).join(firsts.withColumnRenamed("text", "text_a"), "cls")
+        copy = cut(both.select("row", "cls", "text_a", "text_b").mapInArrow(_equal(n), "row long, cls long, equal boolean").where("equal").select("row", "cls"))
+        gone = copy.select("row")
+        side = small_side(gone)
+        classes = sets.where("set_key IS NOT NULL").join(side, "row", "left_anti").select(F.col("row").alias("cls"), "tokens", "low")
+        classes = cut(classes) if side is gone else classes  # a broadcast table is joined anew at each use, others are joined once
+        label = cut(linked(classes, lambda wanted: text_of("cls", wanted), n, threshold, trees_for(recall, threshold, levels, picks), leaf, levels, picks, leaders))
+        own = label.unionByName(copy.select(F.col("row").alias("x"), "cls").join(label, "cls").select(F.col("x").alias("cls"), "label")).withColumnRenamed("cls", "row")
+        known = keep(cut(sets.select("row", "id", "n_shingles").join(own, "row", "left").withColumn("label", F.coalesce("label", "row"))))
+        least = keep(cut(known.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))))
+    return known.join(least, "label").select(F.col("id").alias(id_col), "n_shingles", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def _equal(n: int):
+    """Whether two texts have the same set of shingles: by their words, else by the full sets."""
+
+    def run(batches):
+        for b in batches:
+            same = []
+            for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
+                x, y = words_of(x), words_of(y)
+                same.append(x == y or np.array_equal(*exact_shingles([x, y], n)))
+            yield pa.record_batch([b.column("row"), b.column("cls"), pa.array(same, pa.bool_())], ["row", "cls", "equal"])
+
+    return run
