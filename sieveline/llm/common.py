@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words end at these bytes; the same set that ``bytes.split()`` uses.
@@ -55,7 +55,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of ``cut`` that nothing reads any more; other tables are left alone."""
     for t in tables:
-        if (path := getattr(t, "_written", None)) and any(path in o for o in _OPEN):
+        if path := getattr(t, "_written", None):
             _delete(t.sparkSession, path)
             for o in _OPEN:
                 if path in o:
@@ -101,6 +101,16 @@ def _repeats(plan) -> bool:
     return all(_repeats(kids.apply(k)) for k in range(kids.size()))
 
 
+def share(*columns) -> Column:
+    """A number from 0 to 1 by the hash of some columns, fine enough to draw a few thousand of any number of rows."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it gives the same rows in the same order at each run, else a copy in the shared folder."""
+    return docs if _repeats(docs._jdf.queryExecution().optimizedPlan()) else cut(docs)
+
+
 def with_row(docs: DataFrame, id_col: str, text_col: str, twice: bool = False) -> DataFrame:
     """(row, id, text): an own number for each row, since ids may be null or repeated. Other columns go.
 

@@ -12,14 +12,17 @@ A text without letters, and any text when no language was learned, is ``und`` wi
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import share
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters by Unicode (category L); fractions, superscripts and roman numeral signs aren't.
+LETTERS = regex.compile(r"\p{L}+")
 SIZE = 1 << 16
 CHUNK_WORDS = 600_000
 UNIFORM = float(np.log(60.0))  # nats a letter under noise
@@ -53,13 +56,15 @@ class Model:
 
 
 def learn(labelled: DataFrame, sample_rows: int) -> Model:
-    """labelled: (lang, text), nulls excluded. Sampling is by a hash of the text, at a rate set by each language's count."""
+    """labelled: (lang, text), nulls excluded. Each row is drawn on its own, at a rate set by its language's count, so that no text that many
+    rows repeat is sampled whole or not at all; a language's sample is of about ``sample_rows`` rows.
+    """
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((SIZE, 0)), np.zeros((SIZE, 0)))
-    rate = F.element_at(F.create_map(*[F.lit(x) for g in langs for x in (g, int(1e6 * min(1, sample_rows / sizes[g])))]), F.col("lang"))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate)
+    rate = F.element_at(F.create_map(*[F.lit(x) for g in langs for x in (g, min(1.0, sample_rows / sizes[g]))]), F.col("lang"))
+    sample = labelled.where(share("row") < rate)
 
     def count(batches):
         tri, ctx = np.zeros((len(langs), SIZE), np.int64), np.zeros((len(langs), SIZE), np.int64)
@@ -163,10 +168,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, noise_share double, n_langs int, shares map<string,double>").withColumnRenamed("id", id_col)
+    out = StructType.fromDDL("lang_pred string, score double, noise_share double, n_langs int, shares map<string,double>")
+    return rows.mapInArrow(run, StructType([rows.schema["id"], *out.fields])).withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> DataFrame:
-    """Learn from rows of ``docs`` where ``held_out`` is false and text and label aren't null, then predict every row."""
-    labelled = docs.where(~F.coalesce(held_out, F.lit(True)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    """Learn from rows of ``docs`` where ``held_out`` is false and text and label aren't null, then predict every row.
+
+    Null and empty texts and those without a letter are ``und`` with score 0. Repeated rows and null ids are rows of their own, a
+    very long text is one document of many words, extra columns are ignored. Of languages with equal shares the first by name is
+    predicted. Without a labelled row everything is ``und``; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(True)).alias("skip"), F.monotonically_increasing_id().alias("row"))
+    labelled = rows.where("NOT skip AND lang IS NOT NULL AND text IS NOT NULL")
     return predict(docs, learn(labelled, sample_rows), id_col, text_col)
