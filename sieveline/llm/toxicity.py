@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
+from .common import cut, scratch, share
+
 STRIP = ".,;:!?\"'()[]{}<>*#$%&-_/|«»„“”‘’…"
 QUOTES = frozenset("\"«»„“”")
 #: Reporting verbs, and second-person pronouns, of the languages at hand.
@@ -234,10 +236,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     sizes = dict(labels.groupBy("toxic").count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return None
-    rate = F.when(F.col("toxic") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0])) * 1_000_000
-    some = labels.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate)
+    rate = F.when(F.col("toxic") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0]))
+    some = labels.where(share("id") < rate)
     # the sample has about 2 * sample_rows rows of two numbers each, whatever the input
+    # of rows that share a labelled id the one of the least hash counts, so that repeats don't lift the sample over its bound
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").join(F.broadcast(some), "id")
+    texts = cut(texts.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("toxic", "first.text"))
     toxic = (
         texts.where("toxic = 1").select("text").mapInArrow(_in_toxic, "term string, df long, contexts array<int>").groupBy("term")
         .agg(F.sum("df").alias("df"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts")).where("df >= 3 AND contexts >= 3").select("term", "df")
@@ -272,10 +276,12 @@ def score(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
 
     held_out: a Column over the id, true for labels that aren't learned from. Null and empty texts get the score
     of a text without hits. Several labels of one document count as toxic if any is; null labels and ids
-    are ignored. Without labels of both kinds every score is 0.
+    are ignored. Rows that repeat are scored each; of rows with one labelled id one is learned from. Without labels of
+    both kinds every score is 0. An empty table gives no rows.
     """
     some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
-    model = learn(docs, some, id_col, text_col, sample_rows)
+    with scratch(docs.sparkSession):
+        model = learn(docs, some, id_col, text_col, sample_rows)
 
     def run(batches):
         for b in batches:
