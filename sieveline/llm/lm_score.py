@@ -10,8 +10,9 @@ probability of every (context, symbol) can be worked out once for the whole corp
 
 The trie isn't gathered anywhere. Documents are dealt into blocks of bounded text; a block asks for
 its distinct n-grams and words, with its own training counts. Counts are summed by n-gram, and all
-n-grams that share the last two context bytes (a closed part of the trie) are worked out together. Only orders
-0 and 1 (at most 258 * 258 counts) reach the driver. Answers return to the blocks that asked.
+n-grams that share the last ``least`` context bytes (a closed part of the trie) are worked out together. Counts of contexts
+shorter than that reach the driver: at most ``LOW`` of them, so ``least`` is three where the corpus has no more
+different strings of three bytes, else two (258 * 258 counts at most). Answers return to the blocks that asked.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .common import cut, tasks, words_of
+from .common import cut, scratch, settled, tasks, words_of
 
 BITS = 9  # symbols: 0 pads the start, 1 to 256 are bytes, END closes
 END = 257
 ALPHABET = 257
+#: Strings of three bytes whose counts may be sent to every task (16 bytes each).
+LOW = 1_000_000
 
 
 def _symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,18 +151,41 @@ def _counts(order: int):
     return run
 
 
-def log_probabilities(grams: np.ndarray, n: np.ndarray, order: int, n1: np.ndarray, least: int = 2) -> np.ndarray:
-    """log10 P(symbol | context) for each packed gram; all training grams that share the last ``least`` context bytes must be there.
+class Low:
+    """Counts of contexts shorter than ``least``, from all training grams (packed) of ``least`` symbols: those of ``least - 1`` context bytes."""
 
-    n1[c, s]: how often s follows c; orders below ``least`` come from it.
-    """
+    def __init__(self, least: int, grams: np.ndarray, n: np.ndarray):
+        self.least, self.of = least, {}
+        for k in range(least - 1, -1, -1):
+            codes, at = np.unique(grams & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, n, len(codes)).astype(np.int64)
+            context, group = np.unique(codes >> BITS, return_inverse=True)
+            self.of[k] = codes, count, context, np.bincount(group, count, len(context)).astype(np.int64), np.bincount(group, count > 0, len(context)).astype(np.int64)
+
+    def counts(self, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each gram's last k context bytes: the symbol's count after them, all symbols' count, and how many symbols there are."""
+        codes, count, context, total, kinds = self.of[k]
+
+        def find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+            if not len(keys):
+                return [np.zeros(len(wanted), np.int64) for _ in values]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return [np.where(keys[at] == wanted, v[at], 0) for v in values]
+
+        low = grams & ((1 << BITS * (k + 1)) - 1)
+        return *find(codes, low, count), *find(context, low >> BITS, total, kinds)
+
+
+def log_probabilities(grams: np.ndarray, n: np.ndarray, order: int, low: Low) -> np.ndarray:
+    """log10 P(symbol | context) for each packed gram; all training grams that share the last ``low.least`` context bytes must be there."""
+    least = low.least
     sym = grams & ((1 << BITS) - 1)
     out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
     # of the context one longer: for each gram, its followers and the mass they have one order below
     up_of = up_seen = up_group = None
     for k in range(order, -2, -1):
         if k < 0:
-            d0 = (n1.sum(0) > 0).sum()
+            d0 = low.of[0][4].sum()
             out[open_] -= math.log10(max(1, ALPHABET - d0))
             break
         if k >= least:
@@ -167,14 +195,9 @@ def log_probabilities(grams: np.ndarray, n: np.ndarray, order: int, n1: np.ndarr
             total = np.bincount(pair >> BITS, count, len(keys))
             kinds = np.bincount(pair >> BITS, count > 0, len(keys))
             own, total, kinds = count[row], total[group], kinds[group]
-        elif k == 1:
-            c = (grams >> BITS) & ((1 << BITS) - 1)
-            keys, group = np.unique(c, return_inverse=True)
-            own, total, kinds = n1[c, sym], n1.sum(1)[c], (n1 > 0).sum(1)[c]
         else:
-            n0 = n1.sum(0)
-            group = np.zeros(len(grams), np.int64)
-            own, total, kinds = n0[sym], np.full(len(grams), n0.sum()), np.full(len(grams), (n0 > 0).sum())
+            _, group = np.unique((grams >> BITS) & ((1 << BITS * k) - 1), return_inverse=True)
+            own, total, kinds = low.counts(grams, k)
         gone_mass = gone_kinds = 0
         if up_of is not None:
             # each follower of the longer context once: its mass here is excluded
@@ -240,48 +263,51 @@ def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", tex
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     held_out: a Column over ``docs``; rows where it is true (or null) are scored but not learned from.
-    Null and empty texts are the end symbol alone. Without any training row the trie is empty and
+    Null and empty texts are the end symbol alone. Repeated rows and null ids are rows of their own, ids are of any type, extra
+    columns are ignored. Without any training row the trie is empty and
     every symbol is equally likely. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    with scratch(spark) as keep:
+        return _scored(spark, docs, held_out, order, id_col, text_col, block_bytes, keep).withColumnRenamed("id", id_col)
+
+
+def _scored(spark, docs: DataFrame, held_out, order: int, id_col: str, text_col: str, block_bytes: int, keep) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = keep(settled(rows))
+    kind = rows.schema["id"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(tasks(spark), -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    # by row, not by text: copies are dealt evenly too
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     asked = cut(dealt.groupBy("block").applyInArrow(_counts(order), "block int, word binary, gram long, n long"))
 
-    summed = asked.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
-    sum_c = cut(summed)
-    mask = (1 << BITS) - 1
-    pairs = sum_c.where("n > 0").groupBy(F.shiftright("gram", BITS).bitwiseAND(F.lit(mask)).alias("c"), F.col("gram").bitwiseAND(F.lit(mask)).alias("s")).agg(F.sum("n").alias("n")).collect()
-    n1 = np.zeros((END + 1, END + 1), np.int64)
-    for c, s, n in pairs:
-        n1[c, s] = n
+    sum_c = cut(asked.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+    least = min(3, order)
+    strings = lambda k: sum_c.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+    if least > 2 and strings(least).limit(LOW + 1).count() > LOW:
+        least = 2
+    got = strings(least).toArrow()
+    low = Low(least, got.column("gram").to_numpy(), got.column("n").to_numpy())
 
     def work(part: pa.Table) -> pa.Table:
         g = part.column("gram").to_numpy()
-        return pa.table({"gram": part.column("gram"), "value": pa.array(log_probabilities(g, part.column("n").to_numpy(), order, n1), pa.float64())})
+        return pa.table({"gram": part.column("gram"), "value": pa.array(log_probabilities(g, part.column("n").to_numpy(), order, low), pa.float64())})
 
-    tail = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    tail = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << least * BITS) - 1))
     logp = sum_c.withColumn("tail", tail).groupBy("tail").applyInArrow(lambda t: work(t), "gram long, value double")
-    gram_answers = asked.where("gram IS NOT NULL").select("block", "gram").join(logp, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value", F.lit(0).alias("first"))
-
-    same = Window.partitionBy("word")
-    word_answers = (
-        asked.where("word IS NOT NULL").withColumn("c", F.sum("n").over(same)).withColumn("at", F.row_number().over(same.orderBy("block")))
-        .select("block", "word", F.lit(None).cast("long").alias("gram"), F.log10(F.col("c") + 1).alias("value"), F.when((F.col("at") == 1) & (F.col("c") > 0), 1).otherwise(0).alias("first"))
-    )
-    answers = cut(word_answers.unionByName(gram_answers))
-    n_words = asked.where("word IS NOT NULL").agg(F.sum("n")).first()[0] or 0
+    gram_answers = asked.where("gram IS NOT NULL").select("block", "gram").join(logp, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")
+
+    words = cut(asked.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
+    word_answers = asked.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.log10(F.col("c") + 1).alias("value"))
+    answers = keep(cut(word_answers.unionByName(gram_answers)))
+    distinct, n_words = words.agg(F.count_if(F.col("c") > 0), F.sum("c")).first()
     n_docs = asked.where("word IS NULL AND gram IS NULL").agg(F.sum("n")).first()[0] or 0
-    distinct = (answers.agg(F.sum("first")).first()[0] or 0) + (n_docs > 0)
-    total = n_words + n_docs
-    run = _score(order, math.log10(total + distinct + 1), math.log10(n_docs + 1), int(n_docs > 0), total, pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.string())
-    out = dealt.groupBy("block").cogroup(answers.select("block", "word", "gram", "value").groupBy("block")).applyInArrow(
-        lambda a, b: run(a, b), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
-    return out.withColumnRenamed("id", id_col)
+    distinct += n_docs > 0
+    total = (n_words or 0) + n_docs
+    run = _score(order, math.log10(total + distinct + 1), math.log10(n_docs + 1), int(n_docs > 0), total, to_arrow_type(kind.dataType))
+    out = StructType([kind, *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: run(a, b), out)
 
 
 class AdaptiveTrie:
