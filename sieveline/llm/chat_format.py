@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, scratch
 
 #: A tool's schema: field -> (type, required); types as in JSON schema.
 Schema = dict[str, tuple[str, bool]]
@@ -55,20 +55,54 @@ def ranks(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv, node, level) of conversations that need sorting: 0 without open parents, else one more than the last parent; null on a cycle.
+    """(node, level) of messages that need sorting: 0 without open parents, else one more than the last parent; null on a cycle.
 
-    nodes: (conv, node); edges: (conv, parent, node). A round per level.
+    nodes: (node); edges: (parent, node). Nodes are numbers of messages, so null conversations need no care here. A round per level.
     """
-    open_, done, level = cut(nodes.distinct()), None, 0
-    edges = cut(edges.distinct())
+    open_, done, level = cut(nodes.select("node").distinct()), [], 0
+    edges = cut(edges.select("parent", "node").distinct())
     while True:
-        waits = edges.join(open_.select("conv", F.col("node").alias("parent")), ["conv", "parent"], "left_semi").select("conv", "node").distinct()
-        ready = cut(open_.join(waits, ["conv", "node"], "left_anti").withColumn("level", F.lit(level)))
+        waits = edges.join(open_.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct()
+        ready = cut(open_.join(waits, "node", "left_anti").withColumn("level", F.lit(level)))
         if not ready.limit(1).count():
-            rest = open_.withColumn("level", F.lit(None).cast("int"))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        open_, level = cut(open_.join(ready, ["conv", "node"], "left_anti")), level + 1
+            return reduce(DataFrame.unionByName, [*done, open_.withColumn("level", F.lit(None).cast("int"))])
+        done.append(ready)
+        left = cut(open_.join(ready, "node", "left_anti"))
+        discard(open_)
+        open_, level = left, level + 1
+
+
+#: Messages of a conversation that is sorted in one row.
+SHORT = 200
+
+
+def levels_in_row(conversations: DataFrame) -> DataFrame:
+    """The same for conversations of at most ``SHORT`` messages: (nodes, edges), sorted arrays of numbers and of (parent, node), to (node, level)."""
+    # levels rise from those of the parents, as many times as there are messages at most; what rises beyond is on a cycle or behind one
+    nodes, edges = F.col("nodes"), F.col("edges")
+    start = F.transform(nodes, lambda n: F.struct(n.alias("node"), F.lit(0).alias("level")))
+
+    def risen(at: Column, _: Column) -> Column:
+        up = F.map_from_arrays(F.transform(at, lambda x: x["node"]), F.transform(at, lambda x: x["level"]))
+        last = lambda n: F.array_max(F.transform(F.filter(edges, lambda e: e["node"] == n), lambda e: F.try_element_at(up, e["parent"]) + 1))
+        return F.transform(at, lambda x: F.struct(x["node"].alias("node"), F.coalesce(last(x["node"]), F.lit(0)).alias("level")))
+
+    steps = F.aggregate(F.sequence(F.lit(1), F.size(nodes)), start, risen)
+    placed = conversations.select(F.size("nodes").alias("n"), F.explode(steps).alias("x"))
+    return placed.select("x.node", F.when(F.col("x.level") < F.col("n"), F.col("x.level")).alias("level"))
+
+
+def sorted_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level) for nodes (key, node) and edges (key, parent, node): short conversations in one row each, long ones in rounds over tables."""
+    sizes = cut(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    long, short = (sizes.where(x).select("key") for x in (f"n > {SHORT}", f"n <= {SHORT}"))
+    # at most SHORT messages a key, so the arrays are bounded; edges are distinct pairs of them
+    few = nodes.join(short, "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    pairs = edges.join(short, "key").groupBy("key").agg(F.collect_set(F.struct("parent", "node")).alias("edges"))
+    out = levels_in_row(few.join(pairs, "key"))
+    if not long.limit(1).count():
+        return out
+    return out.unionByName(levels(nodes.join(long, "key"), edges.join(long, "key")))
 
 
 def link(messages: DataFrame, tools: dict[str, Schema], bucket_width: int = 64) -> DataFrame:
@@ -78,8 +112,14 @@ def link(messages: DataFrame, tools: dict[str, Schema], bucket_width: int = 64)
     record (canonical JSON). Status: linked, call_without_result, result_without_call, duplicate_id (a
     call whose id an earlier call of the conversation has), cycle, or message. Where several results
     have one id, the last links and the others are superseded. Null conversations make one conversation;
-    null ids link with nothing. Rows that repeat are kept and ordered next to each other.
+    null ids link with nothing. Rows that repeat are kept and ordered next to each other. Payloads of any length are
+    parsed whole; extra columns are ignored. An empty table gives no rows.
     """
+    with scratch(messages.sparkSession) as keep:
+        return _linked(messages, tools, bucket_width, keep)
+
+
+def _linked(messages: DataFrame, tools: dict[str, Schema], bucket_width: int, keep) -> DataFrame:
     m = messages.withColumn("uid", F.monotonically_increasing_id())
     m = cut(m)
     calls, results = m.where("kind = 'call' AND id IS NOT NULL"), m.where("kind = 'result' AND id IS NOT NULL")
@@ -105,8 +145,9 @@ def link(messages: DataFrame, tools: dict[str, Schema], bucket_width: int = 64)
     edges = cut(of_call.unionByName(of_after).where("parent IS NOT NULL"))
     odd = cut(edges.where(F.coalesce(F.col("from") >= F.col("to"), F.lit(False))).select("conv").distinct())
     if odd.limit(1).count():
-        in_odd = lambda df: df.alias("x").join(odd.alias("o"), F.col("x.conv").eqNullSafe(F.col("o.conv")), "left_semi")
-        sorted_ = cut(levels(in_odd(seen.select("conv", F.col("uid").alias("node"))), in_odd(edges.select("conv", "parent", "node"))))
+        key = lambda df: df.select(F.struct(F.col("conv").isNull().alias("none"), "conv").alias("key"), "*")
+        in_odd = lambda df: key(df).join(key(odd).select("key"), "key", "left_semi")
+        sorted_ = cut(sorted_levels(in_odd(seen.select("conv", F.col("uid").alias("node"))), in_odd(edges.select("conv", "parent", "node"))))
         seen = seen.join(sorted_.select(F.col("node").alias("uid"), "level", F.lit(True).alias("was_odd")), "uid", "left")
         seen = seen.withColumn("status", F.when(F.col("was_odd") & F.col("level").isNull(), "cycle").otherwise(F.col("status"))).withColumn("level", F.when(F.col("was_odd"), F.coalesce("level", F.lit(1 << 30))).otherwise(0)).drop("was_odd")
         seen = cut(seen)
@@ -121,7 +162,7 @@ def link(messages: DataFrame, tools: dict[str, Schema], bucket_width: int = 64)
     record = F.to_json(F.struct(
         arguments.alias("arguments"), F.when(~is_call, F.col("payload")).alias("content"), F.col("id"), F.col("kind"), F.col("status"), F.when(is_call, F.col("tool")).alias("tool"),
     ))
-    return placed.select("conv", "pos", "order_no", "kind", "id", "tool", "status", F.array_join(errors, "; ").alias("errors"), record.alias("record"))
+    return keep(cut(placed.select("conv", "pos", "order_no", "kind", "id", "tool", "status", F.array_join(errors, "; ").alias("errors"), record.alias("record"))))
 
 
 #: The tool that conversations without explicit calls are read as: a turn of the user asks for a reply.
