@@ -16,11 +16,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, with_row
+from .common import cut, scratch, with_row
 
 #: Titles by gender (f, m, n), in the languages at hand.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Srta"), "m": ("Mr", "Herr", "Monsieur", "Sr", "Señor"), "n": ("Dr", "Prof")}
-_NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
+#: A capitalised word, or one of a script without case.
+_NAME = r"(?:\p{Lu}[\p{L}\p{M}'’-]+|\p{Lo}[\p{L}\p{M}'’-]*)"
+#: Words after which a name without a title stands. Other names without a title aren't found: no pattern tells them from other capitalised words.
+CUES = ("my name is ", "My name is ", "name: ", "Name: ", "signed by ", "Signed by ", "Dear ", "Regards, ", "Sincerely, ", "ich heiße ", "Ich heiße ", "me llamo ", "Me llamo ", "je m'appelle ", "Je m'appelle ")
 _ANY_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t: (-len(t), t)))
 #: Patterns by type; the first type that matches a mention whole gives its type.
 #: A secret's mention begins with its key word; ``_body`` takes that off again.
@@ -42,17 +45,18 @@ TYPES = {
     "card": r"(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\p{L}\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?![\p{L}\d])|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\d])",
-    "name": rf"(?<![\p{{L}}])(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME})*+",
+    "name": rf"(?<![\p{{L}}])(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME})*+|(?<={'|'.join(CUES)}){_NAME}(?: {_NAME})++",
 }
 #: A key word before an entity of another type that ends where the value ends leaves it to that type.
 TYPES["secret"] = _SECRET_LEAD + r"(?!(?:\\?[\"'])?(?:" + "|".join(f"(?:{TYPES[k]})" for k in ("email", "access_key", "ssn", "card", "ip", "phone", "iban")) + r")(?:[\s\"'.,;:)\]}>\\]|$))" + _SECRET_BODY
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A cheap test that every match passes.
-HINT = rf"[@\d]|AKIA|ASIA|(?<![\p{{L}}])(?:{_ANY_TITLE})\b|(?i:password|passwd|token|secret|api_?key)"
+HINT = rf"[@\d]|AKIA|ASIA|(?<![\p{{L}}])(?:{_ANY_TITLE})\b|(?i:password|passwd|token|secret|api_?key)|{'|'.join(CUES)}"
 
 
 def _kind(mention: Column) -> Column:
     shapes = {k: f"^(?:{p})$" for k, p in TYPES.items() if k != "secret"}
+    shapes["name"] = rf"^(?:(?:{_ANY_TITLE})\.? )?{_NAME}(?: {_NAME})*+$"  # the cue before a mention isn't seen here
     order = ("email", "access_key", "ssn", "card", "ip", "phone", "name", "iban")
     return reduce(lambda acc, k: acc.when(mention.rlike(shapes[k]), F.lit(k)), order[1:], F.when(mention.rlike(shapes[order[0]]), F.lit(order[0]))).otherwise("secret")
 
@@ -86,8 +90,18 @@ def _bytes(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     return F.transform(F.regexp_extract_all(hexes, F.lit("(..)")), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
-_CLASSES = (r"\d", r"[a-z]", r"[A-Z]", "[а-я]", "[А-Я]", "[α-ω]", "[Α-Ω]")
+#: Letters and digits by class; what belongs to a script's class but isn't listed is replaced by what is.
+ALPHABETS = {
+    r"\d": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    r"[\p{IsCyrillic}&&\p{Ll}]": "абвгдежзийклмнопрстуфхцчшщъыьэюя", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
+    r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    r"[\p{IsLatin}&&\p{Lu}]": "ÀÁÂÄÈÉÊËÍÎÏÑÓÔÖÚÜ", r"[\p{IsLatin}&&\p{L}]": "àáâäèéêëíîïñóôöúü",
+}
+#: Letters of other scripts, first and last. Letters of scripts that aren't listed get Latin ones.
+RANGES = {
+    "IsHebrew": (0x05D0, 0x05EA), "IsArabic": (0x0628, 0x063A), "IsDevanagari": (0x0915, 0x0939), "IsBengali": (0x0995, 0x09A8), "IsThai": (0x0E01, 0x0E2E), "IsGeorgian": (0x10D0, 0x10F0),
+    "IsHiragana": (0x3041, 0x3096), "IsKatakana": (0x30A1, 0x30FA), "IsHan": (0x4E00, 0x9FA5), "IsHangul": (0xAC00, 0xD7A3),
+}
 
 
 def _like(value: Column, noise: Column, keep: str = r"[^\p{L}\d]", hexes: bool = False) -> Column:
@@ -99,9 +113,12 @@ def _like(value: Column, noise: Column, keep: str = r"[^\p{L}\d]", hexes: bool =
         if hexes:
             return F.element_at(F.split(F.lit("0123456789abcdef"), ""), (n % 16 + 1).cast("int"))
         pick = F.when(ch.rlike(f"^{keep}$"), ch)
-        for cls, letters in zip(_CLASSES, ALPHABETS, strict=True):
+        for cls, letters in ALPHABETS.items():
             pick = pick.when(ch.rlike(f"^{cls}$"), F.element_at(F.split(F.lit(letters), ""), (n % len(letters) + 1).cast("int")))
-        pick = pick.when(ch.rlike(r"^\p{Lu}$"), F.element_at(F.split(F.lit("ÀÁÂÄÈÉÊËÍÎÏÑÓÔÖÚÜ"), ""), (n % 17 + 1).cast("int")))
+        wide = n * 251 + F.element_at(noise, ((i + 61) % 128 + 1).cast("int"))
+        for script, (first, last) in RANGES.items():
+            code = F.lpad(F.hex((F.lit(first) + wide % (last - first + 1)).cast("long")), 4, "0")
+            pick = pick.when(ch.rlike(rf"^[\p{{{script}}}&&\p{{L}}]$"), F.decode(F.unhex(code), "UTF-16BE"))
         return pick.when(ch.rlike(r"^\p{L}$"), F.element_at(F.split(F.lit("àáâäèéêëíîïñóôöúü"), ""), (n % 17 + 1).cast("int"))).otherwise(ch)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
@@ -119,34 +136,40 @@ _SYLLABLES = [c + v for c in "bdfglmnprstv" for v in "aeiou"]  # 60
 _ENDINGS = {"f": ("la", "na", "ra", "sia", "lia", "tia", "via", "da"), "m": ("ron", "las", "mar", "ton", "ber", "dor", "vik", "lan"), "n": ("le", "re", "ne", "se", "ve", "te", "be", "de")}
 
 
-def _name(value: Column, noise: Column) -> Column:
-    """Title, then invented names of as many words: gender by the title, script by the letters."""
+def _name(value: Column, noise: Column, attempt: Column) -> Column:
+    """Title, if there is one, then invented names of as many words: gender by the title, script by the letters. Later attempts make longer names, so names don't run out."""
     title = F.regexp_extract(value, rf"^(?:{_ANY_TITLE})", 0)
-    words = F.slice(F.split(value, " "), F.lit(2), F.size(F.split(value, " ")))
+    words = F.slice(F.split(value, " "), F.when(title == "", 1).otherwise(2), F.size(F.split(value, " ")))
     gender = reduce(lambda acc, g: acc.when(title.isin(*TITLES[g]), F.lit(g)), ("m",), F.when(title.isin(*TITLES["f"]), F.lit("f"))).otherwise("n")
     syllables = F.array(*[F.lit(s) for s in _SYLLABLES])
     ends = reduce(lambda acc, g: acc.when(gender == g, F.array(*[F.lit(e) for e in _ENDINGS[g]])), ("m",), F.when(gender == "f", F.array(*[F.lit(e) for e in _ENDINGS["f"]]))).otherwise(F.array(*[F.lit(e) for e in _ENDINGS["n"]]))
 
     def made(word: Column, i: Column) -> Column:
         at = lambda k: F.element_at(noise, ((i * 8 + k - 1) % 128 + 1).cast("int"))
-        latin = F.initcap(F.concat(F.element_at(syllables, at(1) % 60 + 1), F.element_at(syllables, at(2) % 60 + 1), F.element_at(ends, at(3) % 8 + 1)))
+        more = F.array_join(F.transform(F.when(attempt > 3, F.sequence(F.lit(4), F.least(attempt, F.lit(7)))).otherwise(F.array().cast("array<int>")), lambda k: F.element_at(syllables, F.element_at(noise, ((i * 8 + k) % 128 + 1).cast("int")) % 60 + 1)), "")
+        latin = F.initcap(F.concat(F.element_at(syllables, at(1) % 60 + 1), F.element_at(syllables, at(2) % 60 + 1), more, F.element_at(ends, at(3) % 8 + 1)))
         return F.when(word.rlike(r"^[\p{IsLatin}\p{M}'’-]+$"), latin).otherwise(_like(word, F.slice(F.concat(noise, noise), (i * 8 % 128 + 4).cast("int"), F.lit(128))))
 
-    return F.concat(title, F.lit(" "), F.array_join(F.transform(words, made), " "))
+    return F.concat(title, F.when(title == "", "").otherwise(" "), F.array_join(F.transform(words, made), " "))
+
+
+#: Attempts after which the space of a form counts as crowded.
+CROWDED = 20
 
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The canonical surrogate of a canonical entity."""
     b = _bytes(key, kind, value, attempt)
     at = lambda k: F.element_at(b, k)
-    digits = _like(value, b)
+    # secrets of which there are too many of a form are lengthened after some attempts, by a letter or digit of their last kind for each further one
+    digits = _like(F.when((kind == "secret") & (attempt >= CROWDED), F.concat(value, F.repeat(F.right(value, F.lit(1)), attempt - CROWDED + 1))).otherwise(value), b)
     email = F.concat(_like(F.substring_index(value, "@", 1), b), F.lit("@"), _like(F.regexp_replace(F.substring_index(value, "@", -1), r"\.[^.]+$", ""), F.slice(b, 65, 64)), F.regexp_extract(value, r"\.[^.]+$", 0))
     octet = lambda k: (at(k) % 254 + 1).cast("string")
     card = _luhn(F.concat(F.substring(value, 1, 1), digits.substr(F.lit(2), F.length(value) - 2)))
     phone = F.concat((at(100) % 8 + 2).cast("string"), digits.substr(F.lit(2), F.length(value)))
     return (
         F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4))).when(kind == "card", card).when(kind == "phone", phone)
-        .when(kind == "name", _name(value, b)).when(kind == "access_key", F.concat(F.substring(value, 1, 4), _like(value.substr(F.lit(5), F.length(value)), b)))
+        .when(kind == "name", _name(value, b, attempt)).when(kind == "access_key", F.concat(F.substring(value, 1, 4), _like(value.substr(F.lit(5), F.length(value)), b)))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), _like(value.substr(F.lit(3), F.length(value)), b)))
         .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), _like(value, b, hexes=True)).otherwise(digits)
     )
@@ -175,37 +198,41 @@ def rendered(kind: Column, mention: Column, form: Column) -> Column:
 def entities(mentions: DataFrame, key: str) -> DataFrame:
     """(kind, value, form): a distinct surrogate for each distinct entity, none of them a real one."""
     real = cut(mentions.select("kind", "value").distinct())
-    todo, done, attempt = real, None, 0
+    todo, done, attempt = real, [], 0
     while True:
         drawn = todo.withColumn("form", surrogate(key, F.col("kind"), F.col("value"), F.lit(attempt)))
-        if done is not None:
-            taken = done.select("kind", "form").unionByName(real.select("kind", F.col("value").alias("form")))
-        else:
-            taken = real.select("kind", F.col("value").alias("form"))
+        taken = reduce(DataFrame.unionByName, [real.select("kind", F.col("value").alias("form")), *(d.select("kind", "form") for d in done)])
         first = F.row_number().over(Window.partitionBy("kind", "form").orderBy("value"))
         drawn = cut(drawn.withColumn("nth", first).join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "form"], "left").withColumn("ok", (F.col("nth") == 1) & F.col("taken").isNull()))
-        good = drawn.where("ok").select("kind", "value", "form")
-        done = good if done is None else done.unionByName(good)
+        done.append(drawn.where("ok").select("kind", "value", "form"))
         todo, attempt = drawn.where("NOT ok").select("kind", "value"), attempt + 1
         if not todo.limit(1).count():
-            return done
-        if attempt == 20:  # a space of forms smaller than its entities: number the rest, which keeps them apart
-            rest = todo.withColumn("form", F.concat(surrogate(key, F.col("kind"), F.col("value"), F.lit(attempt)), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "value"), 256), 1, 24)))
-            return done.unionByName(rest)
+            return reduce(DataFrame.unionByName, done)
+        if attempt == 200:
+            raise ValueError("there are more entities of some kind than surrogates of its form")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, text with surrogates, n_entities, kinds (sorted, distinct).
 
-    Null texts stay null, texts without entities stay as they are. Repeated rows and null ids are rows of
-    their own. An empty table gives no rows.
+    Null texts stay null, texts without entities stay as they are, texts of any length are searched whole. Repeated rows and null ids are rows of
+    their own, and equal entities get equal surrogates wherever they stand. Extra columns are dropped. An empty table gives no rows.
+
+    Names are found behind a title or one of ``CUES``. Names and secrets grow by letters where the table holds so many
+    of a form that several draws found none that is free; numbers and addresses keep their form, and where one has no free
+    forms left (over half a billion social security numbers, say) a ValueError says so.
     """
+    with scratch(docs.sparkSession) as keep:
+        return _pseudonymised(docs, key, id_col, text_col, keep)
+
+
+def _pseudonymised(docs: DataFrame, key: str, id_col: str, text_col: str, keep) -> DataFrame:
     rows = with_row(docs, id_col, text_col)
     text = F.col("text")
     hit = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
-    found = cut(rows.where(hit).withColumn("mentions", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).withColumn("gaps", F.split(text, PATTERN, -1)).drop("text"))
+    found = keep(cut(rows.where(hit).withColumn("mentions", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).withColumn("gaps", F.split(text, PATTERN, -1)).drop("text")))
     mentions = found.select("row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", _kind(F.col("mention"))).withColumn("lead", _lead(F.col("kind"), F.col("mention"))).withColumn("mention", _body(F.col("kind"), F.col("mention"))).withColumn("value", canonical(F.col("kind"), F.col("mention")))
-    known = cut(entities(mentions, key))
+    known = keep(cut(entities(mentions, key)))
     placed = mentions.join(known, ["kind", "value"]).select("row", "at", "kind", F.concat("lead", rendered(F.col("kind"), F.col("mention"), F.col("form"))).alias("new"))
     listed = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "new", "kind"))).alias("news"))
     gaps, news = F.col("gaps"), F.col("news")
