@@ -1,6 +1,11 @@
 """A training-data pipeline over ``documents``: language ID, exact dedup, near dedup, decontamination, packing.
 
-Each stage works on all rows that the one before kept. All but the last return the columns of documents.
+Each stage works on all rows that the one before kept. All but the last return the columns of documents. Null and empty
+texts are rejected by the first stage; rows that repeat are rows of their own; extra columns, whatever their names, are
+carried along; an empty table gives no rows, and an empty benchmark rejects nothing.
+
+Texts aren't shuffled to keep or drop rows: language ID gives its verdict where it reads a row, and the other filters drop the rows
+on a list, which is broadcast if it has at most a million rows and joined by row number beyond that.
 """
 
 from __future__ import annotations
@@ -9,17 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import decontam, exact_dedup, lang_id, near_dedup, packing
-from sieveline.llm.common import cut, table
+from sieveline.llm.common import cut, discard, scratch, settled, small_side, table
 from sieveline.llm.queries import BYTE_BPE
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key that orders rows by doc_id, nulls last, and tells rows of the same doc_id apart."""
-    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row")))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc, row, key, text): rows whole, numbered, with a key that orders them by doc_id, nulls last, and tells rows of the same doc_id apart."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumns({"key": F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "row"), "text": F.col("doc.text")})
 
 
-def _join(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    return _keyed(docs).withColumn("_row", F.col("_key.row")).join(keys.select(F.col("_key.row").alias("_row")).distinct(), "_row", how).select(*docs.columns)
+def _without(docs: DataFrame, rejected) -> DataFrame:
+    """``docs`` without the rows whose keys ``rejected`` gives for (key, text)."""
+    rows = _numbered(settled(docs))
+    gone = cut(rejected(rows.select("key", "text")).select("key.row").distinct())
+    return rows.join(small_side(gone), "row", "left_anti").select("doc.*")
 
 
 #: Mail addresses and runs of letters that touch digits (tokens, keys): no words of any language, so they don't count as noise.
@@ -28,24 +37,25 @@ MACHINE = r"[^\s@]++@[^\s@]++|[\p{L}_]*+\d[\p{L}\d_]*+"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no letters or is mostly noise rather than any learned language."""
+    rows = _numbered(docs)
     words = F.regexp_replace("text", MACHINE, " ")
-    found = lang_id.identify(_keyed(docs.withColumn("text", F.when(words.rlike(r"\p{L}"), words).otherwise(F.col("text")))), F.lit(False), id_col="_key")
-    return _join(docs, found.where("lang_pred <> 'und' AND noise_share <= 0.5"), "left_semi")
+    rows = rows.select("doc", F.col("doc.lang").alias("lang"), F.when(words.rlike(r"\p{L}"), words).otherwise(F.col("text")).alias("text"))
+    return lang_id.identify(rows, F.lit(False), id_col="doc").where("lang_pred <> 'und' AND noise_share <= 0.5").select("doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
-    return _join(docs, exact_dedup.dedup(_keyed(docs), id_col="_key").where("kept"), "left_semi")
+    return _without(docs, lambda rows: exact_dedup.dedup(rows, id_col="key").where("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    return _join(docs, near_dedup.near_dedup(_keyed(docs), id_col="_key").where("kept"), "left_semi")
+    return _without(docs, lambda rows: near_dedup.near_dedup(rows, id_col="key").where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold at least three quarters of a benchmark item's word shingles."""
-    return _join(docs, decontam.leaks(_keyed(docs), table(spark, sf_dir, "benchmark"), id_col="_key"), "left_anti")
+    return _without(docs, lambda rows: decontam.leaks(rows, table(spark, sf_dir, "benchmark"), id_col="key"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            kept = keep(cut(stage(spark, docs, sf_dir)))
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

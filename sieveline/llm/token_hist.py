@@ -2,9 +2,9 @@
 
 Each task encodes whole texts and emits one integer a document; counts are combined before the
 shuffle, so what moves is one row per distinct length and task. Suffix sums run in two levels
-(chunks of lengths, then lengths within a chunk), so no task ever holds all lengths.
+(chunks of lengths, then lengths within a chunk), so a task holds at most a chunk of lengths.
 
-Null and empty texts have length 0 and are counted. An empty table gives no rows.
+Null and empty texts have length 0 and are counted, repeated rows each; ids, ties and extra columns play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
