@@ -95,12 +95,12 @@ def _sketch(n: int):
 
 
 def _branch(picks: float):
-    """From (node, cls, tokens) to (node, cls) of the children. The root picks two places a tree, other nodes ``picks`` on average."""
+    """From (node, cls, size, tokens) to (node, cls, was) of the children, ``was`` being the size of the parent. The root picks two places a tree, other nodes ``picks`` on average."""
 
     def run(batches):
         for b in batches:
-            nodes, cls = b.column(0).to_numpy().astype(np.uint64), b.column(1)
-            tok = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, WIDTH)
+            nodes, cls, size = b.column(0).to_numpy().astype(np.uint64), b.column(1), b.column(2)
+            tok = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, WIDTH)
             out_n, out_c = [], []
             for k in range(2):
                 h = _mix(nodes * np.uint64(2) + np.uint64(k))
@@ -110,7 +110,8 @@ def _branch(picks: float):
                 child = _mix(h[rows] ^ (tok[rows, place[rows]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 out_n.append(child)
                 out_c.append(rows)
-            yield pa.record_batch([pa.array(np.concatenate(out_n).astype(np.int64)), cls.take(pa.array(np.concatenate(out_c)))], ["node", "cls"])
+            at = pa.array(np.concatenate(out_c))
+            yield pa.record_batch([pa.array(np.concatenate(out_n).astype(np.int64)), cls.take(at), size.take(at)], ["node", "cls", "was"])
 
     return run
 
@@ -324,21 +325,30 @@ def _blocks(crowd: DataFrame, known: DataFrame, block: int) -> DataFrame | None:
     return rows.select(F.xxhash64("crowd", F.least("own", "met"), F.greatest("own", "met")).alias("task"), *known.columns, (F.col("own") > F.col("met")).cast("int").alias("side"))
 
 
+#: A node that keeps this share of its parent's classes holds classes that are much alike, which further branching wouldn't part.
+DENSE = 0.7
+
+
 def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes (node, cls), and the crowds (crowd, cls) of those that stayed large, if any. ``classes``: (cls, tokens)."""
-    nodes = classes.mapInArrow(_roots(trees), "node long, cls long")
-    done = None
+    """Small nodes (node, cls), and the crowds (crowd, cls) of those that stayed large, if any. ``classes``: (cls, tokens).
+
+    A large node that is hardly smaller than its parent stops early: that only adds pairs, since what stops is compared whole.
+    """
+    nodes = classes.mapInArrow(_roots(trees), "node long, cls long").withColumn("was", F.lit(None).cast("long"))
+    small, large = [], []
     for level in range(levels):
-        size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        nodes = cut(nodes.join(size, "node"))
-        small = nodes.where(F.col("size") <= leaf).select("node", "cls")
-        done = small if done is None else done.unionByName(small)
-        large = nodes.where(F.col("size") > leaf).select("node", "cls")
-        if not large.limit(1).count():
-            return done, None
-        if level < levels - 1:
-            nodes = large.join(classes, "cls").select("node", "cls", "tokens").mapInArrow(_branch(picks), "node long, cls long")
-    return done, cut(crowds(large))
+        size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("was").alias("was")).where("size > 1")
+        nodes = cut(nodes.select("node", "cls").join(size, "node"))
+        small.append(nodes.where(F.col("size") <= leaf).select("node", "cls"))
+        wide = nodes.where(F.col("size") > leaf)
+        stops = F.coalesce(F.col("size") >= DENSE * F.col("was"), F.lit(False)) | F.lit(level == levels - 1)
+        large.append(wide.where(stops).select("node", "cls"))
+        goes_on = wide.where(~stops)
+        if not goes_on.limit(1).count():
+            break
+        nodes = goes_on.join(classes, "cls").select("node", "cls", "size", "tokens").mapInArrow(_branch(picks), "node long, cls long, was long")
+    both = reduce(DataFrame.unionByName, large)
+    return reduce(DataFrame.unionByName, small), cut(crowds(both)) if both.limit(1).count() else None
 
 
 def _dealt(crowd: DataFrame, leaf: int) -> DataFrame:
