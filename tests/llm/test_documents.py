@@ -66,13 +66,14 @@ def test_near_dedup(docs):
     assert sum(r["kept"] for r in got) == len(least)
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("block_items", [100, 7])
+def test_decontamination(spark, docs, block_items):
     texts = [r.text for r in docs.select("text").collect() if r.text and len(r.text.split()) > 40]
     items = [(k, " ".join(t.split()[5 : 5 + 8 * (k + 1)])) for k, t in enumerate(texts[:12])]
     long = next(t for t in texts if len(t) > 100_000).split()
     items += [(20, " ".join(long[-300:-240])), (21, " ".join(long[17_000:17_030]) + " not there at all"), (22, None), (23, ""), (24, "one two three"), (24, "one"), (None, " ".join(long[:50]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = Counter((r["doc_id"], r["item_id"], r["n_shared"]) for r in rows(decontam.leaks(docs, bench, block_items=7)))
+    got = Counter((r["doc_id"], r["item_id"], r["n_shared"]) for r in rows(decontam.leaks(docs, bench, block_items=block_items, bits=16)))
     want = Counter()
     for d in docs.select("doc_id", "text").collect():
         own = shingles(words_of(d.text), 5)
@@ -83,6 +84,14 @@ def test_decontamination(spark, docs):
     assert got == want and len(want) > 30
 
 
+def test_decontamination_with_text_item_ids(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    d = spark.createDataFrame([(1, "before " + words), (2, "nothing of it")], "doc_id int, text string")
+    bench = spark.createDataFrame([("item-a", words), (None, words), ("item-b", "else " * 9)], "item_id string, text string")
+    for block_items in (10, 1):
+        assert sorted(str(r["item_id"]) for r in rows(decontam.leaks(d, bench, block_items=block_items))) == ["None", "item-a"]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -160,12 +169,12 @@ def test_ppm_probabilities_sum_to_one_and_agree_with_the_trie():
     for t in held:
         seen.add(t, False)
     codes, n = seen.result()
-    n1 = np.zeros((258, 258), np.int64)
-    np.add.at(n1, ((codes >> 9) & 511, codes & 511), n)
-    logp = dict(zip(codes.tolist(), lm_score.log_probabilities(codes, n, order, n1).tolist()))
-    for code, value in logp.items():
-        *c, s = [(code >> 9 * k) & 511 for k in range(order, -1, -1)]
-        assert abs(value - math.log10(trie.probability(tuple(c), s))) < 1e-9
+    for least in (2, 3):
+        low = lm_score.Low(least, codes[n > 0] & ((1 << 9 * least) - 1), n[n > 0])
+        logp = dict(zip(codes.tolist(), lm_score.log_probabilities(codes, n, order, low).tolist()))
+        for code, value in logp.items():
+            *c, s = [(code >> 9 * k) & 511 for k in range(order, -1, -1)]
+            assert abs(value - math.log10(trie.probability(tuple(c), s))) < 1e-9
 
 
 def test_lm_score(docs):
@@ -194,6 +203,13 @@ def test_lm_score(docs):
     assert abs(small["score"] - want_log) < 1e-6
 
 
+def test_lm_score_takes_ids_of_any_type(spark):
+    for kind in ("int", "string", "struct<a:int>"):
+        d = spark.createDataFrame([("1", "a b a b"), ("2", "a b c"), (None, None)], "doc_id string, text string")
+        d = d.withColumn("doc_id", F.struct(F.col("doc_id").cast("int").alias("a")) if "struct" in kind else F.col("doc_id").cast(kind))
+        assert len(rows(lm_score.score(d, F.lit(False), order=3))) == 3
+
+
 def test_adaptive_code_length(spark):
     d = spark.createDataFrame([(1, "ab " * 200), (2, None), (3, "qzjx vkwp flmd")], "doc_id int, text string")
     bits = {r["doc_id"]: r["bits"] for r in rows(lm_score.adaptive_code_lengths(d))}
@@ -257,7 +273,7 @@ def test_near_dedup_trees_reach_their_recall():
         return [(node, cls) for (node, pair), both in found.items() if len(both) == 2 for cls in both]
 
     def batch(nodes, cls):
-        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array(cls, pa.int64()), pa.array([tokens[c] for c in cls], pa.binary())], ["node", "cls", "tokens"])
+        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array(cls, pa.int64()), pa.array([2] * len(cls), pa.int64()), pa.array([tokens[c] for c in cls], pa.binary())], ["node", "cls", "size", "tokens"])
 
     for trees in (1, 3):
         at = met(near_dedup._roots(trees)([batch([0] * 2 * n, range(2 * n)).select(["cls", "tokens"])]))
