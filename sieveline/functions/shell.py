@@ -94,16 +94,28 @@ def base_command(segment: Column | str) -> Column:
     return F.when(plain, F.concat(command_name(segment), F.lit(" "), second)).otherwise(command_name(segment))
 
 
-#: Programs whose output is never worth filtering.
-IGNORED = ("cd", "echo", "export", "source", "true", "false", "pwd", "exit", "set", "unset", "alias", "mkdir", "touch", "chmod", "sleep")
+def base_words(segment: Column | str) -> Column:
+    """The same with the program as it is written, folders and all."""
+    bare = strip_prefix(segment)
+    first, second = F.regexp_extract(bare, r"^(\S+)", 1), F.regexp_extract(bare, r"^\S+\s+(\S+)", 1)
+    plain = (second != "") & ~second.startswith("-") & ~second.contains("/") & ~second.contains(".")
+    return F.when(plain, F.concat(first, F.lit(" "), second)).otherwise(first)
+
+
+#: Programs whose output is never worth filtering, unless one of them is a command of its own.
+IGNORED = (
+    "cd", "pwd", "echo", "export", "set", "unset", "source", "alias", "clear", "exit", "true", "false", "test", "read", "wait", "sleep", "exec", "eval", "trap", "return",
+    "mkdir", "rmdir", "touch", "rm", "cp", "mv", "ln", "chmod", "chown", "kill", "pushd", "popd", "umask",
+)
 
 
-def classify(segment: Column | str, commands: list[str], defs: list) -> Column:
-    """ignored, command, filter or unsupported."""
+def classify(segment: Column | str, commands: list[str], defs: list, program: str = "sieveline") -> Column:
+    """covered (already run through ``program``), ignored, command, filter or unsupported."""
     from ..plans.filters import route
 
-    name = command_name(segment)
-    return F.when(name.isin(*IGNORED) | (name == ""), "ignored").when(name.isin(*commands), "command").when(route(strip_prefix(segment), defs).isNotNull(), "filter").otherwise("unsupported")
+    name, whole = command_name(segment), F.trim(c(segment))
+    skipped = [x for x in IGNORED if x not in commands]
+    return F.when((whole == program) | whole.startswith(program + " "), "covered").when(name.isin(*skipped) | (name == ""), "ignored").when(name.isin(*commands), "command").when(route(strip_prefix(segment), defs).isNotNull(), "filter").otherwise("unsupported")
 
 
 def has_substitution(x: Column | str) -> Column:

@@ -68,8 +68,8 @@ def ellipsis(x: Column | str, n: int, mark: str = "...") -> Column:
 
 
 def byte_gated(x: Column | str, limit: int = 100, keep: int = 97) -> Column:
-    """Texts over ``limit`` bytes are cut to ``keep`` characters and marked: the test is on bytes, the cut on characters."""
-    return F.when(F.octet_length(c(x)) > limit, F.concat(F.left(c(x), F.lit(keep)), F.lit("..."))).otherwise(c(x))
+    """Texts over ``limit`` bytes and ``keep`` characters are cut to as many characters and marked."""
+    return F.when((F.octet_length(c(x)) > limit) & (F.char_length(c(x)) > keep), F.concat(F.left(c(x), F.lit(keep)), F.lit("..."))).otherwise(c(x))
 
 
 def any_of(x: Column, patterns: list[str]) -> Column:
@@ -160,7 +160,7 @@ def perms_to_octal(perms: Column | str) -> Column:
 
 #: What a log line is normalised by before it is counted, in this order.
 LOG_STEPS = (
-    (r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}[.,]?\d*\s*", ""),
+    (r"^\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}[.,]?\d*\s*", ""),
     (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<UUID>"),
     (r"0x[0-9a-fA-F]+", "<HEX>"),
     (r"\b\d{4,}\b", "<NUM>"),
@@ -175,7 +175,7 @@ def normalize_log(x: Column | str) -> Column:
 def log_severity(x: Column | str) -> Column:
     """error before warn before info, on the lower-cased raw line; null where none."""
     low = F.lower(c(x))
-    return F.when(low.rlike("error|fatal|panic"), "error").when(low.rlike("warn"), "warn").when(low.rlike("info"), "info")
+    return F.when(low.rlike("error|fatal|panic|critical|alert|emerg|severe"), "error").when(low.rlike("warn|notice"), "warn").when(low.rlike("info"), "info")
 
 
 def char_similarity(a: Column, b: Column) -> Column:

@@ -25,7 +25,7 @@ def period(ts: Column, grain: str) -> Column:
 
 
 #: Dollars a million tokens (input, output) by the beginning of a model's name; the first that fits counts, the last is the default.
-RATES = (("claude-opus", 15.0, 75.0), ("claude-sonnet", 3.0, 15.0), ("claude-haiku", 0.8, 4.0), ("", 3.0, 15.0))
+RATES = (("claude-fable", 10.0, 50.0), ("claude-mythos", 10.0, 50.0), ("claude-opus", 5.0, 25.0), ("claude-sonnet", 3.0, 15.0), ("claude-haiku", 1.0, 5.0), ("", 5.0, 25.0))
 
 
 def usage_cost(model: Column, inp: Column, out: Column, cache_write: Column, cache_read: Column, rates=RATES) -> Column:
@@ -71,15 +71,17 @@ def log_summary(df: DataFrame, line: str) -> DataFrame:
 def corrections(commands: DataFrame, scope: list[str], order: list[str], least: float = 0.6) -> DataFrame:
     """Failed commands with the similar one among the next three that put it right.
 
-    commands: (command, is_error, output). Similarity is 0 for different base commands, else half plus half the Jaccard
-    similarity of the arguments; 0.2 more, up to 1, where the later command doesn't fail. Equal commands and those
-    that differ by a path only (0.9 to 1) are passed over.
+    commands: (command, is_error, output). Similarity is 0 for different base commands (the program as written and its first argument), else
+    half plus half the Jaccard similarity of the words that follow; 0.2 more, up to 1, where the later command doesn't fail. Equal commands and
+    those that differ by a path only (0.9 to 1) are passed over.
     """
+    from ..functions.shell import base_words
     from .joins import look_ahead
 
     words = lambda x: F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    base = lambda x: F.element_at(F.split(F.trim(x), r"\s+"), 1)
-    args = lambda x: F.array_except(words(x), F.array(base(x)))
+    base = base_words
+    # what the command begins with beyond its base (an assignment, say) leaves the base among the words
+    args = lambda x: words(F.when(x.startswith(base(x)), F.substring(x, F.length(base(x)) + 1, F.length(x))).otherwise(x))
 
     def sim(a: Column, b: Column) -> Column:
         return F.when(base(a) != base(b), 0.0).otherwise(0.5 + 0.5 * T.jaccard(args(a), args(b)))

@@ -106,13 +106,13 @@ def summary(diags: DataFrame) -> DataFrame:
     return diags.groupBy("id").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("file").alias("files"), sev("error").alias("errors"), sev("warning").alias("warnings"))
 
 
-#: Severities by rank.
-SEVERITY = ("fatal", "error", "warning", "convention", "refactor", "info")
+#: Severities by rank; others come last.
+SEVERITY = (("fatal", "error"), ("warning",), ("convention", "refactor", "info"))
 
 
 def worst_files(diags: DataFrame, files: int = 10, per_file: int = 5) -> DataFrame:
     """Files by their worst severity, then path; of each the first offenses by severity, then line."""
-    rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(SEVERITY)], F.lit(len(SEVERITY)))
+    rank = F.coalesce(*[F.when(F.col("severity").isin(*s), F.lit(i)) for i, s in enumerate(SEVERITY)], F.lit(len(SEVERITY)))
     d = diags.withColumn("severity_rank", rank)
     d = d.withColumn("worst", F.min("severity_rank").over(Window.partitionBy("id", "file")))
     d = d.withColumn("file_rank", F.dense_rank().over(Window.partitionBy("id").orderBy("worst", "file")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -84,19 +84,34 @@ def packages(df: DataFrame, id_col: str = "id", text_col: str = "text", cap: int
     return top_k(p.withColumn("letter", F.lower(F.left("name", F.lit(1)))), cap, [F.lower("name")], ["id", "letter"])
 
 
-#: Which variables go into which group, the first that fits.
+#: Which variables go into which group, the first that fits: a part of the name (in upper case but for PATH), or its beginning.
 ENV_GROUPS = (
-    ("path", r"PATH"), ("language", r"^(?:RUST|CARGO|PYTHON|PIP|NODE|NPM|YARN|GO|JAVA|MAVEN|GRADLE|RUBY|GEM|BUNDLE)"),
-    ("cloud", r"^(?:AWS|AZURE|GCP|GOOGLE_CLOUD|DOCKER|KUBERNETES|K8S|KUBE|HELM|TERRAFORM)"), ("tool", r"^(?:EDITOR|VISUAL|SHELL|TERM|GIT|SSH|GPG|HOMEBREW|XDG)"),
-)
+    ("language", ("RUST", "CARGO", "PYTHON", "PIP", "NODE", "NPM", "YARN", "DENO", "BUN", "JAVA", "MAVEN", "GRADLE", "GO", "GOPATH", "GOROOT", "RUBY", "GEM", "PERL", "PHP", "DOTNET", "NUGET")),
+    ("cloud", ("AWS", "AZURE", "GCP", "GOOGLE_CLOUD", "DOCKER", "KUBERNETES", "K8S", "HELM", "TERRAFORM", "VAULT", "CONSUL", "NOMAD")),
+    ("tool", ("EDITOR", "VISUAL", "SHELL", "TERM", "GIT", "SSH", "GPG", "BREW", "HOMEBREW", "XDG", "CLAUDE", "ANTHROPIC")),
+)
+ENV_OTHER = ("HOME", "USER", "LANG", "LC_", "TZ", "PWD", "OLDPWD")
 
 
-def env_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """NAME=value lines by group; sensitive values masked, long ones cut."""
+def env_group(name: Column | str, filtered: bool = False) -> Column:
+    """The group of a variable, null if it isn't shown; with a filter by name every variable that passes it is."""
+    name = T.c(name)
+    up = F.upper(name)
+    found = [F.when(up.rlike("|".join(parts)), F.lit(g)) for g, parts in ENV_GROUPS]
+    other = F.lit("other") if filtered else F.when(up.rlike("^(?:" + "|".join(ENV_OTHER) + ")"), "other")
+    return F.coalesce(F.when(name.contains("PATH"), "path"), *found, other)
+
+
+def env_rows(df: DataFrame, id_col: str = "id", text_col: str = "text", contains: str | None = None, show_all: bool = False) -> DataFrame:
+    """NAME=value lines by group; sensitive values masked, those over 100 characters cut to 50 with their length.
+
+    contains: shows variables whose name has this part, in any case, and no others.
+    """
     name, value = F.regexp_extract("raw", r"^([^=]+)=", 1), F.regexp_extract("raw", r"^[^=]+=(.*)$", 1)
-    group = F.coalesce(*[F.when(name.rlike(p), F.lit(g)) for g, p in ENV_GROUPS], F.lit("other"))
-    shown = F.when(T.is_sensitive(name), T.mask_value(value)).otherwise(T.ellipsis(value, 50))
-    return _lines(df, id_col, text_col).where(F.col("raw").contains("=")).select("id", "at", name.alias("name"), group.alias("group"), shown.alias("shown"))
+    long = F.concat(F.left(value, F.lit(50)), F.lit("... ("), F.char_length(value).cast("string"), F.lit(" chars)"))
+    shown = F.when(T.is_sensitive(name) & F.lit(not show_all), T.mask_value(value)).when(F.char_length(value) > 100, long).otherwise(value)
+    rows = _lines(df, id_col, text_col).where(F.col("raw").contains("=")).select("id", "at", name.alias("name"), env_group(name, contains is not None).alias("group"), shown.alias("shown"))
+    return rows.where(F.col("group").isNotNull() & (F.lower("name").contains(contains.lower()) if contains else F.lit(True)))
 
 
 def psql_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -67,7 +67,14 @@ def generic_counts(x: Column | str) -> Column:
     return F.struct(*[_n(low, rf"(\d+)\s*{w}").alias(w) for w in ("passed", "failed", "skipped")])
 
 
-def error_blocks(x: Column | str, patterns: tuple[str, ...] = (r"(?i)^\s*error", r"(?i)\berror[:\[]", r"(?i)\bfailed\b", r"(?i)\bpanic", r"(?i)exception", r"(?i)traceback", r"(?i)warning:")) -> Column:
+#: What marks a line as an error or a warning.
+ERROR_LINES = (
+    r"(?i:^.*error[\s:\[].*$)", r"(?i:^.*\berr\b.*$)", r"(?i:^.*warning[\s:\[].*$)", r"(?i:^.*\bwarn\b.*$)", r"(?i:^.*failed.*$)", r"(?i:^.*failure.*$)", r"(?i:^.*exception.*$)", r"(?i:^.*panic.*$)",
+    r"^error\[E\d+\]:.*$", r"^\s*--> .*:\d+:\d+$", r"^Traceback.*$", r"^\s*File \".*\", line \d+.*$", r"^\s*at .*:\d+:\d+.*$", r"^.*\.go:\d+:.*$",
+)
+
+
+def error_blocks(x: Column | str, patterns: tuple[str, ...] = ERROR_LINES) -> Column:
     """Error lines and their indented continuations; a block ends at a line that isn't indented or at the second blank one."""
     start = F.struct(F.lit(False).alias("on"), F.lit(0).alias("blank"), F.array().cast("array<string>").alias("out"))
 
@@ -75,6 +82,6 @@ def error_blocks(x: Column | str, patterns: tuple[str, ...] = (r"(?i)^\s*error",
         hit = T.any_of(line, list(patterns))
         blank = T.is_blank(line)
         goes_on = s["on"] & ((blank & (s["blank"] == 0)) | (~blank & line.rlike(r"^\s")))
-        return F.struct((hit | goes_on).alias("on"), F.when(hit, 0).when(blank, s["blank"] + 1).otherwise(s["blank"]).alias("blank"), F.when(hit | goes_on, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
+        return F.struct((hit | goes_on).alias("on"), F.when(blank & ~hit, s["blank"] + 1).otherwise(0).alias("blank"), F.when(hit | goes_on, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
 
     return T.unlines(F.aggregate(T.lines(x), start, step, lambda s: s["out"]))

@@ -46,8 +46,8 @@ def coverage(segs: DataFrame, program: str) -> DataFrame:
 #: How failures are told apart, the first that fits.
 ERROR_KINDS = (
     ("unknown_flag", r"unexpected argument|unknown (?:option|flag)|unrecognized (?:option|flag)|invalid (?:option|flag)"), ("not_found", r"command not found|not recognized as an internal"),
-    ("wrong_path", r"no such file or directory|cannot find the path|file not found"), ("missing_argument", r"requires a value|requires an argument|missing (?:required )?argument"),
-    ("permission", r"permission denied|access denied|not permitted"),
+    ("missing_argument", r"requires a value|requires an argument|missing (?:required )?argument"), ("permission", r"permission denied|access denied|not permitted"),
+    ("wrong_path", r"no such file or directory|cannot find the path|file not found"),
 )
 
 

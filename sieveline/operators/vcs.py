@@ -74,9 +74,9 @@ def stashes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFr
 
 
 def checks(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Counts of passed, failed and pending check lines; a line counts once, by the first word that fits."""
-    line = F.lower("raw")
-    kind = F.when(line.rlike("pass|success"), "passed").when(line.rlike("fail|error|cancel"), "failed").when(line.rlike("pending|queued|progress"), "pending")
+    """Counts of passed, failed and pending check lines; a line counts once, by the first mark or word that fits. Case matters."""
+    has = lambda *marks: F.greatest(*[F.col("raw").contains(m) for m in marks])
+    kind = F.when(has("[ok]", "pass"), "passed").when(has("[x]", "fail"), "failed").when(has("*", "pending"), "pending")
     lines = df.select(F.col(id_col).alias("id"), F.explode(T.lines(text_col)).alias("raw")).withColumn("kind", kind)
     n = lambda k: F.sum((F.col("kind") == k).cast("long"))
     return lines.where("kind IS NOT NULL").groupBy("id").agg(n("passed").alias("passed"), n("failed").alias("failed"), n("pending").alias("pending"))

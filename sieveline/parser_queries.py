@@ -17,7 +17,7 @@ from .queries import query, table
 
 
 def blob(df: DataFrame, ident: Column, at: str, line: Column) -> DataFrame:
-    """(id, text): lines of each id in order, one output per id. Ids here hold few rows each."""
+    """(id, text): lines of each id in order, one output per id. Ids are numbers divided by a hundred, or orders of one customer or lines of one order, so each holds few rows at any scale."""
     g = df.select(ident.alias("id"), F.col(at).alias("at"), line.alias("line")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
     return g.select("id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
@@ -33,36 +33,36 @@ def _k() -> Column:
 def _mypy(spark, sf_dir) -> DataFrame:
     line = _s("src/m", _k() % 7, ".py:", _k(), F.when(_k() % 3 == 0, ": warning: ").otherwise(": error: "), "bad part", F.when(_k() % 4 == 0, "").otherwise(_s("  [code-", _k() % 5, "]")))
     noise = F.when(_k() % 11 == 0, "Found errors").otherwise(line)
-    return diagnostics.from_text(blob(table(spark, sf_dir, "part"), F.col("p_size"), "p_partkey", noise), "mypy")
+    return diagnostics.from_text(blob(table(spark, sf_dir, "part"), F.floor(_k() / 100), "p_partkey", noise), "mypy")
 
 
-@query("SELECT p_size AS id, 'src/m' || (p_partkey % 7) || '.py' AS file, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1, 2")
+@query("SELECT p_partkey // 100 AS id, 'src/m' || (p_partkey % 7) || '.py' AS file, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1, 2")
 def mypy_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.by_file(_mypy(spark, sf_dir))
 
 
-@query("SELECT p_size AS id, count(*) AS issues, count(DISTINCT p_partkey % 7) AS files, count(*) FILTER (p_partkey % 3 <> 0) AS errors, count(*) FILTER (p_partkey % 3 = 0) AS warnings FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1")
+@query("SELECT p_partkey // 100 AS id, count(*) AS issues, count(DISTINCT p_partkey % 7) AS files, count(*) FILTER (p_partkey % 3 <> 0) AS errors, count(*) FILTER (p_partkey % 3 = 0) AS warnings FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1")
 def mypy_summary(spark, sf_dir):
     return diagnostics.summary(_mypy(spark, sf_dir))
 
 
-@query("""SELECT id, file, code, n, rank FROM (SELECT p_size AS id, 'src/m' || (p_partkey % 7) || '.py' AS file, 'code-' || (p_partkey % 5) AS code, count(*) AS n,
- row_number() OVER (PARTITION BY p_size, p_partkey % 7 ORDER BY count(*) DESC, p_partkey % 5) AS rank FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 4 <> 0 GROUP BY p_size, p_partkey % 7, p_partkey % 5) WHERE rank <= 3""")
+@query("""SELECT id, file, code, n, rank FROM (SELECT p_partkey // 100 AS id, 'src/m' || (p_partkey % 7) || '.py' AS file, 'code-' || (p_partkey % 5) AS code, count(*) AS n,
+ row_number() OVER (PARTITION BY p_partkey // 100, p_partkey % 7 ORDER BY count(*) DESC, p_partkey % 5) AS rank FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 4 <> 0 GROUP BY p_partkey // 100, p_partkey % 7, p_partkey % 5) WHERE rank <= 3""")
 def mypy_top_codes(spark, sf_dir):
     return diagnostics.top_codes(_mypy(spark, sf_dir))
 
 
-@query("""SELECT id, code, n, rank FROM (SELECT p_size AS id, 'TS' || (2000 + p_partkey % 9) AS code, count(*) AS n, row_number() OVER (PARTITION BY p_size ORDER BY count(*) DESC, min(p_partkey)) AS rank FROM part GROUP BY p_size, p_partkey % 9) WHERE rank <= 5""")
+@query("""SELECT id, code, n, rank FROM (SELECT p_partkey // 100 AS id, 'TS' || (2000 + p_partkey % 9) AS code, count(*) AS n, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY count(*) DESC, min(p_partkey)) AS rank FROM part GROUP BY p_partkey // 100, p_partkey % 9) WHERE rank <= 5""")
 def tsc_first_seen_codes(spark, sf_dir):
     line = _s("app/", _k() % 5, ".ts(", _k(), ",1): error TS", 2000 + _k() % 9, ": no")
-    d = diagnostics.from_text(blob(table(spark, sf_dir, "part"), F.col("p_size"), "p_partkey", line), "tsc")
+    d = diagnostics.from_text(blob(table(spark, sf_dir, "part"), F.floor(_k() / 100), "p_partkey", line), "tsc")
     return diagnostics.first_seen_codes(d).drop("first_at")
 
 
-@query("SELECT p_size AS id, count(*) AS issues, count(DISTINCT p_partkey % 6) AS files, count(*) AS errors, 0::BIGINT AS warnings FROM part GROUP BY 1")
+@query("SELECT p_partkey // 100 AS id, count(*) AS issues, count(DISTINCT p_partkey % 6) AS files, count(*) AS errors, 0::BIGINT AS warnings FROM part GROUP BY 1")
 def ruff_json_summary(spark, sf_dir):
     v = F.struct(_s("E", _k() % 9).alias("code"), F.lit("long line").alias("message"), F.struct(_k().alias("row"), F.lit(1).alias("column")).alias("location"), _s("a/b", _k() % 6, ".py").alias("filename"))
-    text = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("id")).agg(F.to_json(F.collect_list(v)).alias("text"))
+    text = table(spark, sf_dir, "part").groupBy(F.floor(_k() / 100).alias("id")).agg(F.to_json(F.collect_list(v)).alias("text"))
     return diagnostics.summary(diagnostics.from_json(text, "ruff"))
 
 
@@ -96,12 +96,12 @@ def diff_stat(spark, sf_dir):
     return vcs.diff_stat(vcs.diff_lines(blob(li, F.col("l_orderkey"), "at", line)))
 
 
-@query("""SELECT c_nationkey AS id, count(*) AS pods, count(*) FILTER (c_custkey % 3 = 0) AS running, count(*) FILTER (c_custkey % 3 = 1) AS pending, count(*) FILTER (c_custkey % 3 = 2) AS failed, 0::BIGINT AS succeeded, sum(c_custkey % 4)::BIGINT AS restarts, count(*) FILTER (c_custkey % 3 = 1) AS waiting FROM customer GROUP BY 1""")
+@query("""SELECT c_custkey // 100 AS id, count(*) AS pods, count(*) FILTER (c_custkey % 3 = 0) AS running, count(*) FILTER (c_custkey % 3 = 1) AS pending, count(*) FILTER (c_custkey % 3 = 2) AS failed, 0::BIGINT AS succeeded, sum(c_custkey % 4)::BIGINT AS restarts, count(*) FILTER (c_custkey % 3 = 1) AS waiting FROM customer GROUP BY 1""")
 def pod_report(spark, sf_dir):
     k = F.col("c_custkey")
     state = F.struct(F.struct(F.when(k % 3 == 1, "CrashLoopBackOff").alias("reason")).alias("waiting"))
     pod = F.struct(F.struct(F.lit("ns").alias("namespace"), F.col("c_name").alias("name")).alias("metadata"), F.struct(F.when(k % 3 == 0, "Running").when(k % 3 == 1, "Pending").otherwise("Failed").alias("phase"), F.array(F.struct((k % 4).alias("restartCount"), state.alias("state"))).alias("containerStatuses")).alias("status"))
-    text = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.to_json(F.struct(F.collect_list(pod).alias("items"))).alias("text"))
+    text = table(spark, sf_dir, "customer").groupBy(F.floor(k / 100).alias("id")).agg(F.to_json(F.struct(F.collect_list(pod).alias("items"))).alias("text"))
     return listings.pod_report(listings.pods(text))
 
 
@@ -112,28 +112,42 @@ def cloud_rows(spark, sf_dir):
     return cloud.rows(text, "rds-instances").select("answer", "id", "state", "engine")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS n_segments, CASE p_partkey % 3 WHEN 2 THEN 'git' ELSE 'make' END AS first_program FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE p_size % 4 + 1 END::BIGINT AS n_segments, CASE p_partkey % 5 WHEN 2 THEN 'git' WHEN 3 THEN 'cat' WHEN 4 THEN 't' || p_size ELSE 'make' END AS first_program FROM part""")
 def split_chain(spark, sf_dir):
-    cmd = F.when(_k() % 3 == 0, "FOO=1 /usr/bin/make all && echo 'a && b' | wc -l").when(_k() % 3 == 1, "sudo make; ls & pwd").otherwise("git log --format=\"%h; %s\"")
+    cmd = (
+        F.when(_k() % 5 == 0, _s("FOO=", _k(), " /usr/bin/make all && echo 'a && b' | wc -l")).when(_k() % 5 == 1, "sudo make; ls & pwd").when(_k() % 5 == 2, "git log --format=\"%h; %s\"")
+        .when(_k() % 5 == 3, "cat <<E; ls").otherwise(_s("t", F.col("p_size"), " x", F.repeat(F.lit(" || true"), (F.col("p_size") % 4).cast("int"))))
+    )
     seg = table(spark, sf_dir, "part").select("p_partkey", S.split_chain(cmd).alias("s"))
     return seg.select("p_partkey", F.size("s").cast("long").alias("n_segments"), S.command_name(F.element_at("s", 1)).alias("first_program"))
 
 
-@query("SELECT 'git' AS command, count(*) AS n, sum(p_partkey)::BIGINT AS raw_tokens, sum(CAST(floor(p_partkey * 0.7::DOUBLE) AS BIGINT))::BIGINT AS saved_tokens, 'command' AS via, 'git log' AS display FROM part")
+_PROGRAMS = ("git log -3", "/usr/bin/git status", "make all", "df -h", "sudo cargo build", "rm -rf x", "sieveline git log", "foo bar", "A=1 cargo test", "cargo build --release")
+
+
+def _segments(spark, sf_dir):
+    cmd = F.concat(F.lit("cd x && "), F.element_at(F.array(*[F.lit(x) for x in _PROGRAMS]), (_k() % len(_PROGRAMS) + 1).cast("int")))
+    c = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), _k().alias("seq"), cmd.alias("command"), F.when(_k() % 7 == 0, -1).otherwise(_k() * 4).cast("int").alias("output_len"))
+    return transcripts.segments(c, ["git", "cargo"], [P.FilterDef("make", match_command="^make"), P.FilterDef("df", match_command="^df")])
+
+
+_SEGMENTS_SQL = "s AS (SELECT p_partkey AS k, p_partkey % 10 AS c, CASE WHEN p_partkey % 7 = 0 THEN 150 ELSE p_partkey END AS raw FROM part)"
+
+
+@query(f"""WITH {_SEGMENTS_SQL}, n AS (SELECT *, CASE WHEN c IN (0, 1) THEN 'git' WHEN c = 2 THEN 'make' WHEN c = 3 THEN 'df' ELSE 'cargo' END AS command, CASE WHEN c IN (2, 3) THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS pct,
+ CASE c WHEN 0 THEN 'git log' WHEN 1 THEN 'git status' WHEN 2 THEN 'make all' WHEN 3 THEN 'df' WHEN 8 THEN 'cargo test' ELSE 'cargo build' END AS base FROM s WHERE c IN (0, 1, 2, 3, 4, 8, 9)),
+b AS (SELECT command, base, count(*) AS m FROM n GROUP BY ALL)
+SELECT command, count(*) AS n, sum(raw)::BIGINT AS raw_tokens, sum(CAST(floor(raw * pct) AS BIGINT))::BIGINT AS saved_tokens, CASE WHEN command IN ('make', 'df') THEN 'filter' ELSE 'command' END AS via,
+ (SELECT base FROM b WHERE b.command = n.command ORDER BY m DESC, base LIMIT 1) AS display FROM n GROUP BY command""")
 def discover_supported(spark, sf_dir):
-    c = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), _k().alias("seq"), F.lit("cd x && git log -3").alias("command"), (_k() * 4).cast("int").alias("output_len"))
-    return transcripts.discover(transcripts.segments(c, ["git"], []))[0]
+    return transcripts.discover(_segments(spark, sf_dir))[0]
+
+
+@query(f"""WITH {_SEGMENTS_SQL} SELECT 'foo bar' AS command, count(*) AS n, 'foo bar' AS example FROM s WHERE c = 7""")
+def discover_unsupported(spark, sf_dir):
+    return transcripts.discover(_segments(spark, sf_dir))[1]
 
 
 @query("SELECT event_id, '{' || chr(10) || '  k: ' || json_extract_string(props, '$.k') || chr(10) || '}' AS shown FROM events")
 def json_compact(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", JS.compact_json("props").alias("shown"))
-
-
-@query("SELECT * FROM (VALUES ('df', 30::BIGINT), ('make', 20::BIGINT), ('none', 50::BIGINT)) v(filter, tokens)")
-def routed_filters(spark, sf_dir):
-    """Commands routed to definitions, each output filtered by its own."""
-    defs = [P.FilterDef("df", match_command=r"^df\b", max_lines=3), P.FilterDef("make", match_command=r"^make\b", strip_lines_matching=("^make",), on_empty="make: ok")]
-    rows = spark.range(30).select((F.col("id") % 3).alias("k")).select(F.when(F.col("k") == 0, "df -h").when(F.col("k") == 1, "make all").otherwise("true").alias("command"), F.when(F.col("k") == 1, "make: x\nmake: y").otherwise("a\nbb\nccc").alias("raw"))
-    out = P.apply_routed(rows, "command", "raw", defs)
-    return out.groupBy(F.coalesce("filter", F.lit("none")).alias("filter")).agg(F.sum(F.when(F.col("filter").isNull(), 5).when(F.col("filter") == "make", F.when(F.col("filtered") == "make: ok", 2)).otherwise(F.size(T.lines("filtered")))).cast("long").alias("tokens"))

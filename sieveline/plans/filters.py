@@ -78,8 +78,8 @@ def _head_tail(a: Column, head: int | None, tail: int | None) -> Column:
 
 
 def apply(d: FilterDef, raw: Column | str) -> Column:
-    """The filtered text."""
-    text = T.c(raw)
+    """The filtered text; line ends of any kind count as newlines."""
+    text = T.normalize_newlines(raw)
     if d.strip_ansi:
         text = T.strip_ansi(text)
     a = T.lines(text)

@@ -124,14 +124,20 @@ def normalize_dedup(spark, sf_dir):
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    """Events as log lines."""
-    text = F.concat(F.col("event_type"), F.lit(": user "), F.col("user_id").cast("string"), F.when(F.col("event_type") == "purchase", " warning").when(F.col("event_type") == "signup", " info").otherwise(""))
-    return table(spark, sf_dir, "events").select("event_id", text.alias("line"))
+    """Events as log lines: a time stamp before or within the line, one of the words that make a severity, a path, a hexadecimal number, the user."""
+    e = table(spark, sf_dir, "events")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    word = F.element_at(F.array(*[F.lit(w) for w in _LOG_WORDS]), (F.col("user_id") % len(_LOG_WORDS) + 1).cast("int"))
+    text = F.concat(F.col("event_type"), F.lit(": "), word, F.lit(" user "), F.col("user_id").cast("string"), F.lit(" at /var/"), F.col("event_type"), F.lit("/x 0x"), F.hex("user_id"))
+    line = F.when(F.col("event_type") == "view", F.concat(text, F.lit(" since "), stamp)).otherwise(F.concat(stamp, F.lit(" "), text))
+    return e.select("event_id", line.alias("line"))
 
 
-_LOG_SQL = """l AS (SELECT event_id, event_type || ': user ' || user_id || CASE event_type WHEN 'purchase' THEN ' warning' WHEN 'signup' THEN ' info' ELSE '' END AS line FROM events),
-s AS (SELECT *, CASE WHEN regexp_matches(line, 'error|fatal|panic') THEN 'error' WHEN contains(line, 'warn') THEN 'warn' WHEN contains(line, 'info') THEN 'info' END AS severity,
-      trim(regexp_replace(line, '\\b[0-9]{4,}\\b', '<NUM>', 'g')) AS key FROM l)"""
+_LOG_WORDS = ("critical", "ALERT", "emerg", "Severe", "notice", "WARN", "info", "plain", "fatal", "Panic")
+_LOG_SQL = f"""t AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, event_type || ': ' || {list(_LOG_WORDS)}[user_id % {len(_LOG_WORDS)} + 1] || ' user ' || user_id || ' at /var/' || event_type || '/x 0x' || printf('%X', user_id) AS text FROM events),
+l AS (SELECT event_id, CASE event_type WHEN 'view' THEN text || ' since ' || stamp ELSE stamp || ' ' || text END AS line FROM t),
+s AS (SELECT *, CASE WHEN regexp_matches(lower(line), 'error|fatal|panic|critical|alert|emerg|severe') THEN 'error' WHEN regexp_matches(lower(line), 'warn|notice') THEN 'warn' WHEN contains(lower(line), 'info') THEN 'info' END AS severity,
+      trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^\\d{{4}}[-/]\\d{{2}}[-/]\\d{{2}}[T ]\\d{{2}}:\\d{{2}}:\\d{{2}}[.,]?\\d*\\s*', ''), '0x[0-9a-fA-F]+', '<HEX>', 'g'), '\\b[0-9]{{4,}}\\b', '<NUM>', 'g'), '/[a-zA-Z0-9_./-]+', '<PATH>', 'g')) AS key FROM l)"""
 
 
 @query(f"WITH {_LOG_SQL} SELECT severity, count(*) AS lines, count(DISTINCT key) AS kinds FROM s WHERE severity IS NOT NULL GROUP BY severity")
@@ -141,7 +147,7 @@ def log_summary(spark, sf_dir):
 
 @query(f"""WITH {_LOG_SQL}, g AS (SELECT severity, key, count(*) AS n, min_by(line, event_id) AS first_line FROM s WHERE severity IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY n DESC, key) AS rank FROM g)
-SELECT severity, rank, key, n, CASE WHEN n > 1 THEN '[×' || n || '] ' ELSE '' END || first_line AS shown FROM r WHERE (severity = 'error' AND rank <= 10) OR (severity = 'warn' AND rank <= 5)""")
+SELECT severity, rank, key, n, CASE WHEN n > 1 THEN '[×' || n || '] ' ELSE '' END || CASE WHEN strlen(first_line) > 100 AND length(first_line) > 97 THEN first_line[1:97] || '...' ELSE first_line END AS shown FROM r WHERE (severity = 'error' AND rank <= 10) OR (severity = 'warn' AND rank <= 5)""")
 def log_topk(spark, sf_dir):
     return A.log_report(_log(spark, sf_dir), "line", "event_id")
 
@@ -155,12 +161,18 @@ def gain_total(spark, sf_dir):
     return A.gain(d).withColumn("saved_pct", F.round("saved_pct", 6))
 
 
+#: Models of the events, every rate among them and one that isn't known.
+_MODELS = ("claude-opus-x", "claude-haiku-x", "claude-sonnet-x", "claude-fable-x", "claude-mythos-x", "other", "old-claude-haiku")
+_RATES_SQL = "[5.0, 1.0, 3.0, 10.0, 10.0, 5.0, 5.0]::DOUBLE[]", "[25.0, 5.0, 15.0, 50.0, 50.0, 25.0, 25.0]::DOUBLE[]"
+
+
 def _economics(spark, sf_dir, grain):
+    """Usage is every event but purchases, the tracker holds purchases, views and clicks, so each event is in one log at least."""
     e = table(spark, sf_dir, "events")
     n = F.col("user_id")
-    model = F.when(F.col("event_type") == "error", "claude-opus-x").when(F.col("event_type") == "view", "claude-haiku-x").otherwise("other")
-    usage = e.where("event_id % 3 <> 0").select("ts", A.usage_cost(model, n, n + 1, n + 2, n + 3).alias("cost"), n.alias("input"), (n + 1).alias("output"), (n + 2).alias("cache_create"), (n + 3).alias("cache_read"))
-    tracker = e.where("event_id % 2 = 0").select("ts", (n * 4).alias("raw_tokens"), F.col("event_id").alias("out_tokens"))
+    model = F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (n % len(_MODELS) + 1).cast("int"))
+    usage = e.where("event_type <> 'purchase'").select("ts", A.usage_cost(model, n, n + 1, n + 2, n + 3).alias("cost"), n.alias("input"), (n + 1).alias("output"), (n + 2).alias("cache_create"), (n + 3).alias("cache_read"))
+    tracker = e.where("event_type IN ('purchase', 'view', 'click')").select("ts", (n * 4).alias("raw_tokens"), F.col("event_id").alias("out_tokens"))
     out = A.economics(usage, tracker, grain)
     return out.select("period", F.round("cost", 6).alias("cost"), "input", "output", "cache_create", "cache_read", "commands", "saved_tokens", F.round(F.col("cost_per_token") * 1e6, 6).alias("usd_per_million"), F.round("saved_usd", 4).alias("saved_usd"))
 
@@ -169,8 +181,8 @@ def _economics_sql(grain: str) -> str:
     p = {"day": "strftime(ts, '%Y-%m-%d')", "week": "strftime(date_trunc('week', ts), '%Y-%m-%d')", "month": "strftime(ts, '%Y-%m')"}[grain]
     return f"""
 WITH u AS (SELECT {p} AS period, sum((user_id * i + (user_id + 1) * o + (user_id + 2) * i * 1.25 + (user_id + 3) * i * 0.10) / 1e6) AS cost, sum(user_id) AS input, sum(user_id + 1) AS output, sum(user_id + 2) AS cache_create, sum(user_id + 3) AS cache_read
-  FROM (SELECT *, CASE event_type WHEN 'error' THEN 15.0::DOUBLE WHEN 'view' THEN 0.8::DOUBLE ELSE 3.0::DOUBLE END AS i, CASE event_type WHEN 'error' THEN 75.0::DOUBLE WHEN 'view' THEN 4.0::DOUBLE ELSE 15.0::DOUBLE END AS o FROM events WHERE event_id % 3 <> 0) GROUP BY 1),
-t AS (SELECT {p} AS period, count(*) AS commands, sum(greatest(user_id * 4 - event_id, 0)) AS saved_tokens FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+  FROM (SELECT *, ({_RATES_SQL[0]})[user_id % 7 + 1] AS i, ({_RATES_SQL[1]})[user_id % 7 + 1] AS o FROM events WHERE event_type <> 'purchase') GROUP BY 1),
+t AS (SELECT {p} AS period, count(*) AS commands, sum(greatest(user_id * 4 - event_id, 0)) AS saved_tokens FROM events WHERE event_type IN ('purchase', 'view', 'click') GROUP BY 1),
 b AS (SELECT coalesce(u.period, t.period) AS period, coalesce(cost, 0) AS cost, coalesce(input, 0) AS input, coalesce(output, 0) AS output, coalesce(cache_create, 0) AS cache_create, coalesce(cache_read, 0) AS cache_read, coalesce(commands, 0) AS commands, coalesce(saved_tokens, 0) AS saved_tokens FROM u FULL JOIN t ON u.period = t.period),
 r AS (SELECT coalesce(period, 'TOTAL') AS period, sum(cost) AS cost, sum(input) AS input, sum(output) AS output, sum(cache_create) AS cache_create, sum(cache_read) AS cache_read, sum(commands) AS commands, sum(saved_tokens) AS saved_tokens FROM b GROUP BY ROLLUP (period)),
 k AS (SELECT *, CASE WHEN input + 5 * output + 1.25 * cache_create + 0.1 * cache_read > 0 THEN cost / (input + 5 * output + 1.25 * cache_create + 0.1 * cache_read)::DOUBLE ELSE 0 END AS w FROM r)

@@ -21,7 +21,7 @@ def one(spark, col):
     [
         (lambda: T.utrim(F.lit(" \t a\u0085\n")), "a"), (lambda: T.est_tokens(F.lit("é" * 3)), 2), (lambda: T.count_lines(F.lit("a\nb\n")), 2), (lambda: T.count_lines(F.lit("")), 0),
         (lambda: T.normalize_newlines(F.lit("a\r\nb\rc")), "a\nb\nc"), (lambda: T.ellipsis(F.lit("abcdef"), 5), "ab..."), (lambda: T.ellipsis(F.lit("abcdef"), 2), "..."), (lambda: T.ellipsis(F.lit("abcdef"), 5, ".."), "abc.."),
-        (lambda: T.byte_gated(F.lit("é" * 60)), "é" * 60 + "..."), (lambda: T.format_count(F.lit(1234)), "1.2K"), (lambda: T.format_count(F.lit(999)), "999"), (lambda: T.format_count(F.lit(2_500_000)), "2.5M"),
+        (lambda: T.byte_gated(F.lit("é" * 60)), "é" * 60), (lambda: T.byte_gated(F.lit("é" * 98)), "é" * 97 + "..."), (lambda: T.format_count(F.lit(1234)), "1.2K"), (lambda: T.format_count(F.lit(999)), "999"), (lambda: T.format_count(F.lit(2_500_000)), "2.5M"),
         (lambda: T.human_size(F.lit(2048)), "2.0K"), (lambda: T.human_bytes(F.lit(3 << 30)), "3.0 GB"), (lambda: T.mask_value(F.lit("abcd")), "****"), (lambda: T.mask_value(F.lit("abcdefg")), "ab****fg"),
         (lambda: T.extension(F.lit("a/b.tar.gz")), "gz"), (lambda: T.extension(F.lit(".bashrc")), "none"), (lambda: T.extension(F.lit("Makefile")), "none"), (lambda: T.basename(F.lit("x\\y/z.py")), "z.py"),
         (lambda: T.compact_path(F.lit("a/bb/cccccccccccccccccccccccccccccccc/dddddddddddddddd/e.py")), "a/.../dddddddddddddddd/e.py"), (lambda: T.anchored_path(F.lit("/x/src/a/b.py"), ["src", "lib"]), "src/a/b.py"),
@@ -37,7 +37,7 @@ def one(spark, col):
         (lambda: json_shape.typed_item(F.lit('{"i": {"N": "1.0"}, "l": {"L": [{"S": "x"}, {"NULL": true}]}}')), '{"i":1.0,"l":["x",null]}'), (lambda: json_shape.extract_object(F.lit('noise { x {"a": "}"} tail')), '{"a": "}"}'),
         (lambda: ranking.overflow(F.array(*map(F.lit, "abc")), 2), "a\nb\n... +1 more"), (lambda: vcs.parse_commit(F.lit("[main 0123456789] msg")), "ok 0123456"), (lambda: vcs.parse_commit(F.lit("x")), "ok"),
         (lambda: test_results.cargo_lines(F.lit("test result: ok. 3 passed; 1 failed; 0 ignored; 0 measured; 2 filtered out\ntest result: ok. 4 passed; 0 failed; 1 ignored; 0 measured; 0 filtered out")).getField("passed"), 7),
-        (lambda: test_results.pytest_summary(F.lit("== 2 failed, 5 passed, 1 error in 0.3s ==")).getField("errors"), 1), (lambda: test_results.error_blocks(F.lit("ok\nerror: x\n  at y\n\n  z\n\n\nok")), "error: x\n  at y\n\n  z"),
+        (lambda: test_results.pytest_summary(F.lit("== 2 failed, 5 passed, 1 error in 0.3s ==")).getField("errors"), 1), (lambda: test_results.error_blocks(F.lit("ok\nerror: x\n  at y\n\n  z\n\n\nok")), "error: x\n  at y\n\n  z\n"),
         (lambda: transcripts.error_kind(F.lit("bash: foo: command not found")), "not_found"), (lambda: cloud.transfers(F.lit("upload: a to b\nupload: c\nfailed x")).getField("upload"), 2), (lambda: readers.language(F.lit("a/b.PY")), "python"),
         (lambda: analytics.period(F.timestamp_seconds(F.lit(1_700_000_000)), "week"), "2023-11-13"), (lambda: analytics.period(F.lit(None).cast("timestamp"), "day"), "unknown"),
     ],
@@ -79,9 +79,9 @@ def test_sources(spark, tmp_path):
 
 
 def test_corrections(spark):
-    c = spark.createDataFrame([(1, "git comit -m x", True, "bad"), (2, "ls", False, "y"), (3, "git commit -m x", False, "ok"), (4, "git commit -m x", True, "z")], "seq int, command string, is_error boolean, output string").withColumn("file", F.lit("f"))
+    c = spark.createDataFrame([(1, "git commit --ammend -m x", True, "bad"), (2, "ls", False, "y"), (3, "git commit --amend -m x", False, "ok"), (4, "git comit --amend -m x", True, "z")], "seq int, command string, is_error boolean, output string").withColumn("file", F.lit("f"))
     got = analytics.corrections(c, ["file"], ["seq"]).collect()
-    assert [(r.command, r.correction, round(r.confidence, 3)) for r in got] == [("git comit -m x", "git commit -m x", 0.95)]
+    assert [(r.command, r.correction, round(r.confidence, 3)) for r in got] == [("git commit --ammend -m x", "git commit --amend -m x", 0.95)]
 
 
 def test_diff_and_notes(spark):
@@ -124,8 +124,8 @@ def test_listings_and_vcs(spark):
     assert [(r.name, r.kind, r.size, r.mode, r.ext) for r in ls] == [("a b.txt", "file", 12, "644", "txt"), ("l", "link", 1, "755", None)]
     assert [(r.dir, r.name, r.depth) for r in listings.path_rows(df("./a/b/c.py\nd")).collect()] == [("a/b", "c.py", 3), (".", "d", 1)]
     assert [(r.dir, r.names, r.n) for r in listings.grouped_paths(listings.path_rows(df("a/1\na/2\na/3\nb/1")), dirs=1, files=2).collect()] == [("a", ["1", "2"], 3)]
-    env = {r.name: (r.group, r.shown) for r in listings.env_rows(df("PATH=/a\nAPI_KEY=abcdefgh\nAWS_REGION=x\nZ=1")).collect()}
-    assert env == {"PATH": ("path", "/a"), "API_KEY": ("other", "ab****gh"), "AWS_REGION": ("cloud", "x"), "Z": ("other", "1")}
+    env = {r.name: (r.group, r.shown) for r in listings.env_rows(df("PATH=/a\nUSER_KEY=abcdefgh\nAWS_REGION=x\nZ=1\nMY_GO=" + "v" * 101)).collect()}
+    assert env == {"PATH": ("path", "/a"), "USER_KEY": ("other", "ab****gh"), "AWS_REGION": ("cloud", "x"), "MY_GO": ("language", "v" * 50 + "... (101 chars)")}
     assert [r.cells for r in listings.psql_rows(df(" a | b \n---+---\n 1 | x \n(1 row)")).collect()] == [["a", "b"], ["1", "x"]]
     assert [(r.kind, r.name) for r in vcs.branches(df("* main\n  dev\n  remotes/origin/dev\n  remotes/origin/new\n  remotes/origin/HEAD -> x")).orderBy("kind", "name").collect()] == [("current", "main"), ("local", "dev"), ("remote", "new")]
     c = vcs.commits(df("commit abcdef1234\nAuthor: A <a>\n\n    subj\n\n    b1\n    b2\n    b3\n    b4\ncommit 1234567\nAuthor: B\n\n    s2"), body=3).orderBy("commit_at").collect()
