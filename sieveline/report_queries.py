@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import runners as RU
+from .operators import tools as TO
 from .parser_queries import _k, _s, blob
 from .plans import filters as P
 from .plans.catalog import DEFS
@@ -177,3 +178,209 @@ def mvn_tests_report(spark, sf_dir):
 def mvn_quiet_report(spark, sf_dir):
     line = _s("[ERROR] C", _k(), ".x -- Time elapsed: 0 s <<< ERROR!\njava.lang.E\n\tat jdk.proxy2.X\n\tat me.C\n\n[ERROR] See x\n[ERROR]\nplain ", _k())
     return _report(spark, sf_dir, RU.mvn_quiet, line)
+
+
+def _each(report: str) -> str:
+    """A report for each part, in SQL over its number k."""
+    return f"SELECT k AS id, {report} AS report FROM (SELECT p_partkey AS k, p_size AS s, p_name AS name FROM part)"
+
+
+def _rows(spark, sf_dir, report) -> DataFrame:
+    return table(spark, sf_dir, "part").select(_k().alias("id"), report.alias("report"))
+
+
+
+
+@query(_sql(
+    "count(*) AS n, list('  ' || CASE WHEN k % 5 = 0 THEN '-' ELSE 'ns' END || '/s' || k || ' ClusterIP [' || CASE k % 3 WHEN 0 THEN k || '' WHEN 1 THEN k || '→' || (k + 1) || ',80' ELSE '' END || ']' ORDER BY k) AS l",
+    f"n || ' services:' || {NL} || " + _first("l", 20, NL, f"{NL} || '  … +' || # || ' more'") + f" || {NL}"))
+def services_report(spark, sf_dir):
+    port = lambda p, t: F.struct(p.cast("long").alias("port"), t.cast("string").alias("targetPort"))
+    none = F.array().cast("array<struct<port:bigint,targetPort:string>>")
+    ports = F.when(_k() % 3 == 0, F.array(port(_k(), F.lit(None)))).when(_k() % 3 == 1, F.array(port(_k(), _k() + 1), port(F.lit(80), F.lit("80")))).otherwise(none)
+    svc = F.struct(F.struct(F.when(_k() % 5 != 0, "ns").alias("namespace"), _s("s", _k()).alias("name")).alias("metadata"), F.struct(F.lit("ClusterIP").alias("type"), ports.alias("ports")).alias("spec"))
+    items = table(spark, sf_dir, "part").groupBy(F.floor(_k() / 100).alias("id")).agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct(_k().alias("k"), svc.alias("s")))), lambda x: x["s"]).alias("items"))).alias("text"))
+    return items.select("id", TO.services(F.col("text")).alias("report"))
+
+
+@query(_sql(
+    "list('  ' || printf('%012d', k) || ' c' || k || ' (img:1) Up' || CASE k % 4 WHEN 0 THEN ' [80, 90, … +2]' ELSE ' [' || k || ']' END ORDER BY k) FILTER (k % 2 = 0) AS a, list('  ' || printf('%012d', k) || ' c' || k || ' (img:1) Exited' ORDER BY k) FILTER (k % 2 = 1) AS b",
+    f"'[docker] ' || coalesce(len(a), 0) || ' running:' || {NL} || " + _first("a", 20, NL, f"{NL} || '  … +' || # || ' more'") + f" || {NL} || '[docker] ' || len(b) || ' stopped/exited:' || {NL} || " + _first("b", 20, NL, f"{NL} || '  … +' || # || ' more'") + f" || {NL}"))
+def docker_ps_all_report(spark, sf_dir):
+    ident = _s(F.format_string("%012d", _k()), "ffff\tc", _k())
+    line = F.when(_k() % 2 == 0, _s(F.when(_k() % 3 == 0, "running").otherwise("restarting"), "\t", ident, "\tUp \treg/x/img:1\t", F.when(_k() % 4 == 0, "0.0.0.0:80->1/tcp,:::90->1/tcp,91/tcp,92").otherwise(_s("0.0.0.0:", _k(), "->80/tcp")))).otherwise(_s("exited\t", ident, "\tExited\timg:1\t80\nbad"))
+    return _report(spark, sf_dir, TO.docker_ps_all, line, "\n")
+
+
+@query(_sql("count(*) AS n, list('  s' || k || ' (web:2) Up' || CASE k % 3 WHEN 0 THEN '' ELSE ' [' || k || ']' END ORDER BY k) AS l", f"'[compose] ' || n || ' services:' || {NL} || " + _first("l", 20, NL, f"{NL} || '  … +' || # || ' more'")))
+def compose_ps_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.compose_ps, _s("s", _k(), "\treg.io/a/web:2\tUp\t", F.when(_k() % 3 == 0, "").otherwise(_s("0.0.0.0:", _k(), "->80/tcp"))))
+
+
+@query(_sql("list_distinct(list('svc' || (k % 7))) AS u, min(k) AS m, count(*) AS n", f"'[compose] [+] Building 1.2s FINISHED' || {NL} || '  Services: ' || array_to_string(list_transform(range(0, least(7, n)), lambda i: 'svc' || ((m + i) % 7)), ', ') || {NL} || '  Steps: ' || n"))
+def compose_build_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.compose_build, _s(" => [svc", _k() % 7, " 1/4] FROM x"), "x\n[+] Building 1.2s FINISHED\n")
+
+
+@query(_sql("list('● b' || k ORDER BY k) AS l", f"array_to_string(l[1:15], {NL}) || CASE WHEN len(l) > 15 THEN {NL} || '... +' || (len(l) - 15) || ' more entries' ELSE '' END"))
+def stack_log_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.stack_log, _s("● b", _k(), F.when(_k() % 2 == 0, " me@x.org").otherwise("  ")))
+
+
+@query(_sql("list('b/' || k ORDER BY k) FILTER (k % 3 = 0) AS p, list(CASE k % 3 WHEN 1 THEN 'created PR #' || k || ' b/' || k ELSE 'updated PR #' || k || ' b/' || k || ' https://x/' || k END ORDER BY k) FILTER (k % 3 > 0) AS r", f"'pushed ' || array_to_string(p, ', ') || {NL} || array_to_string(r, {NL})"))
+def stack_submit_report(spark, sf_dir):
+    line = _pick(3, _s("  Pushed branch 'b/", _k(), "'"), _s("Created pull request #", _k(), " for b/", _k()), _s("Updated pull request #", _k(), " for b/", _k(), ": https://x/", _k()))
+    return _report(spark, sf_dir, TO.stack_submit, line)
+
+
+@query(_sql("count(*) FILTER (k % 3 = 0) AS s, list('b' || k ORDER BY k) FILTER (k % 3 = 1) AS d", "'ok sync: ' || s || ' synced, ' || len(d) || ' deleted (' || array_to_string(d, ', ') || ')'"))
+def stack_sync_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.stack_sync, _pick(3, F.lit("Synced branch x"), _s("Deleted branch b", _k(), "!"), F.lit("noise")))
+
+
+@query(_sql("count(*) FILTER (k % 3 = 0) AS n", "'ok restacked ' || n || ' branches'"))
+def stack_restack_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.stack_restack, F.when(_k() % 3 == 0, "  Restacked branch x").otherwise("Restacked"))
+
+
+@query(_each("CASE k % 3 WHEN 0 THEN 'ok created feat/' || k WHEN 1 THEN 'ok created first ' || k ELSE '' END"))
+def stack_create_report(spark, sf_dir):
+    return _rows(spark, sf_dir, TO.stack_create(_pick(3, _s("hm\n  Created branch \"feat/", _k(), "\"\n"), _s(" first ", _k(), "\nmore"), F.lit(" \n"))))
+
+
+@query(_each(f"CASE k % 3 WHEN 0 THEN 'To x' || {NL} || '   a..b  main -> main' || k || {NL} || 'ok main' || k || {NL} WHEN 1 THEN 'Everything up-to-date' || {NL} || 'ok (up-to-date)' || {NL} ELSE 'error: ' || k || {NL} END"))
+def push_report(spark, sf_dir):
+    raw = _pick(3, _s("Enumerating objects: 5\nTo x\n\n   a..b  main -> main", _k(), "\nTotal 3"), F.lit("Everything up-to-date\n"), _s("Writing objects: 1\nerror: ", _k()))
+    return _rows(spark, sf_dir, TO.push_report(raw, F.when(_k() % 3 == 2, 1).otherwise(0)))
+
+
+@query(_sql(f"list('~/w' || k || ' abc' || k || ' [b' || k || ' x]' || {NL} || '/o h' ORDER BY k) AS l", f"array_to_string(l, {NL})"))
+def worktrees_report(spark, sf_dir):
+    return _report(spark, sf_dir, lambda x: TO.worktrees(x, "/home/me"), _s("/home/me/w", _k(), "   abc", _k(), "  [b", _k(), " x]\n\n/o h"))
+
+
+@query(_each(f"CASE k % 3 WHEN 0 THEN 'On branch b' || k || {NL} || '  modified: x' WHEN 1 THEN 'On branch b' || {NL} || 'nothing to commit, working tree clean' ELSE 'ok' END"))
+def status_lines_report(spark, sf_dir):
+    raw = _pick(3, _s("On branch b", _k(), "\n\n  (use \"git add <file>...\" to update)\n  modified: x\n"), F.lit("On branch b\n  nothing to commit, working tree clean\nmore\n"), F.lit("\n (use \"git push\")\n"))
+    return _rows(spark, sf_dir, TO.status_lines(raw))
+
+
+@query(_each("CASE k % 6 WHEN 0 THEN k WHEN 1 THEN k + 1 WHEN 2 THEN 7 WHEN 3 THEN 8 END::BIGINT"))
+def user_limits(spark, sf_dir):
+    a = _pick(6, F.array(F.lit("log"), _s("-", _k())), F.array(F.lit("-n"), _s(_k() + 1)), F.array(F.lit("--max-count=7"), F.lit("-9")), F.array(F.lit("--max-count"), F.lit("8")), F.array(F.lit("--oneline"), F.lit("20")), F.array(F.lit("-n")))
+    return _rows(spark, sf_dir, TO.user_limit(a).cast("long"))
+
+
+@query(_sql(
+    "list(struct_pack(t := k % 300 + 10, k := k) ORDER BY k % 300 DESC, k) FILTER (k % 4 = 0) AS b, count(*) FILTER (k % 4 = 0) AS st, count(*) FILTER (k % 4 = 1) AS dy, count(*) FILTER (k % 4 <> 3) AS ro, count(*) FILTER (k % 4 = 3) AS w",
+    f"'Next.js Build' || {NL} || ro || ' routes (' || st || ' static, ' || dy || ' dynamic)' || {NL} || {NL} || 'Bundles:' || {NL} || array_to_string(list_transform(b[1:10], lambda x: '  ' || rpad('/r' || x.k, 30, ' ') || ' ' || printf('%6d', x.t::INT) || ' kB' || CASE WHEN (x.t - 10) / 10.0 * 100 > 10 THEN ' [warn] (+' || ((x.t - 10) * 10) || '%)' ELSE '' END), {NL}) || CASE WHEN len(b) > 10 THEN {NL} || {NL} || '  ... +' || (len(b) - 10) || ' more routes' ELSE '' END || {NL} || {NL} || 'Time: 3.5s | Errors: 0 | Warnings: ' || w"))
+def next_build_report(spark, sf_dir):
+    line = _pick(4, _s("○ /r", _k(), "   10 kB   ", _k() % 300 + 10, " kB"), F.lit("● /dyn"), F.lit("λ /api"), F.lit("a warning"))
+    return _report(spark, sf_dir, TO.next_build, line, "", "\nCompiled in 3.5s\n0 errors")
+
+
+@query(_each(f"'Prisma Client generated' || {NL} || '  • ' || k || ' models, ' || s || ' enums, 0 types' || {NL} || '  • Output: node_modules/@prisma/client'"))
+def prisma_generate_report(spark, sf_dir):
+    return _rows(spark, sf_dir, TO.prisma_generate(_s("┌ 9 models generated\n", _k(), " models generated\n", F.col("p_size"), " enums\n ./node_modules/@prisma/client in 3ms\n")))
+
+
+@query(_each(f"'Migration: 2024' || k || '_init' || {NL} || 'Changes:' || {NL} || '  + 1 table(s)' || CASE WHEN k % 2 = 0 THEN {NL} || '  ~ 1 table(s) modified' || {NL} || '  + 1 relation(s)' ELSE '' END || {NL} || '  ~ 1 index(es)' || {NL} || {NL} || 'Applied | Pending: 0'"))
+def prisma_migrate_dev_report(spark, sf_dir):
+    raw = _s("The migration 2024", _k(), "_init is new\nCREATE TABLE \"x\"\n", F.when(_k() % 2 == 0, "ALTER TABLE y ADD FOREIGN KEY z\n").otherwise(""), "CREATE UNIQUE INDEX i ON x\n✓ done")
+    return _rows(spark, sf_dir, TO.prisma_migrate_dev(raw))
+
+
+@query(_each(f"'Migrations: 2 applied, ' || (k % 2) || ' pending' || CASE WHEN k % 3 = 0 THEN '' ELSE {NL} || 'Latest: 2024' || k || '_a' END"))
+def prisma_migrate_status_report(spark, sf_dir):
+    raw = _s(F.when(_k() % 3 == 0, "").otherwise(_s("2024", _k(), "_a ")), "applied\napplied too\n", F.when(_k() % 2 == 1, "one pending").otherwise(""))
+    return _rows(spark, sf_dir, TO.prisma_migrate_status(raw))
+
+
+@query(_each(f"CASE WHEN k % 2 = 0 THEN '2 migration(s) deployed' ELSE '[FAIL] Deployment failed:' || {NL} || '  error ' || k END"))
+def prisma_migrate_deploy_report(spark, sf_dir):
+    return _rows(spark, sf_dir, TO.prisma_migrate_deploy(_s("a applied\nb ✓\n", F.when(_k() % 2 == 1, _s("   error ", _k())).otherwise("fine"))))
+
+
+@query(_each(f"'Schema pushed to database' || CASE WHEN k % 4 = 0 THEN '' ELSE {NL} || '  + ' || (k % 4) || ' tables, ~ ' || (k % 4) || ' columns, - 0 dropped' END"))
+def prisma_db_push_report(spark, sf_dir):
+    return _rows(spark, sf_dir, TO.prisma_db_push(F.concat(F.lit("x\n"), F.repeat(F.lit("CREATE TABLE a\nALTER b\n"), (_k() % 4).cast("int")))))
+
+
+_FILES = _first("list_transform(f, lambda x, i: i || '. ' || x)", 10, NL, f"{NL} || {NL} || '... +' || # || ' more files'")
+
+
+@query(_sql("list('src/f' || k || '.tsx' ORDER BY k) FILTER (k % 3 = 0) AS f", f"'Prettier: ' || len(f) || ' files need formatting' || {NL} || {_FILES}"))
+def prettier_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.prettier_report, _pick(3, _s("src/f", _k(), ".tsx"), _s("[warn] g", _k(), ".ts"), _s("h", _k(), ".py")), "Checking formatting...\n", "\nCode style issues in x.ts")
+
+
+@query(_sql("list('src/f' || k || '.py' ORDER BY k) FILTER (k % 3 = 0) AS f, count(*) AS n", f"'Format (black): ' || len(f) || ' files need formatting' || {NL} || {_FILES} || {NL} || {NL} || '4 files already formatted' || {NL} || {NL} || '[hint] Run `black .` to format these files'"))
+def black_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.black_report, _pick(3, _s("would reformat: /w/src/f", _k(), ".py"), F.lit("x"), F.lit("y")), "", "\n\nOh no!\n3 files would be reformatted, 4 files would be left unchanged.")
+
+
+@query(_sql("list('lib/f' || k || '.py' ORDER BY k) FILTER (k % 3 = 0) AS f", f"'Ruff format: ' || len(f) || ' files need formatting' || {NL} || {_FILES} || {NL} || {NL} || '4 files already formatted' || {NL} || {NL} || '[hint] Run `ruff format` to format these files'"))
+def ruff_format_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.ruff_format_report, _pick(3, _s("Would reformat: /w/lib/f", _k(), ".py"), F.lit("x"), F.lit("y")), "", "\n3 files would be reformatted, 4 files left unchanged")
+
+
+@query(_sql("list(k || chr(9) || 'n' || k ORDER BY k) AS r", f"'id' || chr(9) || 'name' || {NL} || " + _first("r", 20, NL, f"{NL} || '... +' || # || ' more rows'")))
+def psql_table_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.psql_report, _s(" ", _k(), " | n", _k(), " "), " id | name\n----+------\n", "\n(9 rows)\n")
+
+
+@query(_sql("list('[' || (k % 100 + 1) || '] id=' || k || ' name=n|' || k ORDER BY k) AS r", _first("r", 20, NL, f"{NL} || '... +' || # || ' more records'")))
+def psql_expanded_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.psql_report, _s("-[ RECORD ", _k() % 100 + 1, " ]-----\nid   | ", _k(), "\nname | n|", _k()), "", "\n\n(9 rows)")
+
+
+@query(_each(f"'.' || {NL} || '├── f' || k || {NL} || '└── g' || {NL}"))
+def tree_report(spark, sf_dir):
+    return _rows(spark, sf_dir, TO.tree_report(_s("\n.\n├── f", _k(), "\n└── g\n\n3 directories, 4 files\n")))
+
+
+@query("SELECT doc_id AS id, CASE WHEN strlen(t) < 500 THEN t ELSE rtrim(left(t, 0)) || cut || '... (' || strlen(t) || ' bytes total)' END AS report FROM (SELECT doc_id, t, array_to_string(list_transform(list_filter(range(1, 501), lambda i: strlen(t[1:i]) <= 500), lambda i: t[i:i]), '') AS cut FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM documents))")
+def curl_reports(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), TO.curl_report("text", True).alias("report"))
+
+
+@query(_each("CASE k % 6 WHEN 0 THEN '404 Not Found' WHEN 1 THEN 'Connection refused' WHEN 2 THEN 'DNS lookup failed' WHEN 3 THEN 'SSL/TLS error' WHEN 4 THEN 'odd ' || k ELSE 'Unknown error' END || ' ' || CASE WHEN k = 0 THEN '?' WHEN k < 1024 THEN k || 'B' ELSE printf('%.1f', k / 1024.0) || 'KB' END"))
+def download_errors(spark, sf_dir):
+    err = _pick(6, F.lit("--x\nERROR 404: no"), F.lit("Connection refused."), F.lit("unable to resolve host"), F.lit("bad certificate"), _s("--2024\n\n odd ", _k()), F.lit("--"))
+    return _rows(spark, sf_dir, _s(TO.download_error(err, F.lit("")), " ", TO.download_size(_k())))
+
+
+@query(_each("CASE k % 4 WHEN 0 THEN 'a/b/' WHEN 1 THEN 'a/' ELSE '' END"))
+def common_folders(spark, sf_dir):
+    n = _s(_k())
+    a = _pick(4, F.array(_s("a/b/", n), _s("a/b/c/", n)), F.array(_s("a/b/c", n), F.lit("a/x")), F.array(_s("a/", n)), F.array(F.lit("a/b"), _s("z/", n)))
+    return _rows(spark, sf_dir, TO.common_folder(a))
+
+
+@query(_sql("list('   • item ' || k ORDER BY k) AS l", f"'List (' || len(l) || ' items):' || {NL} || " + _first("l", 10, NL, f"{NL} || '   ... +' || # || ' more'")))
+def summarize_list_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.summarize_list, _s("item ", _k(), F.when(_k() % 2 == 0, "\n").otherwise("")))
+
+
+@query(_each(f"'JSON Output:' || {NL} || CASE k % 4 WHEN 0 THEN '   Array with 2 items' WHEN 1 THEN '   Object with 12 keys:' || array_to_string(list_transform(range(10, 20), lambda i: {NL} || '   • k' || i), '') || {NL} || '   ... +2 more keys' WHEN 2 THEN '   (Invalid JSON)' ELSE '   ' || k END"))
+def summarize_json_report(spark, sf_dir):
+    obj = F.concat(F.lit("{"), F.array_join(F.array(*[F.concat(F.lit(f'"k{i}":'), _k().cast("string")) for i in range(10, 22)]), ","), F.lit("}"))
+    return _rows(spark, sf_dir, TO.summarize_json(_pick(4, _s("[1,", _k(), "]"), obj, F.lit("{nope"), _s(_k()))))
+
+
+@query(_each("left(name, 2) || repeat('*', length(name) - 4) || right(name, 2) || '|' || CASE WHEN length(name) > 10 THEN left(name, 10) || chr(10) || chr(10) || '[SIEVELINE:PASSTHROUGH] Output truncated (' || length(name) || ' chars → 10 chars)' ELSE name END"))
+def masked_names(spark, sf_dir):
+    n = F.col("p_name")
+    return _rows(spark, sf_dir, _s(TO.mask_token(n), "|", TO.passthrough(n, 10)))
+
+
+@query(_each("CASE k % 3 WHEN 0 THEN '...' || substr(repeat('a', 30) || k || 'needle' || repeat('b', 200), 11 + length(k || ''), 60) || '...' WHEN 1 THEN repeat('a', 57) || '...' ELSE 'short needle' END"))
+def around_matches(spark, sf_dir):
+    line = _pick(3, F.concat(F.repeat(F.lit("a"), 30), _s(_k()), F.lit("needle"), F.repeat(F.lit("b"), 200)), F.repeat(F.lit("a"), 100), F.lit(" short needle "))
+    return _rows(spark, sf_dir, TO.around(line, "NEEDLE", 60))
+
+
+@query(_each(f"CASE k % 3 WHEN 0 THEN 'error: ' || k || {NL} || '  at x' WHEN 1 THEN '[ok] Command completed successfully (no errors)' ELSE '[FAIL] Command failed (exit code: ' || k || ')' || {NL} || '  a' || {NL} || '  b' || {NL} END"))
+def errors_or_outcomes(spark, sf_dir):
+    raw = _pick(3, _s("fine\nerror: ", _k(), "\n  at x\nend"), F.lit("fine"), F.lit("a\nb\n"))
+    return _rows(spark, sf_dir, TO.errors_or_outcome(raw, F.when(_k() % 3 == 2, _k()).otherwise(0)))
