@@ -82,3 +82,13 @@ def test_definitions(tmp_path, spark):
 def test_catalog(spark, command, raw, name, want):
     got = P.apply_routed(spark.createDataFrame([(command, raw)], "command string, raw string"), "command", "raw", catalog.DEFS).first()
     assert (got.filter, got.filtered) == (name, want)
+
+
+def test_catalog_holds_its_samples(spark):
+    from sieveline.plans.catalog import DEFS
+    from sieveline.plans.samples import SAMPLES, with_samples
+
+    assert len(DEFS) == 58 and {d.name for d in DEFS} == SAMPLES.keys()
+    assert [r.filter for r in P.verify(spark, with_samples()).where("failed > 0").collect()] == []
+    got = spark.createDataFrame([(n, c) for n, (c, _, _) in SAMPLES.items()], "name string, command string").select("name", P.route("command", DEFS).alias("got"))
+    assert got.where("NOT name <=> got").collect() == []
