@@ -162,3 +162,16 @@ def rewrite_with(program: str, commands: tuple[str, ...]):
 
 def encode_project(path: Column | str) -> Column:
     return F.regexp_replace(c(path), r"[^\x00-\x7F]|[/._\\ \[\]]", "-")
+
+
+def split_redirects(x: Column | str) -> Column:
+    """(head, tail): a command and the redirections at its end; nothing is split off where there are quotes or the command is nothing else."""
+    whole = c(x)
+    words = F.filter(F.split(whole, r"\s+"), lambda w: w != "")
+    redirect = r"^[0-9]*(?:>|&>)"
+    # a word at the end goes with the redirection before it
+    tail = rf"(?:\s+(?:[0-9]*(?:>|&>)\S*(?:\s+(?![0-9]*(?:>|&>))\S+(?=\s*\z|\s+[0-9]*(?:>|&>)))?))+\s*\z"
+    joined = F.array_join(words, " ")
+    head = F.regexp_replace(joined, tail, "")
+    none = whole.rlike("[\"']") | (head == joined) | words[0].rlike(redirect)
+    return F.struct(F.when(none, whole).otherwise(head).alias("head"), F.when(none, "").otherwise(F.trim(F.substring(joined, F.length(head) + 1, F.length(joined)))).alias("tail"))

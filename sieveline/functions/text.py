@@ -77,21 +77,38 @@ def any_of(x: Column, patterns: list[str]) -> Column:
     return x.rlike("(?d)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
+def tenths(n: Column | str, unit: int) -> Column:
+    """A whole number of units to one decimal, as a double nearest to the quotient is printed: where the quotient lies halfway, the double's error decides, and of two equally near ones the even."""
+    n = c(n).cast("long")
+    whole = F.floor(n / unit)
+    rest = (n - whole * unit) * 10  # tenths of what is left, in units
+    down = whole * 10 + F.floor(rest / unit)
+    over = F.pmod(rest, F.lit(unit)) * 2
+    # the quotient times the unit, exactly, as a sum of two doubles: its distance from n is the error
+    x = n / float(unit)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * float(unit)
+    error = (product - n) + ((high * float(unit) - product) + (x - high) * float(unit))
+    up = (over > unit) | ((over == unit) & ((error > 0) | ((error == 0) & (down % 2 == 1))))
+    t = down + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def format_count(n: Column | str) -> Column:
     """1234 as 1.2K, 1500000 as 1.5M."""
     n = c(n)
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(tenths(n, 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(tenths(n, 1000), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def human_size(n: Column | str) -> Column:
     n = c(n)
-    return F.when(n >= 1 << 20, F.format_string("%.1fM", n / (1 << 20))).when(n >= 1024, F.format_string("%.1fK", n / 1024.0)).otherwise(F.concat(n.cast("string"), F.lit("B")))
+    return F.when(n >= 1 << 20, F.concat(tenths(n, 1 << 20), F.lit("M"))).when(n >= 1024, F.concat(tenths(n, 1024), F.lit("K"))).otherwise(F.concat(n.cast("string"), F.lit("B")))
 
 
 def human_bytes(n: Column | str) -> Column:
     n = c(n)
     units = [("TB", 1 << 40), ("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)]
-    return reduce(lambda a, u: a.when(n >= u[1], F.concat(F.format_string("%.1f", n / float(u[1])), F.lit(" " + u[0]))), units[1:], F.when(n >= units[0][1], F.concat(F.format_string("%.1f", n / float(units[0][1])), F.lit(" TB")))).otherwise(
+    return reduce(lambda a, u: a.when(n >= u[1], F.concat(tenths(n, u[1]), F.lit(" " + u[0]))), units[1:], F.when(n >= units[0][1], F.concat(tenths(n, units[0][1]), F.lit(" TB")))).otherwise(
         F.concat(n.cast("string"), F.lit(" B"))
     )
 

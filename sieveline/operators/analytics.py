@@ -77,6 +77,7 @@ def corrections(commands: DataFrame, scope: list[str], order: list[str], least:
     """
     from ..functions.shell import base_words
     from .joins import look_ahead
+    from .summaries import is_command_error, is_test_cycle
 
     words = lambda x: F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
     base = base_words
@@ -91,7 +92,7 @@ def corrections(commands: DataFrame, scope: list[str], order: list[str], least:
         confidence = F.least(F.lit(1.0), s + F.when(b["is_error"], 0.0).otherwise(0.2))
         return (a["command"] != b["command"]) & ~((s > 0.9) & (s < 1.0)) & (s > 0) & (confidence >= least)
 
-    found = look_ahead(commands.where(F.col("output") != ""), scope, order, 3, ["command", "is_error"], ok).where("is_error AND match IS NOT NULL")
+    found = look_ahead(commands.where(F.col("output") != ""), scope, order, 3, ["command", "is_error"], ok).where(is_command_error(F.col("is_error"), "output") & ~is_test_cycle("output") & F.col("match").isNotNull())
     s = sim(F.col("command"), F.col("match.command"))
     return found.select(*scope, *order, "command", F.col("match.command").alias("correction"), F.least(F.lit(1.0), s + F.when(F.col("match.is_error"), 0.0).otherwise(0.2)).alias("confidence"))
 

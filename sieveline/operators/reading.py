@@ -6,64 +6,110 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scan import begins, fold, kept, none
 from .test_results import generic_counts
 
-#: Line comment, block comment start and end, by language.
+#: Line comment, block comment start and end, what a documentation block begins with, and a documentation line, by language.
+_SLASHES = ("//", "/*", "*/", "/**", None)
 COMMENTS = {
-    "rust": ("//", "/*", "*/"), "javascript": ("//", "/*", "*/"), "typescript": ("//", "/*", "*/"), "go": ("//", "/*", "*/"), "c": ("//", "/*", "*/"), "cpp": ("//", "/*", "*/"), "java": ("//", "/*", "*/"),
-    "python": ("#", '"""', '"""'), "ruby": ("#", "=begin", "=end"), "shell": ("#", None, None),
+    "rust": ("//", "/*", "*/", "/**", "///"), "python": ("#", '"""', '"""', '"""', None), "javascript": _SLASHES, "typescript": _SLASHES, "go": _SLASHES, "c": _SLASHES, "cpp": _SLASHES, "java": _SLASHES,
+    "ruby": ("#", "=begin", "=end", "###", None), "shell": ("#", None, None, None, None), "data": (None, None, None, None, None),
 }
-#: Lines that matter most in code.
-IMPORTANT = (r"^\s*(?:pub\s+)?(?:async\s+)?(?:fn|def|function|func|class|struct|enum|trait|interface|type|impl)\b", r"^\s*(?:use|import|from|require|#include)\b", r"^\s*(?:pub|export)\b", r"^\s*@", r"^\s*[})\]]+;?\s*$")
+_OTHER = ("//", "/*", "*/", "###", None)
+#: Lines that bring in other code, and those that open a definition.
+IMPORTS = r"^(use |import |from |require\(|#include)"
+SIGNATURES = r"^(pub\s+)?(async\s+)?(fn|def|function|func|class|struct|enum|trait|interface|type)\s+\w+"
+#: Languages by file extension.
+LANGUAGES = {
+    "rust": ("rs",), "python": ("py", "pyw"), "javascript": ("js", "mjs", "cjs"), "typescript": ("ts", "tsx"), "go": ("go",), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp", "hh"), "java": ("java",), "ruby": ("rb",),
+    "shell": ("sh", "bash", "zsh"), "data": ("json", "jsonc", "json5", "yaml", "yml", "toml", "xml", "csv", "tsv", "graphql", "gql", "sql", "md", "markdown", "txt", "env", "lock"),
+}
+
+
+def language(extension: Column | str) -> Column:
+    ext = F.lower(T.c(extension))
+    return F.coalesce(*[F.when(ext.isin(*names), F.lit(k)) for k, names in LANGUAGES.items()], F.lit("unknown"))
 
 
 def _language_case(lang: Column, pick) -> Column:
-    return F.coalesce(*[F.when(lang == k, pick(v)) for k, v in COMMENTS.items()], pick((None, None, None)))
+    return F.coalesce(*[F.when(lang == k, pick(v, k)) for k, v in COMMENTS.items()], pick(_OTHER, "unknown"))
 
 
 def minimal_source(text: Column | str, lang: Column | str) -> Column:
-    """Without comments (docstrings stay), with blank runs of one line at most, trimmed."""
-    lang = T.c(lang)
+    """Without comments (documentation stays), with blank runs of one line at most, trimmed."""
+
+    def one(marks: tuple, name: str) -> Column:
+        line_mark, start, end, doc, doc_line = marks
+
+        def step(s: Column, line: Column) -> tuple[Column, dict[str, Column]]:
+            t = T.utrim(line)
+            inside = (s["block"] | (~s["doc"] & t.contains(start) & ~t.startswith(doc))) if start else F.lit(False)
+            fence = ~inside & t.startswith('"""') if name == "python" else F.lit(False)
+            in_doc = ~inside & ~fence & s["doc"]
+            comment = (t.startswith(line_mark) & ~(t.startswith(doc_line) if doc_line else F.lit(False))) if line_mark else F.lit(False)
+            return ~inside & (fence | in_doc | ~comment), {"block": inside & ~(t.contains(end) if end else F.lit(True)), "doc": F.when(fence, ~s["doc"]).otherwise(s["doc"])}
+
+        kept_ = kept(F.split(T.c(text), "\n", -1), {"block": F.lit(False), "doc": F.lit(False)}, step)
+        return T.utrim(F.regexp_replace(T.unlines(F.transform(kept_, lambda x: F.when(T.is_blank(x), "").otherwise(x))), r"\n{3,}", "\n\n"))
 
-    def one(marks: tuple) -> Column:
-        line_mark, start_mark, end_mark = marks
-        if line_mark is None:
-            return T.utrim(F.regexp_replace(T.c(text), r"\n{3,}", "\n\n"))
-        init = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("blank"), F.array().cast("array<string>").alias("out"))
+    return _language_case(T.c(lang), one)
 
-        def step(s: Column, line: Column) -> Column:
-            bare = F.trim(line)
-            docs = start_mark == '"""'
-            opens = bare.startswith(start_mark) if start_mark and not docs else F.lit(False)
-            closes = bare.contains(end_mark) if end_mark and not docs else F.lit(True)
-            inside = s["inside"] | opens
-            drop = inside | (bare.startswith(line_mark) & ~bare.startswith("#!"))
-            blank = bare == ""
-            keep = ~drop & ~(blank & s["blank"])
-            return F.struct((inside & ~closes).alias("inside"), F.when(keep, blank).otherwise(s["blank"]).alias("blank"), F.when(keep, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
 
-        return T.utrim(F.aggregate(T.lines(text), init, step, lambda s: T.unlines(s["out"])))
+def aggressive_source(text: Column | str, lang: Column | str) -> Column:
+    """Imports, signatures with a mark for what they hold, and constants outside of definitions."""
+    minimal = minimal_source(text, lang)
+    count = lambda t, ch: F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
 
-    return _language_case(lang, one)
+    def step(s: Column, line: Column) -> dict[str, Column]:
+        t = T.utrim(line)
+        brought, opens = t.rlike(IMPORTS), t.rlike(SIGNATURES)
+        body = s["body"] & ~brought & ~opens
+        depth = s["depth"] + count(t, "{") - count(t, "}")
+        ends = body & (depth <= 0)
+        brace = body & (depth <= 1) & (t.isin("{", "}") | t.endswith("{"))
+        mark = ends & ~t.isin("", "}")
+        const = ~s["body"] & begins(t, "const ", "static ", "let ", "pub const ", "pub static ")
+        here = F.when(brought | opens | brace | const, F.array(line)).otherwise(none())
+        return {
+            "body": F.when(opens, True).when(ends, False).otherwise(s["body"]), "depth": F.when(opens, 0).when(body, depth).otherwise(s["depth"]),
+            "out": F.concat(s["out"], here, F.when(mark, F.array(F.lit("    // ... implementation"))).otherwise(none())),
+        }
+
+    got = T.utrim(T.unlines(fold(F.split(minimal, "\n", -1), {"body": F.lit(False), "depth": F.lit(0), "out": none()}, step, lambda s: s["out"])))
+    return F.when(T.c(lang) == "data", minimal).otherwise(got)
 
 
 def smart_truncate(text: Column | str, limit: int) -> Column:
-    """Important lines and those of the first half, up to the limit, and how many lines there are more."""
-    a = T.lines(text)
-    init = F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("out"))
+    """Important lines and the first half of the window, up to the limit, and how many lines there are more."""
+    a = F.split(T.c(text), "\n", -1)
+
+    def step(s: Column, line: Column) -> tuple[Column, dict[str, Column]]:
+        t = T.utrim(line)
+        keep = (s["n"] < max(limit - 1, 1)) & (t.rlike(f"{SIGNATURES}|{IMPORTS}") | begins(t, "pub ", "export ") | t.isin("{", "}") | (s["n"] < limit // 2))
+        return keep, {"n": s["n"] + keep.cast("int")}
 
-    def step(s: Column, line: Column) -> Column:
-        keep = (F.size(s["out"]) < limit - 1) & (T.any_of(line, list(IMPORTANT)) | (s["i"] < limit // 2))
-        return F.struct((s["i"] + 1).alias("i"), F.when(keep, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
+    rows = kept(a, {"n": F.lit(0)}, step)
+    more_ = F.concat(F.lit("["), (F.size(a) - F.size(rows)).cast("string"), F.lit(" more lines]"))
+    return F.when(F.size(a) <= limit, T.c(text)).otherwise(T.unlines(F.concat(rows, F.array(more_))))
 
-    kept = F.aggregate(a, init, step, lambda s: s["out"])
-    more = F.concat(F.lit("["), (F.size(a) - F.size(kept)).cast("string"), F.lit(" more lines]"))
-    return F.when(F.size(a) <= limit, T.c(text)).otherwise(F.concat(T.unlines(kept), F.lit("\n"), more))
+
+def read_source(text: Column | str, lang: Column | str, level: str = "minimal", limit: int | None = None, tail: int | None = None, numbers: bool = False) -> Column:
+    """A source file at a level (none, minimal, aggressive); as it is where the filter leaves nothing of it; then its last or its important lines, then numbered."""
+    raw = T.c(text)
+    got = {"none": raw, "minimal": minimal_source(raw, lang), "aggressive": aggressive_source(raw, lang)}[level]
+    got = F.when(T.is_blank(got) & ~T.is_blank(raw), raw).otherwise(got)
+    if tail is not None:
+        got = tail_window(got, tail)
+    elif limit is not None:
+        got = smart_truncate(got, limit)
+    return T.number_lines(got) if numbers else got
 
 
 def tail_window(text: Column | str, n: int) -> Column:
-    a = T.lines(text)
-    return F.when(F.size(a) > n, T.unlines(F.slice(a, F.size(a) - n + 1, n))).otherwise(T.c(text))
+    """The last lines; a newline at the end stays."""
+    raw, a = T.c(text), T.lines(text)
+    rows = T.unlines(F.when(F.size(a) > n, F.slice(a, F.size(a) - n + 1, n)).otherwise(a)) if n > 0 else F.lit("")
+    return F.concat(rows, F.when(raw.endswith("\n"), "\n").otherwise("")) if n > 0 else F.lit("")
 
 
 def markdown_body(text: Column | str) -> Column:

@@ -446,7 +446,7 @@ def download_error(stderr: Column | str, stdout: Column | str) -> Column:
 
 def download_size(n: Column | str) -> Column:
     n = T.c(n)
-    unit = lambda k, name: F.concat(F.format_string("%.1f", n / float(1 << k)), F.lit(name))
+    unit = lambda k, name: F.concat(T.tenths(n, 1 << k), F.lit(name))
     return F.when(n == 0, "?").when(n < 1 << 10, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, unit(10, "KB")).when(n < 1 << 30, unit(20, "MB")).otherwise(unit(30, "GB"))
 
 
@@ -515,3 +515,49 @@ def errors_or_outcome(x: Column | str, exit_code: Column) -> Column:
     end = F.transform(F.when(F.size(tail) > 10, F.slice(tail, -10, 10)).otherwise(tail), lambda s: text("  ", s, "\n"))
     failed = text("[FAIL] Command failed (exit code: ", exit_code, ")\n", F.array_join(end, ""))
     return F.when(found != "", found).when(exit_code == 0, "[ok] Command completed successfully (no errors)").otherwise(failed)
+
+
+def matches_by_file(x: Column | str, cap: int = SHORT) -> Column:
+    """Search output grouped by file, files by name, the first matches of each; as it is where nothing looks like a match."""
+    pattern = r"^([^:]*):([0-9]+):(.*)$"
+    g = lambda s, k: F.regexp_extract(s, pattern, k)
+    rows = F.filter(T.lines(x), lambda s: s.rlike(pattern))
+    files = F.array_sort(F.array_distinct(F.transform(rows, lambda s: g(s, 1))))
+
+    def one(f: Column) -> Column:
+        own = F.filter(rows, lambda s: g(s, 1) == f)
+        line = lambda s: text("  ", F.when(F.length(g(s, 2)) >= 4, g(s, 2)).otherwise(F.lpad(g(s, 2), 4, " ")), ": ", T.utrim(g(s, 3)), "\n")
+        return text("[file] ", f, " (", F.size(own), "):\n", F.array_join(F.transform(F.slice(own, 1, cap), line), ""), F.when(F.size(own) > cap, text("  +", F.size(own) - cap, "\n")).otherwise(""), "\n")
+
+    return F.when(F.size(rows) == 0, T.c(x)).otherwise(text(F.size(rows), " matches in ", F.size(files), "F:\n\n", F.array_join(F.transform(files, one), "")))
+
+
+def lint_lines(x: Column | str) -> Column:
+    """Lines of a linter of no known format that say warning or error, counted and shown; a line with both counts for both."""
+    a = T.lines(x)
+    low = lambda s: F.lower(s)
+    is_warning, is_error = (lambda s: low(s).contains("warning")), (lambda s: low(s).contains("error") & ~low(s).contains("0 error"))
+    warnings, errors = total(a, is_warning), total(a, is_error)
+    rows = F.flatten(F.transform(a, lambda s: F.concat(F.when(is_warning(s), F.array(s)).otherwise(none()), F.when(is_error(s), F.array(s)).otherwise(none()))))
+    shown = T.utrim(text("Lint: ", errors, " errors, ", warnings, " warnings\n", listed(rows, LIST, "more issues", lambda s, i: T.ellipsis(s, 100), lead="\n\n")))
+    return F.when((errors == 0) & (warnings == 0), "Lint: No issues found").otherwise(shown)
+
+
+def ignore_patterns(x: Column | str) -> Column:
+    """Patterns of an ignore file: lines that are neither blank nor comments."""
+    return F.filter(F.transform(T.lines(x), T.utrim), lambda s: (s != "") & ~s.startswith("#"))
+
+
+def is_binary(x: Column | str) -> Column:
+    """Whether bytes are no UTF-8."""
+    return ~F.is_valid_utf8(T.c(x).cast("string"))
+
+
+#: Formats that aren't JSON, by file extension.
+NOT_JSON = {"toml": "TOML", "yaml": "YAML", "yml": "YAML", "xml": "XML", "csv": "CSV", "ini": "INI", "env": "env", "txt": "plain text"}
+
+
+def not_json(path: Column | str) -> Column:
+    """Why a file is no JSON file, by its extension; null where nothing is against it."""
+    ext = F.regexp_extract(T.c(path), r"\.([^./]*)\z", 1)
+    return F.coalesce(*[F.when(ext == k, text(T.c(path), f" is not a JSON file (detected {v}).")) for k, v in NOT_JSON.items()])

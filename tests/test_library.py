@@ -79,7 +79,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_corrections(spark):
-    c = spark.createDataFrame([(1, "git commit --ammend -m x", True, "bad"), (2, "ls", False, "y"), (3, "git commit --amend -m x", False, "ok"), (4, "git comit --amend -m x", True, "z")], "seq int, command string, is_error boolean, output string").withColumn("file", F.lit("f"))
+    c = spark.createDataFrame([(1, "git commit --ammend -m x", True, "unknown option"), (0, "git commit --amnd -m x", True, "user rejected: error"), (2, "ls", False, "y"), (3, "git commit --amend -m x", False, "ok"), (4, "git comit --amend -m x", True, "z")], "seq int, command string, is_error boolean, output string").withColumn("file", F.lit("f"))
     got = analytics.corrections(c, ["file"], ["seq"]).collect()
     assert [(r.command, r.correction, round(r.confidence, 3)) for r in got] == [("git commit --ammend -m x", "git commit --amend -m x", 0.95)]
 
