@@ -32,15 +32,16 @@ def _without(docs: DataFrame, rejected) -> DataFrame:
 
 
 #: Mail addresses and runs of letters that touch digits (tokens, keys): no words of any language, so they don't count as noise.
-MACHINE = r"[^\s@]++@[^\s@]++|[\p{L}_]*+\d[\p{L}\d_]*+"
+#: Each is sought at the beginning of a word or run only.
+MACHINE = r"(?<!\S)[^\s@]++@[^\s@]++|(?<![\p{L}\d_])[\p{L}_]*+\d[\p{L}\d_]*+"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no letters or is mostly noise rather than any learned language."""
-    rows = _numbered(docs)
-    words = F.regexp_replace("text", MACHINE, " ")
-    rows = rows.select("doc", F.col("doc.lang").alias("lang"), F.when(words.rlike(r"\p{L}"), words).otherwise(F.col("text")).alias("text"))
-    return lang_id.identify(rows, F.lit(False), id_col="doc").where("lang_pred <> 'und' AND noise_share <= 0.5").select("doc.*")
+    model = lang_id.learn(lang_id.labelled(docs, F.lit(False)))
+    rows = _numbered(docs).select("doc", "text", F.regexp_replace("text", MACHINE, " ").alias("words"))
+    rows = rows.select("doc", F.when(F.col("words").rlike(r"\p{L}"), F.col("words")).otherwise(F.col("text")).alias("text"))
+    return lang_id.predict(rows, model, id_col="doc").where("lang_pred <> 'und' AND noise_share <= 0.5").select("doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

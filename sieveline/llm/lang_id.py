@@ -12,6 +12,8 @@ A text without letters, and any text when no language was learned, is ``und`` wi
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -21,13 +23,18 @@ from pyspark.sql.types import StructType
 
 from .common import share
 
-#: Letters by Unicode (category L); fractions, superscripts and roman numeral signs aren't.
-LETTERS = regex.compile(r"\p{L}+")
+_RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 SIZE = 1 << 16
 CHUNK_WORDS = 600_000
 UNIFORM = float(np.log(60.0))  # nats a letter under noise
 
 
+def letters(text: str) -> list[str]:
+    """Words: runs of letters by Unicode (category L), in lower case; fractions, superscripts and roman numeral signs aren't letters."""
+    words = _RUNS.findall(text.lower())
+    return words if all(map(str.isalpha, words)) else [x for w in words for x in ([w] if w.isalpha() else _LETTERS.findall(w))]
+
+
 def _indices(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed trigram and context of each letter and word end, and where each word begins among them."""
     c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -55,8 +62,14 @@ class Model:
         return np.concatenate([own, (-UNIFORM * sizes)[:, None].astype(np.float32)], axis=1)
 
 
-def learn(labelled: DataFrame, sample_rows: int) -> Model:
-    """labelled: (lang, text), nulls excluded. Each row is drawn on its own, at a rate set by its language's count, so that no text that many
+def labelled(docs: DataFrame, held_out, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(row, lang, text) of the rows to learn from: those where ``held_out`` is false and neither text nor label is null."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(True)).alias("skip"))
+    return rows.where("NOT skip AND lang IS NOT NULL AND text IS NOT NULL").select("row", "lang", "text")
+
+
+def learn(labelled: DataFrame, sample_rows: int = 4_000) -> Model:
+    """labelled: (row, lang, text), nulls excluded. Each row is drawn on its own, at a rate set by its language's count, so that no text that many
     rows repeat is sampled whole or not at all; a language's sample is of about ``sample_rows`` rows.
     """
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
@@ -71,7 +84,7 @@ def learn(labelled: DataFrame, sample_rows: int) -> Model:
         where = {g: k for k, g in enumerate(langs)}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = LETTERS.findall(text.lower())
+                words = letters(text)
                 if words:
                     t, c, _ = _indices(words)
                     tri[where[lang]] += np.bincount(t, minlength=SIZE)
@@ -144,7 +157,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             while at < len(texts):
                 chunk, held = [], 0
                 while at < len(texts) and (not chunk or held < CHUNK_WORDS):
-                    ws = LETTERS.findall(texts[at].lower()) if texts[at] and langs else []
+                    ws = letters(texts[at]) if texts[at] and langs else []
                     texts[at] = None
                     chunk.append(ws)
                     held += len(ws)
@@ -179,6 +192,4 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     very long text is one document of many words, extra columns are ignored. Of languages with equal shares the first by name is
     predicted. Without a labelled row everything is ``und``; an empty table gives no rows.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(True)).alias("skip"), F.monotonically_increasing_id().alias("row"))
-    labelled = rows.where("NOT skip AND lang IS NOT NULL AND text IS NOT NULL")
-    return predict(docs, learn(labelled, sample_rows), id_col, text_col)
+    return predict(docs, learn(labelled(docs, held_out, text_col, lang_col), sample_rows), id_col, text_col)
