@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, exact_shingles, scratch, shingle_hashes, small_side, with_row, words_of
+from .common import cut, discard, exact_shingles, scratch, share, shingle_hashes, small_side, with_row, words_of
 
 WIDTH = 128
 #: Standard deviations of the estimate below the threshold from which a pair isn't a candidate: 7.5e-5 of pairs at 0.75.
@@ -95,12 +95,12 @@ def _sketch(n: int):
 
 
 def _branch(picks: float):
-    """From (node, cls, size, tokens) to (node, cls, was) of the children, ``was`` being the size of the parent. The root picks two places a tree, other nodes ``picks`` on average."""
+    """From (node, cls, tokens) to (node, cls) of the children. The root picks two places a tree, other nodes ``picks`` on average."""
 
     def run(batches):
         for b in batches:
-            nodes, cls, size = b.column(0).to_numpy().astype(np.uint64), b.column(1), b.column(2)
-            tok = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, WIDTH)
+            nodes, cls = b.column(0).to_numpy().astype(np.uint64), b.column(1)
+            tok = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, WIDTH)
             out_n, out_c = [], []
             for k in range(2):
                 h = _mix(nodes * np.uint64(2) + np.uint64(k))
@@ -110,8 +110,7 @@ def _branch(picks: float):
                 child = _mix(h[rows] ^ (tok[rows, place[rows]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 out_n.append(child)
                 out_c.append(rows)
-            at = pa.array(np.concatenate(out_c))
-            yield pa.record_batch([pa.array(np.concatenate(out_n).astype(np.int64)), cls.take(at), size.take(at)], ["node", "cls", "was"])
+            yield pa.record_batch([pa.array(np.concatenate(out_n).astype(np.int64)), cls.take(pa.array(np.concatenate(out_c)))], ["node", "cls"])
 
     return run
 
@@ -325,28 +324,46 @@ def _blocks(crowd: DataFrame, known: DataFrame, block: int) -> DataFrame | None:
     return rows.select(F.xxhash64("crowd", F.least("own", "met"), F.greatest("own", "met")).alias("task"), *known.columns, (F.col("own") > F.col("met")).cast("int").alias("side"))
 
 
-#: A node that keeps this share of its parent's classes holds classes that are much alike, which further branching wouldn't part.
-DENSE = 0.7
+#: Mean similarity from which the classes of a large node are much alike: branching wouldn't part them.
+DENSE = 0.4
+#: Classes of a large node from which its mean similarity is told, about.
+SAMPLE = 24
+
+
+def _likeness(part: pa.Table) -> pa.Table:
+    """(node, mean): the mean similarity of a node's sampled classes."""
+    low = _low(part.column("low"))
+    i, j = np.triu_indices(len(low), 1)
+    mean = float(_agree(low[i], low[j]).mean()) if len(i) else 0.0
+    return pa.table({"node": part.column("node").slice(0, 1), "mean": pa.array([mean], pa.float64())})
 
 
 def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes (node, cls), and the crowds (crowd, cls) of those that stayed large, if any. ``classes``: (cls, tokens).
+    """Small nodes (node, cls), and the crowds (crowd, cls) of those that stayed large, if any. ``classes``: (cls, tokens, low).
 
-    A large node that is hardly smaller than its parent stops early: that only adds pairs, since what stops is compared whole.
+    A large node stops early where a sample of it says that its classes are much alike: that only adds pairs, since what
+    stops is compared whole.
     """
-    nodes = classes.mapInArrow(_roots(trees), "node long, cls long").withColumn("was", F.lit(None).cast("long"))
+    nodes = classes.mapInArrow(_roots(trees), "node long, cls long")
     small, large = [], []
     for level in range(levels):
-        size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("was").alias("was")).where("size > 1")
-        nodes = cut(nodes.select("node", "cls").join(size, "node"))
+        made = nodes = cut(nodes)
+        size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        nodes = cut(nodes.join(size, "node"))
+        discard(made)
         small.append(nodes.where(F.col("size") <= leaf).select("node", "cls"))
         wide = nodes.where(F.col("size") > leaf)
-        stops = F.coalesce(F.col("size") >= DENSE * F.col("was"), F.lit(False)) | F.lit(level == levels - 1)
-        large.append(wide.where(stops).select("node", "cls"))
-        goes_on = wide.where(~stops)
+        if level == levels - 1:
+            large.append(wide.select("node", "cls"))
+            break
+        some = wide.where(share("node", "cls") < SAMPLE / F.col("size")).join(classes.select("cls", "low"), "cls")
+        alike = cut(some.select("node", "low").groupBy("node").applyInArrow(_likeness, "node long, mean double"))
+        dense = small_side(alike.where(F.col("mean") >= DENSE).select("node"))
+        large.append(wide.join(dense, "node", "left_semi").select("node", "cls"))
+        goes_on = wide.join(dense, "node", "left_anti")
         if not goes_on.limit(1).count():
             break
-        nodes = goes_on.join(classes, "cls").select("node", "cls", "size", "tokens").mapInArrow(_branch(picks), "node long, cls long, was long")
+        nodes = goes_on.join(classes, "cls").select("node", "cls", "tokens").mapInArrow(_branch(picks), "node long, cls long")
     both = reduce(DataFrame.unionByName, large)
     return reduce(DataFrame.unionByName, small), cut(crowds(both)) if both.limit(1).count() else None
 
@@ -379,7 +396,7 @@ PAIR = "a long, b long, s double"
 def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf: int, levels: int, picks: float, leaders: int, block: int = 1024) -> DataFrame:
     """(cls, label): components of the confirmed links. classes: (cls, tokens, low); texts: from (cls) to (cls, text)."""
     least = _least(threshold)
-    small, crowd = groups(classes.select("cls", "tokens"), trees, leaf, levels, picks)
+    small, crowd = groups(classes, trees, leaf, levels, picks)
     none = F.lit(None).cast("long")
     known = classes.select("cls", "low", F.col("cls").alias("label"), none.alias("no1"), none.alias("no2"))
     text = None
@@ -576,7 +593,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.75,
-               recall: float = 0.999998, leaf: int = 64, levels: int = 5, picks: float = 1.5, leaders: int = 6) -> DataFrame:
+               recall: float = 0.999998, leaf: int = 128, levels: int = 5, picks: float = 1.5, leaders: int = 6) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links), kept.
 
     ``recall`` is that of the trees for a pair at the threshold, and sets their number; the margin of the estimate loses
