@@ -131,7 +131,7 @@ def redirects_to_file(x: Column | str) -> Column:
 
 
 def join_continuations(x: Column | str) -> Column:
-    return F.regexp_replace(c(x), r"\\\n\s*", " ")
+    return F.regexp_replace(c(x), r"[ \t\x0B\f]*\\\r?\n[ \t\x0B\f]*", " ")
 
 
 def rewrite_with(program: str, commands: tuple[str, ...]):

@@ -215,7 +215,7 @@ def span(start: Column | str, finish: Column | str) -> Column:
     """Between two times: ``1.5 s`` or ``20 ms``; null where one can't be read or no time has passed."""
     t = lambda x: F.unix_millis(F.try_to_timestamp(T.c(x)))
     ms = t(finish) - t(start)
-    return F.when(ms >= 1000, F.format_string("%.1f s", ms / 1000.0)).when(ms > 0, text(ms, " ms"))
+    return F.when(ms >= 1000, F.concat(T.tenths(ms, 1000), F.lit(" s"))).when(ms > 0, text(ms, " ms"))
 
 
 def ticks(n: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .overview import kind
 from .scan import begins, fold, kept, none
 from .test_results import generic_counts
 
@@ -124,24 +125,12 @@ def markdown_body(text: Column | str) -> Column:
     return T.utrim(F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 0, prose(s)).otherwise(s)), "```"))
 
 
-def output_kind(command: Column | str, text: Column | str) -> Column:
-    """tests, build, logs, json, list or text: by the command first, then by what the output looks like."""
-    cmd, t = F.lower(T.c(command)), T.c(text)
-    a = T.lines(t)
-    shortish = F.forall(a, lambda s: F.length(s) < 200) & (F.size(a) > 10)
-    listing = F.forall(a, lambda s: ~s.contains("\t") & (F.size(F.split(F.trim(s), r"\s+")) <= 10))
-    return (
-        F.when(cmd.rlike(r"\b(?:test|pytest|jest|rspec)\b"), "tests").when(cmd.rlike(r"\b(?:build|compile|make)\b"), "build").when(t.rlike(r"(?i)\d+ (?:passed|failed)|test result"), "tests")
-        .when(F.ltrim(t).rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull(), "json").when(t.rlike(r"(?i)\b(?:error|warn|info|debug)\b[:\]]"), "logs").when(shortish & listing, "list").otherwise("text")
-    )
-
-
 def summarize(command: Column | str, text: Column | str) -> Column:
     """A struct: kind, lines, and the counts that the kind calls for."""
     a = T.lines(text)
     n = lambda p: F.size(F.filter(a, lambda s: F.lower(s).rlike(p)))
     return F.struct(
-        output_kind(command, text).alias("kind"), F.size(a).alias("lines"), n("error|fatal").alias("errors"), n("warn").alias("warnings"),
+        kind(command, text).alias("kind"), F.size(a).alias("lines"), n("error|fatal").alias("errors"), n("warn").alias("warnings"),
         generic_counts(text).alias("tests"), F.slice(a, 1, 5).alias("first"), F.when(F.size(a) > 8, F.slice(a, -3, 3)).alias("last"),
     )
 
@@ -173,15 +162,18 @@ def surefire(text: Column | str) -> Column:
     return F.struct(_n(line, r"Tests run: (\d+)").alias("run"), _n(line, r"Failures: (\d+)").alias("failures"), _n(line, r"Errors: (\d+)").alias("errors"), _n(line, r"Skipped: (\d+)").alias("skipped"), failing.alias("failing"))
 
 
-def gradle_build(text: Column | str) -> Column:
-    """Without task, daemon and download lines; failures and the outcome stay."""
-    drop = [r"^> Task .*(?:UP-TO-DATE|NO-SOURCE|FROM-CACHE|SKIPPED)?$", r"^(?:Starting a Gradle Daemon|Daemon will be stopped|To honour|Download|Downloading)", r"^> (?:Configure|Transform)", r"^\d+ actionable task"]
-    keep = [r"FAILED", r"(?i)error", r"^BUILD "]
-    return T.unlines(F.filter(T.lines(T.strip_ansi(text)), lambda s: T.any_of(s, keep) | ~T.any_of(s, drop)))
+#: Lines of a build that always go, and those that stay.
+BUILD_NOISE = (
+    r"^> Task :", r"^(Starting a Gradle Daemon|Daemon will be stopped|Reusing configuration cache|Calculating task graph|> Configure project|Deprecated Gradle features|You can use|For more on this|Configuration cache entry)",
+    r"^\s*\d+%|^Downloading|^Configuring|^Resolving|^\[Incubating\]|^Wrote HTML report|^class \S+ could not|^\[android-", r"^\* Try:|^> Run with --|^> Get more help at",
+)
+BUILD_KEPT = (
+    r"^BUILD (SUCCESSFUL|FAILED)", r"^\d+ actionable tasks?", r"(?i:(^FAILURE:|^\* What went wrong:|^\* Where:|> Could not|e: |error:|^Execution failed|Lint found \d+ error))", r"^(w: |warning:|Warning:|WARNING:)",
+    r"gradle\.com/s/|Publishing build scan",
+)
 
 
-def package_noise(text: Column | str, done: str = "ok") -> Column:
-    """Package manager output without lifecycle banners, notices and progress."""
-    drop = [r"^\s*$", r"^> ", r"(?i)^npm (?:warn|notice)", r"(?i)^(?:progress|packages):", r"^[⠋⠙⠹⠸⠼⠴⠦⠧⠇⠏]"]
-    out = T.unlines(F.filter(T.lines(text), lambda s: ~T.any_of(s, drop)))
-    return F.when(T.is_blank(out), done).otherwise(out)
+def gradle_build(text: Column | str) -> Column:
+    """Errors, warnings and the outcome of a build; blank lines stay, tasks and progress go."""
+    rows = F.filter(T.lines(text), lambda s: ~T.any_of(s, list(BUILD_NOISE)) & (T.any_of(s, list(BUILD_KEPT)) | T.is_blank(s)))
+    return F.array_join(F.transform(rows, lambda s: F.concat(s, F.lit("\n"))), "")
