@@ -1,7 +1,7 @@
 """Shell command lines: splitting, base commands, classification and rewriting.
 
-Quoting needs a scan with state, so splitting and rewriting run as Arrow-batched UDFs; what works on a single
-split segment stays in Column expressions.
+Splitting and what works on a split segment are Column expressions. Words with their quotes resolved and rewriting need a scan
+with state and run as Arrow-batched UDFs.
 """
 
 from __future__ import annotations
@@ -13,35 +13,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .text import c
+from .text import c, utrim
 
 _ENV = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
 
 
-def _split(command: str) -> list[str]:
-    """Segments between ``&&``, ``||``, ``;``, ``|`` and newlines outside quotes. A single ``&`` is text; a here-document isn't split."""
-    if "<<" in command:
-        return [command.strip()] if command.strip() else []
-    parts, start, quote, i = [], 0, "", 0
-    while i < len(command):
-        ch = command[i]
-        if quote:
-            quote = "" if ch == quote else quote
-        elif ch in "'\"":
-            quote = ch
-        elif command.startswith(("&&", "||"), i):
-            parts.append(command[start:i])
-            start, i = i + 2, i + 1
-        elif ch in ";|\n":
-            parts.append(command[start:i])
-            start = i + 1
-        i += 1
-    return [p.strip() for p in [*parts, command[start:]] if p.strip()]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def split_chain(commands: pd.Series) -> pd.Series:
-    return commands.map(lambda x: None if x is None else _split(x))
+def split_chain(x: Column | str) -> Column:
+    """Segments between ``&&``, ``||``, ``;``, ``|`` and newlines outside quotes. A single ``&`` is text, a quote that stays open goes to the end; a here-document isn't split."""
+    whole = c(x)
+    tokens = F.regexp_extract_all(whole, F.lit(r"(?s)'[^']*+(?:'|\z)|\"[^\"]*+(?:\"|\z)|&&|\|\||[;|\n]|&|[^'\"&;|\n]++"), F.lit(0))
+    cut = F.array_join(F.transform(tokens, lambda t: F.when(t.isin("&&", "||", ";", "|", "\n"), "\0").otherwise(t)), "")
+    return F.filter(F.transform(F.when(whole.contains("<<"), F.array(whole)).otherwise(F.split(cut, "\0")), utrim), lambda p: p != "")
 
 
 def shell_words(command: str) -> list[str]:

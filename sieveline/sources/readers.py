@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,13 +21,18 @@ def tracker(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACKER).option("mode", "DROPMALFORMED").json(path).fillna({"raw_tokens": 0, "out_tokens": 0, "passthrough": False})
 
 
+def file_lines(reader: DataFrameReader, path: str) -> DataFrame:
+    """(file, at, raw): lines of files, which are split like any other text. ``at`` orders the lines of a file: where its part of the file begins, then the line's number in the task."""
+    return reader.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.col("value").alias("raw"))
+
+
 def tracker_until_malformed(spark: SparkSession, path: str) -> DataFrame:
-    """Tracker rows of each file up to its first malformed line. Files are read whole, since line order decides."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(T.lines("value")).alias("at", "raw"))
-    row = F.from_json("raw", TRACKER)
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    good = files.where("trim(raw) <> ''").withColumn("bad", F.max(F.try_parse_json("raw").isNull().cast("int")).over(w)).where("bad = 0")
-    return good.select(row.alias("r")).select("r.*").fillna({"raw_tokens": 0, "out_tokens": 0, "passthrough": False})
+    """Tracker rows of each file up to its first malformed line."""
+    lines = file_lines(spark.read, path).where("trim(raw) <> ''")
+    bad = lines.where(F.try_parse_json("raw").isNull()).groupBy("file").agg(F.min("at").alias("end"))
+    good = lines.join(bad, "file", "left").where(F.col("end").isNull() | (F.col("at") < F.col("end")))
+    return good.select(F.from_json("raw", TRACKER).alias("r")).select("r.*").fillna({"raw_tokens": 0, "out_tokens": 0, "passthrough": False})
 
 
 def write_tracker(rows: DataFrame, path: str) -> None:
@@ -35,14 +40,13 @@ def write_tracker(rows: DataFrame, path: str) -> None:
 
 
 def transcripts(spark: SparkSession, path: str, modified_after: datetime | None = None, project: str | None = None) -> DataFrame:
-    """Entries of all ``*.jsonl`` files below a folder, with their file and line number."""
+    """Entries of all ``*.jsonl`` files below a folder, with their file and place (see ``file_lines``)."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = file_lines(reader, path)
     if project:
-        files = files.where(F.col("file").contains(project))
-    lines = files.select("file", F.posexplode(T.lines("value")).alias("at", "raw"))
+        lines = lines.where(F.col("file").contains(project))
     return lines.select("file", "at", F.from_json("raw", TRANSCRIPT).alias("e")).where("e.type IS NOT NULL").select("file", "at", "e.*")
 
 
@@ -72,7 +76,7 @@ def usage(entries: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str, cap: int = STDIN_CAP) -> DataFrame:
-    """Whole text files with newlines made uniform; files over the cap are flagged, not cut."""
+    """Captured outputs, a file each, with newlines made uniform; files over the cap are flagged, not cut. A capture is one output of some megabytes at most, so it is one row."""
     files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), T.normalize_newlines("value").alias("text"), (F.octet_length("value") > cap).alias("over_cap"))
 
