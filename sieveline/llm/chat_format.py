@@ -157,7 +157,8 @@ def _linked(messages: DataFrame, tools: dict[str, Schema], bucket_width: int, ke
     placed = ranks(seen, ["conv"], ["level", "pos", "uid"], bucket, "order_no")
     is_call = F.col("kind") == "call"
     errors = F.when(is_call, argument_errors(F.col("tool"), F.col("payload"), tools)).otherwise(F.array().cast("array<string>"))
-    arguments = F.when(is_call, F.coalesce(canonical_json(F.col("payload")), F.to_json(F.to_variant_object(F.struct(F.col("payload").alias("raw"))))))
+    # variants keep their keys sorted, so the arguments stand in the record as JSON with sorted keys; what isn't JSON stands there raw
+    arguments = F.when(is_call, F.coalesce(F.try_parse_json("payload"), F.to_variant_object(F.struct(F.col("payload").alias("raw")))))
     # fields in the order of their names, so that the text is canonical
     record = F.to_json(F.struct(
         arguments.alias("arguments"), F.when(~is_call, F.col("payload")).alias("content"), F.col("id"), F.col("kind"), F.col("status"), F.when(is_call, F.col("tool")).alias("tool"),

@@ -92,7 +92,6 @@ FROM s d JOIN s b ON d.shingle = b.shingle AND d.kind = 'd' AND b.kind = 'b' JOI
 GROUP BY d.id, b.id HAVING count(*) >= 0.75 * any_value(n_item)
 """
 
-# Arguments are a JSON object inside the record, so they are JSON text within JSON text.
 CHAT_FORMAT = """
 WITH c AS (
   SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, text,
@@ -107,7 +106,7 @@ WITH c AS (
 )
 SELECT conv_id, turn, order_no, kind, id, CASE kind WHEN 'call' THEN 'reply' END AS tool, status,
        CASE WHEN kind = 'call' AND text IS NULL THEN 'missing chars; missing text' ELSE '' END AS errors,
-       CASE kind WHEN 'call' THEN to_json({arguments: CAST(to_json({chars: length(text), text: text}) AS VARCHAR), id: id, kind: kind, status: status, tool: 'reply'})
+       CASE kind WHEN 'call' THEN to_json({arguments: {chars: length(text), text: text}, id: id, kind: kind, status: status, tool: 'reply'})
                  WHEN 'result' THEN to_json({content: text, id: id, kind: kind, status: status})
                  ELSE to_json({content: text, kind: kind, status: status}) END::VARCHAR AS record
 FROM s
