@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranking import overflow
+from .ranking import count_by, top_k
 
 #: Answers by kind: the schema, the arrays to go down, and the columns as expressions over the innermost element ``x``.
 ANSWERS: dict[str, tuple[str, tuple[str, ...], dict[str, str]]] = {
@@ -35,10 +35,12 @@ def rows(df: DataFrame, kind: str, id_col: str = "id", text_col: str = "text") -
 
 
 def listing(r: DataFrame, columns: list[str], cap: int = 20, label: str = "more") -> DataFrame:
-    """An answer's rows as text: columns joined by spaces, capped with the number left out."""
+    """An answer's rows as text: columns joined by spaces, capped with the number left out. Rows are ranked first, so only those shown are gathered."""
     line = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
-    g = r.groupBy("answer").agg(F.sort_array(F.collect_list(F.struct("at", line.alias("t")))).alias("l"))
-    return g.select("answer", overflow(F.transform("l", lambda x: x["t"]), cap, label).alias("text"))
+    shown = top_k(r.select("answer", "at", line.alias("t")), cap, [F.col("at")], ["answer"])
+    g = shown.groupBy("answer").agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("l"))
+    left = F.when(F.col("n") > cap, F.concat(F.lit("\n... +"), (F.col("n") - cap).cast("string"), F.lit(f" {label}"))).otherwise("")
+    return g.join(count_by(r, "answer"), "answer").select("answer", F.concat(F.array_join(F.transform("l", lambda x: x["t"]), "\n"), left).alias("text"))
 
 
 def log_events(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ def positional_diff(left: Column, right: Column) -> Column:
     Lines more alike than half by their characters are modified; else one is removed and one added.
     """
     a, b = T.lines(left), T.lines(right)
-    pairs = F.arrays_zip(F.transform(a, lambda x: x).alias("x"), F.transform(b, lambda x: x).alias("y"))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
     def kind(p: Column) -> Column:
         x, y = p["x"], p["y"]

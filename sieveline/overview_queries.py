@@ -287,3 +287,9 @@ def surefire_totals(spark, sf_dir):
     return n.select("id", _s(r["failures"], " of ", r["run"]).alias("report"))
 
 
+
+
+@query(_sql("list('u' || k || ' 2024-01-02' ORDER BY k) AS l", _first("l", 20, NL, f"{NL} || '... +' || # || ' more'")))
+def cloud_listings(spark, sf_dir):
+    d = _items(spark, sf_dir, _st(UserName=_s("u", _k()), CreateDate="2024-01-02T00:00:00Z")).select("id", F.to_json(F.struct(F.col("items").alias("Users"))).alias("text"))
+    return cloud.listing(cloud.rows(d, "users"), ["id", "day"]).select(F.col("answer").alias("id"), F.col("text").alias("report"))
