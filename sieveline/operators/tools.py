@@ -561,3 +561,79 @@ def not_json(path: Column | str) -> Column:
     """Why a file is no JSON file, by its extension; null where nothing is against it."""
     ext = F.regexp_extract(T.c(path), r"\.([^./]*)\z", 1)
     return F.coalesce(*[F.when(ext == k, text(T.c(path), f" is not a JSON file (detected {v}).")) for k, v in NOT_JSON.items()])
+
+
+#: Folders that paths are shown from, by tool, the first that a path holds.
+ANCHORS = {"lint": ("src", "lib"), "ruff": ("src", "lib", "tests"), "format": ("src", "lib", "tests"), "golangci": ("pkg", "cmd", "internal")}
+RUBY_ANCHORS = ("app/models/", "app/controllers/", "app/views/", "app/helpers/", "app/services/", "app/jobs/", "app/mailers/", "lib/", "spec/", "test/", "config/")
+
+
+def tool_path(x: Column | str, tool: str) -> Column:
+    """A path from a folder that the tool's projects are laid out by, else the file's name."""
+    path = F.replace(T.c(x), F.lit("\\"), F.lit("/"))
+    if tool != "rubocop":
+        return T.anchored_path(path, list(ANCHORS[tool]))
+    found = [F.when(F.instr(path, a) > 0, F.substring(path, F.instr(path, a), F.length(path))) for a in RUBY_ANCHORS]
+    return F.coalesce(*found, F.when(path.contains("/app/"), F.concat(F.lit("app/"), F.substring_index(path, "/app/", -1))), T.last_segment(path))
+
+
+def wc_report(x: Column | str, mode: str = "full") -> Column:
+    """Word counts without the folder that all files share. mode: full (lines, words, bytes), one (a single count) or mixed (several counts)."""
+    a = F.filter(F.transform(T.lines(T.utrim(x)), lambda s: F.split(T.utrim(s), r"\s+")), lambda p: p[0] != "")
+    is_total = lambda p: F.element_at(p, -1) == "total"
+    folder = common_folder(F.transform(F.filter(a, lambda p: ~is_total(p)), lambda p: F.element_at(p, -1)))
+    at = lambda p, k: F.coalesce(F.try_element_at(p, F.lit(k)), F.lit(""))
+    bare = lambda name: F.when((folder != "") & name.startswith(folder), F.substring(name, F.length(folder) + 1, F.length(name))).otherwise(name)
+    counts = lambda p: text(at(p, 1), "L ", at(p, 2), "W ", at(p, 3), "B")
+    whole = lambda p: F.array_join(p, " ")
+    path_last = lambda p: ~F.element_at(p, -1).rlike(r"^[0-9]+$")
+    numbers = lambda p: F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), " ")
+    if mode == "one":
+        single, many = a[0][0], lambda p: F.when(is_total(p), text("Σ ", p[0])).otherwise(text(p[0], " ", bare(F.element_at(p, -1))))
+    elif mode == "full":
+        single, many = F.when(F.size(a[0]) >= 3, counts(a[0])).otherwise(whole(a[0])), lambda p: F.when(is_total(p), text("Σ ", counts(p))).when(F.size(p) >= 4, text(counts(p), " ", bare(at(p, 4)))).otherwise(whole(p))
+    else:
+        single = F.when((F.size(a[0]) >= 2) & path_last(a[0]), numbers(a[0])).otherwise(whole(a[0]))
+        many = lambda p: F.when(is_total(p), text("Σ ", numbers(p))).when((F.size(p) >= 2) & path_last(p), text(numbers(p), " ", bare(F.element_at(p, -1)))).otherwise(whole(p))
+    return F.when(F.size(a) == 0, "").when(F.size(a) == 1, single).otherwise(F.array_join(F.transform(a, many), "\n"))
+
+
+def docker_ps(x: Column | str) -> Column:
+    rows = F.array_compact(F.transform(_some(x), lambda s: _container(F.split(s, "\t", -1), True)))
+    shown = text("[docker] ", F.size(rows), " containers:\n", F.array_join(F.slice(rows, 1, LIST), ""), more(F.size(rows), LIST, "more\n", "  … +"))
+    return F.when(T.is_blank(x), "[docker] 0 containers").otherwise(shown)
+
+
+def docker_images(x: Column | str) -> Column:
+    """Images with their sizes, 50 of them, and the size of all."""
+    a = F.transform(T.lines(x), lambda s: F.split(s, "\t", -1))
+    size = lambda r: F.coalesce(F.try_element_at(r, F.lit(2)), F.lit(""))
+    number_of = lambda r, unit: F.coalesce(F.trim(F.replace(size(r), F.lit(unit), F.lit(""))).try_cast("double"), F.lit(0.0))
+    mb = F.aggregate(a, F.lit(0.0), lambda t, r: t + F.when(size(r).contains("GB"), number_of(r, "GB") * 1024).when(size(r).contains("MB"), number_of(r, "MB")).otherwise(0.0))
+    all_ = F.when(mb > 1024, F.format_string("%.1fGB", mb / 1024)).otherwise(F.format_string("%.0fMB", F.bround(mb, 0)))
+    line = lambda r: text("  ", r[0], " [", size(r), "]\n")
+    shown = text("[docker] ", F.size(a), " images (", all_, ")\n", F.array_join(F.transform(F.slice(a, 1, 50), line), ""), more(F.size(a), 50, "more\n", "  … +"))
+    return F.when((F.size(a) == 0) | (T.c(x) == ""), "[docker] 0 images").otherwise(shown)
+
+
+_PIP = "array<struct<name:string,version:string,latest_version:string>>"
+
+
+def pip_list(x: Column | str) -> Column:
+    """Packages by first letter, letters sorted, 50 of each."""
+    a = F.from_json(T.c(x), _PIP)
+    letter = lambda p: F.when(p["name"] == "", "?").otherwise(F.translate(F.left(p["name"], F.lit(1)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    letters = F.array_sort(F.array_distinct(F.transform(a, letter)))
+
+    def group(k: Column) -> Column:
+        own = F.filter(a, lambda p: letter(p) == k)
+        return text("\n[", F.upper(k), "]\n", F.array_join(F.transform(F.slice(own, 1, 50), lambda p: text("  ", p["name"], " (", p["version"], ")\n")), ""), more(F.size(own), 50, "more\n", "  ... +"))
+
+    return F.when(F.size(a) == 0, "pip list: No packages installed").otherwise(T.utrim(text("pip list: ", F.size(a), " packages\n", F.array_join(F.transform(letters, group), ""))))
+
+
+def pip_outdated(x: Column | str) -> Column:
+    a = F.from_json(T.c(x), _PIP)
+    line = lambda p, i: text(i + 1, ". ", p["name"], " (", p["version"], " → ", F.when(F.coalesce(p["latest_version"], F.lit("")) == "", "unknown").otherwise(p["latest_version"]), ")\n")
+    rows = text(F.array_join(F.transform(F.slice(a, 1, LIST), line), ""), more(F.size(a), LIST, "more packages\n", "\n... +"))
+    return F.when(F.size(a) == 0, "pip outdated: All packages up to date").otherwise(text("pip outdated: ", F.size(a), " packages\n", rows, "\n[hint] Run `pip install --upgrade <package>` to update"))

@@ -13,6 +13,7 @@ from .operators import packages as PK
 from .operators import reading as RD
 from .operators import runners as RU
 from .operators import test_results as TR
+from .operators import tools as TO
 from .answer_queries import _items, _st
 from .parser_queries import _k, _s, blob
 from .queries import query, table
@@ -293,3 +294,45 @@ def surefire_totals(spark, sf_dir):
 def cloud_listings(spark, sf_dir):
     d = _items(spark, sf_dir, _st(UserName=_s("u", _k()), CreateDate="2024-01-02T00:00:00Z")).select("id", F.to_json(F.struct(F.col("items").alias("Users"))).alias("text"))
     return cloud.listing(cloud.rows(d, "users"), ["id", "day"]).select(F.col("answer").alias("id"), F.col("text").alias("report"))
+
+
+@query(_each("'src/a' || k || '.ts|lib/b.py|tests/c.py|pkg/d.go|d.go|app/models/u' || k || '.rb|x.rb'"))
+def tool_paths(spark, sf_dir):
+    n = _s(_k())
+    parts = [
+        TO.tool_path(_s("/w/src/x/src/a", n, ".ts"), "lint"), TO.tool_path(F.lit("C:\\w\\lib\\b.py"), "ruff"), TO.tool_path(F.lit("/w/tests/c.py"), "format"), TO.tool_path(F.lit("/w/cmd/x/pkg/d.go"), "golangci"), TO.tool_path(F.lit("/w/d.go"), "golangci"),
+        TO.tool_path(_s("/r/app/models/u", n, ".rb"), "rubocop"), TO.tool_path(F.lit("/r/other/x.rb"), "rubocop"),
+    ]
+    return _rows(spark, sf_dir, F.concat_ws("|", *parts))
+
+
+@query(_sql("list(k || 'L ' || (k + 1) || 'W ' || (k + 2) || 'B f' || k || '.txt' ORDER BY k) AS l", f"array_to_string(l, {NL}) || {NL} || 'Σ 9L 8W 7B'"))
+def wc_reports(spark, sf_dir):
+    return _report(spark, sf_dir, TO.wc_report, _s("  ", _k(), "  ", _k() + 1, " ", _k() + 2, " dir/sub/f", _k(), ".txt"), "", "\n  9 8 7 total\n")
+
+
+@query(_each("k || '|' || k || 'L 2W 3B|' || k || ' 2'"))
+def wc_single(spark, sf_dir):
+    return _rows(spark, sf_dir, F.concat_ws("|", TO.wc_report(_s(" ", _k(), " a"), "one"), TO.wc_report(_s(_k(), " 2 3 a")), TO.wc_report(_s(_k(), " 2 a"), "mixed")))
+
+
+@query(_sql("list('  ' || k || ' c' || k || ' (img:1) Up [80]' ORDER BY k) FILTER (k % 4 > 0) AS a", f"'[docker] ' || len(a) || ' containers:' || {NL} || " + _first("a", 20, NL, f"{NL} || '  … +' || # || ' more'") + f" || {NL}"))
+def docker_ps_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.docker_ps, F.when(_k() % 4 > 0, _s(_k(), "\tc", _k(), "\tUp\tr/img:1\t0.0.0.0:80->80/tcp")).otherwise("bad\tline"))
+
+
+@query(_sql("list('  r:' || k || ' [' || CASE WHEN k % 2 = 0 THEN '2GB' ELSE '30MB' END || ']' ORDER BY k) AS a, count(*) FILTER (k % 2 = 0) AS g, count(*) FILTER (k % 2 = 1) AS m", f"'[docker] ' || len(a) || ' images (' || printf('%.1f', g * 2 + m * 30 / 1024.0) || 'GB)' || {NL} || " + _first("a", 50, NL, f"{NL} || '  … +' || # || ' more'") + f" || {NL}"))
+def docker_images_report(spark, sf_dir):
+    return _report(spark, sf_dir, TO.docker_images, _s("r:", _k(), "\t", F.when(_k() % 2 == 0, "2GB").otherwise("30MB")))
+
+
+@query(_sql("list('  a' || k || ' (1)' ORDER BY k) FILTER (k % 5 > 0) AS a, list('  B' || k || ' (1)' ORDER BY k) FILTER (k % 5 = 0) AS b, count(*) AS n", f"'pip list: ' || n || ' packages' || {NL} || {NL} || '[A]' || {NL} || " + _first("a", 50, NL, f"{NL} || '  ... +' || # || ' more'") + f" || {NL} || {NL} || '[B]' || {NL} || " + _first("b", 50, NL, f"{NL} || '  ... +' || # || ' more'")))
+def pip_lists(spark, sf_dir):
+    d = _items(spark, sf_dir, _st(name=_s(F.when(_k() % 5 > 0, "a").otherwise("B"), _k()), version="1"))
+    return d.select("id", TO.pip_list(F.to_json("items")).alias("report"))
+
+
+@query(_sql("list(k ORDER BY k) AS l", f"'pip outdated: ' || len(l) || ' packages' || {NL} || " + _first("list_transform(l, lambda x, i: i || '. p' || x || ' (1 → ' || CASE WHEN x % 2 = 0 THEN 'unknown' ELSE '2' END || ')')", 20, NL, f"{NL} || {NL} || '... +' || # || ' more packages'") + f" || {NL} || {NL} || '[hint] Run `pip install --upgrade <package>` to update'"))
+def pip_outdated_lists(spark, sf_dir):
+    d = _items(spark, sf_dir, _st(name=_s("p", _k()), version="1", latest_version=F.when(_k() % 2 == 1, "2")))
+    return d.select("id", TO.pip_outdated(F.to_json("items")).alias("report"))
