@@ -50,20 +50,32 @@ def _symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return sym, starts
 
 
+#: Entries of a table for numbering n-grams (5 bytes each); where more would be needed they are sorted.
+TABLE = 64_000_000
+
+
 def _grams(sym: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each position's (order+1)-gram (positions from ``order`` on), and the packed grams by number.
+    """Number of each position's (order+1)-gram (positions from ``order`` on), and the packed grams by number, ascending.
 
-    Grams are numbered from short to long by counting, so no sort of all positions is needed.
+    Grams are numbered from short to long through tables of those that occur, so no sort of all positions is needed.
     """
-    alphabet, small = np.unique(sym, return_inverse=True)
-    small = small.astype(np.int32)
-    a, ids, codes = len(alphabet), small, alphabet.astype(np.int64)
+    there = np.zeros(END + 1, bool)
+    there[sym] = True
+    alphabet = np.flatnonzero(there)
+    small = (np.cumsum(there) - 1).astype(np.int32)[sym]
+    a, ids, codes = len(alphabet), small, alphabet
     for k in range(1, order + 1):
         pair = ids[:-1].astype(np.int64) * a + small[k:]
-        seen = np.flatnonzero(np.bincount(pair, minlength=1))
-        where = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.int32)
-        where[seen] = np.arange(len(seen), dtype=np.int32)
-        ids = where[pair]
+        if len(codes) * a > TABLE:
+            seen, ids = np.unique(pair, return_inverse=True)
+            ids = ids.astype(np.int32)
+        else:
+            there = np.zeros(len(codes) * a, bool)
+            there[pair] = True
+            seen = np.flatnonzero(there)
+            where = np.empty(len(there), np.int32)
+            where[seen] = np.arange(len(seen), dtype=np.int32)
+            ids = where[pair]
         codes = (codes[seen // a] << BITS) | alphabet[seen % a]
     return ids, codes
 
@@ -110,8 +122,11 @@ class _Counted:
         self.pending[learn], self.held[learn] = [], 0
 
     def _merge(self) -> None:
-        codes, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-        self.parts = [(codes, np.bincount(at, np.concatenate([p[1] for p in self.parts]), len(codes)).astype(np.int64))]
+        codes, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        at = np.argsort(codes, kind="stable")  # parts are ascending, so this merges them
+        codes, n = codes[at], n[at]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.parts = [(codes[first], np.add.reduceat(n, first) if len(first) else n)]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         self._flush(True)
