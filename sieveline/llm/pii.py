@@ -159,7 +159,11 @@ CROWDED = 20
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The canonical surrogate of a canonical entity."""
-    b = _bytes(key, kind, value, attempt)
+    # the hash is bound to a name, else it would be worked out again for every character
+    return F.element_at(F.transform(F.array(_bytes(key, kind, value, attempt)), lambda b: _drawn(b, kind, value, attempt)), 1)
+
+
+def _drawn(b: Column, kind: Column, value: Column, attempt: Column) -> Column:
     at = lambda k: F.element_at(b, k)
     # secrets of which there are too many of a form are lengthened after some attempts, by a letter or digit of their last kind for each further one
     digits = _like(F.when((kind == "secret") & (attempt >= CROWDED), F.concat(value, F.repeat(F.right(value, F.lit(1)), attempt - CROWDED + 1))).otherwise(value), b)
