@@ -102,18 +102,54 @@ def env_group(name: Column | str, filtered: bool = False) -> Column:
     return F.coalesce(F.when(name.contains("PATH"), "path"), *found, other)
 
 
+def _env_value(name: Column, value: Column, show_all: bool) -> Column:
+    long = F.concat(F.left(value, F.lit(50)), F.lit("... ("), F.char_length(value).cast("string"), F.lit(" chars)"))
+    return F.when(T.is_sensitive(name) & F.lit(not show_all), T.mask_value(value)).when(F.char_length(value) > 100, long).otherwise(value)
+
+
 def env_rows(df: DataFrame, id_col: str = "id", text_col: str = "text", contains: str | None = None, show_all: bool = False) -> DataFrame:
     """NAME=value lines by group; sensitive values masked, those over 100 characters cut to 50 with their length.
 
     contains: shows variables whose name has this part, in any case, and no others.
     """
     name, value = F.regexp_extract("raw", r"^([^=]+)=", 1), F.regexp_extract("raw", r"^[^=]+=(.*)$", 1)
-    long = F.concat(F.left(value, F.lit(50)), F.lit("... ("), F.char_length(value).cast("string"), F.lit(" chars)"))
-    shown = F.when(T.is_sensitive(name) & F.lit(not show_all), T.mask_value(value)).when(F.char_length(value) > 100, long).otherwise(value)
-    rows = _lines(df, id_col, text_col).where(F.col("raw").contains("=")).select("id", "at", name.alias("name"), env_group(name, contains is not None).alias("group"), shown.alias("shown"))
+    rows = _lines(df, id_col, text_col).where(F.col("raw").contains("=")).select("id", "at", name.alias("name"), env_group(name, contains is not None).alias("group"), _env_value(name, value, show_all).alias("shown"))
     return rows.where(F.col("group").isNotNull() & (F.lower("name").contains(contains.lower()) if contains else F.lit(True)))
 
 
+#: The headings of the groups.
+ENV_HEADS = {"path": "PATH Variables:\n", "language": "\nLanguage/Runtime:\n", "cloud": "\nCloud/Services:\n", "tool": "\nTools:\n", "other": "\nOther:\n"}
+
+
+def env_report(x: Column | str, contains: str | None = None, show_all: bool = False, paths: int = 10, others: int = 20) -> Column:
+    """NAME=value lines as one text: groups by name, the entries of PATH one by one, at most 20 other variables."""
+    raw = F.filter(T.lines(x), lambda s: s != "")
+
+    def row(s: Column, i: Column) -> Column:
+        name = F.regexp_extract(s, "^[^=]*", 0)
+        return F.struct(name.alias("name"), i.alias("i"), _env_value(name, s.substr(F.length(name) + 2, F.length(s)), show_all).alias("shown"))
+
+    rows = F.array_sort(F.transform(raw, row))
+    some = F.filter(rows, lambda r: F.lower(r["name"]).contains(contains.lower())) if contains is not None else rows
+    among = lambda g: F.filter(some, lambda r: env_group(r["name"], contains is not None) == g)
+    of = {g: among(g) for g in ENV_HEADS}
+    left = lambda n, cap, pad: F.when(n > cap, F.concat(F.lit(f"{pad}... +"), (n - cap).cast("string"), F.lit(" more\n"))).otherwise("")
+
+    def line(r: Column) -> Column:
+        entries = F.split(r["shown"], ":")
+        each = F.array_join(F.transform(F.slice(entries, 1, paths), lambda e: F.concat(F.lit("    "), e, F.lit("\n"))), "")
+        listed = F.concat(F.lit("  PATH ("), F.size(entries).cast("string"), F.lit(" entries):\n"), each, left(F.size(entries), paths, "    "))
+        return F.when(r["name"] == "PATH", listed).otherwise(F.concat(F.lit("  "), r["name"], F.lit("="), r["shown"], F.lit("\n")))
+
+    def part(g: str) -> Column:
+        a = F.slice(of[g], 1, others) if g == "other" else of[g]
+        return F.when(F.size(of[g]) > 0, F.concat(F.lit(ENV_HEADS[g]), F.array_join(F.transform(a, line), ""), left(F.size(of[g]), others, "  ") if g == "other" else F.lit(""))).otherwise("")
+
+    shown = sum((F.size(of[g]) for g in ENV_HEADS if g != "other"), F.least(F.size(of["other"]), F.lit(others)))
+    total = F.lit("") if contains is not None else F.concat(F.lit("\nTotal: "), F.size(raw).cast("string"), F.lit(" vars (showing "), shown.cast("string"), F.lit(" relevant)\n"))
+    return F.concat(*map(part, ENV_HEADS), total)
+
+
 def psql_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Cells of an ASCII table, trimmed, without rules and the row count."""
     rows = _lines(df, id_col, text_col).where(~F.col("raw").rlike(r"^[\s|+-]*$|^\(\d+ rows?\)"))

@@ -238,6 +238,21 @@ def gradle_builds(spark, sf_dir):
 # JSON and shell
 
 
+@query(_sql("list('{\"a\":' || k || ',\"b\":{\"c\":[\"x\",null]}}' ORDER BY k) AS l, count(*) AS n",
+            f"'Count: ' || n || '/' || (n + 5) || {NL} || 'Capacity: 2.5 RCU' || {NL} || '(paginated — more results available)' || {NL} || " + _first("l", 20, NL, f"{NL} || '… +' || # || ' more items'")))
+def typed_tables(spark, sf_dir):
+    """The answer of a scan: items with typed values, capacity and a key to go on from."""
+    g = _items(spark, sf_dir, _s('{"a":{"N":"', _k(), '"},"b":{"M":{"c":{"L":[{"S":"x"},{"NULL":true}]}}}}'))
+    n = F.size("items")
+    return g.select("id", JS.items_report(_s('{"Items":[', F.array_join("items", ","), '],"Count":', n, ',"ScannedCount":', n + 5, ',"ConsumedCapacity":{"CapacityUnits":2.5},"LastEvaluatedKey":{}}')).alias("report"))
+
+
+@query(_each(f"'PATH Variables:' || {NL} || '  PATH (12 entries):' || {NL} || array_to_string(list_transform(range(1, 11), lambda i: '    /p' || i || {NL}), '') || '    ... +2 more' || {NL} || {NL} || 'Language/Runtime:' || {NL} || '  GOROOT=/g' || k || {NL} || {NL} || 'Cloud/Services:' || {NL} || '  AWS_SECRET=ab****yz' || {NL} || {NL} || 'Other:' || {NL} || '  HOME=' || repeat('h', 50) || '... (' || (101 + s) || ' chars)' || {NL} || array_to_string(list_transform(range(11, 30), lambda i: '  LC_' || i || '=' || k || {NL}), '') || '  ... +1 more' || {NL} || {NL} || 'Total: 25 vars (showing 23 relevant)' || {NL}"))
+def environment_reports(spark, sf_dir):
+    lines = F.concat_ws("\n", F.lit("ZZ=1"), F.transform(F.sequence(F.lit(30), F.lit(11), F.lit(-1)), lambda i: F.concat(F.lit("LC_"), i.cast("string"), F.lit("="), _s(_k()))), _s("GOROOT=/g", _k()), F.lit("PATH=" + ":".join(f"/p{i}" for i in range(1, 13))), F.lit("AWS_SECRET=ab12345yz"), F.concat(F.lit("HOME="), F.expr("repeat('h', cast(101 + p_size as int))")))
+    return _rows(spark, sf_dir, listings.env_report(lines))
+
+
 @query(_each("'{\"a\":' || k || ',\"b\":\"x\",\"c\":[1,\"y\"],\"d\":{\"e\":true},\"f\":null}'"))
 def typed_items(spark, sf_dir):
     raw = _s('{"a":{"N":"', _k(), '"},"b":{"S":"x"},"c":{"L":[{"N":"1"},{"S":"y"}]},"d":{"M":{"e":{"BOOL":true}}},"f":{"NULL":true}}')

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions import json_shape as JS
 from sieveline.functions import text as T
 from sieveline.operators import answers as AN
+from sieveline.operators import linters as LN
 from sieveline.operators import listings as LI
 from sieveline.operators import reading as RD
 from sieveline.operators import runners as RU
@@ -68,6 +70,13 @@ CASES = {
     43: (TO.psql_report, many(60, "-[ RECORD # ]-----\nid | #\nname | n\nabout | some words"), 60, "words"),
     44: (RU.minitest_report, "Run options: --seed 1\n\n# Running:\n\n" + many(30, ". . . . . . .") + "\nFinished in 0.1s\n\n210 runs, 300 assertions, 0 failures, 0 errors, 0 skips\n", 80, "words"),
     47: (RU.rspec_text, RSPEC + "Failures:\n\n  1) A does\n     Failure/Error: x\n" + many(12, "     # /usr/lib/gems/rspec-core/lib/rspec/core/example.rb:#:in `run'") + "     # ./spec/a_spec.rb:3\n\n3 examples, 1 failure\n".replace("1 failure", "1 failures"), 30, "bytes"),
+    7: (JS.items_report, json.dumps({"Items": [{"id": {"S": f"user-{i}"}, "age": {"N": str(i)}, "on": {"BOOL": True}, "tags": {"L": [{"S": "a"}, {"S": "b"}]}} for i in range(15)], "Count": 15, "ScannedCount": 15}, indent=2), 30, "bytes"),
+    9: (LN.pods_report, json.dumps({"items": [{"metadata": {"name": f"p{i}", "namespace": "n", "labels": {"app": "x"}}, "status": {"phase": "Running", "containerStatuses": [{"restartCount": 0, "state": {"running": {"startedAt": "x"}}}]}} for i in range(10)]}, indent=1), 60, "words"),
+    18: (lambda x: LN.golangci_report(x, 2), json.dumps({"Issues": [{"FromLinter": "errcheck", "Text": "Error return value is not checked", "SourceLines": ["\tf()"], "Pos": {"Filename": "a.go", "Line": i, "Column": 1}} for i in range(20)]}, indent=1), 60, "words"),
+    45: (LN.rspec_report, json.dumps({"examples": [{"id": f"./s.rb[{i}]", "full_description": f"A does {i}", "status": "passed", "file_path": "./s.rb", "line_number": i, "run_time": 0.01} for i in range(20)], "summary": {"duration": 0.2, "example_count": 20, "failure_count": 0, "pending_count": 0, "errors_outside_of_examples_count": 0}}), 60, "bytes"),
+    46: (LN.rspec_report, json.dumps({"examples": [{"id": f"./s.rb[{i}]", "full_description": f"A does {i}", "status": "failed" if i < 2 else "passed", "file_path": "./s.rb", "line_number": i, "exception": {"class": "A::E", "message": "expected 1", "backtrace": ["/gems/x.rb:1"] * 8 + ["./s.rb:2"]} if i < 2 else None} for i in range(12)], "summary": {"duration": 0.2, "example_count": 12, "failure_count": 2, "pending_count": 0, "errors_outside_of_examples_count": 0}}), 60, "bytes"),
+    48: (LN.rubocop_report, json.dumps({"files": [{"path": f"app/models/m{i}.rb", "offenses": [{"severity": "convention", "message": f"Line is too long in place {i}.{j}", "cop_name": "Layout/LineLength", "correctable": True, "location": {"start_line": j, "start_column": 1, "last_line": j, "last_column": 99, "length": 99}} for j in range(8)]} for i in range(12)], "summary": {"offense_count": 96, "inspected_file_count": 12}}), 60, "bytes"),
+    49: (LN.ruff_report, json.dumps([{"code": "F401", "message": f"`os{i}` imported but unused and never read again", "filename": "/w/src/a.py", "location": {"row": i, "column": 1}, "end_location": {"row": i, "column": 9}, "url": "x", "fix": {"applicability": "safe", "message": "Remove unused import of this name here", "edits": [{"content": "", "location": {"row": i, "column": 1}}]}} for i in range(1, 81)], indent=1), 60, "words"),
 }
 
 
