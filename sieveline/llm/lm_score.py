@@ -65,17 +65,19 @@ def _grams(sym: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     small = (np.cumsum(there) - 1).astype(np.int32)[sym]
     a, ids, codes = len(alphabet), small, alphabet
     for k in range(1, order + 1):
-        pair = ids[:-1].astype(np.int64) * a + small[k:]
         if len(codes) * a > TABLE:
+            pair = ids[:-1].astype(np.int64) * a + small[k:]
             seen, ids = np.unique(pair, return_inverse=True)
             ids = ids.astype(np.int32)
         else:
+            pair = ids[:-1] * np.int32(a)
+            pair += small[k:]
             there = np.zeros(len(codes) * a, bool)
             there[pair] = True
             seen = np.flatnonzero(there)
             where = np.empty(len(there), np.int32)
             where[seen] = np.arange(len(seen), dtype=np.int32)
-            ids = where[pair]
+            ids = where.take(pair)
         codes = (codes[seen // a] << BITS) | alphabet[seen % a]
     return ids, codes
 
@@ -233,7 +235,10 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         is_word = answers.column("word").is_valid().to_numpy(zero_copy_only=False)
         value = answers.column("value").to_numpy()
-        word_value = dict(zip(answers.filter(pa.array(is_word)).column("word").to_pylist(), value[is_word].tolist(), strict=True))
+        # frequent words first, so that those that are looked up most lie together
+        at = np.flatnonzero(is_word)
+        at = at[np.argsort(-value[at])]
+        word_value = dict(zip(answers.column("word").take(pa.array(at)).to_pylist(), value[at].tolist(), strict=True))
         grams, logp = answers.filter(pa.array(~is_word)).column("gram").to_numpy(), value[~is_word]
         at = np.argsort(grams)
         grams, logp = grams[at], logp[at]
