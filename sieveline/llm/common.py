@@ -35,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: list[list[str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that any executor can read."""
+def cut(df: DataFrame, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``folders``, and read it back: later plans start from files that any executor can read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*folders).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
