@@ -283,12 +283,38 @@ def shell_traits(spark, sf_dir):
     return _rows(spark, sf_dir, _s(S.has_substitution(cmd), S.has_heredoc(cmd), S.redirects_to_file(cmd), "|", F.when(_k() % 5 == 4, S.join_continuations(cmd)).otherwise("x")))
 
 
-@query(_each("CASE k % 3 WHEN 0 THEN 'sl git log' || k || ' && cd x' WHEN 1 THEN 'A=1 sl git x | git y' ELSE 'echo `git z`' END || '|' || CASE k % 2 WHEN 0 THEN 'a b;c ' || k ELSE 'it''s' END"))
+@query(_each("CASE k % 3 WHEN 0 THEN 'sl git log ' || k || ' && cd x' WHEN 1 THEN 'A=1 sl git x | git y' ELSE 'none' END || '|' || CASE k % 2 WHEN 0 THEN 'a b;c ' || k ELSE 'it''s' END"))
 def rewritten_commands(spark, sf_dir):
-    rewrite = S.rewrite_with("sl", ("git",))
-    cmd = _pick(3, _s("git log", _k(), " && cd x"), F.lit("A=1 git x | git y"), F.lit("echo `git z`"))
+    cmd = _pick(3, _s("git log ", _k(), " && cd x"), F.lit("A=1 git x | git y"), F.lit("echo `git z`"))
     words = S.tokenize(F.when(_k() % 2 == 0, _s('"a b" c\\ ', _k())).otherwise("it\\'s"))
-    return _rows(spark, sf_dir, _s(rewrite(cmd), "|", F.array_join(words, ";")))
+    return _rows(spark, sf_dir, _s(F.coalesce(S.rewrite(cmd, "sl", ("git",)), F.lit("none")), "|", F.array_join(words, ";")))
+
+
+_COMMANDS_SQL = r"""
+SELECT doc_id AS id, CASE doc_id % 5
+  WHEN 0 THEN 'sl git commit -m "' || t || '" && htop' WHEN 1 THEN 'M="' || t || '" sl cargo test 2>&1 | git log' WHEN 2 THEN 'echo "' || t || '"; sl git add .; sl ls -l'
+  WHEN 3 THEN NULL ELSE 'sl git log --grep="' || t || '" & find . || sl /usr/bin/ls' END AS rewritten
+FROM (SELECT doc_id, regexp_replace(text, '["\\$`]', '', 'g') AS t FROM documents)
+"""
+
+
+@query(_COMMANDS_SQL)
+def rewritten_text_commands(spark, sf_dir):
+    """Commands that hold a document's text in quotes, with whatever signs stand in it."""
+    t, n = F.regexp_replace("text", r'["\\$`]', ""), F.col("doc_id") % 5
+    cmd = (
+        F.when(n == 0, _s('git commit -m "', t, '" && htop')).when(n == 1, _s('M="', t, '" cargo test 2>&1 | git log')).when(n == 2, _s('echo "', t, '" ; git add . ;ls -l'))
+        .when(n == 3, _s('git log > "', t, '"')).otherwise(_s('git log --grep="', t, '"&find . ||/usr/bin/ls'))
+    )
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.rewrite(cmd, "sl", ("git", "cargo", "ls", "find")).alias("rewritten"))
+
+
+@query("SELECT doc_id AS id, length(t) + 5 AS at, 'arg,blank,operator,arg,blank,redirect' AS kinds, t AS word FROM (SELECT doc_id, regexp_replace(text, '''', '', 'g') AS t FROM documents)")
+def lexed_texts(spark, sf_dir):
+    """Tokens of a command that begins with a whole text in quotes: where the operator's right side stands, and the text as a word."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _s("'", F.regexp_replace("text", "'", ""), "' &&cat 2>&1").alias("cmd"))
+    rows = rows.select("id", S.lex("cmd").alias("tokens"), S.tokenize("cmd").alias("words"))
+    return rows.select("id", F.col("tokens")[3]["at"].cast("long").alias("at"), F.array_join(F.transform("tokens", lambda k: k["kind"]), ",").alias("kinds"), F.col("words")[0].alias("word"))
 
 
 @query(_sql("list('p' || k ORDER BY k) AS l", _first("l", 7, NL, f"{NL} || '... +' || # || ' more'")))

@@ -30,7 +30,7 @@ def one(spark, col):
         (lambda: T.progress_bar(F.lit(45.0)), "@@@@@....."), (lambda: T.number_lines(F.lit("a\nb")), "1 │ a\n2 │ b"), (lambda: T.char_similarity(F.lit(""), F.lit("")), 1.0),
         (lambda: shell.command_name(F.lit("FOO=1 sudo /usr/bin/git.exe log")), "git"), (lambda: shell.base_command(F.lit("git log -3")), "git log"), (lambda: shell.base_command(F.lit("git -C x")), "git"), (lambda: shell.base_command(F.lit("ls a/b")), "ls"),
         (lambda: shell.split_chain(F.lit("a && b 'x;y' || c; d & e | f")), ["a", "b 'x;y'", "c", "d & e", "f"]), (lambda: shell.split_chain(F.lit("cat <<E; x")), ["cat <<E; x"]),
-        (lambda: shell.tokenize(F.lit("a 'b c' \"d\\\"e\" f\\ g ''")), ["a", "b c", 'd"e', "f g", ""]), (lambda: shell.rewrite_with("px", ("git", "ls"))(F.lit("cd x && sudo git log | ls; ls")), "cd x && sudo px git log | ls; ls"),
+        (lambda: shell.tokenize(F.lit("a 'b c' \"d\\\"e\" f\\ g ''")), ["a", "b c", 'd"e', "f g", ""]), (lambda: shell.rewrite(F.lit("cd x && sudo git log | ls; ls"), "px", ("git", "ls")), "cd x && sudo px git log | ls; ls"),
         (lambda: shell.redirects_to_file(F.lit("a > b")), True), (lambda: shell.redirects_to_file(F.lit("a 2>&1")), False), (lambda: shell.encode_project(F.lit("/a b/c.d")), "-a-b-c-d"),
         (lambda: json_shape.compact_json(F.lit('{"b": 1.50, "a": [1,2,3,4,5,6]}')), "{\n  a: [\n    1\n    ... +5 more\n  ]\n  b: 1.50\n}"), (lambda: json_shape.compact_json(F.lit("no")), None),
         (lambda: json_shape.json_schema(F.lit('{"a": 1e3, "b": "2024-01-02", "c": null, "d": [true, 1]}')), "{\n  a: float\n  b: date?\n  c: null\n  d: [\n    bool\n  ] (2)\n}"),
