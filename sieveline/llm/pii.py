@@ -92,7 +92,7 @@ def _bytes(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 
 #: Letters and digits by class; what belongs to a script's class but isn't listed is replaced by what is.
 ALPHABETS = {
-    r"\d": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "ASCII": ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     r"[\p{IsCyrillic}&&\p{Ll}]": "абвгдежзийклмнопрстуфхцчшщъыьэюя", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
     r"[\p{IsLatin}&&\p{Lu}]": "ÀÁÂÄÈÉÊËÍÎÏÑÓÔÖÚÜ", r"[\p{IsLatin}&&\p{L}]": "àáâäèéêëíîïñóôöúü",
@@ -104,22 +104,28 @@ RANGES = {
 }
 
 
-def _like(value: Column, noise: Column, keep: str = r"[^\p{L}\d]", hexes: bool = False) -> Column:
-    """Each letter or digit replaced by one of its class; other characters, and those that match ``keep``, stay."""
+def _like(value: Column, noise: Column, hexes: bool = False) -> Column:
+    """Each letter or digit replaced by one of its class; other characters stay. ``noise`` holds 128 numbers.
+
+    ASCII, most of what there is, is told apart by comparing characters; patterns are for the rest only.
+    """
 
     def one(ch: Column, i: Column) -> Column:
         n = F.element_at(noise, (i % 128 + 1).cast("int"))
         n = n + 7 * F.floor(i / 128).cast("int")
         if hexes:
             return F.element_at(F.split(F.lit("0123456789abcdef"), ""), (n % 16 + 1).cast("int"))
-        pick = F.when(ch.rlike(f"^{keep}$"), ch)
+        taken = lambda letters: F.element_at(F.split(F.lit(letters), ""), (n % len(letters) + 1).cast("int"))
+        pick = reduce(lambda acc, r: acc.when(ch.between(r[0], r[-1]), taken(r)), ALPHABETS["ASCII"][1:], F.when(ch.between(ALPHABETS["ASCII"][0][0], ALPHABETS["ASCII"][0][-1]), taken(ALPHABETS["ASCII"][0])))
+        pick = pick.when((ch < "\x80") | ch.rlike(r"^[^\p{L}\d]$"), ch)
         for cls, letters in ALPHABETS.items():
-            pick = pick.when(ch.rlike(f"^{cls}$"), F.element_at(F.split(F.lit(letters), ""), (n % len(letters) + 1).cast("int")))
+            if cls != "ASCII":
+                pick = pick.when(ch.rlike(f"^{cls}$"), taken(letters))
         wide = n * 251 + F.element_at(noise, ((i + 61) % 128 + 1).cast("int"))
         for script, (first, last) in RANGES.items():
             code = F.lpad(F.hex((F.lit(first) + wide % (last - first + 1)).cast("long")), 4, "0")
             pick = pick.when(ch.rlike(rf"^[\p{{{script}}}&&\p{{L}}]$"), F.decode(F.unhex(code), "UTF-16BE"))
-        return pick.when(ch.rlike(r"^\p{L}$"), F.element_at(F.split(F.lit("àáâäèéêëíîïñóôöúü"), ""), (n % 17 + 1).cast("int"))).otherwise(ch)
+        return pick.when(ch.rlike(r"^\p{L}$"), taken("àáâäèéêëíîïñóôöúü")).otherwise(ch)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -167,7 +173,7 @@ def _drawn(b: Column, kind: Column, value: Column, attempt: Column) -> Column:
     at = lambda k: F.element_at(b, k)
     # secrets of which there are too many of a form are lengthened after some attempts, by a letter or digit of their last kind for each further one
     digits = _like(F.when((kind == "secret") & (attempt >= CROWDED), F.concat(value, F.repeat(F.right(value, F.lit(1)), attempt - CROWDED + 1))).otherwise(value), b)
-    email = F.concat(_like(F.substring_index(value, "@", 1), b), F.lit("@"), _like(F.regexp_replace(F.substring_index(value, "@", -1), r"\.[^.]+$", ""), F.slice(b, 65, 64)), F.regexp_extract(value, r"\.[^.]+$", 0))
+    email = F.concat(_like(F.substring_index(value, "@", 1), b), F.lit("@"), _like(F.regexp_replace(F.substring_index(value, "@", -1), r"\.[^.]+$", ""), F.concat(F.slice(b, 65, 64), F.slice(b, 1, 64))), F.regexp_extract(value, r"\.[^.]+$", 0))
     octet = lambda k: (at(k) % 254 + 1).cast("string")
     card = _luhn(F.concat(F.substring(value, 1, 1), digits.substr(F.lit(2), F.length(value) - 2)))
     phone = F.concat((at(100) % 8 + 2).cast("string"), digits.substr(F.lit(2), F.length(value)))
@@ -194,7 +200,8 @@ def rendered(kind: Column, mention: Column, form: Column) -> Column:
         chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("i")),
         lambda s, ch: F.struct(F.concat(s["out"], F.when(ch == " ", ch).otherwise(F.element_at(letters, s["i"] + 1))).alias("out"), (s["i"] + F.when(ch == " ", 0).otherwise(1)).alias("i")),
         lambda s: s["out"])
-    cased = F.array_join(F.transform(letters, lambda c, i: F.when(F.element_at(chars, i + 1).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+    # a letter that lower case makes longer shifts all behind it, then the case isn't known any more
+    cased = F.when(F.size(letters) == F.size(chars), F.array_join(F.zip_with(letters, chars, lambda c, m: F.when(m.rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")).otherwise(form)
     named = F.concat(F.regexp_extract(mention, rf"^(?:{_ANY_TITLE})\.? ", 0), F.regexp_replace(form, rf"^(?:{_ANY_TITLE}) ", ""))
     return F.when(kind.isin("phone", "card", "ssn"), filled).when(kind == "email", cased).when(kind == "iban", spaced).when(kind == "name", named).otherwise(form)
 
