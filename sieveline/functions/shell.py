@@ -6,12 +6,10 @@ lengths and any part of it can be put together again from a run of tokens.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import c, utrim
+from .text import bound, c, utrim
 
 #: An escaped character, a quoted part, or a part that stays open to the end.
 _QUOTED = r"\\[\s\S]|'[^']*+(?:'|\z)|\"(?:\\[\s\S]|[^\"\\]|\\\z)*+(?:\"|\z)|\\\z"
@@ -21,11 +19,6 @@ _WORD = rf"(?:{_QUOTED}|[^ \t\n\r\x0B\f&|;<>'\"\\\d]++|\d++(?![<>]))++"
 _TOKEN = rf"{_BLANK}++|&&|\|\||[;|]|&>++|&|\d*[<>][<>&-]*+(?:(?<=&)\d++)?|{_WORD}"
 
 
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)`` with ``x`` worked out once, however often ``f`` names it."""
-    return F.transform(F.array(x), f)[0]
-
-
 def token_kind(value: Column) -> Column:
     """blank, operator (&&, ||, ;), pipe, background, redirect or arg."""
     return (

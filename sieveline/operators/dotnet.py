@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scan import begins, fold, more, none, number, text
+from .scan import bound, begins, fold, more, none, number, text
 
 #: Variables whose values are masked.
 SENSITIVE = (
@@ -76,17 +76,27 @@ def _counted(n: Column, kind: str) -> Column:
     return F.when(n > 0, made).otherwise(F.array().cast(_ISSUE_TYPE))
 
 
+_CODE = r"^[A-Za-z]{2,}\d{3,}\z"
+
+
 def best_of(first: Column, other: Column) -> Column:
-    """The first list unless it is empty; where both are there, the one that tells more: file, code, line and column count."""
-    score = lambda a: F.aggregate(F.transform(a, lambda i: F.when((i["file"] != "") & (i["line"] > 0), 4).otherwise(0) + F.when(i["code"].rlike(r"^[A-Za-z]{2,}\d{3,}$"), 2).otherwise(0) + (i["line"] > 0).cast("int") + (i["col"] > 0).cast("int")), F.lit(0), lambda s, v: s + v)
-    return F.when(F.size(first) == 0, other).when(F.size(other) == 0, first).when(score(other) > score(first), other).otherwise(first)
+    """The first list unless it is empty; where both are there, the one that tells more: a file that is no code, code, line, column and message count.
+
+    A first list of nothing but codes that stand where the file belongs gives way to any list with a real file.
+    """
+    placed = lambda i: (i["file"] != "") & ~i["file"].rlike(_CODE)
+    points = lambda i: F.when(placed(i), 4).otherwise(0) + F.when(i["code"].rlike(_CODE), 2).otherwise(0) + (i["line"] > 0).cast("int") + (i["col"] > 0).cast("int") + (~i["message"].isin("", "Build issue")).cast("int")
+    score = lambda a: F.aggregate(a, F.lit(0), lambda s, i: s + points(i))
+    misread = F.forall(first, lambda i: (i["code"] == "") & i["file"].rlike(_CODE)) & F.exists(other, placed)
+    return F.when(F.size(first) == 0, other).when(F.size(other) == 0, first).when(misread | (score(other) > score(first)), other).otherwise(first)
 
 
 def _listed(x: Column, kind: str) -> Column:
     """Issues as they are written, else as many as a count says, else as many as there are lines of the kind, else those of a restore."""
-    told = F.greatest(largest(x, SUMMARY.format(kind)), largest(x, COUNT.format(kind)))
-    pick = lambda *options: F.coalesce(*[F.when(F.size(o) > 0, o) for o in options], options[-1])
-    return pick(issues(x, kind), _counted(told, kind), _counted(F.size(_all(x, ISSUE_LINE.format(kind))), kind), restore_issues(x, kind))
+    told = lambda: F.greatest(largest(x, SUMMARY.format(kind)), largest(x, COUNT.format(kind)))
+    options = [lambda: bound(told(), lambda n: _counted(n, kind)), lambda: bound(F.size(_all(x, ISSUE_LINE.format(kind))), lambda n: _counted(n, kind)), lambda: restore_issues(x, kind)]
+    pick = lambda o, rest: bound(o, lambda v: F.when(F.size(v) > 0, v).otherwise(pick(rest[0](), rest[1:]))) if rest else o
+    return pick(issues(x, kind), options)
 
 
 def elapsed(x: Column) -> Column:
@@ -95,12 +105,14 @@ def elapsed(x: Column) -> Column:
 
 def build(raw: Column | str) -> Column:
     """(succeeded, projects, errors, warnings, duration)."""
-    x = clean(raw)
-    n = projects(x)
-    seen = x.contains("Build succeeded") | x.contains("Build FAILED") | x.contains(" -> ")
-    return F.struct(
-        (x.contains("Build succeeded") & ~x.contains("Build FAILED")).alias("succeeded"), F.when((n == 0) & seen, 1).otherwise(n).alias("projects"), _listed(x, "error").alias("errors"), _listed(x, "warning").alias("warnings"),
-        elapsed(x).alias("duration"))
+
+    def told(x: Column) -> Column:
+        seen = x.contains("Build succeeded") | x.contains("Build FAILED") | x.contains(" -> ")
+        return F.struct(
+            (x.contains("Build succeeded") & ~x.contains("Build FAILED")).alias("succeeded"), bound(projects(x), lambda n: F.when((n == 0) & seen, 1).otherwise(n)).alias("projects"), _listed(x, "error").alias("errors"), _listed(x, "warning").alias("warnings"),
+            elapsed(x).alias("duration"))
+
+    return bound(clean(raw), told)
 
 
 def merged(first: Column, other: Column) -> Column:
@@ -125,7 +137,10 @@ def _parts(*parts: Column) -> Column:
 
 
 def build_report(raw: Column | str) -> Column:
-    b = build(raw)
+    return bound(build(raw), _build_told)
+
+
+def _build_told(b: Column) -> Column:
     verdict = text(F.when(b["succeeded"], "ok").otherwise("fail"), " dotnet build: ", b["projects"], " projects, ", F.size(b["errors"]), " errors, ", F.size(b["warnings"]), " warnings (", F.coalesce(b["duration"], F.lit("unknown")), ")")
     return _parts(_section(b["warnings"], "warning", 10), _section(b["errors"], "error", 20), verdict)
 

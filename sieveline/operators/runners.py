@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scan import begins, blocks, fold, has, kept, last, listed, more, none, number, text, total
+from .scan import begins, blocks, bound, fold, has, kept, last, listed, more, none, number, text, total
 
 ERRORS, FAILURES, LIST = 20, 10, 20
 _lead = lambda x: F.regexp_replace(x, r"^[ \t]+", "")
@@ -47,36 +47,55 @@ def clippy_rule(line: Column, is_error: Column) -> Column:
 
 def cargo_clippy(x: Column | str) -> Column:
     """Error blocks, then rules by how often they were broken, each with three places."""
-    a = T.lines(x)
     progress = lambda s: begins(_lead(s), "Compiling", "Checking", "Downloading", "Downloaded", "Finished")
     noise = lambda s: (s.contains("generated") & s.contains("warning")) | has(s, "aborting due to", "could not compile")
     is_error, is_warning = (lambda s: begins(s, "error:", "error[")), (lambda s: begins(s, "warning:", "warning["))
-    heads = F.filter(a, lambda s: ~progress(s) & ~noise(s))
-    errors, warnings = total(heads, is_error), total(heads, is_warning)
     closed = lambda s: F.when(F.size(s["block"]) > 0, F.concat(s["blocks"], F.array(F.array_join(s["block"], "\n")))).otherwise(s["blocks"])
 
-    def step(s: Column, line: Column) -> dict[str, Column]:
-        gone, place, head = progress(line), _lead(line).startswith("--> "), is_error(line) | is_warning(line)
+    def see(s: Column, line: Column) -> Column:
+        """What a line is: gone, noise, error, warning, place, blank or text."""
+        return F.when(progress(line), "gone").when(noise(line), "noise").when(is_error(line), "error").when(is_warning(line), "warning").when(_lead(line).startswith("--> "), "place").when(_blank(line), "blank").otherwise("text")
+
+    def step(s: Column, line: Column, kind: Column) -> dict[str, Column]:
         inside = F.size(s["block"]) > 0
-        ends = gone | (~noise(line) & (head | (~place & _blank(line))))
+        more_ = F.concat(s["block"], F.array(line))
         block = (
-            F.when(gone, none()).when(noise(line), s["block"]).when(is_error(line), F.array(line)).when(is_warning(line), none())
-            .when(inside & place, F.concat(s["block"], F.array(line))).when(inside & _blank(line), none()).when(inside & (F.size(s["block"]) < 15), F.concat(s["block"], F.array(line))).otherwise(s["block"])
+            F.when(kind.isin("gone", "warning"), none()).when(kind == "error", F.array(line)).when(inside & (kind == "blank"), none())
+            .when(inside & ((kind == "place") | ((kind == "text") & (F.size(s["block"]) < 15))), more_).otherwise(s["block"])
         )
-        at = F.when(place & ~gone & ~noise(line) & ~head & (s["rule"] != ""), F.concat(s["places"], F.array(F.struct(s["rule"].alias("rule"), F.regexp_replace(line, r"^[ \t]*--> ", "").alias("place"))))).otherwise(s["places"])
-        rule = F.when(head & ~gone & ~noise(line), clippy_rule(line, is_error(line))).otherwise(s["rule"])
-        return {"blocks": F.when(inside & ends, closed(s)).otherwise(s["blocks"]), "block": block, "places": at, "rule": rule}
+        at = F.when((kind == "place") & (s["rule"] != ""), F.concat(s["places"], F.array(F.struct(s["rule"].alias("rule"), F.regexp_replace(line, r"^[ \t]*--> ", "").alias("place"))))).otherwise(s["places"])
+        return {
+            "blocks": F.when(inside & kind.isin("gone", "error", "warning", "blank"), closed(s)).otherwise(s["blocks"]), "block": block, "places": at,
+            "rule": F.when(kind.isin("error", "warning"), clippy_rule(line, kind == "error")).otherwise(s["rule"]),
+            "errors": s["errors"] + F.when(kind == "error", 1).otherwise(0), "warnings": s["warnings"] + F.when(kind == "warning", 1).otherwise(0),
+        }
 
     places = F.array().cast("array<struct<rule:string,place:string>>")
-    got = fold(a, {"blocks": none(), "block": none(), "places": places, "rule": F.lit("")}, step, lambda s: F.struct(closed(s).alias("blocks"), s["places"].alias("places")))
+    start = {"blocks": none(), "block": none(), "places": places, "rule": F.lit(""), "errors": F.lit(0), "warnings": F.lit(0)}
+    got = fold(T.lines(x), start, step, lambda s: F.struct(closed(s).alias("blocks"), s["places"].alias("places"), s["errors"].alias("errors"), s["warnings"].alias("warnings")), (see,))
+    return bound(got, lambda g: bound(_by_rule(g["places"]), lambda rules: _clippy_told(g, rules)))
+
+
+def _by_rule(places: Column) -> Column:
+    """(n, i, rule, at) of rules, the most frequent first, then in order of their first place; n is negative. Places are sorted once, then gathered in one pass."""
+    numbered = F.array_sort(F.transform(places, lambda p, i: F.struct(p["rule"].alias("rule"), i.alias("i"), p["place"].alias("place"))))
+    kind = "array<struct<n:int,i:int,rule:string,at:array<string>>>"
+    shut = lambda s: F.when(F.size(s["at"]) > 0, F.concat(s["out"], F.array(F.struct((-F.size(s["at"])).alias("n"), s["i"].alias("i"), s["rule"].alias("rule"), s["at"].alias("at"))))).otherwise(s["out"])
+
+    def step(s: Column, p: Column) -> dict[str, Column]:
+        same = (F.size(s["at"]) > 0) & (s["rule"] == p["rule"])
+        one = F.array(p["place"])
+        return {"rule": p["rule"], "i": F.when(same, s["i"]).otherwise(p["i"]), "at": F.when(same, F.concat(s["at"], one)).otherwise(one), "out": F.when(same, s["out"]).otherwise(shut(s))}
+
+    return F.array_sort(fold(numbered, {"rule": F.lit(""), "i": F.lit(0), "at": none(), "out": F.array().cast(kind)}, step, shut))
+
+
+def _clippy_told(g: Column, rules: Column) -> Column:
     in_error = lambda b: F.array_join(F.transform(F.split(b, "\n"), lambda line: text("  ", T.ellipsis(line, 160))), "\n")
-    shown = F.when(F.size(got["blocks"]) > 0, text("\nErrors:\n", F.array_join(F.transform(F.slice(got["blocks"], 1, FAILURES), lambda b: F.concat(in_error(b), F.lit("\n\n"))), ""), more(F.size(got["blocks"]), FAILURES, "more errors\n", "  … +"))).otherwise("")
-    names = F.array_distinct(F.transform(got["places"], lambda p: p["rule"]))
-    of = lambda r: F.transform(F.filter(got["places"], lambda p: p["rule"] == r), lambda p: p["place"])
-    rules = F.transform(names, lambda r, i: F.struct((-F.size(of(r))).alias("n"), i.alias("i"), r.alias("rule"), of(r).alias("at")))
+    shown = F.when(F.size(g["blocks"]) > 0, text("\nErrors:\n", F.array_join(F.transform(F.slice(g["blocks"], 1, FAILURES), lambda b: F.concat(in_error(b), F.lit("\n\n"))), ""), more(F.size(g["blocks"]), FAILURES, "more errors\n", "  … +"))).otherwise("")
     line = lambda r: text("  ", r["rule"], " (", -r["n"], "x)\n", F.array_join(F.transform(F.slice(r["at"], 1, 3), lambda p: text("    ", p, "\n")), ""), more(-r["n"], 3, "more\n", "    … +"))
-    by_rule = F.concat(F.array_join(F.transform(F.slice(F.array_sort(rules), 1, LIST), line), ""), more(F.size(rules), LIST, "more rules\n", "\n… +"))
-    return F.when((errors == 0) & (warnings == 0), "cargo clippy: No issues found").otherwise(T.utrim(text("cargo clippy: ", errors, " errors, ", warnings, " warnings\n", shown, by_rule)))
+    by_rule = F.concat(F.array_join(F.transform(F.slice(rules, 1, LIST), line), ""), more(F.size(rules), LIST, "more rules\n", "\n… +"))
+    return F.when((g["errors"] == 0) & (g["warnings"] == 0), "cargo clippy: No issues found").otherwise(T.utrim(text("cargo clippy: ", g["errors"], " errors, ", g["warnings"], " warnings\n", shown, by_rule)))
 
 
 def cargo_install(x: Column | str) -> Column:
@@ -186,12 +205,15 @@ def pytest_sections(x: Column | str) -> Column:
     start = {"at": F.lit("header"), "summary": F.lit(""), "failures": none(), "block": none(), "expected": none()}
     joined = lambda s: F.when(F.size(s["block"]) > 0, F.concat(s["failures"], F.array(F.array_join(s["block"], "\n")))).otherwise(s["failures"])
 
-    def step(s: Column, line: Column) -> dict[str, Column]:
+    def see(s: Column, line: Column) -> Column:
         t = T.utrim(line)
         rule = t.startswith("===")
         to = F.when(rule & t.contains("test session starts"), "header").when(rule & t.contains("FAILURES"), "failures").when(rule & t.contains("short test summary"), "summary")
         bare = (s["summary"] == "") & ~begins(t, "===", "FAILED", "ERROR") & has(t, " passed", " failed", " skipped") & t.contains(" in ")
-        summed = to.isNull() & ((rule & has(t, "passed", "failed", "skipped")) | bare)
+        return F.struct(t.alias("t"), rule.alias("rule"), to.alias("to"), (to.isNull() & ((rule & has(t, "passed", "failed", "skipped")) | bare)).alias("summed"))
+
+    def step(s: Column, line: Column, v: Column) -> dict[str, Column]:
+        t, rule, to, summed = v["t"], v["rule"], v["to"], v["summed"]
         plain = to.isNull() & ~summed
         in_failures, in_summary = plain & (s["at"] == "failures"), plain & (s["at"] == "summary")
         opens = in_failures & t.startswith("___")
@@ -203,7 +225,7 @@ def pytest_sections(x: Column | str) -> Column:
             "expected": F.when(in_summary & begins(t, "XFAIL", "XPASS"), F.concat(s["expected"], F.array(t))).otherwise(s["expected"]),
         }
 
-    return fold(T.lines(x), start, step, lambda s: F.struct(s["summary"].alias("summary"), joined(s).alias("failures"), s["expected"].alias("expected")))
+    return fold(T.lines(x), start, step, lambda s: F.struct(s["summary"].alias("summary"), joined(s).alias("failures"), s["expected"].alias("expected")), (see,))
 
 
 def _pytest_failure(block: Column, i: Column, n: Column) -> Column:
@@ -219,8 +241,10 @@ def _pytest_failure(block: Column, i: Column, n: Column) -> Column:
 
 def pytest_report(x: Column | str) -> Column:
     """The counts, expected failures, and of each failure its name and three lines that matter."""
-    got = pytest_sections(x)
-    k, fails, expected = pytest_counts(got["summary"]), got["failures"], got["expected"]
+    return bound(pytest_sections(x), lambda got: bound(pytest_counts(got["summary"]), lambda k: _pytest_told(k, got["failures"], got["expected"])))
+
+
+def _pytest_told(k: Column, fails: Column, expected: Column) -> Column:
     extra = lambda w: F.when(k[w] > 0, text(", ", k[w], f" {w}")).otherwise("")
     head = text("Pytest: ", k["passed"], " passed, ", k["failed"], " failed", extra("skipped"), extra("xfailed"), extra("xpassed"), "\n")
     known = F.when(F.size(expected) > 0, text("\nExpected-failure outcomes:\n", F.array_join(F.transform(F.slice(expected, 1, FAILURES), lambda s: text("  ", T.ellipsis(s, 120), "\n")), ""), more(F.size(expected), FAILURES, "more\n", "  … +"))).otherwise("")
@@ -251,26 +275,28 @@ def tail_of(x: Column | str, n: int) -> Column:
 def rspec_text(x: Column | str, cap: int = FAILURES - 5) -> Column:
     """The summary line and failure blocks of a run without JSON; else a line that looks like a summary, else the last five lines."""
     summed = r"(\d+) examples?, (\d+) failures?"
-    trimmed = F.transform(T.lines(x), T.utrim)
-    at = F.array_position(F.transform(trimmed, lambda s: s.rlike(summed)), F.lit(True)).cast("int")
-    summary = F.when(at > 0, F.try_element_at(trimmed, F.when(at > 0, at).otherwise(1)))
-    body = F.when(at > 0, F.slice(trimmed, F.lit(1), at - 1)).otherwise(trimmed)
-    start = F.array_position(body, "Failures:").cast("int")
-    again = F.array_position(body, "Failed examples:").cast("int")
-    from_ = F.slice(body, start + 1, F.size(body))
-    own = F.when((start == 0) | ((again > 0) & (again < start)), none()).otherwise(F.slice(from_, F.lit(1), F.when(again > start, again - start - 1).otherwise(F.size(from_))))
+
+    def told(trimmed: Column, at: Column) -> Column:
+        summary = F.when(at > 0, F.try_element_at(trimmed, F.when(at > 0, at).otherwise(1)))
+        guess = last(F.filter(trimmed, lambda s: s.contains("example") & has(s, "failure", "pending")))
+        body = F.when(at > 0, F.slice(trimmed, F.lit(1), at - 1)).otherwise(trimmed)
+        shown = lambda fails: F.when(F.size(fails) == 0, text("RSpec: ", summary)).otherwise(T.utrim(text("RSpec: ", summary, "\n", listed(fails, cap, "more failures", lambda f, i: text(i + 1, ". ✗ ", f), sep="\n\n", mark="... +", lead="\n\n"))))
+        return F.when(at > 0, bound(bound(body, _rspec_failures), shown)).when(guess.isNotNull(), text("RSpec: ", guess)).otherwise(tail_of(x, 5))
+
+    found = lambda trimmed: F.array_position(F.transform(trimmed, lambda s: s.rlike(summed)), F.lit(True)).cast("int")
+    return bound(F.transform(T.lines(x), T.utrim), lambda trimmed: bound(found(trimmed), lambda at: told(trimmed, at)))
+
+
+def _rspec_failures(body: Column) -> Column:
+    """Failure blocks between their header and the list of failed examples."""
     gem = lambda s: has(s, "/gems/", "lib/rspec", "lib/ruby/", "vendor/bundle")
     opens = lambda s: s.rlike(r"^[0-9]+\)")
-    rows = F.filter(own, lambda s: (s != "") & (opens(s) | ~gem(s)))
+    start, again = F.array_position(body, "Failures:").cast("int"), F.array_position(body, "Failed examples:").cast("int")
+    from_ = F.slice(body, start + 1, F.size(body))
+    own = F.when((start == 0) | ((again > 0) & (again < start)), none()).otherwise(F.slice(from_, F.lit(1), F.when(again > start, again - start - 1).otherwise(F.size(body))))
     # lines before the first number make a block of their own
-    rows = F.when(F.size(rows) > 0, rows).otherwise(none())
-    fails = F.transform(blocks(rows, lambda s: opens(s), lambda s, b: F.lit(True)), _ruby_block)
-    shown = listed(fails, cap, "more failures", lambda f, i: text(i + 1, ". ✗ ", f), sep="\n\n", mark="... +", lead="\n\n")
-    guess = last(F.filter(trimmed, lambda s: s.contains("example") & has(s, "failure", "pending")))
-    return (
-        F.when(summary.isNotNull() & (F.size(fails) == 0), text("RSpec: ", summary)).when(summary.isNotNull(), T.utrim(text("RSpec: ", summary, "\n", shown)))
-        .when(guess.isNotNull(), text("RSpec: ", guess)).otherwise(tail_of(x, 5))
-    )
+    rows = F.filter(own, lambda s: (s != "") & (opens(s) | ~gem(s)))
+    return F.transform(blocks(rows, lambda s: opens(s), lambda s, b: F.lit(True)), _ruby_block)
 
 
 def minitest_counts(summary: Column) -> Column:
@@ -506,15 +532,18 @@ def mvn_tests(x: Column | str, package: bool = False, cap: int = FAILURES) -> Co
     is_frame = lambda line: begins(F.regexp_replace(line, r"^[ \t]+", ""), *_MVN_FRAMES)
     unless = lambda test, items: F.when(test, none()).otherwise(items)
 
-    def step(s: Column, line: Column) -> dict[str, Column]:
+    def place(s: Column, line: Column) -> Column:
         opens, close = line.startswith("[INFO] Running "), line.rlike(_CLOSE)
         bad = close & ((F.regexp_extract(line, _CLOSE, 1) != "0") | (F.regexp_extract(line, _CLOSE, 2) != "0"))
         sub = line.startswith("[ERROR] ") & has(line, "<<< FAILURE!", "<<< ERROR!")
-        where = (
+        return (
             F.when(line.rlike(_BANNER), "banner").when(opens, "opens").when(s["open"], F.when(bad & (s["failing"] < cap), "fails").when(bad, "too many").when(close, "passes").otherwise("inside"))
             .when(s["trail"], F.when(line == "", "trail ends").when(is_frame(line) | s["drop"], "trail gone").otherwise("trail"))
             .when(s["armed"].isNotNull() & (line != "") & sub, F.when(s["armed"], "next dropped").otherwise("next"))
         )
+
+    def sort(s: Column, line: Column, where: Column) -> Column:
+        """(kind, reactor, foot, early, entry) of a line that is in no class's part."""
         passing = where.isNull()
         goes_on = s["on"] & line.rlike(r"^[ \t]")
         entry = s["summing"] & line.startswith("[ERROR]   ")
@@ -524,6 +553,10 @@ def mvn_tests(x: Column | str, package: bool = False, cap: int = FAILURES) -> Co
             stays = stays | line.rlike(_MODULE)
         early = no if package else goes_on
         kind = F.when(passing & early, "goes on").when(passing & entry, "entry").when(passing & stays, "stays").when(passing & goes_on, "goes on").when(passing, "other")
+        return F.struct(kind.alias("kind"), reactor.alias("reactor"), foot.alias("foot"), early.alias("early"), entry.alias("entry"))
+
+    def step(s: Column, line: Column, where: Column, v: Column) -> dict[str, Column]:
+        passing, kind, reactor, foot, early, entry = where.isNull(), v["kind"], v["reactor"], v["foot"], v["early"], v["entry"]
         norm = F.regexp_replace(F.regexp_replace(line, r"^\[WARNING\] ", ""), _COORD, "")
         new = (kind == "other") & line.startswith("[WARNING]") & ~F.array_contains(s["seen"], norm) if package else no
         counted = (kind == "stays") & s["summing"] & line.rlike(_ALL)
@@ -558,4 +591,4 @@ def mvn_tests(x: Column | str, package: bool = False, cap: int = FAILURES) -> Co
         notes = lambda n, what: F.when(n > 0, text("\n… +", n, f" more {what}\n")).otherwise("")
         return F.concat(_ended(rows), F.when(s["summing"], notes(s["left"], "failures")).otherwise(""), notes(s["dropped"], "failing test classes"))
 
-    return F.when(_english(a), fold(a, start, step, finish)).otherwise(raw)
+    return F.when(_english(a), fold(a, start, step, finish, (place, sort))).otherwise(raw)

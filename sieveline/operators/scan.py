@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 
 
 def none() -> Column:
@@ -26,15 +27,21 @@ def has(x: Column, *parts: str) -> Column:
     return x.rlike("|".join(map(re.escape, parts)))
 
 
-def fold(a: Column, start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], finish: Callable[[Column], Column] | None = None) -> Column:
-    """Goes over an array with named fields of state; ``step`` gives the fields that change."""
+def fold(a: Column, start: dict[str, Column], step: Callable[..., dict[str, Column]], finish: Callable[[Column], Column] | None = None, see: tuple[Callable[..., Column], ...] = ()) -> Column:
+    """Goes over an array with named fields of state; ``step`` gives the fields that change.
 
-    def nxt(s: Column, x: Column) -> Column:
-        new = step(s, x)
+    Each of ``see`` tells something of an item that ``step`` and the following ones need more than once: it is worked out once an item and passed on after the state and the item.
+    """
+
+    def nxt(s: Column, x: Column, *seen: Column) -> Column:
+        if len(seen) < len(see):
+            return bound(see[len(seen)](s, x, *seen), lambda v: nxt(s, x, *seen, v))
+        new = step(s, x, *seen)
         return F.struct(*[new.get(k, s[k]).alias(k) for k in start])
 
     zero = F.struct(*[v.alias(k) for k, v in start.items()])
-    return F.aggregate(a, zero, nxt, finish) if finish else F.aggregate(a, zero, nxt)
+    one = lambda s, x: nxt(s, x)
+    return F.aggregate(a, zero, one, finish) if finish else F.aggregate(a, zero, one)
 
 
 def blocks(a: Column, opens: Callable[[Column], Column], goes_on: Callable[[Column, Column], Column], skip: Callable[[Column], Column] | None = None) -> Column:
