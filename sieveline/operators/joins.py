@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ordered
 
 
 def link_results(uses: DataFrame, results: DataFrame, scope: str, use_id: str, result_id: str, payload: Column, order: Column) -> DataFrame:
@@ -14,11 +17,16 @@ def link_results(uses: DataFrame, results: DataFrame, scope: str, use_id: str, r
     return uses.join(last, [scope, use_id], "left").withColumn("output_len", F.coalesce(F.octet_length("output"), F.lit(-1)))
 
 
-def look_ahead(df: DataFrame, scope: list[str], order: list[str], reach: int, columns: list[str], keep) -> DataFrame:
+def look_ahead(df: DataFrame, scope: list[str], order: list[str], reach: int, columns: list[str], keep, split: bool = False) -> DataFrame:
     """Each row with the first of the next ``reach`` rows of its scope that ``keep(row, other)`` accepts.
 
-    One window of leads instead of a self join: rows are sorted once and nothing is multiplied.
+    One window of leads instead of a self join: rows are sorted once and nothing is multiplied. A scope is one task; with ``split``, and where
+    there is no scope, ranges of the order are tasks instead, which cut large scopes but cost a second shuffle.
     """
+    if split or not scope:
+        own = [c for c in scope if c not in columns]
+        alike = lambda a, b: reduce(lambda t, c: t & a[c].eqNullSafe(b[c]), scope, F.lit(True))
+        return ordered.look_ahead(ordered.in_blocks(df, [*scope, *order]), [*scope, *order], reach, [*columns, *own], lambda a, b: alike(a, b) & keep(a, b)).drop(ordered.BLOCK)
     w = Window.partitionBy(*scope).orderBy(*order)
     ahead = F.array(*[F.lead(F.struct(*columns), k).over(w) for k in range(1, reach + 1)])
     found = F.filter(F.filter("_ahead", lambda o: o.isNotNull()), lambda o: keep(F.struct(*columns), o))
@@ -42,13 +50,17 @@ def positional_diff(left: Column, right: Column) -> Column:
 
 
 def carry_forward(df: DataFrame, scope: list[str], order: list[str], header: Column, name: str) -> DataFrame:
-    """The last header at or before each row: sections of a log, continuation lines of a diagnostic."""
+    """The last header at or before each row: sections of a log, continuation lines of a diagnostic. Without a scope ranges of the order are tasks."""
+    if not scope:
+        return ordered.carry_forward(ordered.in_blocks(df, order), order, header, name).drop(ordered.BLOCK)
     w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(header, ignorenulls=True).over(w))
 
 
 def drop_consecutive(df: DataFrame, scope: list[str], order: list[str], value: Column) -> DataFrame:
-    """Rows whose value differs from the row before; equal values apart from each other stay."""
+    """Rows whose value differs from the row before; equal values apart from each other stay. Without a scope ranges of the order are tasks."""
+    if not scope:
+        return ordered.drop_consecutive(ordered.in_blocks(df, order), order, value).drop(ordered.BLOCK)
     w = Window.partitionBy(*scope).orderBy(*order)
     return df.withColumn("_was", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1).where(F.col("_first") | ~F.col("_was").eqNullSafe(value)).drop("_was", "_first")
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sieveline import answer_queries, filter_queries, linter_queries, overview_queries, parser_queries, queries, report_queries, scalar_queries, source_queries  # noqa: F401
+from sieveline import answer_queries, filter_queries, linter_queries, order_queries, overview_queries, parser_queries, queries, report_queries, scalar_queries, source_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
