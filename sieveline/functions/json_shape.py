@@ -1,4 +1,4 @@
-"""JSON printers that keep number text: a compact form of values, and a form of types. UDFs, since engines normalise numbers."""
+"""Answers of typed stores that keep number text, and objects found in noisy text. UDFs, since engines normalise numbers; the printers of values and types are expressions (``json_tokens``)."""
 
 from __future__ import annotations
 
@@ -19,66 +19,6 @@ def parse(text: str):
     return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
 
 
-def _cut(s: str, limit: int = 80, keep: int = 77) -> str:
-    raw = s.encode()
-    return s if len(raw) <= limit else raw[:keep].decode(errors="ignore") + "..."
-
-
-def compact(v, depth: int = 0, max_depth: int = 10, keys: int = 21) -> str:
-    """Values: long strings cut by bytes, arrays over five as the first and a count, keys sorted and capped."""
-    pad = "  " * depth
-    if depth > max_depth:
-        return f"{pad}..."
-    if isinstance(v, _Number):
-        return pad + str(v)
-    if v is None or isinstance(v, bool):
-        return pad + json.dumps(v)
-    if isinstance(v, str):
-        return pad + json.dumps(_cut(v), ensure_ascii=False)
-    if isinstance(v, list):
-        if not v:
-            return f"{pad}[]"
-        if len(v) > 5:
-            return f"{pad}[\n{compact(v[0], depth + 1, max_depth, keys)}\n{pad}  ... +{len(v) - 1} more\n{pad}]"
-        return f"{pad}[\n" + "\n".join(compact(x, depth + 1, max_depth, keys) for x in v) + f"\n{pad}]"
-    if not v:
-        return pad + "{}"
-    out = [pad + "{"]
-    for i, k in enumerate(sorted(v)):
-        out.append(f"{pad}  {k}: {compact(v[k], depth + 1, max_depth, keys).lstrip()}")
-        if i == keys - 1:
-            out.append(f"{pad}  ... +{len(v) - keys} more keys")
-            break
-    return "\n".join([*out, pad + "}"])
-
-
-def shape(v, depth: int = 0, max_depth: int = 10, keys: int = 16) -> str:
-    """Types only: arrays by their first element, long strings with their length, addresses and dates told apart."""
-    pad = "  " * depth
-    if depth > max_depth:
-        return f"{pad}..."
-    if isinstance(v, _Number):
-        return pad + ("float" if re.search(r"[.eE]", v) else "int")
-    if v is None:
-        return f"{pad}null"
-    if isinstance(v, bool):
-        return f"{pad}bool"
-    if isinstance(v, str):
-        kind = f"string[{len(v.encode())}]" if len(v.encode()) > 50 else "url" if v.startswith("http") else "date?" if len(v) == 10 and v.count("-") == 2 else "string"
-        return pad + kind
-    if isinstance(v, list):
-        return f"{pad}[]" if not v else f"{pad}[\n{shape(v[0], depth + 1, max_depth, keys)}\n{pad}]" + (f" ({len(v)})" if len(v) > 1 else "")
-    if not v:
-        return pad + "{}"
-    out = [pad + "{"]
-    for i, k in enumerate(sorted(v)):
-        out.append(f"{pad}  {k}: {shape(v[k], depth + 1, max_depth, keys).lstrip()}")
-        if i == keys - 1 and len(v) > keys:
-            out.append(f"{pad}  ... +{len(v) - keys} more keys")
-            break
-    return "\n".join([*out, pad + "}"])
-
-
 def _udf(printer):
     @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
@@ -93,9 +33,6 @@ def _udf(printer):
     return run
 
 
-compact_json, json_schema = _udf(compact), _udf(shape)
-
-
 def _plain_number(x):
     """Whole numbers in their plain form, others as they are written; what isn't a number stays a string."""
     if re.fullmatch(r"[+-]?[0-9]+", x) and -(2**63) <= int(x) < 2**63:

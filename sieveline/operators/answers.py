@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import json_tokens as JT
 from ..functions import text as T
 from .reading import markdown_body
 from .scan import begins, fold, has, kept, listed, more, none, text
@@ -415,3 +416,8 @@ def release(x: Column | str) -> Column:
 
     rows = kept(F.split(T.c(x), "\n", -1), {"on": F.lit(False)}, step)
     return F.regexp_replace(F.array_join(F.transform(rows, lambda s: F.concat(s, F.lit("\n"))), ""), "\n{3,}", "\n\n")
+
+
+def generic(x: Column | str, max_depth: int = 4) -> Column:
+    """Any program's answer: in short if it is JSON, else as it is."""
+    return F.coalesce(JT.compact(x, max_depth), T.c(x))

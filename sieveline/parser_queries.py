@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import json_shape as JS
+from .functions import json_tokens as JT
 from .functions import shell as S
 from .functions import text as T
+from .operators import answers as AN
 from .operators import cloud, diagnostics, listings, test_results, transcripts, vcs
 from .plans import filters as P
 from .queries import query, table
@@ -150,4 +151,32 @@ def discover_unsupported(spark, sf_dir):
 
 @query("SELECT event_id, '{' || chr(10) || '  k: ' || json_extract_string(props, '$.k') || chr(10) || '}' AS shown FROM events")
 def json_compact(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", JS.compact_json("props").alias("shown"))
+    return table(spark, sf_dir, "events").select("event_id", JT.compact("props").alias("shown"))
+
+
+#: Texts as JSON strings of an object in DuckDB, and what is shown of a string.
+_AS_TYPE = "CASE WHEN strlen(#) > 50 THEN 'string[' || strlen(#) || ']' WHEN starts_with(#, 'http') THEN 'url' WHEN contains(#, '-') AND strlen(#) = 10 THEN 'date?' ELSE 'string' END"
+_AS_VALUE = "'\"' || CASE WHEN strlen(#) > 80 THEN left(#, list_max(list_filter(range(0, 78), lambda k: strlen(left(#, k)) <= 77))) || '...' ELSE # END || '\"'"
+
+
+def _objects(spark, sf_dir):
+    """Documents as JSON: numbers as they are written, the text whole, alone and in a list."""
+    d = table(spark, sf_dir, "documents")
+    quoted = F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
+    return d.select(F.col("doc_id").alias("id"), _s('{"text": ', quoted, ', "id": ', F.col("doc_id"), '.50e2, "list": [', quoted, ', null, {"lang": "', F.col("lang"), '"}], "many": [1,2,3,4,5,-0]}').alias("json"))
+
+
+@query(f"SELECT doc_id AS id, '{{' || chr(10) || '  id: ' || doc_id || '.50e2' || chr(10) || '  list:' || chr(10) || '  [' || chr(10) || '    ' || {_AS_VALUE.replace('#', 'text')} || ',' || chr(10) || '    null,' || chr(10) || '    {{' || chr(10) || '      lang: \"' || lang || '\"' || chr(10) || '    }},' || chr(10) || '  ]' || chr(10) || '  many:' || chr(10) || '  [1, ... +5 more]' || chr(10) || '  text: ' || {_AS_VALUE.replace('#', 'text')} || chr(10) || '}}' AS shown FROM documents")
+def json_compact_texts(spark, sf_dir):
+    return _objects(spark, sf_dir).select("id", JT.compact("json").alias("shown"))
+
+
+@query(f"SELECT doc_id AS id, '{{' || chr(10) || '  id: float,' || chr(10) || '  list:' || chr(10) || '  [' || {_AS_TYPE.replace('#', 'text')} || '] (3)' || chr(10) || '  many:' || chr(10) || '  [int] (6)' || chr(10) || '  text: ' || {_AS_TYPE.replace('#', 'text')} || chr(10) || '}}' AS shown FROM documents")
+def json_shape_texts(spark, sf_dir):
+    return _objects(spark, sf_dir).select("id", JT.shape("json").alias("shown"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN '[' || doc_id || ']' ELSE 'no [' || text END AS shown FROM documents")
+def generic_answers(spark, sf_dir):
+    """Answers in short where they are JSON, else as they are."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), AN.generic(F.when(F.col("doc_id") % 2 == 0, _s("[ ", F.col("doc_id"), " ]")).otherwise(F.concat(F.lit("no ["), F.col("text")))).alias("shown"))
