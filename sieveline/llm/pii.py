@@ -90,9 +90,9 @@ def _bytes(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     return F.transform(F.regexp_extract_all(hexes, F.lit("(..)")), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
-#: Letters and digits by class; what belongs to a script's class but isn't listed is replaced by what is.
+#: Letters and digits by class, ASCII first; what belongs to a script's class but isn't listed is replaced by what is.
 ALPHABETS = {
-    "ASCII": ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    r"\d": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     r"[\p{IsCyrillic}&&\p{Ll}]": "абвгдежзийклмнопрстуфхцчшщъыьэюя", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
     r"[\p{IsLatin}&&\p{Lu}]": "ÀÁÂÄÈÉÊËÍÎÏÑÓÔÖÚÜ", r"[\p{IsLatin}&&\p{L}]": "àáâäèéêëíîïñóôöúü",
@@ -116,11 +116,12 @@ def _like(value: Column, noise: Column, hexes: bool = False) -> Column:
         if hexes:
             return F.element_at(F.split(F.lit("0123456789abcdef"), ""), (n % 16 + 1).cast("int"))
         taken = lambda letters: F.element_at(F.split(F.lit(letters), ""), (n % len(letters) + 1).cast("int"))
-        pick = reduce(lambda acc, r: acc.when(ch.between(r[0], r[-1]), taken(r)), ALPHABETS["ASCII"][1:], F.when(ch.between(ALPHABETS["ASCII"][0][0], ALPHABETS["ASCII"][0][-1]), taken(ALPHABETS["ASCII"][0])))
+        between = lambda r: ch.between(r[0], r[-1])
+        ascii_, others = list(ALPHABETS.values())[:3], list(ALPHABETS.items())[3:]
+        pick = reduce(lambda acc, r: acc.when(between(r), taken(r)), ascii_[1:], F.when(between(ascii_[0]), taken(ascii_[0])))
         pick = pick.when((ch < "\x80") | ch.rlike(r"^[^\p{L}\d]$"), ch)
-        for cls, letters in ALPHABETS.items():
-            if cls != "ASCII":
-                pick = pick.when(ch.rlike(f"^{cls}$"), taken(letters))
+        for cls, letters in others:
+            pick = pick.when(ch.rlike(f"^{cls}$"), taken(letters))
         wide = n * 251 + F.element_at(noise, ((i + 61) % 128 + 1).cast("int"))
         for script, (first, last) in RANGES.items():
             code = F.lpad(F.hex((F.lit(first) + wide % (last - first + 1)).cast("long")), 4, "0")
