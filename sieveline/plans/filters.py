@@ -112,16 +112,101 @@ def catalog(spark: SparkSession, defs: list[FilterDef]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, match_command string, strip_ansi boolean, n_strip int, n_keep int, max_lines int, on_empty string")
 
 
+def _first_word(pattern: str) -> str | None:
+    """The word that every matching command begins with, or None if a pattern doesn't say so plainly."""
+    m = re.match(r"\^([A-Za-z0-9_]+)(?:\\b|\\s\+|\(\\s\|\$\))", pattern)
+    return m[1] if m else None
+
+
 def route(command: Column | str, defs: list[FilterDef]) -> Column:
-    """The name of the first definition, by name, whose pattern matches the command; null where none."""
+    """The name of the first definition, by name, whose pattern matches the command; null where none.
+
+    Definitions are looked up by the command's first word; only theirs and the few patterns that name no first word are tried.
+    """
+    by_name = sorted((d for d in defs if d.match_command), key=lambda d: d.name)
+    if not by_name:
+        return F.lit(None).cast("string")
+    words: dict[str, list[FilterDef]] = {}
+    anywhere = [d for d in by_name if not _first_word(d.match_command)]
+    for d in by_name:
+        if w := _first_word(d.match_command):
+            words.setdefault(w, []).append(d)
     cmd = T.c(command)
-    return F.coalesce(*[F.when(cmd.rlike("(?d)" + d.match_command), F.lit(d.name)) for d in sorted(defs, key=lambda d: d.name) if d.match_command], F.lit(None).cast("string"))
+    tried = lambda ds: F.coalesce(*[F.when(cmd.rlike("(?d)" + d.match_command), F.lit(d.name)) for d in ds], F.lit(None).cast("string")) if ds else F.lit(None).cast("string")
+    # commands of a word with few definitions share one expression with column patterns; a literal table holds them
+    kind = "array<struct<name:string,pattern:string>>"
+    listed = F.create_map(*[x for w, ds in words.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(d.name).alias("name"), F.lit("(?d)" + d.match_command).alias("pattern")) for d in ds]).cast(kind))]) if words else None
+    own = F.lit(None).cast("string")
+    if words:
+        fits = F.filter(F.try_element_at(listed, F.regexp_extract(cmd, r"^\w+", 0)), lambda d: F.regexp_instr(cmd, d["pattern"]) > 0)
+        own = F.try_element_at(F.transform(fits, lambda d: d["name"]), F.lit(1))
+    other = tried(anywhere)
+    return T.bound(F.struct(own.alias("own"), other.alias("other")), lambda r: F.when(r["own"].isNull() | (r["other"] < r["own"]), r["other"]).otherwise(r["own"]))
+
+
+_PLAN = (
+    "filter string, strip_ansi boolean, replaced array<struct<pattern:string,by:string>>, answers array<struct<pattern:string,message:string,unless:string>>, strip string, keep string, "
+    "truncate int, head int, tail int, most int, on_empty string"
+)
+
+
+def plans(spark: SparkSession, defs: list[FilterDef]) -> DataFrame:
+    """The definitions' stages as a table, a row each, for ``applied``."""
+    one = lambda ps: "(?d)" + "|".join(f"(?:{p})" for p in ps) if ps else None
+    rows = [
+        (d.name, d.strip_ansi, [("(?d)" + p, r) for p, r in d.replace], [("(?d)" + p, m, "(?d)" + u if u else None) for p, m, u in d.match_output], one(d.strip_lines_matching), one(d.keep_lines_matching),
+         d.truncate_lines_at, d.head_lines, d.tail_lines, d.max_lines, d.on_empty)
+        for d in defs
+    ]
+    return spark.createDataFrame(rows, _PLAN)
+
+
+def applied(raw: Column | str, p: Column) -> Column:
+    """``apply`` of the definition that the row's own plan ``p`` describes: one expression for all definitions. Patterns are columns, which functions that keep the last one compile once a row."""
+    matches = lambda x, pattern: F.regexp_instr(x, pattern) > 0
+    none = F.array().cast("array<string>")
+
+    def cleaned(text: Column) -> Column:
+        a = T.lines(F.when(p["strip_ansi"], T.strip_ansi(text)).otherwise(text))
+        return F.when(F.size(p["replaced"]) > 0, F.transform(a, lambda s: F.aggregate(p["replaced"], s, lambda x, r: F.regexp_replace(x, r["pattern"], r["by"])))).otherwise(a)
+
+    def marked(n: Column, what: str) -> Column:
+        return F.array(F.concat(F.lit("... ("), n.cast("string"), F.lit(f" lines {what})")))
+
+    def capped(a: Column) -> Column:
+        n, keep = F.size(a), F.coalesce(p["head"], F.lit(0)) + F.coalesce(p["tail"], F.lit(0))
+        first = F.when(p["head"] > 0, F.slice(a, F.lit(1), p["head"])).otherwise(none)
+        last = F.when(p["tail"] > 0, F.slice(a, F.greatest(n - p["tail"] + 1, F.lit(1)), p["tail"])).otherwise(none)
+        return F.when((p["head"].isNotNull() | p["tail"].isNotNull()) & (n > keep), F.concat(first, marked(n - keep, "omitted"), last)).otherwise(a)
+
+    def most(a: Column) -> Column:
+        return F.when(F.size(a) > p["most"], F.concat(F.slice(a, F.lit(1), p["most"]), marked(F.size(a) - p["most"], "truncated"))).otherwise(a)
+
+    def kept(a: Column) -> Column:
+        a = F.when(p["strip"].isNotNull(), F.filter(a, lambda s: ~matches(s, p["strip"]))).when(p["keep"].isNotNull(), F.filter(a, lambda s: matches(s, p["keep"]))).otherwise(a)
+        return F.when(p["truncate"] > 0, F.transform(a, lambda s: F.left(s, p["truncate"]))).otherwise(a)
+
+    def filtered(a: Column) -> Column:
+        short = T.bound(T.bound(kept(a), capped), lambda b: T.unlines(most(b)))
+        return T.bound(short, lambda out: F.when(p["on_empty"].isNotNull() & T.is_blank(out), p["on_empty"]).otherwise(out))
+
+    def answered(a: Column) -> Column:
+        hits = T.bound(T.unlines(a), lambda blob: F.filter(p["answers"], lambda m: matches(blob, m["pattern"]) & (m["unless"].isNull() | ~F.coalesce(matches(blob, m["unless"]), F.lit(False)))))
+        answer = F.when(F.size(p["answers"]) > 0, F.try_element_at(hits, F.lit(1))["message"])
+        return F.coalesce(answer, filtered(a))
+
+    return T.bound(cleaned(T.normalize_newlines(raw)), answered)
 
 
 def apply_routed(df: DataFrame, command: str, raw: str, defs: list[FilterDef], out: str = "filtered") -> DataFrame:
-    """Each row filtered by the definition its command routes to; unrouted rows pass unchanged."""
-    df = df.withColumn("filter", route(command, defs))
-    return df.withColumn(out, F.coalesce(*[F.when(F.col("filter") == d.name, apply(d, raw)) for d in defs], F.col(raw)))
+    """Each row filtered by the definition its command routes to; unrouted rows pass unchanged.
+
+    The plan holds one filter, not one for each definition: a row's stages come from the definitions' table, which is bounded by their number and sent to the tasks.
+    """
+    table = plans(df.sparkSession, defs)
+    table = table.select("filter", F.struct(*[c for c in table.columns if c != "filter"]).alias("_plan"))
+    routed = df.withColumn("filter", route(command, defs)).join(F.broadcast(table), "filter", "left")
+    return routed.select(*df.columns, "filter", F.when(F.col("_plan").isNull(), F.col(raw)).otherwise(T.bound(F.col("_plan"), lambda p: applied(raw, p))).alias(out))
 
 
 def verify(spark: SparkSession, defs: list[FilterDef]) -> DataFrame:
