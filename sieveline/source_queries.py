@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import dotnet
 from .queries import query, table
-from .sources import binlog
+from .sources import binlog, runs
 
 
 def _logs(batches):
@@ -70,3 +70,40 @@ def binlog_builds(spark, sf_dir):
     both = T.bound(F.struct(F.col("build").alias("log"), raw.alias("text")), lambda p: dotnet.merged(p["log"], p["text"]))
     return binlog.builds(binlog.decode(_part_logs(spark, sf_dir))).select("path", F.explode(F.array(both)).alias("b")).select(
         "path", b["succeeded"].alias("succeeded"), b["projects"].cast("long").alias("projects"), F.size(b["errors"]).cast("long").alias("errors"), F.size(b["warnings"]).cast("long").alias("warnings"), shown.alias("first_error"), b["duration"].alias("duration"))
+
+
+def _runs(spark, sf_dir):
+    """Documents as captured runs: the text on standard output, a note on standard error, exit codes 0 to 2."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.lit("2024-01-02").cast("timestamp").alias("ts"), F.lit("show").alias("tool"), F.col("doc_id").cast("string").alias("args"), F.col("text").alias("stdout"), F.lit("note\n").alias("stderr"), (F.col("doc_id") % 3).alias("exit_code"))
+
+
+@query("""
+SELECT doc_id AS id, translate(text, 'e', '3') || 'not3' || chr(10) || '|' || doc_id % 3 || chr(10) || CASE WHEN doc_id % 3 > 0 THEN '[sieveline: full output saved to /x/tee-show_' || doc_id || '.txt — re-read if the filtered view is insufficient]' || chr(10) ELSE '' END AS shown,
+       '' AS errors, CASE WHEN doc_id % 3 > 0 THEN '/x/tee-show_' || doc_id || '.txt' END AS path, CASE WHEN doc_id % 3 > 0 THEN text || 'note' || chr(10) END AS saved, 'sieveline show ' || doc_id AS label,
+       (strlen(text) + 5 + 3) // 4 AS raw_tokens, (strlen(text) + 5 + 2 + 3) // 4 AS out_tokens
+FROM documents
+""")
+def filtered_runs(spark, sf_dir):
+    made = runs.filtered(_runs(spark, sf_dir), lambda t, code: F.concat(F.translate(t, "e", "3"), F.lit("|"), code.cast("string")), label=F.concat(F.lit("show "), F.col("id").cast("string")), folder="/x")
+    return made.select("id", "shown", "errors", F.col("saved.path").alias("path"), F.col("saved.text").alias("saved"), "entry.label", "entry.raw_tokens", "entry.out_tokens")
+
+
+@query("""
+SELECT doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN text ELSE length(text)::VARCHAR END AS shown, 'note' || chr(10) AS errors, CASE WHEN doc_id % 3 > 0 THEN (strlen(text) + 8) // 4 ELSE (strlen(text) + 3) // 4 END AS raw_tokens,
+       CASE WHEN doc_id % 3 > 0 THEN (strlen(text) + 8) // 4 ELSE (strlen(length(text)::VARCHAR) + 3) // 4 END AS out_tokens
+FROM documents
+""")
+def failed_runs_as_they_are(spark, sf_dir):
+    made = runs.filtered(_runs(spark, sf_dir), lambda t, code: F.length(t).cast("string"), stdout_only=True, skip_on_failure=True, newline=False)
+    return made.select("id", "shown", "errors", "entry.raw_tokens", "entry.out_tokens")
+
+
+@query("""
+SELECT '{' || chr(10) || '  "device_hash": "d",' || chr(10) || '  "version": "dev",' || chr(10) || '  "os": "",' || chr(10) || '  "arch": "",' || chr(10) || '  "commands": ' || count(*) || ',' || chr(10) || '  "raw_tokens": ' || sum((strlen(text) + 8) // 4) || ',' || chr(10)
+       || '  "out_tokens": ' || sum((strlen(left(text, 100)) + 3) // 4) || ',' || chr(10) || '  "tokens_saved": ' || sum((strlen(text) + 8) // 4) - sum((strlen(left(text, 100)) + 3) // 4) || chr(10) || '}' AS payload
+FROM documents
+""")
+def tracker_payload(spark, sf_dir):
+    made = runs.filtered(_runs(spark, sf_dir), lambda t, code: F.left(t, F.least(F.length(t) - 5, F.lit(100))))
+    return runs.payload(made.select("entry.*"), "d")
