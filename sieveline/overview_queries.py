@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import json_shape as JS
+from .functions import arguments as AR
 from .functions import shell as S
 from .functions import text as T
 from .operators import cloud, diagnostics, joins, listings, ranking, vcs
@@ -377,3 +378,15 @@ def pip_lists(spark, sf_dir):
 def pip_outdated_lists(spark, sf_dir):
     d = _items(spark, sf_dir, _st(name=_s("p", _k()), version="1", latest_version=F.when(_k() % 2 == 1, "2")))
     return d.select("id", TO.pip_outdated(F.to_json("items")).alias("report"))
+
+
+@query("""
+SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN ['x', t] ELSE [t] END AS patterns, CASE WHEN doc_id % 3 = 1 THEN ['.'] ELSE ['my dir'] END AS paths, CASE doc_id % 3 WHEN 0 THEN ['-n'] WHEN 1 THEN ['-i', '-A', '2'] ELSE ['--glob', '*.md'] END AS flags,
+       CASE WHEN doc_id % 3 = 2 THEN 7 ELSE 200 END::BIGINT AS results
+FROM (SELECT doc_id, regexp_replace(text, '''', '', 'g') AS t FROM documents)
+""")
+def search_arguments(spark, sf_dir):
+    """Search commands with a document's text as their pattern."""
+    t, n = _s("'", F.regexp_replace("text", "'", ""), "'"), F.col("doc_id") % 3
+    cmd = F.when(n == 0, _s("grep -rne x -e ", t, " 'my dir'")).when(n == 1, _s("grep -iA2 ", t)).otherwise(_s("rg -m 7 ", t, ' "my dir" --glob *.md --recursive'))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), AR.search_command(cmd).alias("s")).select("id", "s.patterns", "s.paths", "s.flags", "s.results")
