@@ -75,10 +75,16 @@ def usage(entries: DataFrame) -> DataFrame:
     return u.select("file", F.try_to_timestamp("timestamp").alias("ts"), "timestamp", F.coalesce("message.model", F.lit("")).alias("model"), z("input_tokens").alias("input"), z("output_tokens").alias("output"), z("cache_creation_input_tokens").alias("cache_create"), z("cache_read_input_tokens").alias("cache_read"))
 
 
-def captures(spark: SparkSession, path: str, cap: int = STDIN_CAP) -> DataFrame:
-    """Captured outputs, a file each, with newlines made uniform; files over the cap are flagged, not cut. A capture is one output of some megabytes at most, so it is one row."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), T.normalize_newlines("value").alias("text"), (F.octet_length("value") > cap).alias("over_cap"))
+#: Bytes beyond which a file isn't opened as one capture, since a row can't hold it.
+MOST = 1 << 30
+
+
+def captures(spark: SparkSession, path: str, cap: int = STDIN_CAP, most: int = MOST) -> DataFrame:
+    """Captured outputs, a file each, with newlines made uniform; files over the cap are flagged, not cut. Files of more than ``most`` bytes are flagged by their size alone and have no text."""
+    files = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= most)
+    read = files.select(F.col("_metadata.file_path").alias("file"), T.normalize_newlines("value").alias("text"), (F.octet_length("value") > cap).alias("over_cap"))
+    large = spark.read.format("binaryFile").load(path).where(F.col("length") > most)
+    return read.unionByName(large.select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("over_cap")))
 
 
 #: Languages by extension.

@@ -69,6 +69,7 @@ def test_sources(spark, tmp_path):
     assert (cov.total, cov.covered, cov.output_bytes) == (3, 1, 3)
     (tmp_path / "c.txt").write_bytes(b"a\r\nb")
     assert readers.captures(spark, str(tmp_path / "c.txt"), cap=3).select("text", "over_cap").first() == ("a\nb", True)
+    assert readers.captures(spark, str(tmp_path / "c.txt"), most=3).select("text", "over_cap").collect() == [(None, True)]
     files = readers.walk(readers.file_rows(spark, str(tmp_path)), "*.jsonl")
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.collect()) == ["t.jsonl", "x.jsonl"]
 
