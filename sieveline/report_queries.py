@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import git_reports as GR
 from .operators import runners as RU
 from .operators import tools as TO
 from .parser_queries import _k, _s, blob
@@ -384,3 +385,71 @@ def around_matches(spark, sf_dir):
 def errors_or_outcomes(spark, sf_dir):
     raw = _pick(3, _s("fine\nerror: ", _k(), "\n  at x\nend"), F.lit("fine"), F.lit("a\nb\n"))
     return _rows(spark, sf_dir, TO.errors_or_outcome(raw, F.when(_k() % 3 == 2, _k()).otherwise(0)))
+
+
+_DIFFS = "SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: ['+', '-', ' '][(length(s) % 3 + 1)::INT] || s) AS a FROM documents"
+_SHORT = "CASE WHEN length(#) > 80 THEN left(#, 77) || '...' ELSE # END"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, list_filter(a, lambda s: s[1:3] NOT IN ('+++', '---')) AS a FROM ({_DIFFS})),
+c AS (SELECT doc_id, a, coalesce(list_position(list_transform(a, lambda s: s[1] IN ('+', '-')), true), len(a) + 1) AS f, len(list_filter(a, lambda s: s[1] = '+')) AS plus, len(list_filter(a, lambda s: s[1] = '-')) AS minus FROM l),
+s AS (SELECT doc_id, plus, minus, a[f:len(a)][1:100] AS shown, len(list_filter(a[f:len(a)][101:len(a)], lambda s: s[1] IN ('+', '-'))) AS left_out FROM c)
+SELECT doc_id AS id, chr(10) || 'f' || doc_id || chr(10) || '  @@ -1 +1 @@ ctx' || array_to_string(list_transform(shown, lambda s: chr(10) || '  ' || s), '') || CASE WHEN left_out > 0 THEN chr(10) || '  ... (' || left_out || ' lines truncated)' ELSE '' END
+       || CASE WHEN plus + minus > 0 THEN chr(10) || '  +' || plus || ' -' || minus ELSE '' END || CASE WHEN left_out > 0 THEN chr(10) || '[full diff: sieveline git diff --no-compact]' ELSE '' END AS report
+FROM s
+""")
+def git_diff_texts(spark, sf_dir):
+    """A document's lines as the changes of one file."""
+    signed = F.transform(F.split("text", "\n", -1), lambda s: F.concat(F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), (F.length(s) % 3 + 1).cast("int")), s))
+    # what looks like a file's header isn't a change
+    signed = F.filter(signed, lambda s: ~s.startswith("+++") & ~s.startswith("---"))
+    raw = _s("diff --git a/x b/f", F.col("doc_id"), "\n--- a/x\n+++ b/f", F.col("doc_id"), "\n@@ -1 +1 @@ ctx\n", F.array_join(signed, "\n"), "\n")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), GR.diff(raw, 100_000).alias("report"))
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(regexp_replace(s, '^\\s+', ''), '\\s+$', '')), lambda s: s <> '') AS a FROM documents)
+SELECT doc_id AS id, 'h' || doc_id || ' by ' || doc_id || array_to_string(list_transform(a[1:3], lambda s: chr(10) || '  ' || {_SHORT.replace('#', 's')}), '') || CASE WHEN len(a) > 3 THEN chr(10) || '  [+' || (len(a) - 3) || ' lines omitted]' ELSE '' END || chr(10) || 'next' AS report
+FROM b
+""")
+def git_log_texts(spark, sf_dir):
+    """A document's text as the body of a commit."""
+    raw = _s("h", F.col("doc_id"), " by ", F.col("doc_id"), "\n", F.col("text"), "\nSigned-off-by: me\n---END---\nnext\n---END---\n")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), GR.log(raw).alias("report"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: NOT regexp_matches(s, '^\\s*$')) AS a FROM documents)
+SELECT doc_id AS id, '* b' || doc_id || CASE WHEN len(a) = 0 THEN chr(10) || 'clean — nothing to commit' ELSE array_to_string(list_transform(a, lambda s: chr(10) || s), '') END AS report FROM a
+""")
+def git_status_texts(spark, sf_dir):
+    """A document's lines as entries of a status."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), GR.status(_s("## b", F.col("doc_id"), "\n", F.col("text"))).alias("report"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey AS k, p_partkey // 100 AS id, 'b' || p_name AS name FROM part),
+r AS (SELECT id, list(DISTINCT 'r' || (k % 60)) AS only FROM k WHERE k % 2 = 0 GROUP BY id),
+a AS (SELECT id, list(name ORDER BY k) FILTER (WHERE k % 2 = 1) AS own, len(list_distinct(list('r' || (k % 60)) FILTER (WHERE k % 2 = 0))) AS n FROM k GROUP BY id)
+SELECT id, '* main' || coalesce(array_to_string(list_transform(own, lambda s: chr(10) || '  ' || s), ''), '') || CASE WHEN n > 0 THEN chr(10) || '  remote-only (' || n || '):' || CASE WHEN n > #CAP THEN chr(10) || '... +' || (n - #CAP) ELSE '' END ELSE '' END AS report FROM a
+""".replace("#CAP", str(GR.REMOTE)))
+def git_branch_texts(spark, sf_dir):
+    """Branch lists by a hundred parts; the names that only remotes have are left out of the comparison but for their count."""
+    line = F.when(_k() % 2 == 1, _s("  b", F.col("p_name"))).otherwise(_s("  remotes/origin/r", _k() % 60))
+    out = blob(table(spark, sf_dir, "part").where(F.lit(True)), F.floor(_k() / 100), "p_partkey", line)
+    told = GR.branches(_s("* main\n", F.col("text"), "\n  remotes/up/main\n"))
+    return out.select("id", F.regexp_replace(F.regexp_replace(told, r"\n    r\d+", ""), r"\n    (\.\.\. \+\d+) more", "\n$1").alias("report"))
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, text, CASE WHEN contains(text, '[ok]') OR contains(text, 'pass') THEN 'ok' WHEN contains(text, '[x]') OR contains(text, 'fail') OR turn % 3 = 1 THEN 'fail' WHEN contains(text, '*') OR contains(text, 'pending') OR turn % 3 = 2 THEN 'wait' END AS kind,
+                   CASE turn % 3 WHEN 1 THEN 'fail ' WHEN 2 THEN 'pending ' ELSE '' END || replace(text, chr(10), ' ') AS line FROM conversations),
+g AS (SELECT conv_id, count(*) FILTER (WHERE kind = 'ok') AS ok, count(*) FILTER (WHERE kind = 'fail') AS bad, count(*) FILTER (WHERE kind = 'wait') AS wait, string_agg('    ' || regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '') || chr(10), '' ORDER BY turn) FILTER (WHERE kind = 'fail') AS rows FROM l GROUP BY conv_id)
+SELECT conv_id AS id, 'CI Checks Summary:' || chr(10) || '  [ok] Passed: ' || ok || chr(10) || '  [FAIL] Failed: ' || bad || chr(10) || CASE WHEN wait > 0 THEN '  [pending] Pending: ' || wait || chr(10) ELSE '' END || CASE WHEN bad > 0 THEN chr(10) || '  Failed checks:' || chr(10) || rows ELSE '' END AS report FROM g
+""")
+def check_texts(spark, sf_dir):
+    """A conversation's turns as the checks of one change."""
+    line = F.concat(F.when(F.col("turn") % 3 == 1, "fail ").when(F.col("turn") % 3 == 2, "pending ").otherwise(""), F.regexp_replace("text", "\n", " "))
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return g.select(F.col("conv_id").alias("id"), GR.checks("text").alias("report"))
