@@ -10,9 +10,9 @@ probability of every (context, symbol) can be worked out once for the whole corp
 
 The trie isn't gathered anywhere. Documents are dealt into blocks of bounded text; a block asks for
 its distinct n-grams and words, with its own training counts. Counts are summed by n-gram, and all
-n-grams that share the last ``least`` context bytes (a closed part of the trie) are worked out together. Counts of contexts
-shorter than that reach the driver: at most ``LOW`` of them, so ``least`` is three where the corpus has no more
-different strings of three bytes, else two (258 * 258 counts at most). Answers return to the blocks that asked.
+n-grams that share the last three context bytes (a closed part of the trie) are worked out together. Counts of shorter contexts
+are sent to all tasks: strings of three bytes, of which there are some millions in text of all scripts and 17 million at
+most, however large the corpus. The n-grams of one group are bounded alike. Answers return to the blocks that asked.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from .common import cut, scratch, settled, tasks, words_of
 BITS = 9  # symbols: 0 pads the start, 1 to 256 are bytes, END closes
 END = 257
 ALPHABET = 257
-#: Strings of three bytes whose counts may be sent to every task (16 bytes each).
-LOW = 1_000_000
 
 
 def _symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,10 +301,10 @@ def _scored(spark, docs: DataFrame, held_out, order: int, id_col: str, text_col:
     asked = cut(dealt.groupBy("block").applyInArrow(_counts(order), "block int, word binary, gram long, n long"))
 
     sum_c = cut(asked.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+    # contexts below this length are told to all tasks: there are at most ALPHABET ** least strings of them (17 million), however much text there is;
+    # groups share this many context bytes, so the rows of one are bounded alike
     least = min(3, order)
     strings = lambda k: sum_c.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    if least > 2 and strings(least).limit(LOW + 1).count() > LOW:
-        least = 2
     got = strings(least).toArrow()
     low = Low(least, got.column("gram").to_numpy(), got.column("n").to_numpy())
 

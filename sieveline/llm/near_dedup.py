@@ -7,7 +7,8 @@ picks a few of the places, by a hash of the node, and sends each of its classes
 named by the class's token there: a path that similar sets choose together. Nodes of at most
 ``leaf`` classes stop and are compared exhaustively; larger ones go on branching until the last level.
 Nodes of many very similar classes never get small: large nodes that overlap are joined to a crowd, and a crowd is
-compared whole, in tasks of two blocks of about ``block`` classes each.
+compared whole, in tasks of two blocks of about ``block`` classes each, fewer where they are long. A crowd of many sizes, such as documents that
+share no more than a passage, is cut into neighbouring sizes first.
 
 Comparison is by four bits of each token; what is above a margin below the threshold is a candidate, and candidates
 are decided on the full shingle sets. No list of pairs grows with the square of a group:
@@ -307,13 +308,30 @@ def crowds(large: DataFrame) -> DataFrame:
     return components(links).select(F.col("label").alias("crowd"), "cls")
 
 
+#: Shingles of a class that counts as one in a block; longer ones count as more.
+USUAL = 512
+#: Bands of sizes that a crowd spans at least to be cut by size: from there on less is compared than before.
+WIDE = 5
+
+
+def _by_size(crowd: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Crowds that span many sizes cut into overlapping ones of two neighbouring bands of sizes: sets of which one has less than ``threshold`` of the other's shingles can't link."""
+    band = F.floor(F.log(F.col("size").cast("double")) / (-math.log(threshold) * 1.0001))
+    of = cut(crowd.join(classes.select("cls", "size"), "cls").select("crowd", "cls", band.alias("band")))
+    wide = of.groupBy("crowd").agg((F.max("band") - F.min("band") + 1 >= WIDE).alias("wide")).where("wide")
+    rows = of.join(wide, "crowd", "left").withColumn("part", F.when(F.col("wide"), F.array("band", F.col("band") + 1)).otherwise(F.array(F.lit(None).cast("long"))))
+    rows = rows.select("crowd", "cls", F.explode("part").alias("part"))
+    return cut(rows.select(F.when(F.col("part").isNull(), F.col("crowd")).otherwise(F.xxhash64("crowd", "part")).alias("crowd"), "cls"))
+
+
 def _blocks(crowd: DataFrame, known: DataFrame, block: int) -> DataFrame | None:
     """Tasks (task, side, and the columns of ``known``) that bring together all classes of a crowd with different labels, or None if there are none.
 
-    The classes of the crowd's most frequent label meet all others, but not each other.
+    The classes of the crowd's most frequent label meet all others, but not each other. A block holds ``block`` classes of usual
+    size, or fewer that are longer, so that what a task holds is bounded by the shingles in it, not by the number of classes.
     """
     of = crowd.join(known, "cls")
-    sizes = cut(of.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut(of.groupBy("crowd", "label").agg(F.sum("weight").alias("n")))
     main = sizes.groupBy("crowd").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("total")).where("n < total")
     main = cut(main.select("crowd", "main", F.ceil((F.col("total") - F.col("n")) / block).alias("others"), F.ceil(F.col("n") / block).alias("mains")))
     if not main.limit(1).count():
@@ -394,11 +412,13 @@ PAIR = "a long, b long, s double"
 
 
 def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf: int, levels: int, picks: float, leaders: int, block: int = 1024) -> DataFrame:
-    """(cls, label): components of the confirmed links. classes: (cls, tokens, low); texts: from (cls) to (cls, text)."""
+    """(cls, label): components of the confirmed links. classes: (cls, tokens, low, size); texts: from (cls) to (cls, text)."""
     least = _least(threshold)
     small, crowd = groups(classes, trees, leaf, levels, picks)
     none = F.lit(None).cast("long")
-    known = classes.select("cls", "low", F.col("cls").alias("label"), none.alias("no1"), none.alias("no2"))
+    if crowd is not None:
+        crowd = _by_size(crowd, classes, threshold)
+    known = classes.select("cls", "low", F.col("cls").alias("label"), none.alias("no1"), none.alias("no2"), F.greatest(F.col("size") / USUAL, F.lit(1.0)).alias("weight"))
     text = None
 
     def seen(nodes: DataFrame, crowd: DataFrame | None, name: bool) -> DataFrame:
@@ -416,7 +436,7 @@ def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf
         decided = cut(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, threshold), "a long, b long, linked boolean"))
         known = _joined(known, decided.where("linked").select("a", "b"))
         no = named.join(decided.where("NOT linked").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select(F.col("a").alias("cls"), F.col("b").alias("no"))
-        known = cut(known.join(no, "cls", "left").withColumn(f"no{turn}", F.col("no")).select("cls", "low", "label", "no1", "no2"))
+        known = cut(known.join(no, "cls", "left").withColumn(f"no{turn}", F.col("no")).select(known.columns))
 
     # each class names its most similar partner: in small nodes, and in large ones among what they are dealt into and a few leaders
     first = seen(small if crowd is None else small.unionByName(_dealt(crowd, leaf)), None, True)
@@ -616,7 +636,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         copy = cut(both.select("row", "cls", "text_a", "text_b").mapInArrow(_equal(n), "row long, cls long, equal boolean").where("equal").select("row", "cls"))
         gone = copy.select("row")
         side = small_side(gone)
-        classes = sets.where("set_key IS NOT NULL").join(side, "row", "left_anti").select(F.col("row").alias("cls"), "tokens", "low")
+        classes = sets.where("set_key IS NOT NULL").join(side, "row", "left_anti").select(F.col("row").alias("cls"), "tokens", "low", F.col("n_shingles").alias("size"))
         classes = cut(classes) if side is gone else classes  # a broadcast table is joined anew at each use, others are joined once
         label = cut(linked(classes, lambda wanted: text_of("cls", wanted), n, threshold, trees_for(recall, threshold, levels, picks), leaf, levels, picks, leaders))
         own = label.unionByName(copy.select(F.col("row").alias("x"), "cls").join(label, "cls").select(F.col("x").alias("cls"), "label")).withColumnRenamed("cls", "row")
