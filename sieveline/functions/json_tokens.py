@@ -142,3 +142,9 @@ def shape(x: Column | str, max_depth: int = 10) -> Column:
         return F.when(depth > max_depth, _line(_pad(depth), "...")).when(F.size(items) == 0, _line(_pad(depth), "{}")).otherwise(_capped(items, 16, row, depth))
 
     return _folded(x, scalar, array, obj)
+
+
+def is_object(x: Column | str) -> Column:
+    """Whether a text's first value is a whole object; what follows it is left alone."""
+    blank = lambda *a: F.lit("")
+    return c(x).rlike(r"^[ \t\r\n]*\{") & _folded(x, blank, blank, blank).isNotNull()

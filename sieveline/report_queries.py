@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import git_reports as GR
 from .operators import runners as RU
+from .operators import test_reports as TS
 from .operators import tools as TO
 from .parser_queries import _k, _s, blob
 from .plans import filters as P
@@ -453,3 +454,32 @@ def check_texts(spark, sf_dir):
     line = F.concat(F.when(F.col("turn") % 3 == 1, "fail ").when(F.col("turn") % 3 == 2, "pending ").otherwise(""), F.regexp_replace("text", "\n", " "))
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
     return g.select(F.col("conv_id").alias("id"), GR.checks("text").alias("report"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey // 100 AS id, p_partkey AS k, p_partkey % 3 AS p, p_name AS name, p_partkey % 5 = 0 AS bad FROM part),
+g AS (SELECT id, p, min(k) AS first, count(*) FILTER (WHERE NOT bad) AS ok, count(*) FILTER (WHERE bad) AS n, string_agg('  [FAIL] T' || k || chr(10) || '     got ' || name || chr(10), '' ORDER BY k) FILTER (WHERE bad) AS rows FROM k GROUP BY ALL)
+SELECT id, CASE WHEN sum(n) = 0 THEN 'Go test: ' || sum(ok) || ' passed in ' || count(*) || ' packages' ELSE
+       regexp_replace('Go test: ' || sum(ok) || ' passed, ' || sum(n) || ' failed in ' || count(*) || ' packages' || chr(10) || string_agg(CASE WHEN n > 0 THEN chr(10) || 'p' || p || ' (' || ok || ' passed, ' || n || ' failed)' || chr(10) || rows ELSE '' END, '' ORDER BY first), '\\s+$', '') END AS report
+FROM g GROUP BY id
+""")
+def go_test_reports(spark, sf_dir):
+    """A hundred tests a run, dealt to three packages, each with a line of output."""
+    pkg, name = _s("m/p", _k() % 3), _s("T", _k())
+    said = F.to_json(F.struct(F.lit("output").alias("Action"), pkg.alias("Package"), name.alias("Test"), F.concat(F.lit("    got "), F.col("p_name"), F.lit("\n")).alias("Output")))
+    done = F.to_json(F.struct(F.when(_k() % 5 == 0, "fail").otherwise("pass").alias("Action"), pkg.alias("Package"), name.alias("Test")))
+    return TS.go_test(_outputs(spark, sf_dir, F.concat(said, F.lit("\nplain line\n"), done)))
+
+
+@query("""
+SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'PASS (3) FAIL (1)' || chr(10) || chr(10) || '1. t' || doc_id || array_to_string(list_transform(CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END, lambda s: chr(10) || '   ' || s), '')
+       ELSE 'PASS (' || doc_id || ') FAIL (2)' || chr(10) || chr(10) || 'Time: 1500ms' END AS report
+FROM documents
+""")
+def js_test_reports(spark, sf_dir):
+    """Runs whose one failure says a document's text, by their JSON behind a banner, and runs by their summary lines alone."""
+    n = F.col("doc_id")
+    bad = F.struct(_s("t", n).alias("fullName"), F.lit("failed").alias("status"), F.array("text").alias("failureMessages"))
+    run = F.to_json(F.struct(F.lit(4).alias("numTotalTests"), F.lit(3).alias("numPassedTests"), F.lit(1).alias("numFailedTests"), F.array(F.struct(F.lit("a.ts").alias("name"), F.array(bad).alias("assertionResults"))).alias("testResults")))
+    raw = F.when(n % 2 == 0, _s("> test\n\n", run, "\n")).otherwise(_s(" Tests  2 failed | ", n, " passed\n Duration  1.5s\n"))
+    return table(spark, sf_dir, "documents").select(n.alias("id"), TS.js_report(raw).alias("report"))
