@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .plans import filters as P
+from .plans import named
 from .plans.catalog import DEFS
-from .plans.samples import SAMPLES, with_samples
+from .plans.samples import SAMPLES
 from .queries import query, table
 
 NAMES = sorted(SAMPLES)
@@ -66,12 +67,35 @@ def catalog_filters(spark, sf_dir):
 _TESTS = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(n)}, {_q(SAMPLES[n][1])}, {_q(SAMPLES[n][2])})" for n in NAMES) + ") v(name, raw, expected))"
 
 
-@query(f"WITH {_TESTS}, f AS (" + " UNION ALL ".join(f"SELECT name, filtered FROM ({filter_sql(d, f'(SELECT * FROM t WHERE name = {_q(d.name)})', 'name')})" for d in DEFS) + ") SELECT f.name AS filter, 1::BIGINT AS total, (rtrim(filtered, chr(10)) = rtrim(expected, chr(10)))::BIGINT AS passed, (rtrim(filtered, chr(10)) <> rtrim(expected, chr(10)))::BIGINT AS failed FROM f JOIN t ON f.name = t.name")
+#: How many documents each sample is dealt in DuckDB.
+_DEALT = "d AS (SELECT name, count(doc_id) AS n FROM (VALUES " + ", ".join(f"({i}, {_q(n)})" for i, n in enumerate(NAMES)) + f") s(i, name) LEFT JOIN documents ON doc_id % {len(NAMES)} = i GROUP BY name)"
+
+
+def _dealt(spark, sf_dir):
+    """(doc_id, name, command, output, expected): every document with one of the catalog's samples."""
+    rows = [(i, n, *SAMPLES[n]) for i, n in enumerate(NAMES)]
+    samples = F.broadcast(spark.createDataFrame(rows, "i long, name string, command string, output string, expected string"))  # 58 rows
+    return table(spark, sf_dir, "documents").select("doc_id").withColumn("i", F.col("doc_id") % len(NAMES)).join(samples, "i").drop("i")
+
+
+@query(f"WITH {_TESTS}, {_DEALT}, f AS (" + " UNION ALL ".join(f"SELECT name, filtered FROM ({filter_sql(d, f'(SELECT * FROM t WHERE name = {_q(d.name)})', 'name')})" for d in DEFS) + ") SELECT f.name AS filter, n AS total, CASE WHEN rtrim(filtered, chr(10)) = rtrim(expected, chr(10)) THEN n ELSE 0 END AS passed, CASE WHEN rtrim(filtered, chr(10)) <> rtrim(expected, chr(10)) THEN n ELSE 0 END AS failed FROM f JOIN t ON f.name = t.name JOIN d ON d.name = f.name WHERE n > 0")
 def verified_filters(spark, sf_dir):
-    """The catalog's own samples run through it."""
-    return P.verify(spark, with_samples())
+    """The catalog's samples, one a document, routed by their commands and held against what they are to become."""
+    cut = lambda c: F.regexp_replace(c, r"\n+\z", "")
+    got = P.apply_routed(_dealt(spark, sf_dir), "command", "output", DEFS)
+    ok = (F.col("filter") == F.col("name")) & (cut("filtered") == cut("expected"))
+    return got.groupBy(F.col("name").alias("filter")).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(d.name)}, {len(d.strip_lines_matching)}, {len(d.keep_lines_matching)}, {'NULL' if d.max_lines is None else d.max_lines})" for d in DEFS) + ") v(name, n_strip, n_keep, max_lines)")
+@query(f"WITH {_DEALT} SELECT v.*, coalesce(n, 0) AS documents FROM (VALUES " + ", ".join(f"({_q(d.name)}, {len(d.strip_lines_matching)}, {len(d.keep_lines_matching)}, {'NULL' if d.max_lines is None else d.max_lines})" for d in DEFS) + ") v(name, n_strip, n_keep, max_lines) LEFT JOIN d ON d.name = v.name")
 def filter_catalog(spark, sf_dir):
-    return P.catalog(spark, DEFS).select("name", "n_strip", "n_keep", "max_lines")
+    """The catalog with the documents whose commands route to each definition."""
+    routed = _dealt(spark, sf_dir).groupBy(P.route("command", DEFS).alias("name")).agg(F.count(F.lit(1)).alias("documents"))
+    return P.catalog(spark, DEFS).join(routed, "name", "left").select("name", "n_strip", "n_keep", "max_lines", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+@query(f"WITH {_DEALT} SELECT v.name, coalesce(n, 0) AS documents FROM (SELECT unnest([" + ", ".join(_q(n) for n in ["fd", "find", "grep", "rg", *(d.name for d in DEFS)]) + "]) AS name) v LEFT JOIN d ON d.name = v.name")
+def filter_names(spark, sf_dir):
+    """All names of filters with the documents whose commands route to them."""
+    routed = _dealt(spark, sf_dir).groupBy(P.route("command", DEFS).alias("name")).agg(F.count(F.lit(1)).alias("documents"))
+    return named.names(spark).join(routed, "name", "left").select("name", F.coalesce("documents", F.lit(0)).alias("documents"))

@@ -17,7 +17,6 @@ from .operators import tools as TO
 from .operators import vcs
 from .parser_queries import _k, _s, _segments, _SEGMENTS_SQL
 from .plans import named
-from .plans.catalog import DEFS
 from .queries import _economics, _economics_sql, query, table
 from .report_queries import NL, _each, _first, _outputs, _pick, _report, _rows, _sql
 
@@ -178,11 +177,6 @@ def named_definition(spark, sf_dir):
     return _report(spark, sf_dir, lambda x: named.apply_named("make", x), F.when(_k() % 2 == 0, _s("make: ", _k())).otherwise("make[1]: x\n"))
 
 
-@query("SELECT unnest([" + ", ".join("'" + n + "'" for n in ["fd", "find", "grep", "rg", *(d.name for d in DEFS)]) + "]) AS name")
-def filter_names(spark, sf_dir):
-    return named.names(spark)
-
-
 # sources
 
 
