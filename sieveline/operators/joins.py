@@ -49,6 +49,18 @@ def positional_diff(left: Column, right: Column) -> Column:
     return F.filter(rows, lambda r: r["kind"] != "same")
 
 
+def line_hashes(x: Column | str) -> Column:
+    """A 64-bit hash of each line: what two texts need to say of each other which lines differ, at eight bytes a line."""
+    return F.transform(T.lines(x), lambda s: F.xxhash64(s))
+
+
+def positional_counts(left: Column, right: Column) -> Column:
+    """(added, removed, changed) lines of two texts by their ``line_hashes``, line by line at the same number."""
+    a, b = F.size(left), F.size(right)
+    same = F.size(F.filter(F.zip_with(left, right, lambda x, y: x.eqNullSafe(y)), lambda s: s))
+    return F.struct(F.greatest(b - a, F.lit(0)).cast("long").alias("added"), F.greatest(a - b, F.lit(0)).cast("long").alias("removed"), (F.least(a, b) - same).cast("long").alias("changed"))
+
+
 def carry_forward(df: DataFrame, scope: list[str], order: list[str], header: Column, name: str) -> DataFrame:
     """The last header at or before each row: sections of a log, continuation lines of a diagnostic. Without a scope ranges of the order are tasks."""
     if not scope:

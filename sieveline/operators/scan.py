@@ -96,3 +96,17 @@ def last(a: Column) -> Column:
 def number(x: Column, pattern: str, group: int = 1) -> Column:
     """What a pattern captures, as a number; 0 where it doesn't fit."""
     return F.coalesce(F.nullif(F.regexp_extract(x, pattern, group), F.lit("")).cast("int"), F.lit(0))
+
+
+def grouped(pairs: Column) -> Column:
+    """(key, items) of an array of (key, item), keys in order and the items of each as they come. The pairs are sorted once, then gone over once."""
+    kind = "array<struct<key:string,items:array<string>>>"
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["item"].alias("item"))))
+    closed = lambda s: F.when(F.size(s["items"]) > 0, F.concat(s["out"], F.array(F.struct(s["key"].alias("key"), s["items"].alias("items"))))).otherwise(s["out"])
+
+    def step(s: Column, p: Column) -> dict[str, Column]:
+        same = (F.size(s["items"]) > 0) & (s["key"] == p["key"])
+        one = F.array(p["item"])
+        return {"key": p["key"], "items": F.when(same, F.concat(s["items"], one)).otherwise(one), "out": F.when(same, s["out"]).otherwise(closed(s))}
+
+    return fold(placed, {"key": F.lit(""), "items": none(), "out": F.array().cast(kind)}, step, closed)

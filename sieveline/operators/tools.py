@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scan import begins, fold, has, kept, last, listed, more, none, number, text, total
+from .scan import begins, bound, fold, grouped, has, kept, last, listed, more, none, number, text, total
 
 LIST, SHORT = 20, 10
 
@@ -522,14 +522,10 @@ def matches_by_file(x: Column | str, cap: int = SHORT) -> Column:
     pattern = r"^([^:]*):([0-9]+):(.*)$"
     g = lambda s, k: F.regexp_extract(s, pattern, k)
     rows = F.filter(T.lines(x), lambda s: s.rlike(pattern))
-    files = F.array_sort(F.array_distinct(F.transform(rows, lambda s: g(s, 1))))
-
-    def one(f: Column) -> Column:
-        own = F.filter(rows, lambda s: g(s, 1) == f)
-        line = lambda s: text("  ", F.when(F.length(g(s, 2)) >= 4, g(s, 2)).otherwise(F.lpad(g(s, 2), 4, " ")), ": ", T.utrim(g(s, 3)), "\n")
-        return text("[file] ", f, " (", F.size(own), "):\n", F.array_join(F.transform(F.slice(own, 1, cap), line), ""), F.when(F.size(own) > cap, text("  +", F.size(own) - cap, "\n")).otherwise(""), "\n")
-
-    return F.when(F.size(rows) == 0, T.c(x)).otherwise(text(F.size(rows), " matches in ", F.size(files), "F:\n\n", F.array_join(F.transform(files, one), "")))
+    line = lambda s: text("  ", F.when(F.length(g(s, 2)) >= 4, g(s, 2)).otherwise(F.lpad(g(s, 2), 4, " ")), ": ", T.utrim(g(s, 3)), "\n")
+    one = lambda f: text("[file] ", f["key"], " (", F.size(f["items"]), "):\n", F.array_join(F.transform(F.slice(f["items"], 1, cap), line), ""), F.when(F.size(f["items"]) > cap, text("  +", F.size(f["items"]) - cap, "\n")).otherwise(""), "\n")
+    told = lambda a: bound(grouped(F.transform(a, lambda s: F.struct(g(s, 1).alias("key"), s.alias("item")))), lambda files: text(F.size(a), " matches in ", F.size(files), "F:\n\n", F.array_join(F.transform(files, one), "")))
+    return bound(rows, lambda a: F.when(F.size(a) == 0, T.c(x)).otherwise(told(a)))
 
 
 def lint_lines(x: Column | str) -> Column:

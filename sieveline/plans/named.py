@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.scan import grouped
 from ..operators.tools import matches_by_file
 from . import filters as P
 from .catalog import DEFS
@@ -16,17 +17,19 @@ from .catalog import DEFS
 def paths_by_folder(x: Column | str, dirs: int = 20, files: int = 10) -> Column:
     """Paths grouped by folder, folders by name, the first files of each; as it is where there are none."""
     rows = F.filter(T.lines(x), lambda s: ~T.is_blank(s))
-    pairs = F.transform(rows, lambda p: F.struct(F.when(p.contains("/"), F.regexp_extract(p, r"^(.*)/[^/]*\z", 1)).otherwise(".").alias("dir"), F.regexp_extract(p, r"([^/]*)\z", 1).alias("name")))
-    folders = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["dir"])))
+    pair = lambda p: F.struct(F.when(p.contains("/"), F.regexp_extract(p, r"^(.*)/[^/]*\z", 1)).otherwise(".").alias("key"), F.regexp_extract(p, r"([^/]*)\z", 1).alias("item"))
 
     def one(d: Column) -> Column:
-        own = F.transform(F.filter(pairs, lambda p: p["dir"] == d), lambda p: p["name"])
+        own = d["items"]
         more = F.when(F.size(own) > files, F.concat(F.lit("  +"), (F.size(own) - files).cast("string"), F.lit("\n"))).otherwise("")
-        return F.concat(d, F.lit("/  ("), F.size(own).cast("string"), F.lit(")\n"), F.array_join(F.transform(F.slice(own, 1, files), lambda n: F.concat(F.lit("  "), n, F.lit("\n"))), ""), more)
+        return F.concat(d["key"], F.lit("/  ("), F.size(own).cast("string"), F.lit(")\n"), F.array_join(F.transform(F.slice(own, 1, files), lambda n: F.concat(F.lit("  "), n, F.lit("\n"))), ""), more)
 
-    head = F.concat(F.size(rows).cast("string"), F.lit(" files in "), F.size(folders).cast("string"), F.lit(" dirs:\n\n"))
-    rest = F.when(F.size(folders) > dirs, F.concat(F.lit("\n+"), (F.size(folders) - dirs).cast("string"), F.lit(" more dirs\n"))).otherwise("")
-    return F.when(F.size(rows) == 0, T.c(x)).otherwise(F.concat(head, F.array_join(F.transform(F.slice(folders, 1, dirs), one), ""), rest))
+    def told(a: Column, folders: Column) -> Column:
+        head = F.concat(F.size(a).cast("string"), F.lit(" files in "), F.size(folders).cast("string"), F.lit(" dirs:\n\n"))
+        rest = F.when(F.size(folders) > dirs, F.concat(F.lit("\n+"), (F.size(folders) - dirs).cast("string"), F.lit(" more dirs\n"))).otherwise("")
+        return F.concat(head, F.array_join(F.transform(F.slice(folders, 1, dirs), one), ""), rest)
+
+    return T.bound(rows, lambda a: F.when(F.size(a) == 0, T.c(x)).otherwise(T.bound(grouped(F.transform(a, pair)), lambda folders: told(a, folders))))
 
 
 #: Reports by name; these come before definitions of the same name.

@@ -284,11 +284,20 @@ def compact_urls(spark, sf_dir):
 p AS (SELECT doc_id, unnest(range(1, greatest(len(x), len(y)) + 1)) AS pos, x, y FROM d)
 SELECT doc_id, count(*) FILTER (x[pos] IS NULL) AS added, count(*) FILTER (y[pos] IS NULL) AS removed, count(*) FILTER (x[pos] <> y[pos]) AS changed FROM p GROUP BY doc_id""")
 def positional_diff(spark, sf_dir):
+    """Documents against the next one: only hashes of lines are joined."""
+    d = table(spark, sf_dir, "documents").select("doc_id", J.line_hashes("text").alias("lines"))
+    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lines").alias("other")), "doc_id")
+    return both.select("doc_id", F.explode(F.array(J.positional_counts(F.col("lines"), F.col("other")))).alias("n")).select("doc_id", "n.*")
+
+
+@query("""WITH d AS (SELECT a.doc_id, string_split(a.text, chr(10)) AS x, string_split(b.text, chr(10)) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(x), len(y)) + 1)) AS pos, x, y FROM d)
+SELECT doc_id, pos::INT AS pos, x[pos] AS old, y[pos] AS new FROM p WHERE x[pos] IS DISTINCT FROM y[pos]""")
+def positional_diff_lines(spark, sf_dir):
+    """The lines themselves, for which both texts meet."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    diff = both.withColumn("diff", J.positional_diff(F.col("text"), F.col("other")))
-    n = lambda *kinds: F.size(F.filter("diff", lambda r: r["kind"].isin(*kinds))).cast("long")
-    return diff.select("doc_id", n("added").alias("added"), n("removed").alias("removed"), n("modified", "replaced").alias("changed"))
+    return both.select("doc_id", F.explode(J.positional_diff(F.col("text"), F.col("other"))).alias("r")).select("doc_id", "r.pos", "r.old", "r.new")
 
 
 @query("""SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS was, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn = 1 OR was <> event_type""")
