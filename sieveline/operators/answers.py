@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import json_tokens as JT
 from ..functions import text as T
 from .reading import markdown_body
-from .scan import begins, fold, has, kept, listed, more, none, text
+from .scan import begins, bound, fold, has, kept, listed, more, none, text
 
 LIST = 20
 
@@ -421,3 +421,22 @@ def release(x: Column | str) -> Column:
 def generic(x: Column | str, max_depth: int = 4) -> Column:
     """Any program's answer: in short if it is JSON, else as it is."""
     return F.coalesce(JT.compact(x, max_depth), T.c(x))
+
+
+def secret(x: Column | str) -> Column:
+    """A secret's name, and its value with each field masked; null where a text isn't an answer with one of them.
+
+    Values aren't told, whatever their length: a shorter text of a secret is as much of a leak as a longer one.
+    """
+    held = "STRUCT<Name: STRING, SecretString: STRING>"
+
+    def value(s: Column) -> Column:
+        fields = F.map_keys(F.from_json(s, "map<string,string>"))
+        shown = F.array_join(F.transform(fields, lambda k: F.concat(F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]\z", 1), F.lit(':"****"'))), ",")
+        return F.when(JT.is_object(s) & F.try_parse_json(s).isNotNull(), F.concat(F.lit("{"), shown, F.lit("}"))).otherwise("****")
+
+    def told(r: Column) -> Column:
+        lines = F.array_compact(F.array(F.concat(F.lit("Name: "), r["Name"]), F.when(r["SecretString"].isNotNull(), F.concat(F.lit("Secret: "), value(r["SecretString"])))))
+        return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
+
+    return F.when(F.try_parse_json(T.c(x)).isNotNull(), bound(F.from_json(T.c(x), held), told))

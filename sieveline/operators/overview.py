@@ -100,4 +100,6 @@ def runner_summary(x: Column | str, command: Column | str, failures: int = 10, l
 
 def last_number(x: Column | str, word: str) -> Column:
     """The number before a word in the last line that has one; 0 where none."""
-    return F.coalesce(last(F.filter(F.transform(T.lines(x), lambda s: number(F.lower(s), rf"(\d+)\s*{word}")), lambda n: n > 0)), F.lit(0))
+    pattern = rf"(\d+)\s*{word}"
+    lines = F.filter(F.transform(T.lines(x), F.lower), lambda s: s.rlike(pattern))
+    return F.coalesce(number(last(lines), pattern), F.lit(0))

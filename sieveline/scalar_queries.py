@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from .functions import shell as S
 from .functions import text as T
 from .operators import analytics as A
+from .operators import answers as AN
 from .operators import diagnostics, transcripts
 from .operators import dotnet as DN
 from .operators import listings as LI
+from .operators import overview as OV
 from .operators import reading as RD
+from .operators import runners as RU
 from .operators import summaries as SU
 from .operators import test_results as TR
 from .operators import tools as TO
@@ -263,3 +266,75 @@ def worst_offenses(spark, sf_dir):
 @query(_sql("list('error: ' || k || chr(10) || '  at ' || k ORDER BY k) FILTER (k % 3 = 0) AS e", f"coalesce(array_to_string(e, {NL}), '')"))
 def error_line_blocks(spark, sf_dir):
     return _report(spark, sf_dir, TR.error_blocks, F.when(_k() % 3 == 0, _s("error: ", _k(), "\n  at ", _k())).otherwise("plain"))
+
+
+# sessions, corrections and small reports over whole tables
+
+_COUNT = "CASE WHEN # >= 1000000 THEN printf('%.1f', (#) / 1000000.0) || 'M' WHEN # >= 1000 THEN printf('%.1f', (#) / 1000.0) || 'K' ELSE (#)::VARCHAR END"
+
+
+@query(f"""
+WITH s AS (SELECT user_id, max(ts) AS modified, count(*) FILTER (WHERE event_type <> 'error') AS covered, count(*) AS total, sum(strlen(props)) AS bytes FROM events GROUP BY user_id ORDER BY modified DESC, user_id LIMIT 10),
+p AS (SELECT *, covered * 100.0::DOUBLE / total AS pct, floor((epoch_ms(TIMESTAMP '2024-03-01') - epoch_ms(modified)) / 86400000.0)::BIGINT AS days FROM s),
+l AS (SELECT row_number() OVER (ORDER BY modified DESC, user_id) + 3 AS n, rpad(user_id::VARCHAR, 12, ' ') || ' ' || rpad(CASE WHEN days <= 0 THEN 'Today' WHEN days = 1 THEN 'Yesterday' ELSE days || 'd ago' END, 12, ' ') || ' ' || lpad(total::VARCHAR, greatest(5, length(total::VARCHAR))::INT, ' ') || ' '
+             || lpad(covered::VARCHAR, greatest(5, length(covered::VARCHAR))::INT, ' ') || ' ' || lpad(printf('%.0f', pct), 7, ' ') || '% ' || repeat('@', floor(pct / 20 + 0.5)::INT) || repeat('.', 5 - floor(pct / 20 + 0.5)::INT) || '   ' || lpad({_COUNT.replace('#', 'bytes')}, 8, ' ') AS line FROM p)
+SELECT n::INT AS n, line FROM l UNION ALL SELECT 0, 'session overview (last 10)' UNION ALL SELECT 1, repeat('-', 70) UNION ALL SELECT 2, 'Session      Date          Cmds  Ours  Adoption           Output' UNION ALL SELECT 3, repeat('-', 70)
+UNION ALL SELECT (SELECT count(*) FROM s)::INT + 4, repeat('-', 70) UNION ALL SELECT (SELECT count(*) FROM s)::INT + 5, 'Average adoption: ' || printf('%.0f', sum(covered) * 100.0::DOUBLE / sum(total)) || '%' FROM s
+""")
+def session_overview(spark, sf_dir):
+    """The newest ten sessions, users' events as their commands."""
+    e = table(spark, sf_dir, "events")
+    sessions = e.groupBy(F.col("user_id").alias("session")).agg(F.max(F.col("ts").cast("timestamp")).alias("modified"), F.count_if(F.col("event_type") != "error").alias("covered"), F.count(F.lit(1)).alias("total"), F.sum(F.octet_length("props")).alias("output_bytes"))
+    return SU.session_lines(A.adoption(sessions), F.lit("2024-03-01").cast("timestamp_ntz").cast("timestamp"))
+
+
+@query(f"WITH {_SEGMENTS_SQL} SELECT 'f' AS session, 2 * count(*) AS total, count(*) FILTER (WHERE c = 6) AS covered, sum(CASE WHEN k % 7 = 0 THEN 0 ELSE k * 4 END)::BIGINT AS output_bytes FROM s")
+def session_coverage(spark, sf_dir):
+    """Segments of commands, those that ran through the program already, and their output once a command."""
+    return transcripts.coverage(_segments(spark, sf_dir), "sieveline").select("session", "total", "covered", "output_bytes")
+
+
+@query("""
+WITH r AS (SELECT event_type, user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type, user_id) AS pos FROM events GROUP BY event_type, user_id QUALIFY pos <= 20),
+l AS (SELECT pos, 0 AS part, CASE WHEN n > 1 THEN '[' || n || 'x] ' ELSE '     ' END || 'run ' || event_type || '  ->  run ' || event_type || ' --user ' || user_id AS line FROM r UNION ALL SELECT pos, 1, '     Error: no user ' || user_id FROM r WHERE user_id % 2 = 0)
+SELECT (row_number() OVER (ORDER BY pos, part) + 1)::INT AS n, line FROM l UNION ALL SELECT 0, 'corrections -- ' || (SELECT count(*) FROM r) || ' rules from ' || count(*) || ' corrections (' || count(DISTINCT user_id) || ' sessions, 30 days)' FROM events UNION ALL SELECT 1, ''
+""")
+def correction_console(spark, sf_dir):
+    """The twenty most frequent corrections, each kind of event of a user as one."""
+    e = table(spark, sf_dir, "events")
+    rules = e.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("occurrences"), "event_type", "user_id").limit(20)
+    wrong = _s("run ", F.col("event_type"))
+    rules = rules.select(F.struct((-F.col("occurrences")).alias("n"), "event_type", "user_id").alias("at"), wrong.alias("wrong"), _s(wrong, " --user ", F.col("user_id")).alias("right"), "occurrences", F.when(F.col("user_id") % 2 == 0, _s(" no user ", F.col("user_id"), " \nmore")).otherwise("").alias("error"))
+    scanned = e.agg(F.count(F.lit(1)).alias("corrections"), F.countDistinct("user_id").alias("sessions"), F.lit(30).alias("days"))
+    return SU.correction_lines(scanned, rules)
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN '[compose] No logs' ELSE '[compose] Logs:' || chr(10) || text END AS report FROM documents")
+def compose_log_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), TO.compose_logs(F.when(F.col("doc_id") % 9 == 0, " \n").otherwise(F.col("text"))).alias("report"))
+
+
+@query("SELECT doc_id AS id, doc_id::INT AS passed, 0 AS failed FROM documents")
+def last_counts(spark, sf_dir):
+    """The number before a word in the last line that has one, behind a document's text."""
+    d = table(spark, sf_dir, "documents")
+    raw = _s(F.regexp_replace("text", r"\d", "n"), "\n", F.col("doc_id") + 7, " Passed\n", F.col("doc_id"), "  passed now\nend")
+    return d.select(F.col("doc_id").alias("id"), OV.last_number(raw, "passed").alias("passed"), OV.last_number(raw, "zzqx").alias("failed"))
+
+
+@query(_sql("list(k ORDER BY k) FILTER (k % 4 = 0) AS f", f"CASE WHEN f IS NULL THEN '' ELSE array_to_string(list_transform(f, lambda v: 'p.T' || v || ' > m[Pixel] FAILED' || {NL} || '\tjava.lang.E: ' || v), {NL}) || {NL} END || 'BUILD FAILED in 3s'"))
+def gradle_connected_report(spark, sf_dir):
+    """Tests on a device, a quarter of them failing."""
+    line = F.when(_k() % 4 == 0, _s("INSTRUMENTATION_STATUS: class=p.T", _k(), "\np.T", _k(), " > m[Pixel] FAILED\n\tjava.lang.E: ", _k())).otherwise(_s("p.T", _k(), " > m[Pixel] PASSED"))
+    return _report(spark, sf_dir, RU.gradle_connected, line, "Starting 9 tests on Pixel\nInstalling APK x\n", "\nINSTRUMENTATION_CODE: -1\nBUILD FAILED in 3s")
+
+
+@query("""
+SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Name: db/' || doc_id || chr(10) || 'Secret: {"user":"****","key":"****"}' WHEN 1 THEN 'Name: db/' || doc_id || chr(10) || 'Secret: ****' ELSE NULL END AS answer FROM documents
+""")
+def secret_answers(spark, sf_dir):
+    """Secrets whose value is a document's text: names and fields are told, values aren't."""
+    n = F.col("doc_id")
+    held = F.when(n % 3 == 0, F.to_json(F.struct(F.col("text").alias("user"), F.lit("k").alias("key")))).otherwise(F.concat(F.lit("x "), F.col("text")))
+    raw = F.when(n % 3 < 2, F.to_json(F.struct(_s("db/", n).alias("Name"), held.alias("SecretString"), F.lit("arn").alias("ARN")))).otherwise(F.concat(F.lit("An error "), F.col("text")))
+    return table(spark, sf_dir, "documents").select(n.alias("id"), AN.secret(raw).alias("answer"))
