@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ranking import count_by, top_k
+from .scan import grouped
 
 _LS = r"^([bcdlps-][rwxsStT-]{9})[.+@]?\s+\d+\s+\S+\s+\S+\s+(\d+)\s+(\S+\s+\S+\s+\S+)\s+(.+)$"
 
@@ -154,3 +155,43 @@ def psql_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     """Cells of an ASCII table, trimmed, without rules and the row count."""
     rows = _lines(df, id_col, text_col).where(~F.col("raw").rlike(r"^[\s|+-]*$|^\(\d+ rows?\)"))
     return rows.select("id", "at", F.transform(F.split("raw", r"\|"), lambda x: F.trim(x)).alias("cells"))
+
+
+#: Fixed value: the date of a long listing, with the blanks around it.
+_LS_DATE = r"\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+[0-9]{1,2}\s+(?:[0-9]{4}|[0-9]{2}:[0-9]{2})\s+"
+#: Extensions told of a listing.
+EXTENSIONS = 5
+
+
+def ls_report(x: Column | str, show_all: bool = False, modes: bool = False, noise: tuple[str, ...] = ()) -> Column:
+    """(entries, summary, parsed) of a long listing: folders, then files with their sizes, with ``modes`` as octals; counts by extension, the most frequent five.
+
+    Folders and files of ``noise`` are left out unless all are asked for. Without any entry the text is ``(empty)``, and nothing at all where no line could be read.
+    """
+    dots = lambda s: F.rtrim(s).endswith(".")
+
+    def entry(s: Column) -> Column:
+        before = F.filter(F.split(F.regexp_extract(s, rf"^((?:(?!{_LS_DATE}).)*+){_LS_DATE}", 1), r"\s+"), lambda p: p != "")
+        sizes = F.filter(before, lambda p: p.rlike(r"^[0-9]+\z"))
+        name = F.regexp_extract(s, rf"^(?:(?!{_LS_DATE}).)*+{_LS_DATE}(.*)\z", 1)
+        return F.when(~dots(s) & s.rlike(_LS_DATE) & (F.size(before) >= 4), F.struct(before[0].alias("perms"), F.coalesce(F.try_element_at(sizes, F.lit(-1)).cast("long"), F.lit(0)).alias("size"), name.alias("name")))
+
+    def told(lines: Column, found: Column) -> Column:
+        shown = found if show_all or not noise else F.filter(found, lambda e: ~e["name"].isin(*noise))
+        folder = lambda e: e["perms"].startswith("d")
+        mode = lambda e: F.when((F.length(e["perms"]) >= 10) & ~e["perms"].rlike(r"[^\x00-\x7f]"), F.concat(T.perms_to_octal(e["perms"]), F.lit("  "))).otherwise("") if modes else F.lit("")
+        return T.bound(F.struct(F.filter(shown, folder).alias("dirs"), F.filter(shown, lambda e: ~folder(e)).alias("files")), lambda k: F.struct(
+            F.when((F.size(k["dirs"]) == 0) & (F.size(k["files"]) == 0), F.when((F.size(found) > 0) | (F.size(lines) == 0) | F.forall(lines, dots), "(empty)\n").otherwise("")).otherwise(F.concat(
+                F.array_join(F.transform(k["dirs"], lambda e: F.concat(mode(e), e["name"], F.lit("/\n"))), ""), F.array_join(F.transform(k["files"], lambda e: F.concat(mode(e), e["name"], F.lit("  "), T.human_size(e["size"]), F.lit("\n"))), ""))).alias("entries"),
+            F.when((F.size(k["dirs"]) > 0) | (F.size(k["files"]) > 0), F.concat(F.lit("\nSummary: "), F.size(k["files"]).cast("string"), F.lit(" files, "), F.size(k["dirs"]).cast("string"), F.lit(" dirs"), _by_extension(k["files"]), F.lit("\n"))).otherwise("").alias("summary"),
+            F.when((F.size(k["dirs"]) > 0) | (F.size(k["files"]) > 0), F.size(found)).otherwise(0).alias("parsed")))
+
+    kept = F.filter(T.lines(x), lambda s: (s != "") & ~s.startswith("total "))
+    return T.bound(kept, lambda lines: T.bound(F.filter(F.transform(lines, entry), lambda e: e.isNotNull()), lambda found: told(lines, found)))
+
+
+def _by_extension(files: Column) -> Column:
+    ext = lambda e: F.when(e["name"].contains("."), F.regexp_extract(e["name"], r"(\.[^.]*)\z", 1)).otherwise("no ext")
+    counts = F.array_sort(F.transform(grouped(F.transform(files, lambda e: F.struct(ext(e).alias("key"), e["name"].alias("item")))), lambda g: F.struct((-F.size(g["items"])).alias("n"), g["key"].alias("ext"))))
+    more = lambda a: F.when(F.size(a) > EXTENSIONS, F.concat(F.lit(", +"), (F.size(a) - EXTENSIONS).cast("string"), F.lit(" more"))).otherwise("")
+    return T.bound(counts, lambda a: F.when(F.size(a) > 0, F.concat(F.lit(" ("), F.array_join(F.transform(F.slice(a, 1, EXTENSIONS), lambda c: F.concat((-c["n"]).cast("string"), F.lit(" "), c["ext"])), ", "), more(a), F.lit(")"))).otherwise(""))

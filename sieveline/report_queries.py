@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import git_reports as GR
+from .operators import listings as LI
 from .operators import runners as RU
 from .operators import test_reports as TS
 from .operators import tools as TO
@@ -483,3 +484,18 @@ def js_test_reports(spark, sf_dir):
     run = F.to_json(F.struct(F.lit(4).alias("numTotalTests"), F.lit(3).alias("numPassedTests"), F.lit(1).alias("numFailedTests"), F.array(F.struct(F.lit("a.ts").alias("name"), F.array(bad).alias("assertionResults"))).alias("testResults")))
     raw = F.when(n % 2 == 0, _s("> test\n\n", run, "\n")).otherwise(_s(" Tests  2 failed | ", n, " passed\n Duration  1.5s\n"))
     return table(spark, sf_dir, "documents").select(n.alias("id"), TS.js_report(raw).alias("report"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey // 100 AS id, p_partkey AS k, p_name || '.e' || p_partkey % 7 AS name, (p_partkey * 37)::BIGINT AS size, p_partkey % 10 = 0 AS dir FROM part),
+e AS (SELECT id, '.e' || k % 7 AS ext, count(*) AS n FROM k WHERE NOT dir GROUP BY ALL),
+x AS (SELECT id, list(n || ' ' || ext ORDER BY n DESC, ext) AS l FROM e GROUP BY id)
+SELECT k.id, coalesce(string_agg('755  d' || k.k || '/' || chr(10), '' ORDER BY k.k) FILTER (WHERE dir), '') || coalesce(string_agg('644  ' || name || '  ' || CASE WHEN size >= 1048576 THEN printf('%.1f', size / 1048576.0) || 'M' WHEN size >= 1024 THEN printf('%.1f', size / 1024.0) || 'K' ELSE size || 'B' END || chr(10), '' ORDER BY k.k) FILTER (WHERE NOT dir), '')
+       || chr(10) || 'Summary: ' || count(*) FILTER (WHERE NOT dir) || ' files, ' || count(*) FILTER (WHERE dir) || ' dirs (' || array_to_string(any_value(l)[1:5], ', ') || CASE WHEN len(any_value(l)) > 5 THEN ', +' || (len(any_value(l)) - 5) || ' more' ELSE '' END || ')' || chr(10) AS report
+FROM k JOIN x ON x.id = k.id GROUP BY k.id
+""")
+def listing_reports(spark, sf_dir):
+    """Folders of a hundred parts, a tenth of them folders themselves."""
+    line = F.when(_k() % 10 == 0, _s("drwxr-xr-x 2 me staff 64 Jan 1 12:00 d", _k())).otherwise(_s("-rw-r--r-- 1 me staff ", _k() * 37, " Mar 13 2024 ", F.col("p_name"), ".e", _k() % 7))
+    got = _outputs(spark, sf_dir, line, "total 8\ndrwxr-xr-x 2 me staff 64 Jan 1 12:00 .\n").select("id", F.explode(F.array(LI.ls_report("text", modes=True))).alias("r"))
+    return got.select("id", F.concat("r.entries", "r.summary").alias("report"))
