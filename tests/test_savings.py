@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import json_shape as JS
 from sieveline.functions import text as T
 from sieveline.operators import answers as AN
+from sieveline.operators import cloud as CL
 from sieveline.operators import linters as LN
 from sieveline.operators import listings as LI
 from sieveline.operators import reading as RD
@@ -89,6 +90,31 @@ def test_savings_reach_their_floor(spark, number):
     assert 100 - 100 * kept / raw >= floor, (number, raw, kept, got.out[:300])
 
 
+GRADLE = many(60, "> Task :app:compile#Kotlin UP-TO-DATE") + many(20, "> Configure project :m#")
+MODULES = "".join(f"[INFO] m{k} .................. {state} [  1.0 s]\n" for k, state in enumerate(("SUCCESS", "FAILURE", "SKIPPED")))
+LATER = {
+    21: (RD.gradle_build, GRADLE + "\nBUILD SUCCESSFUL in 12s\n40 actionable tasks: 3 executed\n", 70),
+    24: (RD.gradle_build, GRADLE + "e: /src/A.kt: (3, 5): Unresolved reference: x\n\nFAILURE: Build failed with an exception.\n\n* What went wrong:\nExecution failed for task ':app:compileKotlin'.\n\n* Try:\n> Run with --stacktrace option.\n\nBUILD FAILED in 3s\n", 70),
+    25: (RU.gradle_test, GRADLE + many(30, "com.a.B# > works PASSED") + "com.a.C > breaks FAILED\n    java.lang.AssertionError: expected 1\n        at org.junit.Assert.fail(Assert.java:88)\n        at com.a.C.breaks(C.kt:9)\n31 tests completed, 1 failed\nBUILD FAILED in 3s\n", 60),
+    34: (RU.mvn_tests, MVN_FAIL + "[INFO] Reactor Summary for parent 1.0:\n[INFO] \n" + MODULES + "[INFO] BUILD FAILURE\n", 30),
+}
+
+
+@pytest.mark.parametrize("number", sorted(LATER))
+def test_builds_save_words(spark, number):
+    report, output, floor = LATER[number]
+    got = spark.createDataFrame([(output,)], "t string").select(report(F.col("t")).alias("out")).first().out
+    assert got and 100 - 100 * len(got.split()) / len(output.split()) >= floor, got[:500]
+    assert all(word in got for word in {21: ["BUILD SUCCESSFUL"], 24: ["Unresolved reference", "BUILD FAILED"], 25: ["breaks FAILED", "expected 1", "C.kt:9"], 34: ["Reactor Summary", "m1 ", "FAILURE"]}[number])
+
+
+def test_log_events_save_tokens(spark):
+    raw = json.dumps({"events": [{"timestamp": 1_700_000_000_000 + 1000 * i, "message": f"request {i} served in time", "ingestionTime": 1_700_000_000_500 + 1000 * i} for i in range(20)], "nextForwardToken": "f/3"})
+    rows = CL.log_events(spark.createDataFrame([(1, raw)], "id int, text string")).orderBy("clock").collect()
+    out = "\n".join(f"{r.clock} {r.message}" for r in rows)
+    assert len(rows) == 20 and 1 - (len(out.encode()) // 4) / (len(raw.encode()) // 4) >= 0.15
+
+
 def test_pod_report_saves_words(spark):
     pod = {"metadata": {"namespace": "n", "name": "p", "labels": {"a": "b"}, "annotations": {"c": "d e f"}}, "status": {"phase": "Running", "containerStatuses": [{"restartCount": 0, "state": {"running": {"startedAt": "x"}}}], "conditions": [{"type": "Ready", "status": "True"}] * 4}}
     raw = json.dumps({"items": [pod] * 20}, indent=1)
