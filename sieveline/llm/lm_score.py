@@ -116,16 +116,20 @@ class _Counted:
             ids, codes = _grams(sym, self.order)
             n = np.bincount(ids, minlength=len(codes))
             real = (codes & ((1 << BITS) - 1)) != 0  # a pad is never predicted
-            self.parts.append((codes[real], n[real] if learn else np.zeros(int(real.sum()), np.int64)))
-            if len(self.parts) > 6:
+            # a block's counts fit into four bytes
+            self.parts.append((codes[real], n[real].astype(np.int32) if learn else np.zeros(int(real.sum()), np.int32)))
+            if len(self.parts) > 2:
                 self._merge()
         self.pending[learn], self.held[learn] = [], 0
 
     def _merge(self) -> None:
         codes, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        self.parts = []
         at = np.argsort(codes, kind="stable")  # parts are ascending, so this merges them
-        codes, n = codes[at], n[at]
-        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        codes = codes[at]
+        n = n[at]
+        del at
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
         self.parts = [(codes[first], np.add.reduceat(n, first) if len(first) else n)]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +153,7 @@ def _counts(order: int):
                 n_train += 1
             grams.add(b" ".join(ws), not held)
         codes, counts = grams.result()
+        counts = counts.astype(np.int64)
         other -= words.keys()
         names = [*words, *other]
         n = [*words.values(), *([0] * len(other))]
