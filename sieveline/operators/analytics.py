@@ -84,17 +84,17 @@ def corrections(commands: DataFrame, scope: list[str], order: list[str], least:
     # what the command begins with beyond its base (an assignment, say) leaves the base among the words
     args = lambda x: words(F.when(x.startswith(base(x)), F.substring(x, F.length(base(x)) + 1, F.length(x))).otherwise(x))
 
-    def sim(a: Column, b: Column) -> Column:
-        return F.when(base(a) != base(b), 0.0).otherwise(0.5 + 0.5 * T.jaccard(args(a), args(b)))
+    # worked out once a command, not once for each pair
+    known = commands.where(F.col("output") != "").withColumn("_base", base(F.col("command"))).withColumn("_args", args(F.col("command")))
 
-    def ok(a: Column, b: Column) -> Column:
-        s = sim(a["command"], b["command"])
-        confidence = F.least(F.lit(1.0), s + F.when(b["is_error"], 0.0).otherwise(0.2))
-        return (a["command"] != b["command"]) & ~((s > 0.9) & (s < 1.0)) & (s > 0) & (confidence >= least)
+    def confidence(a: Column, b: Column) -> Column:
+        """Null where a later command is no candidate at all."""
+        s = F.when(a["_base"] == b["_base"], 0.5 + 0.5 * T.jaccard(a["_args"], b["_args"]))
+        return T.bound(s, lambda s: F.when((a["command"] != b["command"]) & ~((s > 0.9) & (s < 1.0)), F.least(F.lit(1.0), s + F.when(b["is_error"], 0.0).otherwise(0.2))))
 
-    found = look_ahead(commands.where(F.col("output") != ""), scope, order, 3, ["command", "is_error"], ok).where(is_command_error(F.col("is_error"), "output") & ~is_test_cycle("output") & F.col("match").isNotNull())
-    s = sim(F.col("command"), F.col("match.command"))
-    return found.select(*scope, *order, "command", F.col("match.command").alias("correction"), F.least(F.lit(1.0), s + F.when(F.col("match.is_error"), 0.0).otherwise(0.2)).alias("confidence"))
+    columns = ["command", "is_error", "_base", "_args"]
+    found = look_ahead(known, scope, order, 3, columns, lambda a, b: F.coalesce(confidence(a, b) >= least, F.lit(False))).where(is_command_error(F.col("is_error"), "output") & ~is_test_cycle("output") & F.col("match").isNotNull())
+    return found.select(*scope, *order, "command", F.col("match.command").alias("correction"), confidence(F.struct(*columns), F.col("match")).alias("confidence"))
 
 
 def best_of(df: DataFrame, keys: list[str], value: str, by: Column, order: str) -> DataFrame:

@@ -310,12 +310,12 @@ def rewritten_text_commands(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.rewrite(cmd, "sl", ("git", "cargo", "ls", "find")).alias("rewritten"))
 
 
-@query("SELECT doc_id AS id, length(t) + 5 AS at, 'arg,blank,operator,arg,blank,redirect' AS kinds, t AS word FROM (SELECT doc_id, regexp_replace(text, '''', '', 'g') AS t FROM documents)")
+@query("SELECT doc_id AS id, length(t) + 5 AS place, 'arg,blank,operator,arg,blank,redirect' AS kinds, t AS word FROM (SELECT doc_id, regexp_replace(text, '''', '', 'g') AS t FROM documents)")
 def lexed_texts(spark, sf_dir):
     """Tokens of a command that begins with a whole text in quotes: where the operator's right side stands, and the text as a word."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _s("'", F.regexp_replace("text", "'", ""), "' &&cat 2>&1").alias("cmd"))
     rows = rows.select("id", S.lex("cmd").alias("tokens"), S.tokenize("cmd").alias("words"))
-    return rows.select("id", F.col("tokens")[3]["at"].cast("long").alias("at"), F.array_join(F.transform("tokens", lambda k: k["kind"]), ",").alias("kinds"), F.col("words")[0].alias("word"))
+    return rows.select("id", F.col("tokens")[3]["at"].cast("long").alias("place"), F.array_join(F.transform("tokens", lambda k: k["kind"]), ",").alias("kinds"), F.col("words")[0].alias("word"))
 
 
 @query(_sql("list('p' || k ORDER BY k) AS l", _first("l", 7, NL, f"{NL} || '... +' || # || ' more'")))
