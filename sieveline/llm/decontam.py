@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from .common import cut, mix, scratch, shingle_hashes, with_row, words_of
+from .common import cut, mix, scratch, shingle_hashes, thrifty, with_row, words_of
 
 SEED = 20_231
 
@@ -215,10 +215,10 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, threshold: float, recall:
     seen = np.zeros(1 << (bits - 6), np.uint64)
     seen[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.uint64)
     sent = spark.sparkContext.broadcast(seen)
-    met = docs.select("row", "text").mapInArrow(lambda batches: _band_keys(of, bits, sent.value, classes)(batches), kind).select("row", "key")
+    met = docs.select("row", "text").mapInArrow(thrifty(lambda batches: _band_keys(of, bits, sent.value, classes)(batches)), kind).select("row", "key")
     pairs = cut(met.join(keys.select(F.col("row").alias("item"), "key"), "key").select("row", "item").distinct())
     whole = pairs.join(docs, "row").join(items.select(F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item")
-    return cut(whole.select("id", "item_id", "text", "item_text").mapInArrow(_contained(n, threshold), out))
+    return cut(whole.select("id", "item_id", "text", "item_text").mapInArrow(thrifty(_contained(n, threshold)), out))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -236,7 +236,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     first = items.limit(block_items + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     if first[0] <= block_items and (first[1] or 0) <= block_bytes:
         block = Items([tuple(r) for r in items.collect()], n, threshold, recall)
-        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_search(block, to_arrow_type(kinds["item_id"].dataType)), out)
+        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(thrifty(_search(block, to_arrow_type(kinds["item_id"].dataType))), out)
         return found.withColumnRenamed("id", id_col)
     with scratch(docs.sparkSession) as keep:
         items = with_row(benchmark, item_col, item_text, twice=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, discard, scratch, with_row
+from .common import cut, discard, scratch, thrifty, with_row
 
 #: Bytes of distinct contents that a task remembers before it starts anew.
 FOLD = 32_000_000
@@ -104,20 +104,20 @@ def _named(folded: DataFrame) -> DataFrame:
     """(row, pos, n, size, name) for each place (ref, content, row, pos, n, size)."""
     places = cut(folded)
     dealt = places.where("content IS NOT NULL").select("ref", "content").repartition("content").sortWithinPartitions("content")
-    named = cut(places.drop("content").join(dealt.mapInArrow(_number, "ref long, name long"), "ref").drop("ref"))
+    named = cut(places.drop("content").join(dealt.mapInArrow(thrifty(_number), "ref long, name long"), "ref").drop("ref"))
     discard(places)
     return named
 
 
 def identities(rows: DataFrame, block: int = 4096) -> DataFrame:
     """(row, size, name) for rows (row, text): equal texts, and only those, agree in size and name."""
-    level = _named(rows.select("row", "text").mapInArrow(_split(block), PLACES))
+    level = _named(rows.select("row", "text").mapInArrow(thrifty(_split(block)), PLACES))
     done = level.where("n = 1").select("row", "size", "name")
     while level.where("n > 1").limit(1).count():
         side = F.when(F.col("pos") % 2 == 0, F.col("name")), F.when(F.col("pos") % 2 == 1, F.col("name"))
         pairs = level.where("n > 1").groupBy("row", F.floor(F.col("pos") / 2).cast("int").alias("pos"), F.ceil(F.col("n") / 2).cast("int").alias("n"), "size").agg(F.max(side[0]).alias("a"), F.max(side[1]).alias("b"))
         content = F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(c, F.lit(-1))), 16, "0")) for c in (F.col("a"), F.col("b"))])
-        level = _named(pairs.select(content.alias("content"), "row", "pos", "n", "size").mapInArrow(_paired, PLACES))
+        level = _named(pairs.select(content.alias("content"), "row", "pos", "n", "size").mapInArrow(thrifty(_paired), PLACES))
         done = done.unionByName(level.where("n = 1").select("row", "size", "name"))
     return done
 
@@ -138,7 +138,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     with scratch(docs.sparkSession) as keep:
         rows = with_row(docs, id_col, text_col, twice=True)
         hashed = StructType([StructField("row", LongType()), rows.schema["id"], StructField("text_sha256", StringType())])
-        known = keep(cut(identities(rows, block).join(rows.mapInArrow(_hashed, hashed), "row")))
+        known = keep(cut(identities(rows, block).join(rows.mapInArrow(thrifty(_hashed), hashed), "row")))
         first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
         groups = keep(cut(known.groupBy("size", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))))
     return known.join(groups, ["size", "name"]).select(

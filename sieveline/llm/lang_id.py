@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import share
+from .common import share, thrifty
 
 _RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 SIZE = 1 << 16
@@ -94,7 +94,7 @@ def learn(labelled: DataFrame, sample_rows: int = 4_000) -> Model:
         yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(lang, pa.int32()), pa.array(slot, pa.int32()), pa.array(both[kind, lang, slot], pa.int64())], ["kind", "lang", "slot", "n"])
 
     # at most 2 * languages * SIZE rows, whatever the input
-    got = sample.select("lang", "text").mapInArrow(count, "kind int, lang int, slot int, n long").groupBy("kind", "lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    got = sample.select("lang", "text").mapInArrow(thrifty(count), "kind int, lang int, slot int, n long").groupBy("kind", "lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     tables = np.zeros((2, SIZE, len(langs)))
     tables[got.column("kind").to_numpy(), got.column("slot").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy()
     return Model(langs, tables[0], tables[1])
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = StructType.fromDDL("lang_pred string, score double, noise_share double, n_langs int, shares map<string,double>")
-    return rows.mapInArrow(run, StructType([rows.schema["id"], *out.fields])).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(thrifty(run), StructType([rows.schema["id"], *out.fields])).withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> DataFrame:

@@ -17,8 +17,6 @@ most, however large the corpus. The n-grams of one group are bounded alike. Answ
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 from collections import Counter
 
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import cut, scratch, settled, tasks, words_of
+from .common import cut, give_back, scratch, settled, tasks, words_of
 
 BITS = 9  # symbols: 0 pads the start, 1 to 256 are bytes, END closes
 END = 257
@@ -91,13 +89,6 @@ def _rows(block: pa.Table, *names: str):
         yield from zip(*[part.column(n).to_pylist() for n in names], strict=True)
 
 
-def _give_back() -> None:
-    """Hands freed memory back to the system: workers live on between blocks, and what they hold counts against the executor."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 class _Counted:
     """Distinct n-grams of texts added one by one, with counts over those to learn from."""
 
@@ -158,7 +149,7 @@ def _counts(order: int):
         names = [*words, *other]
         n = [*words.values(), *([0] * len(other))]
         del words, other, grams
-        _give_back()
+        give_back()
         key = block.column("block")[0].as_py()
         total = len(names) + len(codes) + 1
         return pa.table({
@@ -273,7 +264,7 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
                 held = 0
         flush()
         del word_value, grams, logp
-        _give_back()
+        give_back()
         return pa.table({
             "id": docs.column("id").cast(kind), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array(np.full(len(tokens), n_total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()),

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, exact_shingles, scratch, share, shingle_hashes, small_side, with_row, words_of
+from .common import cut, discard, exact_shingles, scratch, share, shingle_hashes, small_side, thrifty, with_row, words_of
 
 WIDTH = 128
 #: Standard deviations of the estimate below the threshold from which a pair isn't a candidate: 7.5e-5 of pairs at 0.75.
@@ -362,7 +362,7 @@ def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float)
     A large node stops early where a sample of it says that its classes are much alike: that only adds pairs, since what
     stops is compared whole.
     """
-    nodes = classes.mapInArrow(_roots(trees), "node long, cls long")
+    nodes = classes.mapInArrow(thrifty(_roots(trees)), "node long, cls long")
     small, large = [], []
     for level in range(levels):
         made = nodes = cut(nodes)
@@ -381,7 +381,7 @@ def groups(classes: DataFrame, trees: int, leaf: int, levels: int, picks: float)
         goes_on = wide.join(dense, "node", "left_anti")
         if not goes_on.limit(1).count():
             break
-        nodes = goes_on.join(classes, "cls").select("node", "cls", "tokens").mapInArrow(_branch(picks), "node long, cls long")
+        nodes = goes_on.join(classes, "cls").select("node", "cls", "tokens").mapInArrow(thrifty(_branch(picks)), "node long, cls long")
     both = reduce(DataFrame.unionByName, large)
     return reduce(DataFrame.unionByName, small), cut(crowds(both)) if both.limit(1).count() else None
 
@@ -423,7 +423,7 @@ def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf
 
     def seen(nodes: DataFrame, crowd: DataFrame | None, name: bool) -> DataFrame:
         schema = PAIR if name else "task long, cls long"
-        parts = [nodes.join(known, "cls").repartition("node").sortWithinPartitions("node").mapInArrow(_in_nodes(least, name), schema)]
+        parts = [nodes.join(known, "cls").repartition("node").sortWithinPartitions("node").mapInArrow(thrifty(_in_nodes(least, name)), schema)]
         if crowd is not None and (tasks := _blocks(crowd, known, block)) is not None:
             parts.append(tasks.groupBy("task").applyInArrow(_in_blocks(least, name), schema))
         return reduce(DataFrame.unionByName, parts)
@@ -433,7 +433,7 @@ def linked(classes: DataFrame, texts, n: int, threshold: float, trees: int, leaf
         nonlocal known
         pairs = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         full = pairs.join(text.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        decided = cut(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, threshold), "a long, b long, linked boolean"))
+        decided = cut(full.select("a", "b", "text_a", "text_b").mapInArrow(thrifty(_verify(n, threshold)), "a long, b long, linked boolean"))
         known = _joined(known, decided.where("linked").select("a", "b"))
         no = named.join(decided.where("NOT linked").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select(F.col("a").alias("cls"), F.col("b").alias("no"))
         known = cut(known.join(no, "cls", "left").withColumn(f"no{turn}", F.col("no")).select(known.columns))
@@ -626,14 +626,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = with_row(docs, id_col, text_col, twice=True)
         keep(rows)
         kind = rows.schema["id"].dataType.simpleString()
-        sets = cut(rows.mapInArrow(_sketch(n), f"row long, id {kind}, n_shingles long, set_key binary, tokens binary, low binary"))
+        sets = cut(rows.mapInArrow(thrifty(_sketch(n)), f"row long, id {kind}, n_shingles long, set_key binary, tokens binary, low binary"))
         # rows with the same digest of their set belong to the first of them once their full sets are seen to be equal
         first = cut(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("cls"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
         alike = cut(sets.join(first, "set_key").where("row <> cls").select("row", "cls"))
         text_of = lambda name, wanted: rows.join(small_side(wanted.withColumnRenamed(name, "row")), "row", "left_semi").select(F.col("row").alias(name), "text")
         firsts, copies = text_of("cls", first.select("cls")), text_of("row", alike.select("row"))
         both = copies.join(alike, "row").select("row", "cls", F.col("text").alias("text_b")).join(firsts.withColumnRenamed("text", "text_a"), "cls")
-        copy = cut(both.select("row", "cls", "text_a", "text_b").mapInArrow(_equal(n), "row long, cls long, equal boolean").where("equal").select("row", "cls"))
+        copy = cut(both.select("row", "cls", "text_a", "text_b").mapInArrow(thrifty(_equal(n)), "row long, cls long, equal boolean").where("equal").select("row", "cls"))
         gone = copy.select("row")
         side = small_side(gone)
         classes = sets.where("set_key IS NOT NULL").join(side, "row", "left_anti").select(F.col("row").alias("cls"), "tokens", "low", F.col("n_shingles").alias("size"))

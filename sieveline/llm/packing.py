@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, tasks, with_row
+from .common import cut, tasks, thrifty, with_row
 
 
 class CapacityTree:
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, id_
 
     rows = with_row(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(thrifty(run), f"row long, id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 20_000) -> DataFrame:
