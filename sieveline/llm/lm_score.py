@@ -8,6 +8,9 @@ symbols already ruled out are excluded there. Since all counts come from one cor
 a context are followers of its suffixes too, so the excluded mass is a property of the context alone and the
 probability of every (context, symbol) can be worked out once for the whole corpus.
 
+With ``blend`` orders are blended instead (``blended``) and words are mixed in (``mixed``), which is ahead of
+exclusion on few texts: contexts of five bytes are rare there, and half of a rare context's mass is too much for its followers.
+
 The trie isn't gathered anywhere. Documents are dealt into blocks of bounded text; a block asks for
 its distinct n-grams and words, with its own training counts. Counts are summed by n-gram, and all
 n-grams that share the last three context bytes (a closed part of the trie) are worked out together. Counts of shorter contexts
@@ -163,15 +166,20 @@ def _counts(order: int):
 
 
 class Low:
-    """Counts of contexts shorter than ``least``, from all training grams (packed) of ``least`` symbols: those of ``least - 1`` context bytes."""
+    """Counts of contexts shorter than ``least``, from all training grams (packed) of ``least`` symbols: those of ``least - 1`` context bytes.
+
+    kinds: ``n`` tells how many different symbols stand before each gram, and the shorter ones are counted so as well.
+    """
 
-    def __init__(self, least: int, grams: np.ndarray, n: np.ndarray):
+    def __init__(self, least: int, grams: np.ndarray, n: np.ndarray, kinds: bool = False):
         self.least, self.of = least, {}
         for k in range(least - 1, -1, -1):
             codes, at = np.unique(grams & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
             count = np.bincount(at, n, len(codes)).astype(np.int64)
             context, group = np.unique(codes >> BITS, return_inverse=True)
             self.of[k] = codes, count, context, np.bincount(group, count, len(context)).astype(np.int64), np.bincount(group, count > 0, len(context)).astype(np.int64)
+            if kinds:
+                grams, n = codes, np.ones(len(codes))
 
     def counts(self, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each gram's last k context bytes: the symbol's count after them, all symbols' count, and how many symbols there are."""
@@ -225,18 +233,88 @@ def log_probabilities(grams: np.ndarray, n: np.ndarray, order: int, low: Low) ->
     return out
 
 
-def _score(order: int, log_total: float, log_end: float, end_known: int, n_total: int, kind: pa.DataType):
+#: What each follower of a context gives of its count to the order below, where orders are blended.
+DISCOUNT = 0.8
+
+
+def blended(grams: np.ndarray, n: np.ndarray, order: int, low: Low) -> np.ndarray:
+    """As ``log_probabilities``, with all orders blended: each follower's count less a discount, and what the discounts leave dealt out by the order below.
+
+    Below the longest contexts a symbol counts once for each different symbol that stands before context and symbol (Kneser and Ney), so ``low`` counts by kinds.
+    """
+    levels, pair, count = [], grams, n
+    for k in range(order, low.least - 1, -1):
+        pair, row = np.unique(pair & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
+        count = np.bincount(row, count if k == order else count > 0, len(pair))
+        first = np.append(True, pair[1:] >> BITS != pair[:-1] >> BITS)[: len(pair)]
+        group = np.cumsum(first) - 1
+        levels.append((row, count, np.bincount(group, count)[group], np.bincount(group, count > 0)[group]))
+    p = np.full(len(pair), 1 / ALPHABET)
+
+    def step(p: np.ndarray, count: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        return np.where(total > 0, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
+
+    for k in range(low.least):
+        p = step(p, *low.counts(pair, k))
+    for row, *counts in reversed(levels):
+        p = step(p, *counts)[row]  # for each follower one order above
+    return np.log10(p)
+
+
+#: Shares of a text's words that are told by the words of all training texts, by the text's earlier words (up to ``OWN``, half of it after ``OWN_HALF`` words), and by what followed the word before earlier in the text.
+KNOWN, OWN, OWN_HALF, FOLLOWING = 0.1, 0.1, 50, 0.2
+
+
+def mixed(spelled: np.ndarray, words: np.ndarray, doc: np.ndarray, last: np.ndarray, share: np.ndarray, end: float) -> np.ndarray:
+    """log10 of the probability of each word with what closes it, given all before it in its text.
+
+    spelled: log10 P of its bytes and the space or end after it; words: their numbers (negative: a text without words); doc: texts, ascending; last: whether it closes the text;
+    share: of the words of the training texts; end: the part of those that close a text.
+    """
+    m = len(spelled)
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    before = np.arange(m) - np.repeat(start, np.diff(np.append(start, m)))
+
+    def earlier(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key stands further ahead, and its number."""
+        at = np.argsort(keys, kind="stable")
+        new = np.append(True, keys[at[1:]] != keys[at[:-1]])
+        group = np.cumsum(new) - 1
+        n, ids = np.empty(m, np.int64), np.empty(m, np.int64)
+        n[at] = np.arange(m) - np.flatnonzero(new)[group]
+        ids[at] = group
+        return n, ids
+
+    own, ids = earlier(doc * (int(words.max()) + 2) + words + 1)
+    previous = np.append(-1, ids[:-1])
+    previous[before == 0] = -1
+    after, _ = earlier(np.where(previous < 0, -1 - np.arange(m), previous * (int(ids.max()) + 1) + ids))
+    followed = np.where(before > 0, np.append(0, own[:-1]), 0)
+    closes = np.where(last, end, 1 - end)
+    known = KNOWN if share.any() else 0.0
+    w0, w1 = OWN * before / (before + OWN_HALF), FOLLOWING * followed / (followed + 1)
+    told = (1 - w1) * ((1 - w0) * known * share + w0 * own / np.maximum(before, 1)) + w1 * after / np.maximum(followed, 1)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(spelled * math.log(10) + np.log((1 - w1) * (1 - w0) * (1 - known)), np.log(told * closes)) / math.log(10)
+
+
+def _score(order: int, log_total: float, n_docs: int, n_total: int, kind: pa.DataType, blend: bool):
+    log_end, end_known = math.log10(n_docs + 1), int(n_docs > 0)
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         is_word = answers.column("word").is_valid().to_numpy(zero_copy_only=False)
         value = answers.column("value").to_numpy()
         # frequent words first, so that those that are looked up most lie together
         at = np.flatnonzero(is_word)
         at = at[np.argsort(-value[at])]
-        word_value = dict(zip(answers.column("word").take(pa.array(at)).to_pylist(), value[at].tolist(), strict=True))
+        names, word_value = answers.column("word").take(pa.array(at)).to_pylist(), value[at]
+        number = dict(zip(names, range(len(names)), strict=True))
+        del names
+        share = (np.rint(10**word_value) - 1) / max(1, n_total - n_docs) if blend else None
         grams, logp = answers.filter(pa.array(~is_word)).column("gram").to_numpy(), value[~is_word]
         at = np.argsort(grams)
         grams, logp = grams[at], logp[at]
-        base, known, tokens, scores, pending, held = [], [], [], [], [], 0
+        base, known, tokens, scores, pending, numbers, held = [], [], [], [], [], [], 0
 
         def flush() -> None:
             if not pending:
@@ -248,22 +326,35 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
             own = np.where(pads, 0.0, logp[np.minimum(found, len(grams) - 1)])
             if not (pads | (grams[np.minimum(found, len(grams) - 1)] == codes)).all():
                 raise ValueError("an n-gram of a block has no answer: its documents changed between two reads")
-            scores.extend(np.add.reduceat(own[ids], starts).tolist())
+            if blend:
+                closed = np.flatnonzero((sym[order:] == ord(" ") + 1) | (sym[order:] == END))
+                spelled = np.add.reduceat(own[ids], np.append(0, closed[:-1] + 1))
+                last = sym[order:][closed] == END
+                doc = np.cumsum(last) - last
+                words = np.concatenate([w if len(w) else [-1] for w in numbers])
+                one = mixed(spelled, words, doc, last, np.where(words < 0, 0.0, share[words]) if len(share) else np.zeros(len(words)), n_docs / n_total if n_total else 0.5)
+                scores.extend(np.add.reduceat(one, np.flatnonzero(np.append(True, last[:-1]))).tolist())
+            else:
+                scores.extend(np.add.reduceat(own[ids], starts).tolist())
             pending.clear()
+            numbers.clear()
 
         for (text,) in _rows(docs, "text"):
             ws = words_of(text)
-            vals = list(map(word_value.__getitem__, ws))
+            nums = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+            vals = word_value[nums]
             tokens.append(len(ws) + 1)
-            known.append(len(vals) - vals.count(0.0) + end_known)
-            base.append(math.fsum(vals) + log_end - (len(ws) + 1) * log_total)
+            known.append(int(np.count_nonzero(vals)) + end_known)
+            base.append(float(vals.sum()) + log_end - (len(ws) + 1) * log_total)
             pending.append(b" ".join(ws))
+            if blend:
+                numbers.append(nums)
             held += len(pending[-1])
             if held > CHUNK:
                 flush()
                 held = 0
         flush()
-        del word_value, grams, logp
+        del number, word_value, share, grams, logp
         give_back()
         return pa.table({
             "id": docs.column("id").cast(kind), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
@@ -273,20 +364,21 @@ def _score(order: int, log_total: float, log_end: float, end_known: int, n_total
     return run
 
 
-def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000, blend: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     held_out: a Column over ``docs``; rows where it is true (or null) are scored but not learned from.
+    blend: orders are blended and words mixed in, instead of method D with exclusion.
     Null and empty texts are the end symbol alone. Repeated rows and null ids are rows of their own, ids are of any type, extra
     columns are ignored. Without any training row the trie is empty and
     every symbol is equally likely. An empty table gives no rows.
     """
     spark = docs.sparkSession
     with scratch(spark) as keep:
-        return _scored(spark, docs, held_out, order, id_col, text_col, block_bytes, keep).withColumnRenamed("id", id_col)
+        return _scored(spark, docs, held_out, order, id_col, text_col, block_bytes, blend, keep).withColumnRenamed("id", id_col)
 
 
-def _scored(spark, docs: DataFrame, held_out, order: int, id_col: str, text_col: str, block_bytes: int, keep) -> DataFrame:
+def _scored(spark, docs: DataFrame, held_out, order: int, id_col: str, text_col: str, block_bytes: int, blend: bool, keep) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = keep(settled(rows))
     kind = rows.schema["id"]
@@ -300,13 +392,17 @@ def _scored(spark, docs: DataFrame, held_out, order: int, id_col: str, text_col:
     # contexts below this length are told to all tasks: there are at most ALPHABET ** least strings of them (17 million), however much text there is;
     # groups share this many context bytes, so the rows of one are bounded alike
     least = min(3, order)
-    strings = lambda k: sum_c.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    got = strings(least).toArrow()
-    low = Low(least, got.column("gram").to_numpy(), got.column("n").to_numpy())
+    ending = lambda k: F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")
+    learned = sum_c.where("n > 0")
+    if blend:
+        learned = learned.select(ending(least + 1)).distinct().withColumn("n", F.lit(1))
+    got = learned.groupBy(ending(least)).agg(F.sum("n").alias("n")).toArrow()
+    low = Low(least, got.column("gram").to_numpy(), got.column("n").to_numpy(), blend)
+    model = blended if blend else log_probabilities
 
     def work(part: pa.Table) -> pa.Table:
         g = part.column("gram").to_numpy()
-        return pa.table({"gram": part.column("gram"), "value": pa.array(log_probabilities(g, part.column("n").to_numpy(), order, low), pa.float64())})
+        return pa.table({"gram": part.column("gram"), "value": pa.array(model(g, part.column("n").to_numpy(), order, low), pa.float64())})
 
     tail = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << least * BITS) - 1))
     logp = sum_c.withColumn("tail", tail).groupBy("tail").applyInArrow(lambda t: work(t), "gram long, value double")
@@ -319,7 +415,7 @@ def _scored(spark, docs: DataFrame, held_out, order: int, id_col: str, text_col:
     n_docs = asked.where("word IS NULL AND gram IS NULL").agg(F.sum("n")).first()[0] or 0
     distinct += n_docs > 0
     total = (n_words or 0) + n_docs
-    run = _score(order, math.log10(total + distinct + 1), math.log10(n_docs + 1), int(n_docs > 0), total, to_arrow_type(kind.dataType))
+    run = _score(order, math.log10(total + distinct + 1), n_docs, total, to_arrow_type(kind.dataType), blend)
     out = StructType([kind, *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: run(a, b), out)
 

@@ -23,7 +23,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), _fold(7) == 2)
+    return lm_score.score(table(spark, sf_dir, "documents"), _fold(7) == 2, blend=True)
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
