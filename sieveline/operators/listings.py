@@ -97,10 +97,9 @@ ENV_OTHER = ("HOME", "USER", "LANG", "LC_", "TZ", "PWD", "OLDPWD")
 def env_group(name: Column | str, filtered: bool = False) -> Column:
     """The group of a variable, null if it isn't shown; with a filter by name every variable that passes it is."""
     name = T.c(name)
-    up = F.upper(name)
-    found = [F.when(up.rlike("|".join(parts)), F.lit(g)) for g, parts in ENV_GROUPS]
-    other = F.lit("other") if filtered else F.when(up.rlike("^(?:" + "|".join(ENV_OTHER) + ")"), "other")
-    return F.coalesce(F.when(name.contains("PATH"), "path"), *found, other)
+    other = lambda up: F.lit("other") if filtered else F.when(up.rlike("^(?:" + "|".join(ENV_OTHER) + ")"), "other")
+    found = lambda up: F.coalesce(*[F.when(up.rlike("|".join(parts)), F.lit(g)) for g, parts in ENV_GROUPS], other(up))
+    return F.when(name.contains("PATH"), "path").otherwise(T.bound(F.upper(name), found))
 
 
 def _env_value(name: Column, value: Column, show_all: bool) -> Column:
@@ -124,31 +123,37 @@ ENV_HEADS = {"path": "PATH Variables:\n", "language": "\nLanguage/Runtime:\n", "
 
 def env_report(x: Column | str, contains: str | None = None, show_all: bool = False, paths: int = 10, others: int = 20) -> Column:
     """NAME=value lines as one text: groups by name, the entries of PATH one by one, at most 20 other variables."""
-    raw = F.filter(T.lines(x), lambda s: s != "")
+    return T.bound(T.c(x), lambda t: T.bound(F.filter(T.lines(t), lambda s: s != ""), lambda raw: _env_report(raw, contains, show_all, paths, others)))
 
+
+def _env_report(raw: Column, contains: str | None, show_all: bool, paths: int, others: int) -> Column:
     def row(s: Column, i: Column) -> Column:
-        name = F.regexp_extract(s, "^[^=]*", 0)
-        return F.struct(name.alias("name"), i.alias("i"), _env_value(name, s.substr(F.length(name) + 2, F.length(s)), show_all).alias("shown"))
+        value = lambda name: s.substr(F.length(name) + 2, F.length(s))
+        made = lambda name, v: F.struct(name.alias("name"), i.alias("i"), _env_value(name, v, show_all).alias("shown"), env_group(name, contains is not None).alias("group"))
+        return T.bound(F.regexp_extract(s, "^[^=]*", 0), lambda name: T.bound(value(name), lambda v: made(name, v)))
 
-    rows = F.array_sort(F.transform(raw, row))
+    rows = F.sort_array(F.transform(raw, row))  # by their own order: array_sort would call a comparator for each pair
     some = F.filter(rows, lambda r: F.lower(r["name"]).contains(contains.lower())) if contains is not None else rows
-    among = lambda g: F.filter(some, lambda r: env_group(r["name"], contains is not None) == g)
-    of = {g: among(g) for g in ENV_HEADS}
     left = lambda n, cap, pad: F.when(n > cap, F.concat(F.lit(f"{pad}... +"), (n - cap).cast("string"), F.lit(" more\n"))).otherwise("")
 
-    def line(r: Column) -> Column:
-        entries = F.split(r["shown"], ":")
+    def listed(entries: Column) -> Column:
         each = F.array_join(F.transform(F.slice(entries, 1, paths), lambda e: F.concat(F.lit("    "), e, F.lit("\n"))), "")
-        listed = F.concat(F.lit("  PATH ("), F.size(entries).cast("string"), F.lit(" entries):\n"), each, left(F.size(entries), paths, "    "))
-        return F.when(r["name"] == "PATH", listed).otherwise(F.concat(F.lit("  "), r["name"], F.lit("="), r["shown"], F.lit("\n")))
+        return F.concat(F.lit("  PATH ("), F.size(entries).cast("string"), F.lit(" entries):\n"), each, left(F.size(entries), paths, "    "))
+
+    def line(r: Column) -> Column:
+        return F.when(r["name"] == "PATH", T.bound(F.split(r["shown"], ":"), listed)).otherwise(F.concat(F.lit("  "), r["name"], F.lit("="), r["shown"], F.lit("\n")))
+
+    def report(of: Column) -> Column:
+        def part(g: str) -> Column:
+            a = F.slice(of[g], 1, others) if g == "other" else of[g]
+            return F.when(F.size(of[g]) > 0, F.concat(F.lit(ENV_HEADS[g]), F.array_join(F.transform(a, line), ""), left(F.size(of[g]), others, "  ") if g == "other" else F.lit(""))).otherwise("")
 
-    def part(g: str) -> Column:
-        a = F.slice(of[g], 1, others) if g == "other" else of[g]
-        return F.when(F.size(of[g]) > 0, F.concat(F.lit(ENV_HEADS[g]), F.array_join(F.transform(a, line), ""), left(F.size(of[g]), others, "  ") if g == "other" else F.lit(""))).otherwise("")
+        shown = sum((F.size(of[g]) for g in ENV_HEADS if g != "other"), F.least(F.size(of["other"]), F.lit(others)))
+        total = F.lit("") if contains is not None else F.concat(F.lit("\nTotal: "), F.size(raw).cast("string"), F.lit(" vars (showing "), shown.cast("string"), F.lit(" relevant)\n"))
+        return F.concat(*map(part, ENV_HEADS), total)
 
-    shown = sum((F.size(of[g]) for g in ENV_HEADS if g != "other"), F.least(F.size(of["other"]), F.lit(others)))
-    total = F.lit("") if contains is not None else F.concat(F.lit("\nTotal: "), F.size(raw).cast("string"), F.lit(" vars (showing "), shown.cast("string"), F.lit(" relevant)\n"))
-    return F.concat(*map(part, ENV_HEADS), total)
+    among = lambda a, g: F.filter(a, lambda r: r["group"] == g)
+    return T.bound(some, lambda a: T.bound(F.struct(*[among(a, g).alias(g) for g in ENV_HEADS]), report))
 
 
 def psql_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

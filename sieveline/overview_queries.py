@@ -251,7 +251,9 @@ def typed_tables(spark, sf_dir):
 @query(_each(f"'PATH Variables:' || {NL} || '  PATH (12 entries):' || {NL} || array_to_string(list_transform(range(1, 11), lambda i: '    /p' || i || {NL}), '') || '    ... +2 more' || {NL} || {NL} || 'Language/Runtime:' || {NL} || '  GOROOT=/g' || k || {NL} || {NL} || 'Cloud/Services:' || {NL} || '  AWS_SECRET=ab****yz' || {NL} || {NL} || 'Other:' || {NL} || '  HOME=' || repeat('h', 50) || '... (' || (101 + s) || ' chars)' || {NL} || array_to_string(list_transform(range(11, 30), lambda i: '  LC_' || i || '=' || k || {NL}), '') || '  ... +1 more' || {NL} || {NL} || 'Total: 25 vars (showing 23 relevant)' || {NL}"))
 def environment_reports(spark, sf_dir):
     lines = F.concat_ws("\n", F.lit("ZZ=1"), F.transform(F.sequence(F.lit(30), F.lit(11), F.lit(-1)), lambda i: F.concat(F.lit("LC_"), i.cast("string"), F.lit("="), _s(_k()))), _s("GOROOT=/g", _k()), F.lit("PATH=" + ":".join(f"/p{i}" for i in range(1, 13))), F.lit("AWS_SECRET=ab12345yz"), F.concat(F.lit("HOME="), F.expr("repeat('h', cast(101 + p_size as int))")))
-    return _rows(spark, sf_dir, listings.env_report(lines))
+    # a small file is few tasks, but each row is a report of 25 variables
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    return part.select(_k().alias("id"), listings.env_report(lines).alias("report"))
 
 
 @query(_each("'{\"a\":' || k || ',\"b\":\"x\",\"c\":[1,\"y\"],\"d\":{\"e\":true},\"f\":null}'"))
