@@ -430,7 +430,7 @@ def curl_report(x: Column | str, terminal: bool, limit: int = 500) -> Column:
     return F.when(json | (F.octet_length(t) < limit), t).otherwise(text(cut, "... (", F.octet_length(t), " bytes total)"))
 
 
-#: What tells a failed download's cause.
+#: What tells a failed download's cause. A status is a number of its own, not digits of a longer one.
 _CAUSES = (
     ("404", "404 Not Found"), ("403", "403 Forbidden"), ("401", "401 Unauthorized"), ("500", "500 Server Error"), ("Connection refused", "Connection refused"),
     ("unable to resolve|Name or service not known", "DNS lookup failed"), ("timed out", "Connection timed out"), ("SSL|certificate", "SSL/TLS error"),
@@ -452,11 +452,12 @@ def download_size(n: Column | str) -> Column:
 
 def common_folder(paths: Column) -> Column:
     """The longest folder, with its slash, that all paths begin with; empty for one path or none in common."""
-    first = paths[0]
-    parts = F.split(first, "/", -1)
-    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
-    fits = F.filter(F.when(F.size(parts) > 1, folders).otherwise(none()), lambda f: F.forall(paths, lambda p: p.startswith(f)))
-    return F.when(F.size(paths) <= 1, "").otherwise(F.coalesce(last(fits), F.lit("")))
+    def of(paths: Column, parts: Column) -> Column:
+        folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+        fits = F.filter(F.when(F.size(parts) > 1, folders).otherwise(none()), lambda f: F.forall(paths, lambda p: p.startswith(f)))
+        return F.when(F.size(paths) <= 1, "").otherwise(F.coalesce(last(fits), F.lit("")))
+
+    return bound(paths, lambda a: bound(F.split(a[0], "/", -1), lambda parts: of(a, parts)))
 
 
 def summarize_list(x: Column | str) -> Column:
@@ -575,23 +576,28 @@ def tool_path(x: Column | str, tool: str) -> Column:
 
 def wc_report(x: Column | str, mode: str = "full") -> Column:
     """Word counts without the folder that all files share. mode: full (lines, words, bytes), one (a single count) or mixed (several counts)."""
-    a = F.filter(F.transform(T.lines(T.utrim(x)), lambda s: F.split(T.utrim(s), r"\s+")), lambda p: p[0] != "")
+    rows = F.filter(F.transform(T.lines(T.utrim(x)), lambda s: F.split(T.utrim(s), r"\s+")), lambda p: p[0] != "")
     is_total = lambda p: F.element_at(p, -1) == "total"
-    folder = common_folder(F.transform(F.filter(a, lambda p: ~is_total(p)), lambda p: F.element_at(p, -1)))
     at = lambda p, k: F.coalesce(F.try_element_at(p, F.lit(k)), F.lit(""))
-    bare = lambda name: F.when((folder != "") & name.startswith(folder), F.substring(name, F.length(folder) + 1, F.length(name))).otherwise(name)
     counts = lambda p: text(at(p, 1), "L ", at(p, 2), "W ", at(p, 3), "B")
     whole = lambda p: F.array_join(p, " ")
     path_last = lambda p: ~F.element_at(p, -1).rlike(r"^[0-9]+$")
     numbers = lambda p: F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), " ")
-    if mode == "one":
-        single, many = a[0][0], lambda p: F.when(is_total(p), text("Σ ", p[0])).otherwise(text(p[0], " ", bare(F.element_at(p, -1))))
-    elif mode == "full":
-        single, many = F.when(F.size(a[0]) >= 3, counts(a[0])).otherwise(whole(a[0])), lambda p: F.when(is_total(p), text("Σ ", counts(p))).when(F.size(p) >= 4, text(counts(p), " ", bare(at(p, 4)))).otherwise(whole(p))
-    else:
-        single = F.when((F.size(a[0]) >= 2) & path_last(a[0]), numbers(a[0])).otherwise(whole(a[0]))
-        many = lambda p: F.when(is_total(p), text("Σ ", numbers(p))).when((F.size(p) >= 2) & path_last(p), text(numbers(p), " ", bare(F.element_at(p, -1)))).otherwise(whole(p))
-    return F.when(F.size(a) == 0, "").when(F.size(a) == 1, single).otherwise(F.array_join(F.transform(a, many), "\n"))
+
+    def shown(a: Column, folder: Column) -> Column:
+        bare = lambda name: F.when((folder != "") & name.startswith(folder), F.substring(name, F.length(folder) + 1, F.length(name))).otherwise(name)
+        if mode == "one":
+            single, many = a[0][0], lambda p: F.when(is_total(p), text("Σ ", p[0])).otherwise(text(p[0], " ", bare(F.element_at(p, -1))))
+        elif mode == "full":
+            single, many = F.when(F.size(a[0]) >= 3, counts(a[0])).otherwise(whole(a[0])), lambda p: F.when(is_total(p), text("Σ ", counts(p))).when(F.size(p) >= 4, text(counts(p), " ", bare(at(p, 4)))).otherwise(whole(p))
+        else:
+            single = F.when((F.size(a[0]) >= 2) & path_last(a[0]), numbers(a[0])).otherwise(whole(a[0]))
+            many = lambda p: F.when(is_total(p), text("Σ ", numbers(p))).when((F.size(p) >= 2) & path_last(p), text(numbers(p), " ", bare(F.element_at(p, -1)))).otherwise(whole(p))
+        return F.when(F.size(a) == 0, "").when(F.size(a) == 1, single).otherwise(F.array_join(F.transform(a, many), "\n"))
+
+    # the folder is the same for all lines: found once, not once a line
+    folder = lambda a: common_folder(F.transform(F.filter(a, lambda p: ~is_total(p)), lambda p: F.element_at(p, -1)))
+    return bound(rows, lambda a: bound(folder(a), lambda f: shown(a, f)))
 
 
 def docker_ps(x: Column | str) -> Column:

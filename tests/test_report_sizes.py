@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import listings
+from sieveline.operators import listings, tools
 
 
 def one(spark, col):
@@ -18,6 +18,12 @@ def within(seconds, make):
     return out
 
 
+def test_wc_report_finds_the_folder_once(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("id").cast("int") + 400), lambda i: F.concat(F.lit("1 2 3 dir/sub/f"), i.cast("string"))), "\n")
+    got = within(20, lambda: spark.range(1).select(tools.wc_report(F.concat(text, F.lit("\n9 8 7 total"))).alias("x")).first().x)
+    assert got == "\n".join([*[f"1L 2W 3B f{i}" for i in range(1, 401)], "Σ 9L 8W 7B"])
+
+
 def test_environment_reports_in_bulk(spark):
     text = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("LC_"), i.cast("string"), F.lit("="), F.col("id").cast("string"))), "\n")
     got = within(60, lambda: spark.range(0, 2000, 1, 4).select(listings.env_report(text(200)).alias("x")).groupBy().agg(F.count_if(F.col("x").endswith("Total: 200 vars (showing 20 relevant)\n")).alias("n"), F.max("x").alias("x")).first())
