@@ -432,7 +432,7 @@ def curl_report(x: Column | str, terminal: bool, limit: int = 500) -> Column:
 
 #: What tells a failed download's cause. A status is a number of its own, not digits of a longer one.
 _CAUSES = (
-    ("404", "404 Not Found"), ("403", "403 Forbidden"), ("401", "401 Unauthorized"), ("500", "500 Server Error"), ("Connection refused", "Connection refused"),
+    *[(f"(?<![0-9]){code}(?![0-9])", f"{code} {said}") for code, said in (("404", "Not Found"), ("403", "Forbidden"), ("401", "Unauthorized"), ("500", "Server Error"))], ("Connection refused", "Connection refused"),
     ("unable to resolve|Name or service not known", "DNS lookup failed"), ("timed out", "Connection timed out"), ("SSL|certificate", "SSL/TLS error"),
 )
 
@@ -444,10 +444,16 @@ def download_error(stderr: Column | str, stdout: Column | str) -> Column:
     return F.coalesce(*[F.when(both.rlike(p), F.lit(said)) for p, said in _CAUSES], short, F.lit("Unknown error"))
 
 
-def download_size(n: Column | str) -> Column:
+def download_size(n: Column | str, largest: str = "GB") -> Column:
+    """largest: the unit that sizes aren't told beyond: KB, MB or GB."""
     n = T.c(n)
     unit = lambda k, name: F.concat(T.tenths(n, 1 << k), F.lit(name))
-    return F.when(n == 0, "?").when(n < 1 << 10, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, unit(10, "KB")).when(n < 1 << 30, unit(20, "MB")).otherwise(unit(30, "GB"))
+    units = [(10, "KB"), (20, "MB"), (30, "GB")]
+    units = units[: [name for _, name in units].index(largest) + 1]
+    out = F.when(n == 0, "?").when(n < 1 << 10, F.concat(n.cast("string"), F.lit("B")))
+    for (k, name), (above, _) in zip(units, units[1:]):
+        out = out.when(n < 1 << above, unit(k, name))
+    return out.otherwise(unit(*units[-1]))
 
 
 def common_folder(paths: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import listings, summaries, tools
@@ -24,6 +25,19 @@ def test_wc_report_finds_the_folder_once(spark):
     assert got == "\n".join([*[f"1L 2W 3B f{i}" for i in range(1, 401)], "Σ 9L 8W 7B"])
 
 
+@pytest.mark.parametrize(
+    ("err", "want"), [("odd 2404", "odd 2404"), ("odd 5001", "odd 5001"), ("ERROR 404: no", "404 Not Found"), ("got 403", "403 Forbidden"), ("401", "401 Unauthorized"), ("x 4040\nHTTP/1.1 500 y", "500 Server Error")]
+)
+def test_download_status_is_a_number_of_its_own(spark, err, want):
+    assert one(spark, tools.download_error(F.lit(err), F.lit(""))) == want
+
+
+def test_download_sizes(spark):
+    size = lambda n, *unit: one(spark, tools.download_size(F.lit(n), *unit))
+    assert [size(n) for n in (0, 1023, 1024, 1 << 20, 3 << 30)] == ["?", "1023B", "1.0KB", "1.0MB", "3.0GB"]
+    assert size(1 << 20, "KB") == "1024.0KB" and size(3 << 30, "MB") == "3072.0MB" and size(5, "KB") == "5B"
+
+
 def test_discovered_counts_of_six_digits(spark):
     scanned = spark.range(1).select(F.lit(3).alias("sessions"), F.lit(30).alias("days"), F.lit(40).alias("commands"), F.lit(10).alias("covered"))
     good = spark.createDataFrame([("git", 123456, "command", 5, "git log")], "command string, n long, via string, saved_tokens long, display string")
