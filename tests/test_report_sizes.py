@@ -52,3 +52,10 @@ def test_environment_reports_in_bulk(spark):
     text = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("LC_"), i.cast("string"), F.lit("="), F.col("id").cast("string"))), "\n")
     got = within(60, lambda: spark.range(0, 2000, 1, 4).select(listings.env_report(text(200)).alias("x")).groupBy().agg(F.count_if(F.col("x").endswith("Total: 200 vars (showing 20 relevant)\n")).alias("n"), F.max("x").alias("x")).first())
     assert got.n == 2000 and got.x.startswith("\nOther:\n  LC_1=") and "  ... +180 more\n" in got.x
+
+
+@pytest.mark.parametrize("report", [listings.env_report, tools.wc_report])
+def test_reports_name_their_text_a_few_times(spark, report):
+    """Each place where the text stands in an expression over lines is worked out anew, for each line if it is inside of one."""
+    plan = spark.createDataFrame([("A=1",)], "t string").select(report("t").alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("t#") < 10
